@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sentencepiece_codec
+from . import line_dedup, mixing, near_dedup, quality, sentencepiece_codec
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
 }
