@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, quality, sentencepiece_codec
+from . import language_id, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_language_id": language_id.op8_language_id,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
