@@ -64,6 +64,9 @@ class Codec:
         if "" in keys:
             self.ids[""] = [self.mark]
 
+    def ready(self, texts: list[str | None]) -> None:
+        pass
+
     def encode(self, text: str | None) -> list[int]:
         if self.whole:
             return self.sp.encode(text or "") + self.end
@@ -84,14 +87,19 @@ class Digests(Codec):
         self.said: dict[str, str] = {}
         self.odd: dict[str, str] = {}
         sp = self.sp
-        self.bytes = [bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())]
+        n = range(sp.get_piece_size())
+        self.names = [str(i) for i in n]
+        #: What each id decodes to; None for single bytes, which mean something together only.
+        self.texts = [None if sp.is_byte(i) else "" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ") for i in n]
 
     def decoded(self, key: str, ids: list[int]) -> str:
         """What a chunk's ids decode to, with its first marker as a space."""
-        own = b"".join(map(self.bytes.__getitem__, ids))
-        return f" {key}" if own == f" {key}".encode("utf-8", "surrogatepass") else f" {self.sp.decode(ids)}"
+        try:
+            return "".join(map(self.texts.__getitem__, ids))
+        except TypeError:
+            return f" {self.sp.decode(ids)}"
 
-    def learn(self, keys: set[str]) -> None:
+    def note(self, keys: set[str]) -> None:
         new = [k for k in keys if k not in self.said]
         if len(self.said) + len(new) > self.size:
             self.said.clear()
@@ -99,10 +107,15 @@ class Digests(Codec):
             new = list(keys)
         for k, ids in zip(new, self.sp.encode(new, num_threads=1)):
             ids = ids or [self.mark]  # of the empty key: a marker alone
-            self.said[k] = " ".join(map(str, ids))
+            self.said[k] = " ".join(map(self.names.__getitem__, ids))
             if (back := self.decoded(k, ids)) != f" {k}":
                 self.odd[k] = back
 
+    def ready(self, texts: list[str | None]) -> None:
+        """Segment what is new in some texts with one call."""
+        if not self.whole:
+            self.note({k for t in texts if t for k in self.chunks(t)})
+
     def of(self, text: str | None) -> tuple[int, str, str]:
         if self.whole:
             ids = self.encode(text)
@@ -112,13 +125,26 @@ class Digests(Codec):
             try:
                 parts = [*map(self.said.__getitem__, keys)]
             except KeyError:
-                self.learn(set(keys))
+                self.note(set(keys))
                 parts = [*map(self.said.__getitem__, keys)]
             said = " ".join(parts + [*map(str, self.end)])
             back = "".join([self.odd.get(k) or f" {k}" for k in keys])[1:] if self.odd else " ".join(keys)
         return said.count(" ") + (said != ""), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _parts(values: list) -> Iterator[list]:
+    """Runs of about a million characters."""
+    part, size = [], 0
+    for x in values:
+        part.append(x)
+        size += len(x or ())
+        if size >= 1_000_000:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _codec(kind: type[Codec], model: bytes, end_id: bool) -> Codec:
     """A worker process keeps its codecs, and with them their tables, for the tasks to come."""
     import sentencepiece
@@ -146,7 +172,10 @@ def _with(df: DataFrame, fields: list[T.StructField], kind: type[Codec], each, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(kind, proto, end_id)
         for b in batches:
-            made = [each(codec, x) for x in b.column(text).to_pylist()]
+            made = []
+            for part in _parts(b.column(text).to_pylist()):
+                codec.ready(part)
+                made += [each(codec, x) for x in part]
             cols = list(zip(*made)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(x, types.get(f.name, pa.string())) for f, x in zip(fields, cols))], names=[f.name for f in schema])
 
