@@ -90,7 +90,7 @@ class Digests(Codec):
         n = range(sp.get_piece_size())
         self.names = [str(i) for i in n]
         #: What each id decodes to; None for single bytes, which mean something together only.
-        self.texts = [None if sp.is_byte(i) else "" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ") for i in n]
+        self.texts = [None if sp.is_byte(i) or sp.is_unknown(i) else "" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ") for i in n]
 
     def decoded(self, key: str, ids: list[int]) -> str:
         """What a chunk's ids decode to, with its first marker as a space."""
