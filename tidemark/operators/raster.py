@@ -66,10 +66,10 @@ def nearest_filled(blocks: DataFrame, values: list[str], row: str = "br", col: s
 
 def upsampled(pixels: DataFrame, blocks: DataFrame, value: str, block: int, size: DataFrame) -> DataFrame:
     """pixels with value read from the block grid by corner-aligned bilinear interpolation; size: (scene, rows, cols) of the padded pixel grid."""
-    shape = size.select("scene", (F.col("rows") / block).cast("int").alias("_nr"), (F.col("cols") / block).cast("int").alias("_nc"), "rows", "cols")
+    shape = size.select("scene", (F.col("rows") / block).cast("int").alias("_nr"), (F.col("cols") / block).cast("int").alias("_nc"), F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
     p = pixels.join(shape, "scene")
     at = lambda i, n, full: F.when(F.col(n) > 1, F.col(i) * (F.col(n) - 1) / (F.col(full) - 1)).otherwise(0.0)
-    p = p.withColumn("_y", at("row", "_nr", "rows")).withColumn("_x", at("col", "_nc", "cols"))
+    p = p.withColumn("_y", at("row", "_nr", "_rows")).withColumn("_x", at("col", "_nc", "_cols"))
     p = p.withColumn("_y0", F.least(F.floor("_y").cast("int"), F.greatest(F.col("_nr") - 2, F.lit(0)))).withColumn("_x0", F.least(F.floor("_x").cast("int"), F.greatest(F.col("_nc") - 2, F.lit(0))))
     p = p.withColumn("_y1", F.least(F.col("_y0") + 1, F.col("_nr") - 1)).withColumn("_x1", F.least(F.col("_x0") + 1, F.col("_nc") - 1))
     for i in (0, 1):
