@@ -64,7 +64,7 @@ def probabilities(df: DataFrame, forest, booster=None) -> DataFrame:
     out = forest.setPredictionCol("_f").setRawPredictionCol("_fr").setProbabilityCol("_fp").transform(df).withColumn("p_forest", vector_to_array("_fp")).drop("_f", "_fr", "_fp")
     if booster is None:
         return out
-    out = booster.setPredictionCol("_b").setRawPredictionCol("_br").transform(out)
+    out = booster.setPredictionCol("_b").transform(out).withColumnRenamed(booster.getRawPredictionCol(), "_br")
     s = F.transform(vector_to_array("_br"), lambda m: 1 / (1 + F.exp(-2 * m)))
     out = out.withColumn("_s", s).drop("_b", "_br")
     total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)

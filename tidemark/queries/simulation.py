@@ -1 +1,176 @@
-"""Queries."""
+"""Queries on particle ensembles, routes, classifiers and streams."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import refdata
+from ..functions import geo
+from ..functions.numeric import normal, normal_sql, track_at, uniform, uniform_sql
+from ..operators import classify, decide, drift, evaluate, joins
+from ..operators.field import Grid
+from ..streaming import recurrence
+from .spatial import RING, km
+from .views import Source, query
+
+
+def r(c, n: int = 6):
+    return F.round(c, n)
+
+
+@query("random_draws", f"SELECT o_orderkey AS k, round({uniform_sql('o_orderkey', 'o_custkey')}, 9) AS u, round({normal_sql('o_orderkey', 'o_custkey')}, 6) AS z FROM orders")
+def random_draws(s: Source) -> DataFrame:
+    k = (F.col("o_orderkey"), F.col("o_custkey"))
+    return s.table("orders").select(F.col("o_orderkey").alias("k"), r(uniform(*k), 9).alias("u"), r(normal(*k)).alias("z"))
+
+
+@query("track_interp", """
+WITH t AS (SELECT o_orderkey AS id, o_orderkey % 11 / 2.0::double - 1 AS hour FROM orders), c AS (SELECT id, least(greatest(hour, 0), 4) AS h FROM t), k AS (SELECT id, h, least(CAST(floor(h) AS int), 3) AS k FROM c)
+SELECT id, round((10 + sin(id + k)) + (h - k) * (sin(id + k + 1) - sin(id + k)), 6) AS lat FROM k""")
+def track_interp(s: Source) -> DataFrame:
+    track = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda h: F.struct(h.alias("h"), (10 + F.sin(F.col("o_orderkey") + h)).alias("lat")))
+    return s.table("orders").select(F.col("o_orderkey").alias("id"), r(track_at(track, (F.col("o_orderkey") % 11) / 2 - 1, "lat")).alias("lat"))
+
+
+@query("ensemble_moments", f"""
+WITH m AS (SELECT id, avg(lat) AS mlat, avg(lon) AS mlon, avg(CASE WHEN NOT beached THEN lat END) AS flat, avg(CASE WHEN beached THEN 1 ELSE 0 END) AS b, count(*) AS n FROM parts GROUP BY id),
+d AS (SELECT p.id, sqrt(avg(pow({km("mlat", "mlon", "lat", "lon")}, 2))) AS spread FROM parts p JOIN m ON p.id = m.id GROUP BY p.id)
+SELECT m.id, round(mlat, 6) AS mean_lat, round(mlon, 6) AS mean_lon, round(flat, 6) AS floating_lat, round(b, 6) AS beached_fraction, round(spread, 4) AS spread_km, round(sqrt(greatest(spread * spread - 2 * pow(0.16 * 1 * 3.6, 2) - 4 * 20.0 * 1 * 3600 / 1e6, 0)), 4) AS flow_spread_km, n FROM m JOIN d ON m.id = d.id""")
+def ensemble_moments(s: Source) -> DataFrame:
+    p = s.view("parts").withColumn("central", F.lit(False)).withColumn("h", F.lit(1))
+    m = drift.moments(p)
+    return m.select("id", r("mean_lat").alias("mean_lat"), r("mean_lon").alias("mean_lon"), r("floating_lat").alias("floating_lat"), r("beached_fraction").alias("beached_fraction"), r("spread_km", 4).alias("spread_km"), r(drift.flow_spread(F.col("spread_km"), F.col("h")), 4).alias("flow_spread_km"), "n")
+
+
+@query("beaching_order_stats", """
+WITH b AS (SELECT id, particle, lat, beach_h FROM parts), o AS (SELECT id, beach_h, row_number() OVER (PARTITION BY id ORDER BY beach_h) AS k FROM b WHERE beach_h IS NOT NULL),
+n AS (SELECT id, count(*) AS n, count(beach_h) AS m, min(beach_h) AS first FROM b GROUP BY id), p AS (SELECT id, round(lat, 4) AS lat FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY particle) AS k FROM b WHERE beach_h IS NOT NULL) z WHERE k = 1)
+SELECT n.id, round(m / CAST(n AS double), 6) AS beached_fraction, first AS first_beaching_h, o.beach_h AS fifth_beached_h, p.lat AS first_lat, least(m, 80) AS points FROM n LEFT JOIN o ON o.id = n.id AND o.k = (n.n * 10 - 10) // 50 + 1 LEFT JOIN p ON p.id = n.id""".replace("(n.n * 10 - 10) // 50 + 1", "5"))
+def beaching_order_stats(s: Source) -> DataFrame:
+    p = s.view("parts").withColumn("central", F.lit(False)).withColumn("h", F.lit(1))
+    b = drift.beaching(p)
+    hours = p.where("beach_h is not null").groupBy("id").agg(F.get(F.array_sort(F.collect_list("beach_h")), F.lit(4)).alias("fifth_beached_h"))
+    return b.join(hours, "id", "left").select("id", r("beached_fraction").alias("beached_fraction"), "first_beaching_h", "fifth_beached_h", F.get("beach_points", F.lit(0))["lat"].alias("first_lat"), F.size("beach_points").cast("long").alias("points"))
+
+
+@query("drift_central", """
+WITH RECURSIVE d(id, k, lat, lon) AS (SELECT s_suppkey, 0, 10 + s_suppkey % 50 * 0.1::double, 85 + s_suppkey % 40 * 0.1::double FROM supplier
+UNION ALL SELECT id, k + 1, lat + (0.2 * cos(lon + 0.5 * dlon)) * 3600 / 111320, lon + (0.3 * sin(lat + 0.5 * dlat)) * 3600 / (111320 * cos(radians(lat))) FROM
+  (SELECT *, 0.2 * cos(lon) * 3600 / 111320 AS dlat, 0.3 * sin(lat) * 3600 / (111320 * cos(radians(lat))) AS dlon FROM d WHERE k < 48) z)
+SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM d WHERE k = 48""")
+def drift_central(s: Source) -> DataFrame:
+    """Midpoint steps in an analytic field, folded over an array: no shuffle and no Python."""
+    p = s.table("supplier").select(F.col("s_suppkey").alias("id"), F.struct((10 + F.col("s_suppkey") % 50 * F.lit(0.1)).alias("lat"), (85 + F.col("s_suppkey") % 40 * F.lit(0.1)).alias("lon")).alias("at"))
+
+    def step(x, _):
+        rate = lambda lat, lon, base: geo.offset_degrees(base, 0.3 * F.sin(lat) * 3600, 0.2 * F.cos(lon) * 3600)
+        dy, dx = rate(x["lat"], x["lon"], x["lat"])
+        ey, ex = rate(x["lat"] + 0.5 * dy, x["lon"] + 0.5 * dx, x["lat"])
+        return F.struct((x["lat"] + ey).alias("lat"), (x["lon"] + ex).alias("lon"))
+
+    end = p.select("id", F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.col("at"), step).alias("p"))
+    return end.select("id", r("p.lat").alias("lat"), r("p.lon").alias("lon"))
+
+
+DAY = datetime.datetime(2024, 1, 3, tzinfo=datetime.UTC).timestamp()
+
+
+def _fields(s: Source) -> tuple[Grid, Grid]:
+    f = s.view("field").withColumn("t", F.lit(DAY) + F.col("t") * 21600).withColumn("lat", 4 + (F.col("lat") - 4) * 3.8).withColumn("lon", 79 + (F.col("lon") - 80) * 1.9)
+    return Grid.of(f, "currents"), Grid.of(f.withColumn("u", F.col("u") * 10).withColumn("v", F.col("v") * 10), "currents")
+
+
+def _seeds(s: Source, n: int) -> DataFrame:
+    """The n strongest observations (a top-k, as detection hands to the forecast)."""
+    return s.view("obs").orderBy(F.desc("value"), "event_id").limit(n).select(F.col("event_id").cast("string").alias("id"), "lat", "lon", F.lit(2.0).alias("radius_km"), F.lit(DAY).alias("start"))
+
+
+@query("forecast")
+def forecast(s: Source) -> DataFrame:
+    return drift.forecast(_seeds(s, 10), *_fields(s), drift.Land([RING]), n=60)
+
+
+@query("nowcast")
+def nowcast(s: Source) -> DataFrame:
+    spots = _seeds(s, 10).withColumn("observed", F.lit(DAY) - F.pmod(F.col("id").cast("long"), F.lit(30)) * 3600).drop("start")
+    return drift.nowcast(spots, DAY, *_fields(s), n=60).select("id", "lat", "lon", "radius_km", "age_h", "ashore", "spread_km", "beached_fraction")
+
+
+@query("backtrack")
+def backtrack(s: Source) -> DataFrame:
+    return decide.attribution(_seeds(s, 5), *_fields(s), refdata.mouths(s.spark), drift.Land([RING]), n=60)
+
+
+@query("hull90")
+def hull90(s: Source) -> DataFrame:
+    return drift.hulls(s.view("parts").withColumn("central", F.lit(False)).withColumn("h", F.lit(24)), (24,)).select("id", F.size("hull").alias("corners"), r(geo.ring_area_km2(F.col("hull")), 3).alias("km2"))
+
+
+@query("route_plan")
+def route_plan(s: Source) -> DataFrame:
+    f = forecast(s)
+    scored = f.select("id", "lat", "lon", "start", "track", (50 + F.pmod(F.col("id").cast("long"), F.lit(40))).cast("double").alias("risk_score"), F.lit("High").alias("tier"), F.lit(False).alias("ashore"), F.lit("run").alias("run"))
+    return decide.routes(decide.ranked(scored), None, max_range_km=2000.0)
+
+
+@query("greedy_dedup")
+def greedy_dedup(s: Source) -> DataFrame:
+    o = s.view("obs").where("event_type = 'error'").select(F.col("event_id").alias("id"), "lat", "lon", F.col("ts").alias("observed"))
+    kept = joins.greedy_dedup(joins.proximity_regions(o), "region", ["-observed", "id"])
+    passes = o.select("observed").distinct().agg((F.count("*") - 1).alias("n"))
+    return kept.crossJoin(F.broadcast(passes)).select("id", "lat", "lon", "observed", r((F.col("seen") - 1) / F.greatest(F.lit(1), "n"), 3).alias("recurrence"))  # passes: one row
+
+
+@query("action_text", """
+WITH a AS (SELECT event_id, event_type = 'error' AS ashore, event_id % 30 AS age, lat, lon, CASE WHEN value >= 60 THEN 'High' WHEN value >= 40 THEN 'Medium' ELSE 'Low' END AS tier, CASE WHEN event_id % 3 = 0 THEN event_id % 40 END AS h50 FROM obs)
+SELECT event_id, CASE WHEN ashore THEN 'Seen ' || age || ' h ago' WHEN tier <> 'Low' AND h50 <= 24 THEN 'Likely to wash ashore' WHEN tier = 'High' THEN 'Deploy a cleanup vessel' WHEN tier = 'Medium' THEN 'Schedule a patrol' ELSE 'Monitor: low confidence' END AS starts FROM a""")
+def action_text(s: Source) -> DataFrame:
+    o = s.view("obs").select("event_id", (F.col("event_type") == "error").alias("ashore"), (F.col("event_id") % 30).alias("age_h"), "lat", "lon", decide.tier(F.col("value")).alias("tier"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 40).alias("half_beached_h"))
+    o = o.withColumns({"beach_lat": F.col("lat"), "beach_lon": F.col("lon"), "beached_fraction": F.lit(0.6), "site": F.lit("a site"), "p24_lat": F.col("lat"), "p24_lon": F.col("lon")})
+    return o.select("event_id", F.regexp_extract(decide.action_text(), r"^(Seen \d+ h ago|Likely to wash ashore|Deploy a cleanup vessel|Schedule a patrol|Monitor: low confidence)", 1).alias("starts"))
+
+
+@query("risk_score", f"""
+WITH h AS (SELECT event_id, value / 200 AS confidence, event_id % 100 / 100.0::double AS site_score, event_id % 70 AS coast_km, event_id % 9 / 10.0::double AS beached, event_id % 4 / 4.0::double AS persistence, event_id % 33 AS spread FROM events),
+r AS (SELECT event_id, 100 * (0.35 * confidence + 0.25 * (0.75 * site_score + 0.25 * exp(-coast_km / 20.0)) + 0.15 * beached + 0.15 * persistence + 0.10 * (1 - least(greatest(spread / 25.0, 0), 1))) AS risk FROM h)
+SELECT event_id, round(risk, 5) AS risk FROM r""")
+def risk_score(s: Source) -> DataFrame:
+    e = F.col("event_id")
+    h = s.table("events").select("event_id", (F.col("value") / 200).alias("confidence"), (e % 100 / 100).alias("site_score"), (e % 70).alias("coast_km"), (e % 9 / 10).alias("beached_fraction"), (e % 4 / 4).alias("persistence"), (e % 33).alias("spread"))
+    from ..functions.numeric import clip
+
+    parts = {"confidence": F.col("confidence"), "proximity": 0.75 * F.col("site_score") + 0.25 * F.exp(-F.col("coast_km") / 20.0), "beaching": F.col("beached_fraction"), "persistence": F.col("persistence"), "certainty": 1 - clip(F.col("spread") / 25.0, 0, 1)}
+    return h.select("event_id", r(decide.weighted(parts), 5).alias("risk"))
+
+
+@query("two_expert_vote", """
+WITH p AS (SELECT l_orderkey, l_linenumber, [l_quantity / 50, l_discount * 10, l_tax * 12.5, 0.5] AS f, [l_tax * 12.5, 0.3, l_discount * 10, l_quantity / 50] AS b FROM lineitem),
+a AS (SELECT *, list_position(f, list_max(f)) AS own, [0.5 * f[1] + 0.5 * b[1], 0.5 * f[4] + 0.5 * b[4]] AS v FROM p)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN own IN (2, 3) THEN own + 0 WHEN v[1] >= v[2] THEN 1 ELSE 4 END AS int) AS label, round(f[2] + f[3], 6) AS p_floating FROM a""")
+def two_expert_vote(s: Source) -> DataFrame:
+    q, d, t = F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5
+    f, b, classes = F.array(q, d, t, F.lit(0.5)), F.array(t, F.lit(0.3), d, q), [1, 2, 3, 4]
+    return s.table("lineitem").select("l_orderkey", "l_linenumber", classify.two_expert(f, b, classes, floating=(2, 3)).alias("label"), r(classify.group_probability(f, classes, (2, 3))).alias("p_floating"))
+
+
+@query("two_expert_classifier")
+def two_expert_classifier(s: Source) -> DataFrame:
+    """Both experts fitted on four fifths of the labelled vectors and scored on the rest: label, precision, recall, f1."""
+    x = classify.vectors(s.table("embeddings").where(F.col("label").isNotNull()).select("vec_id", "label", "embedding"), "embedding")
+    learn, rest = x.where("vec_id % 5 <> 0"), x.where("vec_id % 5 = 0")
+    learn = learn.join(F.broadcast(evaluate.class_weights(learn, "label").select("label", "weight").limit(1000)), "label")  # a row per class
+    forest, booster = classify.fit(learn, weight="weight", trees=20, rounds=3, depth=5)
+    scored = classify.probabilities(rest, forest, booster)
+    predicted = classify.two_expert(F.col("p_forest"), F.col("p_booster"), list(range(forest.numClasses)))
+    return evaluate.precision_recall(evaluate.confusion(scored.withColumn("predicted", predicted), "label", "predicted"))
+
+
+@query("stream_recurrence", """
+WITH h AS (SELECT CAST(floor(lat / 0.1347) AS int) AS cy, CAST(floor(lon / 0.1347) AS int) AS cx, date_trunc('hour', ts) AS hour, user_id, ts FROM obs)
+SELECT cy, cx, hour, count(*) AS seen, max(ts) AS newest FROM h GROUP BY cy, cx, hour""".replace("0.1347", "CAST(0.1347 AS double)"))
+def stream_recurrence(s: Source) -> DataFrame:
+    """Sightings by cell and hour with a watermark of three days, replayed from files to the end (available now)."""
+    return recurrence.replayed_counts(s.table("events"))
