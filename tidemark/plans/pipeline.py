@@ -37,7 +37,7 @@ def assessed(spark: SparkSession, hotspots: DataFrame, forcing: Forcing, coast:
     seeds = hotspots.select("id", "lat", "lon", F.greatest(F.lit(0.5), "radius_km").alias("radius_km"), "start")
     fc = settle(drift.forecast(seeds, forcing.currents, forcing.wind, forcing.land, **kw), "forecast")
     sites = decide.site_proximity(fc.select("id", "track"), refdata.sites(spark))
-    rest = hotspots.drop("lat", "lon", "radius_km", "start").join(fc, "id").join(sites, "id", "left")
+    rest = hotspots.drop("lat", "lon", "radius_km", "start", "beached_fraction", "spread_km").join(fc, "id").join(sites, "id", "left")
     if coast is None:
         rest = rest.withColumn("coast_km", F.lit(1e9))
     else:
