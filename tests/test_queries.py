@@ -25,6 +25,8 @@ def duck():
 def plain(v):
     if isinstance(v, datetime.datetime) and (v.hour, v.minute, v.second, v.microsecond) == (0, 0, 0, 0):
         return v.date()
+    if isinstance(v, float) and not math.isnan(v):
+        assert v != 0 or math.copysign(1, v) > 0
     return None if isinstance(v, float) and math.isnan(v) else v
 
 

@@ -71,10 +71,26 @@ class Source:
         return self.sql(VIEWS[name])
 
 
+def unsigned_zeros(text: str) -> str:
+    """text with each round(...) made to give 0 rather than -0, as Spark's does."""
+    out, i = "", 0
+    while (at := text.find("round(", i)) >= 0:
+        end, depth = at + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        call = text[at:end]
+        out += text[i:at] + f"(CASE WHEN {call} = 0 THEN 0 ELSE {call} END)"
+        i = end
+    return out + text[i:]
+
+
 def oracle(text: str) -> str:
     """text with the views that it mentions put in front."""
     import re
 
+    text = unsigned_zeros(text)
+
     wanted: list[str] = []
 
     def need(name: str) -> None:
