@@ -5,9 +5,9 @@
 2. Each distinct text gets bands * rows samples. A sample of a weighted set is the shingle that minimises ln a = ln c - r (t - beta) - r
    with t = floor(ln w / r + beta), and its t; r, c ~ Gamma(2, 1) and beta ~ U(0, 1) are drawn by the shingle's hash.
    Two sets agree on a sample with a probability equal to their weighted Jaccard similarity.
-3. Texts that share a band are candidates. In each bucket all are compared with one of them; buckets whose members are then in several
-   classes are compared again with another, a few times, and what is still apart is compared in all pairs across classes. So a large group of
-   copies costs comparisons in proportion to its size, and no candidate pair of different classes is left out.
+3. Texts that share a band are candidates. In each bucket all are compared with one of them. Where members are then still in several
+   classes, the bucket is dealt in blocks and every pair of blocks is compared across classes: no candidate pair of different classes is
+   left out, a bucket that is one class costs comparisons in proportion to its size, and tasks return a forest of links, never pairs.
 4. A link is a weighted Jaccard similarity of `least` or more over the whole texts. Classes are the connected components.
 
 Defined cases: texts that are equal are one class at once; a text without a word (null, empty, white space) is in a class of its own; one
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, LEAST, BANDS, ROWS, BUCKETS = 5, 0.8, 12, 3, 1 << 20
-#: Rounds of comparing each mixed bucket with one member, before all pairs across classes.
-STARS = 4
+#: Texts of a block, where a bucket is compared in pairs of blocks, and columns of the matrices that compare them.
+BLOCK, COLUMNS = 400, 8192
 #: Members of a comparison that one task takes; larger groups are dealt to several.
 DEALT = 500
 TOGETHER = 150_000
@@ -245,7 +245,100 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> D
     return rows.mapInArrow(run, "a string, b string")
 
 
-def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, buckets: int = BUCKETS, stars: int = STARS) -> DataFrame:
+def overlaps(s: Shingles, w: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(common weight of each pair, weight of each) of the texts of s. A shingle that a text has tf times counts as tf distinct ones, so the
+    smaller of two weights is a sum over what both have; that sum is a matrix product over the shingles that two texts or more have."""
+    n = len(s.starts)
+    text = np.repeat(np.arange(n), s.sizes)
+    again = np.repeat(np.arange(len(s.h)), s.tf)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(s.tf) - s.tf, s.tf)
+    key, unit, row = mixed(s.h[again] + nth.astype(U) * U(0x9E3779B97F4A7C15)), (w / s.tf)[again], text[again]
+    _, column, count = np.unique(key, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column, unit = row[shared], number[column[shared]], np.sqrt(unit[shared]).astype(np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column, unit = row[order], column[order], unit[order]
+    common_ = np.zeros((n, n), np.float32)
+    total = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, total, COLUMNS):
+        i, j = np.searchsorted(column, [c, c + COLUMNS])
+        x = np.zeros((n, min(COLUMNS, total - c)), np.float32)
+        x[row[i:j], column[i:j] - c] = unit[i:j]
+        common_ += x @ x.T
+    return common_, np.add.reduceat(w, s.starts) if n else np.zeros(0)
+
+
+def links_across(s: Shingles, w: np.ndarray, idf: np.ndarray, group: list, least: float) -> list[tuple[int, int]]:
+    """Pairs of texts (places in s) of different groups with the similarity, as a forest over the groups: those that join two groups."""
+    common_, total = overlaps(s, w, idf)
+    names, of = np.unique(np.array(group), return_inverse=True)
+    bound = least * (total[:, None] + total[None, :]) / (1 + least)
+    i, j = np.nonzero(np.triu(common_ >= bound * (1 - 1e-4), 1))
+    i, j = i[of[i] != of[j]], j[of[i] != of[j]]
+    up = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    stop = np.r_[s.starts[1:], len(s.h)]
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = find(of[a]), find(of[b])
+        if x == y:
+            continue
+        if common_[a, b] < bound[a, b] * (1 + 1e-4):  # too near to the threshold for single precision
+            _, p, q = np.intersect1d(s.h[s.starts[a] : stop[a]], s.h[s.starts[b] : stop[b]], assume_unique=True, return_indices=True)
+            both = np.minimum(w[s.starts[a] + p], w[s.starts[b] + q]).sum()
+            if both < least * (total[a] + total[b] - both) - 1e-9:
+                continue
+        up[max(x, y)] = min(x, y)
+        out.append((a, b))
+    return out
+
+
+def across(members: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> DataFrame:
+    """(a, b): links between different classes within buckets. members: (band, key, fp, component) of the buckets to compare.
+
+    A bucket's texts are dealt in blocks; a task has two blocks of it, so it holds a bounded number of texts, and a bucket of any size spreads
+    over tasks. Buckets with the same members are compared once; a pair that is a bucket of its own has been compared already."""
+    h = F.xxhash64("fp").cast("decimal(38,0)")
+    sets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(h).alias("set")).where("n > 2")
+    sets = sets.groupBy("n", "set").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sets, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = common.written(dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "component"), "blocks")
+    task = ["band", "key", "i", "j"]
+    rows = texts.join(common.if_small(dealt), "fp").select(*task, "fp", "component", "text").repartition(*task).sortWithinPartitions(*task)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, weight, last, held = Words(), idf.value, None, ([], [], [])
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            fps, groups, parts = held
+            if len(set(groups)) < 2:
+                return
+            s = Shingles(parts, table)
+            found = links_across(s, s.weights(weight), weight, [groups[d] for d in s.doc], least)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([fps[s.doc[k[side]]] for k in found]) for side in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*task, "fp", "component", "text")]
+            for *now, fp, group, text in zip(*columns):
+                if now != last:
+                    yield from compared()
+                    last, held = now, ([], [], [])
+                for x, v in zip(held, (fp, group, text)):
+                    x.append(v)
+        yield from compared()
+
+    return rows.mapInArrow(run, "a string, b string")
+
+
+def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, fp, class_id, n): a row for each doc_id and distinct text with a word, its class, and the number of its rows."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -253,39 +346,23 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     df, n = frequencies(texts, buckets)
     idf = spark.sparkContext.broadcast(idf_of(df, n))
     signed = common.written(signatures(texts, idf, bands, rows), "signatures")
-    one = signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("bands"))).getField("bands").alias("bands"))
+    one = common.written(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands")), "texts")
     bucket = one.select("fp", F.posexplode("bands").alias("band", "key"))
     shared = bucket.groupBy("band", "key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = common.written(bucket.join(shared, ["band", "key"]), "buckets")
-    # a text of each fp: rows that repeat a text would multiply the pairs' rows
-    firsts = one.select("fp", F.col("first").alias("_first"))
-    used = common.written(members.select("fp").distinct().join(firsts, "fp"), "used")
-    with_fp = texts.withColumn("fp", F.md5("text"))
-    held = with_fp.join(common.if_small(used.withColumnRenamed("fp", "_fp")), (F.col("fp") == F.col("_fp")) & common.same(F.col("doc_id"), F.col("_first")))
+    # a text of each fp, from the row with its smallest id: a row repeated with its id repeats comparisons and changes no result
+    used = common.written(members.select("fp").distinct().join(one.select("fp", F.col("first").alias("_first")), "fp"), "used")
+    held = texts.withColumn("fp", F.md5("text")).join(common.if_small(used.withColumnRenamed("fp", "_fp")), (F.col("fp") == F.col("_fp")) & common.same(F.col("doc_id"), F.col("_first")))
     held = common.written(held.select("fp", "text"), "texts")
     pairs = members.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     edges = common.written(verified(pairs, held, idf, least), "links")
-    for k in range(stars + 1):
-        comp = common.written(common.components(edges), "classes")
-        now = members.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-        now = common.written(now, "members")
-        apart = now.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-        apart = common.written(now.join(apart, ["band", "key"]), "apart")
-        if apart.isEmpty():
-            break
-        head = apart.where("fp = head").select("band", "key", F.col("component").alias("main"))
-        apart = apart.join(head, ["band", "key"])
-        if k < stars:
-            pick = F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "component"))
-            chosen = apart.where("component <> main").groupBy("band", "key").agg(pick.alias("x")).select("band", "key", F.col("x.fp").alias("a"), F.col("x.component").alias("of"))
-            pairs = apart.join(chosen, ["band", "key"]).where("component <> of").select("a", F.col("fp").alias("b"))
-        else:
-            left = apart.where("component <> main").select("band", "key", F.col("fp").alias("a"), F.col("component").alias("of"))
-            pairs = apart.join(left, ["band", "key"]).where("component <> of and (component = main or a < fp)").select("a", F.col("fp").alias("b"))
-        more = verified(pairs.distinct(), held, idf, least)
-        edges = common.written(edges.union(more), "links")
-        if k == stars:
-            comp = common.written(common.components(edges), "classes")
+    comp = common.components(edges)
+    now = members.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    now = common.written(now.select("band", "key", "fp", "component"), "members")
+    apart = now.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
+    more = common.written(across(now.join(apart, ["band", "key"]), held, idf, least), "links")
+    if not more.isEmpty():
+        comp = common.components(edges.union(more))
     named = one.select("fp", "first").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = common.written(named, "named")
     ids = named.groupBy("component").agg(F.min("first").alias("class_id"))
