@@ -95,3 +95,19 @@ def test_stateful_recurrence_and_late_rows(spark):
     assert spark_df.count() == 3
     base = recurrence.replayed_counts(df).agg(F.sum("seen")).first()[0]
     assert base == 3 and seen == []
+
+
+def test_validation_finds_the_current_that_drove_the_buoys(spark):
+    from tidemark.plans import validate
+
+    c = uniform_field(0.3, 0.0)
+    step = 0.3 * 86_400 / (111_320 * 0.984807753)
+    day = datetime.datetime(2023, 11, 14)
+    rows = [(k, day + datetime.timedelta(hours=6 * i), 10.0, 85 + step * i / 4, None) for k in "AB" for i in range(13)]
+    found = validate.cases(spark.createDataFrame(rows, "ID string, time timestamp_ntz, latitude double, longitude double, drogue_lost_date timestamp_ntz"))
+    assert found.count() == 4 and found.where("drogued").count() == 4
+    r = {(x.method, x.h): x for x in validate.report(found, c, uniform_field(0, 0), n=20).collect()}
+    assert r["model", 24].median < 8 and r["persistence", 24].median == pytest.approx(25.9, abs=0.3) and len(r) == 6
+    options = [validate.Setting((0.0, 0.0), 20.0, 0.05, scale, "1", i) for i, scale in enumerate((0.5, 1.0))]
+    best = validate.chosen(validate.searched(found, c, uniform_field(0, 0), options, n=20), "error").first()
+    assert best.cscale == 1.0
