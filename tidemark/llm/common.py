@@ -60,6 +60,20 @@ def small_batches(spark: SparkSession, rows: int = 4096, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def tidy() -> None:
+    """Hand back what a task has freed: a Python worker lives on after its task, and the next one's executor has the same memory to do with."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has no more than so many rows, else as it is: then the join shuffles, and AQE splits hot keys.
     df should be cheap to count (a written table)."""

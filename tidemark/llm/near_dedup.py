@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy
 
 WORDS, LEAST, BANDS, ROWS, BUCKETS = 5, 0.8, 12, 3, 1 << 20
 #: Texts of a block, where a bucket is compared in pairs of blocks, and columns of the matrices that compare them.
 BLOCK, COLUMNS = 400, 8192
 #: Members of a comparison that one task takes; larger groups are dealt to several.
 DEALT = 500
-TOGETHER = 150_000
+TOGETHER = 100_000
 CELLS = 1 << 14
 U = np.uint64
 
@@ -40,7 +41,7 @@ class Words(dict):
     """Hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -146,6 +147,8 @@ def frequencies(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, i
                 s = Shingles(part, table)
                 df += np.bincount((s.h >> U(17)).astype(np.int64) & (buckets - 1), minlength=buckets)
                 n += len(s.starts)
+        del table
+        tidy()
         if n:
             for k, x in enumerate(df.reshape(blocks, -1)):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([x.astype(np.int32).tobytes()])], names=["block", "n", "part"])
@@ -191,6 +194,8 @@ def signatures(texts: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> D
                 at = pa.array(s.doc + begin)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(s.doc) + 1, bands, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("fp").take(at), lists], names=["doc_id", "fp", "bands"])
+        del table, sampler
+        tidy()
 
     return texts.select("doc_id", "text", F.md5("text").alias("fp")).mapInArrow(run, kind)
 
@@ -241,6 +246,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> D
                     k = last
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], names=["a", "b"])
+        table.clear()
+        tidy()
 
     return rows.mapInArrow(run, "a string, b string")
 
@@ -334,6 +341,8 @@ def across(members: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> D
                 for x, v in zip(held, (fp, group, text)):
                     x.append(v)
         yield from compared()
+        table.clear()
+        tidy()
 
     return rows.mapInArrow(run, "a string, b string")
 
@@ -341,7 +350,7 @@ def across(members: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> D
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, fp, class_id, n): a row for each doc_id and distinct text with a word, its class, and the number of its rows."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, size="8m")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     df, n = frequencies(texts, buckets)
     idf = spark.sparkContext.broadcast(idf_of(df, n))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import common
+from .common import tidy
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -143,7 +144,7 @@ FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def judge(df: DataFrame, min_run: int = MIN_RUN, most_covered: float = MOST_COVERED, longest: int = LONGEST, text: str = "text", together: int = TOGETHER) -> DataFrame:
     """df with the counts, base_failed and kept."""
-    common.small_batches(df.sparkSession)
+    common.small_batches(df.sparkSession, size="8m")
     own = [c for c in df.columns if c not in {*FIELDS, "base_failed", "kept"}]
     schema = T.StructType([df.schema[c] for c in own] + [T.StructField(f, T.LongType()) for f in FIELDS] + [T.StructField(f, T.BooleanType()) for f in ("base_failed", "kept")])
 
@@ -165,6 +166,7 @@ def judge(df: DataFrame, min_run: int = MIN_RUN, most_covered: float = MOST_COVE
             failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
             kept = ~failed & (x["n_covered"] <= most_covered * x["n_words"]) & (x["longest_repeat"] <= longest)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(x[f]) for f in FIELDS), pa.array(failed), pa.array(kept)], names=[f.name for f in schema])
+        tidy()
 
     return df.mapInArrow(run, schema)
 

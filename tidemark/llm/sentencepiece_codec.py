@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import common
+from .common import tidy
 
 MARK = "▁"
 #: Chunks kept in a worker's table; it is emptied beyond, which costs time but changes no result.
-TABLE = 600_000
+TABLE = 200_000
 
 
 def default_model() -> str:
@@ -178,6 +179,7 @@ def _with(df: DataFrame, fields: list[T.StructField], kind: type[Codec], each, m
                 made += [each(codec, x) for x in part]
             cols = list(zip(*made)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(x, types.get(f.name, pa.string())) for f, x in zip(fields, cols))], names=[f.name for f in schema])
+        tidy()
 
     return df.mapInArrow(run, schema)
 
