@@ -10,11 +10,10 @@ rows that repeat are labelled alike; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
-import math
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,36 +22,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .common import tidy
 
 BUCKETS = 1 << 16
 PENALTY = 6.0
 #: Distinct tokens that a worker keeps.
-TABLE = 300_000
+TABLE = 200_000
 #: Starts of script ranges, in order.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"), (0x0900, "devanagari"), (0x0980, "indic"),
     (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"),
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"), (0x20000, "han"), (0x32000, "other"),
 )
-_STARTS = [a for a, _ in SCRIPTS]
+_STARTS = np.array([a for a, _ in SCRIPTS])
 NAMES = sorted({s for _, s in SCRIPTS})
-
-
-def script(word: str) -> int:
-    """Index in NAMES of the script of most of the word's letters."""
-    seen = Counter(SCRIPTS[bisect_right(_STARTS, ord(c)) - 1][1] for c in word)
-    return NAMES.index(max(sorted(seen), key=seen.__getitem__))
+_BY_START = np.array([NAMES.index(s) for _, s in SCRIPTS])
+#: Words whose n-grams are looked up at once.
+WORDS = 20_000
 
 
 def letters(token: str) -> str:
-    return token.lower() if token.isalpha() else "".join(c for c in token if c.isalpha()).lower()
-
-
-def grams(word: str) -> np.ndarray:
-    """Buckets of a word's n-grams and of the word."""
-    x = f"^{word}$"
-    own = [x, *word, *(x[i : i + 2] for i in range(len(x) - 1)), *(x[i : i + 3] for i in range(len(x) - 2))]
-    return np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in own), np.int64, len(own)) % BUCKETS
+    return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(29))
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, word, script): the bucket of each n-gram and of each whole word with the word's place, in order of words; and each word's script,
+    that of most of its letters, as an index in NAMES. All words at once."""
+    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    c = _mixed(codes.astype(np.uint64) + np.uint64(1))
+    inner = np.ones(len(c), bool)
+    inner[starts] = inner[starts + size - 1] = False
+    two = np.flatnonzero(word[:-1] == word[1:])
+    three = two[:-1][word[two[:-1]] == word[two[:-1] + 2]]
+    a, b = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+    power = np.cumprod(np.full(int(size.max()), a))
+    whole = np.add.reduceat(c * power[np.arange(len(c)) - starts[word]], starts)
+    one = np.flatnonzero(inner)
+    h = np.concatenate([c[one], c[two] * a + c[two + 1], (c[three] * a + c[three + 1]) * b + c[three + 2], whole * b])
+    of = np.concatenate([word[one], word[two], word[three], np.arange(len(words))])
+    order = np.argsort(of, kind="stable")
+    kinds = _BY_START[np.searchsorted(_STARTS, codes[one], "right") - 1]
+    counts = np.bincount(word[one] * len(NAMES) + kinds, minlength=len(words) * len(NAMES)).reshape(len(words), len(NAMES))
+    return (_mixed(h)[order] % np.uint64(BUCKETS)).astype(np.int64), of[order], counts.argmax(1)
 
 
 def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np.ndarray]:
@@ -67,10 +86,13 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
         def settle() -> None:
             for k, seen in tokens.items():
                 total = sums.setdefault(k, np.zeros(size, np.int64))
-                for token, n in seen.items():
-                    if w := letters(token):
-                        np.add.at(total, grams(w), n)
-                        total[BUCKETS + script(w)] += n * len(w)
+                pairs = [(w, n) for token, n in seen.items() if (w := letters(token))]
+                for i in range(0, len(pairs), WORDS):
+                    words, n = zip(*pairs[i : i + WORDS])
+                    n = np.array(n, np.int64)
+                    bucket, word, kinds = grams(list(words))
+                    total[:BUCKETS] += np.bincount(bucket, n[word], BUCKETS).astype(np.int64)
+                    total[BUCKETS:] += np.bincount(kinds, n * np.fromiter(map(len, words), np.int64, len(words)), len(NAMES)).astype(np.int64)
             tokens.clear()
 
         for b in batches:
@@ -79,6 +101,7 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
                 if len(tokens[k]) > TABLE:
                     settle()
         settle()
+        tidy()
         for k, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.astype(np.int32).tobytes()]), pa.array([total[at].tobytes()])], names=["lang", "at", "n"])
@@ -107,32 +130,39 @@ class Model:
         self.table = np.zeros((1024, len(self.langs)), np.float32)
         self.table[0] = np.nan  # a token without letters
 
-    def score(self, word: str) -> np.ndarray:
-        """Log posterior of each language, by the candidates that the script leaves."""
-        x = self.log_p[grams(word)].sum(0, dtype=np.float64) / 3
-        can = self.writes[script(word)]
-        if can.any():
-            x = np.where(can, x, -np.inf)
-        x = x - x.max()
-        return np.maximum(x - math.log(np.exp(x).sum()), -8.0)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log posteriors (word, language) by the candidates that each word's script leaves."""
+        bucket, word, kinds = grams(words)
+        x = np.add.reduceat(self.log_p[bucket].astype(np.float64), np.searchsorted(word, np.arange(len(words)))) / 3
+        can = self.writes[kinds]
+        x = np.where(can | ~can.any(1, keepdims=True), x, -np.inf)
+        x = x - x.max(1, keepdims=True)
+        return np.maximum(x - np.log(np.exp(x).sum(1, keepdims=True)), -8.0)
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """A row of scores for each token that has letters; NaN for others."""
-        new = {t for t in tokens if t not in self.rows}
-        if new:
-            if len(self.rows) + len(new) > TABLE:
-                self.rows.clear()
-                new = set(tokens)
-            if len(self.rows) + len(new) + 1 > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((len(self.rows) + len(new) + len(self.table), len(self.langs)), np.float32)])
-            at = len(self.rows) + 1
-            for t in new:
-                w = letters(t)
-                self.table[at] = self.score(w) if w else np.nan
-                self.rows[t] = at
-                at += 1
+        at = np.fromiter(map(self.rows.get, tokens, repeat(-1)), np.int64, len(tokens))
+        new = list({tokens[i] for i in np.flatnonzero(at < 0).tolist()})
+        if not new:
+            return self.table[at]
+        if len(self.rows) + len(new) > TABLE:
+            self.rows.clear()
+            new = list(set(tokens))
+        self.note(new)
         return self.table[np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))]
 
+    def note(self, new: list[str]) -> None:
+        at = len(self.rows) + 1
+        if at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((at + len(new), len(self.langs)), np.float32)])
+        self.rows.update(zip(new, range(at, at + len(new))))
+        words = [letters(t) for t in new]
+        known = [i for i, w in enumerate(words) if w]
+        self.table[at : at + len(new)] = np.nan
+        for i in range(0, len(known), WORDS):
+            some = known[i : i + WORDS]
+            self.table[at + np.array(some)] = self.score([words[k] for k in some])
+
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """The best path's language at each word; starts: the first word of each text.
@@ -227,6 +257,19 @@ def _labelled(model: Model, texts: list[str | None]) -> tuple[list[str], list[fl
     return out, score, count
 
 
+def _parts(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str | None]]:
+    """Runs of about so many characters: texts that need it step through their words together, which pays for many at once."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t or "")
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred, score (the share of words whose span has that language) and n_spans."""
     common.small_batches(df.sparkSession)
@@ -239,7 +282,7 @@ def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         for b in batches:
             texts = b.column(text).to_pylist()
-            found = [_labelled(m, texts[i : i + 256]) for i in range(0, len(texts), 256)]
+            found = [_labelled(m, part) for part in _parts(texts)]
             cols = [sum((f[k] for f in found), []) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int32())))], names=[f.name for f in schema])
 
