@@ -73,6 +73,18 @@ def test_links_across_blocks_are_brute_force():
     assert all(find(i) == find(j) for i in range(len(docs)) for j in range(i) if sim(i, j) >= 0.8)
 
 
+@pytest.mark.parametrize("shared, unique", [(20_000, 4_000), (300_000, 60_000)])
+def test_samples_of_long_texts_agree_as_often_as_weighted_jaccard(shared, unique):
+    """Shared shingles of weight 1.4, unique ones of weight 2: 864 samples, so five standard errors are 0.09 at most."""
+    both = [np.random.default_rng(k).integers(1, 1 << 63, n, dtype=np.uint64) for k, n in enumerate((shared, unique, unique))]
+    s = near_dedup.Shingles([], near_dedup.Words())
+    s.h, s.starts, s.sizes = np.concatenate([both[0], both[1], both[0], both[2]]), np.array([0, shared + unique]), np.array([shared + unique] * 2)
+    w = np.tile(np.repeat([1.4, 2.0], [shared, unique]), 2)
+    x = near_dedup.Sampler(864).samples(s, w)
+    similar = 1.4 * shared / (1.4 * shared + 4 * unique)
+    assert abs((x[0] == x[1]).mean() - similar) < 5 * (similar * (1 - similar) / 864) ** 0.5
+
+
 def test_near_dedup_awkward_rows(spark):
     clash = awkward(spark).withColumn("fp", F.lit("x")).withColumn("n", F.lit(1))
     got = {x.doc_id: x.class_id for x in near_dedup.classes(clash).collect()}

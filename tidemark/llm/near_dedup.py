@@ -33,7 +33,6 @@ BLOCK, COLUMNS = 400, 8192
 #: Members of a comparison that one task takes; larger groups are dealt to several.
 DEALT = 500
 TOGETHER = 100_000
-CELLS = 1 << 14
 U = np.uint64
 
 
@@ -101,22 +100,34 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 
 
 class Sampler:
+    """r and c are Gamma(2, 1), minus the logarithm of a product of two uniform numbers; all five numbers of a sample come from the bits of two
+    hashes of the shingle, so that different shingles have different draws in texts of any length."""
+
     def __init__(self, samples: int, seed: int = 5):
         draw = np.random.default_rng(seed)
-        self.r = draw.gamma(2, 1, (samples, CELLS)).astype(np.float32)
-        self.log_c = np.log(draw.gamma(2, 1, (samples, CELLS))).astype(np.float32)
-        self.beta = draw.random((samples, CELLS)).astype(np.float32)
         self.by = draw.integers(1 << 62, (1 << 63) - 1, samples, dtype=np.uint64) * U(2) + U(1)
 
+    @staticmethod
+    def uniform(bits: np.ndarray, n: int) -> np.ndarray:
+        """Numbers in (0, 1] from n bits."""
+        return (bits.astype(np.int64).astype(np.float32) + np.float32(0.5)) * np.float32(0.5**n)
+
+    def draws(self, h: np.ndarray, by: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(r, ln c, beta) of shingles."""
+        x = mixed(h * by)
+        y = mixed(x * U(0x9FB21C651E98DF25))
+        r = -np.log(self.uniform(x >> U(32), 32) * self.uniform(x & U(0xFFFFFFFF), 32))
+        c = -np.log(self.uniform(y >> U(43), 21) * self.uniform((y >> U(22)) & U(0x1FFFFF), 21))
+        return np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-7))), self.uniform(y & U(0x3FFFFF), 22)
+
     def samples(self, s: Shingles, w: np.ndarray) -> np.ndarray:
         """(texts, samples): the hash of each text's sampled shingle and t."""
         lw = np.log(w).astype(np.float32)
         out = np.empty((len(s.starts), len(self.by)), U)
         for k, by in enumerate(self.by):
-            cell = ((s.h * by) >> U(50)).astype(np.int64)
-            r, beta = self.r[k].take(cell), self.beta[k].take(cell)
+            r, log_c, beta = self.draws(s.h, by)
             t = np.floor(lw / r + beta)
-            a = self.log_c[k].take(cell) - r * (t - beta + np.float32(1))
+            a = log_c - r * (t - beta + np.float32(1))
             least = np.minimum.reduceat(a, s.starts)
             at = np.flatnonzero(a == np.repeat(least, s.sizes))
             picked = mixed(s.h[at] * U(0x9FB21C651E98DF25) + (t[at].astype(np.int64)).view(U) * by)
