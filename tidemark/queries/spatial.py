@@ -103,8 +103,18 @@ WITH b AS (SELECT o.event_id, p.name AS port, (degrees(atan2((p.lon - o.lon) * c
   FROM obs o CROSS JOIN ports8 p WHERE o.event_id % 10 = 0)
 SELECT event_id, port, list_extract(['north', 'north-east', 'east', 'south-east', 'south', 'south-west', 'west', 'north-west'], CAST(floor((plane + 22.5) / 45) AS int) % 8 + 1) AS towards, round(sphere, 4) AS sphere FROM b""")
 def bearings(s: Source) -> DataFrame:
+    """Every tenth observation, as in the SQL; bearings_all has all."""
+    return _bearings(s, s.view("obs").where("event_id % 10 = 0"))
+
+
+@query("bearings_all")
+def bearings_all(s: Source) -> DataFrame:
+    return _bearings(s, s.view("obs"))
+
+
+def _bearings(s: Source, obs: DataFrame) -> DataFrame:
     ports = refdata.ports(s.spark).select(F.col("name").alias("port"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    g = evaluate.parameter_grid(s.view("obs").where("event_id % 10 = 0").select("event_id", "lat", "lon"), ports)
+    g = evaluate.parameter_grid(obs.select("event_id", "lat", "lon"), ports)
     a = (F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     return g.select("event_id", "port", geo.bearing_text(*a).alias("towards"), F.round(geo.spherical_bearing(*a), 4).alias("sphere"))
 
@@ -145,8 +155,18 @@ f AS (SELECT *, 6.0 / km + (1 - 12.0 / km) * k / 24 AS f FROM l CROSS JOIN (SELE
 i AS (SELECT event_id, port, k, sum(CASE WHEN (alat > a + f * (c - a)) <> (blat > a + f * (c - a)) AND b + f * (d - b) < alon + (a + f * (c - a) - alat) / nullif(blat - alat, 0.0) * (blon - alon) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM f CROSS JOIN e GROUP BY event_id, port, k)
 SELECT l.event_id, l.port, coalesce(max(CASE WHEN inside THEN 1 ELSE 0 END), 0) = 1 AS crosses FROM l LEFT JOIN i ON l.event_id = i.event_id AND l.port = i.port GROUP BY l.event_id, l.port""")
 def leg_crosses_land(s: Source) -> DataFrame:
+    """Every fiftieth observation, as in the SQL; leg_crosses_land_all has all."""
+    return _legs(s, s.view("obs").where("event_id % 50 = 0"))
+
+
+@query("leg_crosses_land_all")
+def leg_crosses_land_all(s: Source) -> DataFrame:
+    return _legs(s, s.view("obs"))
+
+
+def _legs(s: Source, obs: DataFrame) -> DataFrame:
     ports = refdata.ports(s.spark).select(F.col("name").alias("port"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    g = evaluate.parameter_grid(s.view("obs").where("event_id % 50 = 0").select("event_id", "lat", "lon"), ports)
+    g = evaluate.parameter_grid(obs.select("event_id", "lat", "lon"), ports)
     return g.select("event_id", "port", geo.crosses_land(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"), [RING]).alias("crosses"))
 
 
