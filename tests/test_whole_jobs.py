@@ -28,3 +28,16 @@ def same_without(spark, duck, name, *filters):  # noqa: F811
 @pytest.mark.parametrize("name, part", [("bearings", " WHERE o.event_id % 10 = 0"), ("leg_crosses_land", " WHERE o.event_id % 50 = 0")])
 def test_legs_and_bearings_of_all_observations(spark, duck, name, part):  # noqa: F811
     same_without(spark, duck, name, part)
+
+
+def test_night_bands_of_all_users(spark, tmp_path):
+    """The largest id of the smallest tables is below 200: ids are moved up."""
+    import duckdb
+
+    events = spark.read.parquet(f"{D}/events.parquet")
+    events.withColumn("user_id", events.user_id + 190).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["night_bands"].replace(" WHERE user_id < 200", ""))
+    got = QUERIES["night_bands_all"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert ordered(got) == ordered(want.fetchall()) and max(x.user_id for x in got) >= 200

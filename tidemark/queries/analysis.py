@@ -178,7 +178,17 @@ n AS (SELECT *, extract(hour FROM t + INTERVAL 330 MINUTE) >= 18 OR extract(hour
 i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, night ORDER BY t) AS grp FROM n)
 SELECT user_id, min(t) AS starts, max(t) AS ends FROM i WHERE night GROUP BY user_id, grp""")
 def night_bands(s: Source) -> DataFrame:
-    starts = s.table("events").where("user_id < 200").groupBy("user_id").agg(F.min(F.date_trunc("hour", "ts")).cast("timestamp_ntz").alias("t0"))
+    """Users below 200, as in the SQL; night_bands_all has all."""
+    return _night_bands(s.table("events").where("user_id < 200"))
+
+
+@query("night_bands_all")
+def night_bands_all(s: Source) -> DataFrame:
+    return _night_bands(s.table("events"))
+
+
+def _night_bands(events: DataFrame) -> DataFrame:
+    starts = events.groupBy("user_id").agg(F.min(F.date_trunc("hour", "ts")).cast("timestamp_ntz").alias("t0"))
     return temporal.night_bands(starts, "user_id", "t0", 48)
 
 
