@@ -41,3 +41,19 @@ def test_night_bands_of_all_users(spark, tmp_path):
     want = con.sql(ORACLE_SQL["night_bands"].replace(" WHERE user_id < 200", ""))
     got = QUERIES["night_bands_all"](spark, str(tmp_path)).select(*want.columns).collect()
     assert ordered(got) == ordered(want.fetchall()) and max(x.user_id for x in got) >= 200
+
+
+def test_nearest_in_time_is_brute_force_at_any_distance(spark):
+    r = random.Random(4)
+    slices = [(k, r.choice([0, 10, 40, 41]) * 86_400 + r.randrange(20_000)) for k in range(30)]
+    slices += [(30 + k, t) for k, (_, t) in enumerate(slices[:5])]
+    times = [(i, r.randrange(-5 * 86_400, 50 * 86_400)) for i in range(300)] + [(300 + k, t) for k, t in slices] + [(400, (slices[0][1] + slices[1][1]) // 2), (401, None)]
+    got = {x.id: (x.k, x.gap) for x in joins.nearest_in_time(spark.createDataFrame(times, "id long, at long"), spark.createDataFrame(slices, "k long, t long")).collect()}
+    want = {i: (lambda b: (b[2], b[0]))(min((abs(at - t), t, k) for k, t in slices)) if at is not None else (None, None) for i, at in times}
+    assert got == want and max(g for _, g in want.values() if g is not None) > 5 * 86_400
+    none = joins.nearest_in_time(spark.createDataFrame(times, "id long, at long"), spark.createDataFrame([], "k long, t long")).collect()
+    assert len(none) == len(times) and all(x.k is None for x in none)
+
+
+def test_asof_over_all_slices(spark, duck):  # noqa: F811
+    same_without(spark, duck, "asof_nearest_slice", " WHERE o_orderkey % 5 = 0", " WHERE abs(c.moment - c.t) < 86400")

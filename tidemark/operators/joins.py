@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import chord_km, haversine_km, unit_vector
@@ -94,12 +94,20 @@ def nearest_point(points: DataFrame, targets: DataFrame, size: float = 0.5, roun
 
 
 def nearest_in_time(times: DataFrame, slices: DataFrame) -> DataFrame:
-    """times (id, at seconds) with the key k of the nearest slice (k, t seconds), the first on ties. Both meet by the slices' order:
-    a union sorted by time carries the last slice forwards and the next one backwards within buckets of a day and its neighbours."""
-    day = 86_400
-    near = slices.select("k", "t", F.explode(F.sequence(F.floor(F.col("t") / day) - 1, F.floor(F.col("t") / day) + 1)).alias("_day"))
-    pairs = times.withColumn("_day", F.floor(F.col("at") / day)).join(near, "_day", "left")
-    best = pairs.groupBy("id", "at").agg(F.min(F.when(F.col("k").isNotNull(), F.struct(F.abs(F.col("at") - F.col("t")).alias("gap"), F.col("t").alias("t"), F.col("k").alias("k")))).alias("b"))
+    """times (id, at seconds) with the key k of the nearest slice (k, t seconds) at any distance, the first on ties. Both meet by the slices'
+    order: a union sorted by time carries the last slice forwards and the next one backwards within days, and a row per day carries both
+    across days. Times without a value, and all times where there is no slice, have no key."""
+    day = lambda c: F.floor(F.col(c) / 86_400).alias("_day")
+    one = slices.where("t is not null").groupBy("t").agg(F.min("k").alias("k")).select(day("t"), F.struct("t", "k").alias("_s"), F.col("t").alias("_at"))
+    asked = times.select("id", "at").distinct().select("id", "at", day("at"), F.col("at").alias("_at"))
+    both = asked.unionByName(one, allowMissingColumns=True)
+    upward, downward = Window.partitionBy("_day").orderBy("_at"), Window.partitionBy("_day").orderBy(F.desc("_at"))
+    to = (Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("_last", F.max("_s").over(upward.rangeBetween(*to))).withColumn("_next", F.min("_s").over(downward.rangeBetween(*to))).where("_s is null").drop("_s", "_at")
+    days = both.where("_day is not null").groupBy("_day").agg(F.max("_s").alias("_hi"), F.min("_s").alias("_lo"))  # a row per day
+    days = days.select("_day", F.max("_hi").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_lo").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    found = lambda c: F.when(F.col("at").isNotNull() & F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.t")).alias("gap"), F.col(f"{c}.t").alias("t"), F.col(f"{c}.k").alias("k")))
+    best = near.join(days, "_day", "left").withColumn("b", F.least(*(found(c) for c in ("_before", "_last", "_next", "_after"))))
     return best.select("id", "at", F.col("b.k").alias("k"), F.col("b.gap").alias("gap"))
 
 

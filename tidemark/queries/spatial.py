@@ -186,8 +186,17 @@ WITH s AS ({SLICES}), e AS ({TIMES}), b AS (SELECT id, moment, (SELECT max(t) FR
 c AS (SELECT id, CASE WHEN hi IS NULL OR moment - lo <= hi - moment THEN lo ELSE hi END AS t, moment FROM b)
 SELECT c.id, min(s.k) AS k, c.t, abs(c.moment - c.t) AS gap FROM c JOIN s ON s.t = c.t WHERE abs(c.moment - c.t) < 86400 GROUP BY c.id, c.t, c.moment""")
 def asof_nearest_slice(s: Source) -> DataFrame:
-    slices = s.sql(SLICES)
-    found = joins.nearest_in_time(s.sql(TIMES).withColumnRenamed("moment", "at"), slices).where("gap < 86400")
+    """Every fifth order and gaps below a day, as in the SQL; asof_nearest_slice_all has all."""
+    return _asof(s, s.sql(SLICES)).where("gap < 86400")
+
+
+@query("asof_nearest_slice_all")
+def asof_nearest_slice_all(s: Source) -> DataFrame:
+    return _asof(s, s.sql(SLICES.replace(" WHERE o_orderkey % 5 = 0", "")))
+
+
+def _asof(s: Source, slices: DataFrame) -> DataFrame:
+    found = joins.nearest_in_time(s.sql(TIMES).withColumnRenamed("moment", "at"), slices)
     return found.join(slices, "k").select("id", "k", "t", "gap")
 
 
