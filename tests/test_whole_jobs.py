@@ -57,3 +57,16 @@ def test_nearest_in_time_is_brute_force_at_any_distance(spark):
 
 def test_asof_over_all_slices(spark, duck):  # noqa: F811
     same_without(spark, duck, "asof_nearest_slice", " WHERE o_orderkey % 5 = 0", " WHERE abs(c.moment - c.t) < 86400")
+
+
+@pytest.mark.parametrize("name", ["forecast", "nowcast", "backtrack", "route_plan"])
+def test_ensembles_are_whole(spark, monkeypatch, name):
+    simulate, sea, runs, seas = drift.simulate, decide.Sea, [], []
+    monkeypatch.setattr(drift, "simulate", lambda seeds, *a, **kw: (runs.append(kw.get("n", refdata.PARTICLES)), simulate(seeds, *a, **kw))[1])
+    monkeypatch.setattr(decide, "Sea", lambda land: (seas.append(land), sea(land))[1])
+    rows = QUERIES[name](spark, D).count()
+    assert runs == [refdata.PARTICLES]
+    if name == "route_plan":
+        assert rows and seas and seas[0].rings
+    else:
+        assert rows == refdata.MAX_HOTSPOTS

@@ -90,18 +90,18 @@ def _seeds(s: Source, n: int) -> DataFrame:
 
 @query("forecast")
 def forecast(s: Source) -> DataFrame:
-    return drift.forecast(_seeds(s, 10), *_fields(s), drift.Land([RING]), n=60)
+    return drift.forecast(_seeds(s, refdata.MAX_HOTSPOTS), *_fields(s), drift.Land([RING]))
 
 
 @query("nowcast")
 def nowcast(s: Source) -> DataFrame:
-    spots = _seeds(s, 10).withColumn("observed", F.lit(DAY) - F.pmod(F.col("id").cast("long"), F.lit(30)) * 3600).drop("start")
-    return drift.nowcast(spots, DAY, *_fields(s), n=60).select("id", "lat", "lon", "radius_km", "age_h", "ashore", "spread_km", "beached_fraction")
+    spots = _seeds(s, refdata.MAX_HOTSPOTS).withColumn("observed", F.lit(DAY) - F.pmod(F.col("id").cast("long"), F.lit(30)) * 3600).drop("start")
+    return drift.nowcast(spots, DAY, *_fields(s)).select("id", "lat", "lon", "radius_km", "age_h", "ashore", "spread_km", "beached_fraction")
 
 
 @query("backtrack")
 def backtrack(s: Source) -> DataFrame:
-    return decide.attribution(_seeds(s, 5), *_fields(s), refdata.mouths(s.spark), drift.Land([RING]), n=60)
+    return decide.attribution(_seeds(s, refdata.MAX_HOTSPOTS), *_fields(s), refdata.mouths(s.spark), drift.Land([RING]))
 
 
 @query("hull90")
@@ -113,7 +113,7 @@ def hull90(s: Source) -> DataFrame:
 def route_plan(s: Source) -> DataFrame:
     f = forecast(s)
     scored = f.select("id", "lat", "lon", "start", "track", (50 + F.pmod(F.col("id").cast("long"), F.lit(40))).cast("double").alias("risk_score"), F.lit("High").alias("tier"), F.lit(False).alias("ashore"), F.lit("run").alias("run"))
-    return decide.routes(decide.ranked(scored), None, max_range_km=2000.0)
+    return decide.routes(decide.ranked(scored), drift.Land([RING]), max_range_km=2000.0)
 
 
 @query("greedy_dedup")
