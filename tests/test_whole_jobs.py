@@ -70,3 +70,11 @@ def test_ensembles_are_whole(spark, monkeypatch, name):
         assert rows and seas and seas[0].rings
     else:
         assert rows == refdata.MAX_HOTSPOTS
+
+
+def test_source_priority_of_all_customers(spark, duck):  # noqa: F811
+    sql = ORACLE_SQL["source_priority"]
+    assert sql.count(" AND o_custkey % 3 = 0") == 1
+    want = duck.sql(sql.replace(" AND o_custkey % 3 = 0", ""))
+    got = ordered(QUERIES["source_priority_all"](spark, D).select(*want.columns).collect())
+    assert got == ordered(want.fetchall()) != ordered(QUERIES["source_priority"](spark, D).select(*want.columns).collect())

@@ -204,8 +204,18 @@ def _asof(s: Source, slices: DataFrame) -> DataFrame:
 WITH u AS (SELECT 1 AS priority, o_custkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0 UNION ALL SELECT 2, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')
 SELECT k, priority, count(*) AS n, round(sum(v), 2) AS total FROM u JOIN (SELECT k, min(priority) AS priority FROM u GROUP BY k) b USING (k, priority) GROUP BY k, priority""")
 def source_priority(s: Source) -> DataFrame:
+    """'F' orders of every third customer, as in the SQL; source_priority_all has all."""
+    return _by_priority(s, "o_orderstatus = 'F' and k % 3 = 0")
+
+
+@query("source_priority_all")
+def source_priority_all(s: Source) -> DataFrame:
+    return _by_priority(s, "o_orderstatus = 'F'")
+
+
+def _by_priority(s: Source, first: str) -> DataFrame:
     o = s.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderstatus")
-    u = o.where("o_orderstatus = 'F' and k % 3 = 0").withColumn("priority", F.lit(1)).unionByName(o.where("o_orderstatus = 'O'").withColumn("priority", F.lit(2)))
+    u = o.where(first).withColumn("priority", F.lit(1)).unionByName(o.where("o_orderstatus = 'O'").withColumn("priority", F.lit(2)))
     return joins.by_priority(u, ["k"], "priority").groupBy("k", "priority").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
