@@ -55,6 +55,20 @@ def test_near_dedup_is_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+def test_near_dedup_with_its_defaults_near_the_threshold_and_on_long_texts(spark):
+    r = random.Random(8)
+    docs = []
+    for n in [400] * 40 + [100_000] * 2:
+        base = [f"w{r.randrange(10**7)}" for _ in range(n)]
+        edited = list(base)
+        for i in r.sample(range(0, n, 6), int(n * r.uniform(0.018, 0.028))):
+            edited[i] = f"edit{r.randrange(10**9)}"
+        docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(edited))]
+    want = brute_classes(docs)
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and 42 < len(set(want.values())) < 84
+
+
 def test_links_across_blocks_are_brute_force():
     docs = near_copies(5)
     s = near_dedup.Shingles([t for _, t in docs], near_dedup.Words())
