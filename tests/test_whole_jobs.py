@@ -4,9 +4,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import refdata
-from tidemark.operators import decide, drift, joins
+from tidemark.operators import classify, decide, drift, evaluate, joins, raster
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 from .test_queries import D, duck, ordered  # noqa: F401
@@ -78,3 +79,28 @@ def test_source_priority_of_all_customers(spark, duck):  # noqa: F811
     want = duck.sql(sql.replace(" AND o_custkey % 3 = 0", ""))
     got = ordered(QUERIES["source_priority_all"](spark, D).select(*want.columns).collect())
     assert got == ordered(want.fetchall()) != ordered(QUERIES["source_priority"](spark, D).select(*want.columns).collect())
+
+
+def test_cap_keeps_every_class(spark):
+    rows = spark.range(20_100).select("id", (F.col("id") % 10_050).alias("label"))
+    assert evaluate.class_cap(rows, "label", F.col("id"), 1).count() == 10_050
+
+
+def test_holes_of_every_scene_are_filled(spark):
+    blocks = spark.range(20_020).select((F.col("id") % 10_010).alias("scene"), F.lit(0).alias("br"), (F.col("id") >= 10_010).cast("int").alias("bc"), F.when(F.col("id") < 10_010, F.col("id").cast("double")).alias("v"))
+    got = raster.nearest_filled(blocks.union(spark.sql("select 20000L, 0, 0, cast(null as double)")), ["v"])
+    assert got.where("v = scene").count() == 20_020 and got.count() == 20_021
+
+
+def test_classifier_learns_all_classes_with_the_default_fit(spark, tmp_path, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def fit(df, **kw):
+        raise Fitted(df.count(), kw)
+
+    spark.range(2_000).select(F.col("id").alias("vec_id"), F.col("id").cast("int").alias("label"), F.expr("array(1f, 2f)").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(classify, "fit", fit)
+    with pytest.raises(Fitted) as e:
+        QUERIES["two_expert_classifier"](spark, str(tmp_path))
+    assert e.value.args == (1_600, {"weight": "weight"})

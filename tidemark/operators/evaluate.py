@@ -81,7 +81,7 @@ def class_cap(df: DataFrame, label: str, key: Column, most: int, seed: int = 42)
     draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
     room = F.least(F.lit(1.0), (most + 10 * F.sqrt(F.lit(float(most))) + 100) / F.col("_n"))
-    thin = df.join(F.broadcast(n.limit(10_000)), label).withColumn("_draw", draw).where(F.col("_draw") < room * float(1 << 40))  # a row per class
+    thin = df.join(n, label).withColumn("_draw", draw).where(F.col("_draw") < room * float(1 << 40))
     return thin.withColumn("_k", F.row_number().over(W.partitionBy(label).orderBy("_draw", key))).where(F.col("_k") <= most).drop("_n", "_draw", "_k")
 
 

@@ -40,10 +40,10 @@ def nearest_filled(blocks: DataFrame, values: list[str], row: str = "br", col: s
         holes = settle(blocks.where(F.col(v).isNull()).select(*key, F.lit(None).cast("struct<d:int,r:int,c:int,v:double>").alias("best")), "holes")
         limit = reach if reach is not None else 1 << 14
         step, done = 1, []
-        has = {r.scene for r in full.select("scene").distinct().limit(10_000).collect()} if reach is None else None
-        if has is not None:
-            done.append(holes.where(~F.col("scene").isin(*has) if has else F.lit(True)).select(*key, F.lit(None).cast("double").alias(v)))
-            holes = holes.where(F.col("scene").isin(*has) if has else F.lit(False))
+        if reach is None:
+            has = full.select("scene").distinct()
+            done.append(holes.join(has, "scene", "left_anti").select(*key, F.lit(None).cast("double").alias(v)))
+            holes = holes.join(has, "scene", "left_semi")
         while step <= limit and not holes.isEmpty():
             ring = [(a, b) for a in range(-step, step + 1) for b in range(-step, step + 1) if max(abs(a), abs(b)) == step]
             if reach is not None:

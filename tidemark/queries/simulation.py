@@ -161,8 +161,8 @@ def two_expert_classifier(s: Source) -> DataFrame:
     """Both experts fitted on four fifths of the labelled vectors and scored on the rest: label, precision, recall, f1."""
     x = classify.vectors(s.table("embeddings").where(F.col("label").isNotNull()).select("vec_id", "label", "embedding"), "embedding")
     learn, rest = x.where("vec_id % 5 <> 0"), x.where("vec_id % 5 = 0")
-    learn = learn.join(F.broadcast(evaluate.class_weights(learn, "label").select("label", "weight").limit(1000)), "label")  # a row per class
-    forest, booster = classify.fit(learn, weight="weight", trees=20, rounds=3, depth=5)
+    learn = learn.join(evaluate.class_weights(learn, "label").select("label", "weight"), "label")
+    forest, booster = classify.fit(learn, weight="weight")
     scored = classify.probabilities(rest, forest, booster)
     predicted = classify.two_expert(F.col("p_forest"), F.col("p_booster"), list(range(forest.numClasses)))
     return evaluate.precision_recall(evaluate.confusion(scored.withColumn("predicted", predicted), "label", "predicted"))
