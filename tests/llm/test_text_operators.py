@@ -1,6 +1,7 @@
 """Mixing, line dedup, quality rules, SentencePiece, language identification, secrets."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -18,8 +19,31 @@ def test_mix_takes_targets_and_reruns_agree(spark):
     assert a == b and max(x.copies for x in a) <= 3
     for s in {x.source for x in a}:
         rows = [x for x in a if x.source == s]
-        assert abs(sum(x.size * x.copies for x in rows) / rows[0].target - 1) < 0.1
-    assert mixing.repeated(mixing.mix(docs), docs.columns).count() == sum(x.copies for x in a)
+        assert abs(sum(x.size * x.copies for x in rows) / rows[0].target - 1) < 0.002
+    named = docs.withColumn("Target", F.lit("own")).withColumn("copies", F.col("doc_id"))
+    rows = mixing.repeated(named).collect()
+    assert len(rows) == sum(x.copies for x in a) and {x.Target for x in rows} == {"own"} and all(x.copies == x.doc_id for x in rows)
+
+
+def test_every_source_of_the_tables_comes_near_its_target(spark):
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    taken = queries.QUERIES["op2_mix_sources"](spark, d).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over"))
+    assert all(abs(x.taken / x.target - 1) < 0.05 and x.over <= 0 for x in taken.collect())
+
+
+def test_mix_rounds_up_as_often_as_its_fraction_says(spark):
+    """Over many seeds each document takes its one copy more with a probability equal to the fraction, long documents too."""
+    docs = spark.createDataFrame([(i, "a", 1 + 30 * (i % 7 == 0)) for i in range(700)] + [(1000 + i, "b", 7) for i in range(700)], "doc_id long, source string, size long").cache()
+    taken, runs = {}, 8
+    for seed in range(runs):
+        for x in mixing.mix(docs, seed=seed, size=F.col("size")).collect():
+            taken[x.doc_id] = taken.get(x.doc_id, 0) + x.copies
+            if x.source == "a":
+                rate = x.target / x.source_size
+    short, long = ([taken[i] / runs for i in range(700) if (i % 7 == 0) == big] for big in (False, True))
+    assert 1 < rate < 2 and abs(np.mean(short) - rate) < 0.03 and abs(np.mean(long) - rate) < 0.06
 
 
 def test_mix_shares_what_bounds_free(spark):
@@ -29,9 +53,13 @@ def test_mix_shares_what_bounds_free(spark):
 
 
 def test_mix_awkward_rows(spark):
-    clash = awkward(spark).withColumn("ratio", F.lit(1)).withColumn("draw", F.lit("x"))
-    out = mixing.mix(clash).collect()
-    assert len(out) == 12 and {x.ratio for x in out} == {1}
+    clash = awkward(spark)
+    for c in ("ratio", "draw", "upto", "_share_of", "Bin", "target", "Source_Size", "size", "Copies"):
+        clash = clash.withColumn(c, F.lit("x"))
+    mixed = mixing.mix(clash)
+    out = mixed.collect()
+    assert len(out) == 12 and {x.ratio for x in out} == {x.upto for x in out} == {x["_share_of"] for x in out} == {"x"}
+    assert len({c.lower() for c in mixed.columns}) == len(mixed.columns) and len({x.copies for x in out if x.doc_id == 8}) == 1
     assert {x.size for x in out if x.doc_id in (1, 2, 3)} == {0}
     assert mixing.mix(empty(spark)).count() == 0
 

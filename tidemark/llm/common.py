@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local session, whose executors share the driver's disk,
+    gets a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,8 +70,6 @@ def tidy() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -84,12 +87,39 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df does not use."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of df has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, results: Iterable[str]) -> list[str]:
+    """df's columns but those that an operator's results replace, in any case."""
+    replaced = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in replaced]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with equal keys, each as one table; rows come sorted by key."""
+    held, last = [], None
+    for b in batches:
+        keys = list(zip(*(b.column(k).to_pylist() for k in key)))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and keys[i] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = keys[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

@@ -3,19 +3,26 @@
 Tokens are summed per source, targets are shared by weight, and each document is emitted floor(rate) times plus once more with
 probability rate - floor(rate), by a draw that depends on the document's id and the seed only, so reruns agree.
 
+Documents differ so much in size that independent draws can end far from a target. Draws are therefore compared with the source's own
+threshold: of the draws' `BINS` bins, the one up to which the source's words come nearest to the fraction. It lies at the fraction on average,
+and a source ends within half a bin's words, or half the document at the threshold, of its target.
+
 Defined cases: a null or empty text has size 0 and follows its source's rate like any other; a null source is a source of its
-own, last in order; rows that share a doc_id share one draw (repeated rows are all kept or all left out); a source without words
-has target 0 and rate 0; an empty table gives an empty mix; extra columns pass through."""
+own, last in order; rows of a source that share a doc_id share one draw (repeated rows are all kept or all left out); of bins that come
+equally near the first is taken; a source without words has target 0 and rate 0; an empty table gives an empty mix; extra columns pass
+through, ones named like a result (size, source_size, target, copies, in any case) are replaced."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+BINS = 4096
+RESULTS = ("size", "source_size", "target", "copies")
 
 
 def n_words(text: Column) -> Column:
@@ -27,16 +34,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Weights share the sum of all sizes; no target passes `most` times its source's size, and what that frees is shared anew by
     weight. That is one pass over the sources in order of size to weight: a source is at its bound while its bound is at most its share
-    of what the sources before it have left. The table has a row per source, so its windows are over few rows."""
+    of what the sources before it have left. The order is over a row per source; beyond MOST_SOURCES of them it is refused."""
     scale = 1
     for w in set(weights):
         scale *= w
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    total.createOrReplaceTempView("_mix_sources")
+    total = common.written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    n = total.count()
+    if n > MOST_SOURCES:
+        raise ValueError(f"{n} sources, more than {MOST_SOURCES}: weights are given by a source's place in order")
     pick = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
-    return total.sparkSession.sql(SHARES.format(table="_mix_sources", n=len(weights), pick=pick, scale=scale, most=most))
+    return total.sparkSession.sql(SHARES.format(table="{sources}", n=len(weights), pick=pick, scale=scale, most=most), sources=total)
 
 
+#: A source's weight is its place in the order of all: a table of so many rows is ordered in one task.
+MOST_SOURCES = 1_000_000
 SHARES = """
 WITH o AS (SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM {table}),
 w AS (SELECT source, source_size, k, CASE k % {n} {pick} END AS weight FROM o),
@@ -52,23 +63,52 @@ SELECT source, CAST(source_size AS bigint) AS source_size,
 """
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix takes the row).
+def rate_of(most: int) -> Column:
+    return F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+
+
+def thresholds(binned: DataFrame, shares: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
+    """shares with upto: the draws below this bin take their one copy more. binned: (source, bin, size); sizes are summed by bin before they meet,
+    so a source of any number of documents is BINS rows."""
+    sums = binned.where("size > 0").groupBy("source", "bin").agg(F.sum("size").alias("size")).withColumnRenamed("source", "_of")
+    upward = Window.partitionBy("source").orderBy("bin")
+    wanted = (F.col("rate") - F.floor("rate")) * F.col("source_size")
+    at = shares.withColumn("rate", rate_of(most)).join(sums, common.same(F.col("source"), F.col("_of"))).withColumn("sum", F.sum("size").over(upward))
+    best = at.groupBy("source").agg(F.min(F.struct(F.abs(F.col("sum") - wanted).alias("gap"), (F.col("bin") + 1).alias("upto"))).alias("b"), F.any_value(wanted).alias("wanted"))
+    best = best.select(F.col("source").alias("_of"), F.when(F.col("wanted") <= F.col("b.gap"), 0).otherwise(F.col("b.upto")).cast("int").alias("upto"))
+    return shares.join(best, common.same(F.col("source"), F.col("_of")), "left").select("source", "source_size", "target", F.coalesce("upto", F.lit(0)).alias("upto"))
 
-    Sizes alone are summed; the table of sources is broadcast if its counted rows allow, else joined by shuffle."""
-    sized = docs.withColumn("size", n_words(F.col("text")) if size is None else size)
-    share = common.written(targets(sized.select("source", "size"), weights, most), "shares").withColumnRenamed("source", "_share_of")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    return (
-        sized.join(common.if_small(share), common.same(F.col("source"), F.col("_share_of")), "left").drop("_share_of")
-        .withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
-    )
 
+def bin_of(doc_id: Column, seed: int) -> Column:
+    """The bin of a document's draw, from the first bits of a digest of seed and id."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 3), 16, 10).cast("int")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, size: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target and copies (how often the mix takes the row).
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*columns)
+    Sizes alone are summed; the table of sources is broadcast if its counted rows allow, else joined by shuffle: texts stay where they are."""
+    own = common.others(docs, RESULTS)
+    words = n_words(F.col("text")) if size is None else size
+    narrow = common.written(docs.select("source", words.alias("size"), bin_of(F.col("doc_id"), seed).alias("bin")), "draws")
+    shares = common.written(targets(narrow, weights, most), "shares")
+    shares = common.written(thresholds(narrow, shares, most), "thresholds")
+    of, upto = common.free_names(docs, "_share_of", "upto")
+    shares = shares.select(F.col("source").alias(of), "source_size", "target", F.col("upto").alias(upto))
+    copies = F.floor(rate_of(most)) + (bin_of(F.col("doc_id"), seed) < F.col(upto)).cast("int")
+    joined = docs.select(*own, words.alias("size")).join(common.if_small(shares), common.same(F.col("source"), F.col(of)), "left")
+    return joined.select(*own, "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def repeated(docs: DataFrame, **kw) -> DataFrame:
+    """The mix itself: the rows of docs, with all of its columns, each as often as it is taken."""
+    clash = [c for c in docs.columns if c not in common.others(docs, RESULTS)]
+    aside = common.free_names(docs, *(f"_own_{c}" for c in clash))
+    mixed = mix(docs.withColumnsRenamed(dict(zip(clash, aside))), **kw)
+    (at,) = common.free_names(mixed, "_copy")
+    taken = mixed.where("copies > 0").withColumn(at, F.explode(F.expr("sequence(1, copies)")))
+    back = dict(zip(clash, aside))
+    return taken.select(*(F.col(back.get(c, c)).alias(c) for c in docs.columns))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +119,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _N = r"coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)"
 OP2_SQL = (
-    f"WITH d AS (SELECT doc_id, source, CAST({_N} AS bigint) AS size FROM documents), g AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source), t AS ("
+    f"WITH d AS (SELECT doc_id, source, CAST({_N} AS bigint) AS size, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS varchar), '')), 1, 3) AS int) AS bin FROM documents), g AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source), t AS ("
     + SHARES.format(table="g", n=3, pick="WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1", scale=10, most=3)
-    + """), r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0.0 END AS rate,
-  CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS varchar), '')), 1, 13) AS bigint) / 4503599627370496.0 AS draw
-  FROM d LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS bigint) AS copies FROM r)
+    + """), u AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t),
+  s AS (SELECT source, bin, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS upward FROM d WHERE size > 0 GROUP BY source, bin),
+  e AS (SELECT u.source, 0 AS upto, (rate - floor(rate)) * source_size AS gap FROM u UNION ALL
+    SELECT u.source, bin + 1, abs(upward - (rate - floor(rate)) * source_size) FROM u JOIN s ON u.source IS NOT DISTINCT FROM s.source),
+  b AS (SELECT source, upto FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap, upto) AS k FROM e) z WHERE k = 1),
+  c AS (SELECT d.*, u.source_size, u.target, CAST(floor(rate) + CASE WHEN bin < upto THEN 1 ELSE 0 END AS bigint) AS copies
+    FROM d LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM c"""
 )
