@@ -1,6 +1,7 @@
 """Near-dedup, embeddings, WARC, URL filter and the pipeline."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,9 +31,12 @@ def near_copies(seed=0):
 def brute_classes(docs):
     table = near_dedup.Words()
     s = [near_dedup.Shingles([t], table) for _, t in docs]
-    df = sum(np.bincount((x.h >> np.uint64(17)).astype(np.int64) & (near_dedup.BUCKETS - 1), minlength=near_dedup.BUCKETS) for x in s)
-    idf = near_dedup.idf_of(df, len(docs))
-    w = [dict(zip(x.h.tolist(), x.weights(idf).tolist())) for x in s]
+    every = np.concatenate([x.h for x in s])
+    idf = near_dedup.Idf(np.stack([np.bincount(at, minlength=near_dedup.BUCKETS) for at in near_dedup.places(every, near_dedup.BUCKETS)]), sum(len(x.starts) for x in s))
+    df = Counter(every.tolist())
+    exact = [near_dedup.weight(df[h], len(docs)) - v for x in s for h, v in zip(x.h.tolist(), (idf.of(x) / x.tf).tolist())]
+    assert np.mean(np.abs(exact) > 1e-3) < 0.15  # frequencies are nearly exact; classes are those of the weights that the counters give
+    w = [dict(zip(x.h.tolist(), idf.of(x).tolist())) for x in s]
     up = list(range(len(docs)))
 
     def find(x):
@@ -51,7 +55,7 @@ def brute_classes(docs):
 
 def test_near_dedup_is_brute_force(spark):
     docs = near_copies()
-    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bands=24).collect()}
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute_classes(docs)
 
 
@@ -69,11 +73,42 @@ def test_near_dedup_with_its_defaults_near_the_threshold_and_on_long_texts(spark
     assert got == want and 42 < len(set(want.values())) < 84
 
 
+def test_a_bucket_of_many_classes_is_brute_force(spark, monkeypatch):
+    """A chain of edits whose ends are unlike, in blocks of four and with one band of one sample: buckets hold many classes after their first comparison."""
+    r = random.Random(12)
+    base = prose(80, 55).split()
+    docs = []
+    for _ in range(4):
+        own = [*base[:50], *prose(30, r.randrange(10**6)).split()]
+        for _ in range(14):
+            own = list(own)
+            own[r.randrange(30)] = f"edit{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own)))
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    seen = []
+    across = near_dedup.across
+    monkeypatch.setattr(near_dedup, "across", lambda rows, *a, **kw: (seen.append(rows.count()), across(rows, *a, **kw))[1])
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bands=40, rows=1).collect()}
+    assert got == brute_classes(docs) and seen[0] > 0
+
+
+def test_frequencies_of_crowded_counters():
+    """100 000 shingles in 2^12 counters: frequent ones keep their frequency, rare ones are told from them."""
+    r = np.random.default_rng(2)
+    h = r.integers(1, 1 << 63, 100_000, dtype=np.uint64)
+    true = np.where(np.arange(len(h)) < 20, 50_000, 1)
+    counts = np.stack([np.bincount(at, true, 1 << 12) for at in near_dedup.places(h, 1 << 12)])
+    s = near_dedup.Shingles([], near_dedup.Words())
+    s.h, s.tf = h, np.ones(len(h), np.int64)
+    got = near_dedup.Idf(counts, 100_000).of(s)
+    want = near_dedup.weight(true, 100_000)
+    assert np.abs(got[:20] - want[:20]).max() < 0.01 and np.median(got[20:]) > 1.8 and (got[20:] > got[:20].max() + 0.3).mean() > 0.999
+
+
 def test_links_across_blocks_are_brute_force():
     docs = near_copies(5)
     s = near_dedup.Shingles([t for _, t in docs], near_dedup.Words())
-    idf = np.ones(near_dedup.BUCKETS)
-    pairs = near_dedup.links_across(s, s.weights(idf), idf, [str(i) for i in range(len(docs))], 0.8)
+    pairs = near_dedup.links_across(s, s.tf.astype(float), [str(i) for i in range(len(docs))], 0.8)
     stop = np.r_[s.starts[1:], len(s.h)]
     sets = [dict(zip(s.h[a:b].tolist(), s.tf[a:b].tolist())) for a, b in zip(s.starts, stop)]
     sim = lambda a, b: (c := sum(min(n, sets[b].get(h, 0)) for h, n in sets[a].items())) / (sum(sets[a].values()) + sum(sets[b].values()) - c)
@@ -108,6 +143,13 @@ def test_near_dedup_awkward_rows(spark):
     assert near_dedup.classes(empty(spark)).count() == 0 and near_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_near_dedup_query_on_an_empty_table_and_with_other_columns(spark, tmp_path):
+    assert queries.QUERIES["op6_near_dedup"](spark, folder(empty(spark), tmp_path / "none")).count() == 0
+    d = folder(awkward(spark).withColumn("class_id", F.lit("x")).withColumn("Kept", F.lit("x")), tmp_path / "some")
+    got = [(x.doc_id, x.class_id, x.kept) for x in queries.QUERIES["op6_near_dedup"](spark, d).collect()]
+    assert len(got) == 12 and (7, 6, False) in got and (2, 2, True) in got and got.count((8, 8, True)) == 2
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 160)]
@@ -152,16 +194,46 @@ def test_embeddings_are_brute_force(spark):
         return min(seen)
 
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
-    embedding_dedup.PER_LIST = 20
+    embedding_dedup.ROOTS_PER_LIST = 1
     try:
         got = {x.vec_id: x for x in embedding_dedup.dedup(df.withColumn("n", F.lit(1))).collect()}
     finally:
-        embedding_dedup.PER_LIST = 1000
+        embedding_dedup.ROOTS_PER_LIST = 8
     assert {i: x.n_links for i, x in got.items()} == {i: len(v) for i, v in links.items()}
     assert all(x.component_id == reach(i) and x.kept == (x.component_id == i) for i, x in got.items())
     assert embedding_dedup.dedup(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_repeated_vec_ids_keep_their_own_links(spark):
+    """vec_id 1 under two labels, and under one label with two vectors: counts and components are those of each row's vector."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 0), (2, a, 0), (3, a, 0), (1, b, 1), (5, b, 1), (1, c, 0), (7, None, 0), (7, a, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("x")).withColumn("First", F.lit(1))
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in embedding_dedup.dedup(df).collect())
+    assert got == sorted([(1, 2, 1), (2, 2, 1), (3, 2, 1), (1, 1, 1), (5, 1, 1), (1, 0, 1), (7, 0, 7), (7, 0, 7)])
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_probes_reach_all_neighbours_and_balls_prune(clustered):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(3000, 16)) * 0.3 + (draw.normal(size=(12, 16))[draw.integers(0, 12, 3000)] * 3 if clustered else 0)
+    x = embedding_dedup.unit(np.concatenate([x, x[:500] + draw.normal(size=(500, 16)) * 0.02]))
+    ix = embedding_dedup.Index(x[::3], 24)
+    at, codes, error, far = ix.encode(x)
+    radius = np.array([far[at == k].max(initial=-1.0) for k in range(len(ix.coarse))])
+    r = 0.2
+    row, lists = ix.probes(x, at, r, radius)
+    probed = np.zeros((len(x), len(ix.coarse)), bool)
+    probed[row, lists] = True
+    i, j = np.nonzero(embedding_dedup.distances(x, x) <= r * r)
+    assert probed[i, at[j]].all() and len(i) > len(x)
+    for k in range(0, len(x), 97):
+        own = at == at[k]
+        assert (ix.adc(x[k : k + 1], int(at[k]), codes[own])[:, 0] - error[own] <= np.sqrt(embedding_dedup.distances(x[k : k + 1], x[own])[0]) + 1e-4).all()
+    if clustered:
+        assert probed.mean() < 0.3
+
+
 def pages(spark):
     rows = [(3, "http://a.example.org/x", "xé\r\n\r\ny" * 4000), (1, "http://b/ c\n%20", "xé\r\n\r\ny" * 4000), (2, None, None), (4, "u", ""), (None, "u", "q"), (5, "http://a.example.org/x", "q"), (6, "u", "other"), (6, "u", "other")]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
