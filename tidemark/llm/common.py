@@ -105,18 +105,25 @@ def others(df: DataFrame, results: Iterable[str]) -> list[str]:
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Runs of rows with equal keys, each as one table; rows come sorted by key."""
+    """Runs of rows with equal keys (none null), each as one table; rows come sorted by key."""
+    import numpy as np
+    import pyarrow.compute as pc
+
     held, last = [], None
     for b in batches:
-        keys = list(zip(*(b.column(k).to_pylist() for k in key)))
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        n = b.num_rows
+        if not n:
+            continue
+        new = np.zeros(n - 1, bool)
+        for k in key:
+            new |= pc.not_equal(b.column(k).slice(1), b.column(k).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
         for i, j in zip(cuts, cuts[1:]):
-            if i == j:
-                continue
-            if held and keys[i] != last:
+            now = tuple(b.column(k)[i].as_py() for k in key)
+            if held and now != last:
                 yield last, pa.Table.from_batches(held)
                 held = []
-            last = keys[i]
+            last = now
             held.append(b.slice(i, j - i))
     if held:
         yield last, pa.Table.from_batches(held)
@@ -126,26 +133,25 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component): component is the smallest node that the edges (a, b) reach; nodes without an edge are not listed.
 
     Alternates the large-star and small-star steps, which end after a number of rounds logarithmic in the size of a component.
-    Hot nodes: minima are aggregated before the shuffle, and the joins are plain equi-joins whose hot keys AQE splits.
-    Each round is written to the shared folder; a round's table goes once the next one is there."""
-    spark = edges.sparkSession
+    Hot nodes: minima are aggregated before the shuffle, and their table is broadcast while there are few edges; beyond that the joins are plain
+    equi-joins whose hot keys AQE splits. Each round is written to the shared folder; a round's table goes once the next one is there."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    signature = None
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now = mark(e)
     for _ in range(limit):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        few = F.broadcast if now[0] <= BROADCAST_ROWS else (lambda df: df)
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        # each node's larger neighbours go to its smallest one; a node without a smaller one keeps them
+        large = e.join(few(low.withColumnRenamed("u", "v")), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = large.join(few(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = written(small.where("u <> v").distinct(), "edges")
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         for p in e.inputFiles()[:1]:
             discard(next((x for _, x in _made if x in p), "none"))
-        e = new
-        if now == signature:
+        e, before = new, now
+        now = mark(e)
+        if now == before:
             break
-        signature = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,13 +1,17 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-1. Document frequencies of five-word shingles are counted over all documents into a table of `buckets` counters (fixed size, hashed).
+1. Document frequencies of five-word shingles are counted over all documents into two rows of `buckets` counters (fixed size, each hashed by
+   bits of its own). A counter also holds other shingles: their mean is taken off, and the smaller of the two estimates counts. With m shingles
+   in all documents that leaves an error of about sqrt(m / buckets) documents for a rare shingle, and next to none for a frequent one.
    A shingle's weight is tf * (1 + ln(N / df) / ln(N)): rare shingles weigh up to twice as much as those that all documents share.
 2. Each distinct text gets bands * rows samples. A sample of a weighted set is the shingle that minimises ln a = ln c - r (t - beta) - r
    with t = floor(ln w / r + beta), and its t; r, c ~ Gamma(2, 1) and beta ~ U(0, 1) are drawn by the shingle's hash.
    Two sets agree on a sample with a probability equal to their weighted Jaccard similarity.
-3. Texts that share a band are candidates. In each bucket all are compared with one of them. Where members are then still in several
-   classes, the bucket is dealt in blocks and every pair of blocks is compared across classes: no candidate pair of different classes is
-   left out, a bucket that is one class costs comparisons in proportion to its size, and tasks return a forest of links, never pairs.
+3. Texts that share a band are candidates. In each bucket all are compared with one of them. Where more than a block of its members are then
+   outside of its largest class, they are compared with one of those, a few times over: each such round sends a bucket's texts once.
+   Of what is left, the members outside of the largest class (s of n) are compared with all of the bucket, in pairs of blocks, so that
+   2 s n / BLOCK texts are sent: no candidate pair of different classes is left out, a bucket that is one class costs comparisons in proportion to its
+   size, and tasks return a forest of links, never pairs. Only texts that share a band and are pairwise unlike make s as large as n.
 4. A link is a weighted Jaccard similarity of `least` or more over the whole texts. Classes are the connected components.
 
 Defined cases: texts that are equal are one class at once; a text without a word (null, empty, white space) is in a class of its own; one
@@ -25,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import tidy
+from .common import grouped, tidy
 
 WORDS, LEAST, BANDS, ROWS, BUCKETS = 5, 0.8, 12, 3, 1 << 20
 #: Texts of a block, where a bucket is compared in pairs of blocks, and columns of the matrices that compare them.
-BLOCK, COLUMNS = 400, 8192
+BLOCK, COLUMNS = 140, 8192
+#: Rounds that compare members outside of a bucket's largest class with one of them.
+ROUNDS = 3
 #: Members of a comparison that one task takes; larger groups are dealt to several.
 DEALT = 500
 TOGETHER = 100_000
@@ -91,12 +97,27 @@ class Shingles:
         self.doc = at[self.starts]
         self.sizes = np.diff(np.r_[self.starts, len(at)])
 
-    def weights(self, idf: np.ndarray) -> np.ndarray:
-        return self.tf * idf[(self.h >> U(17)).astype(np.int64) & (len(idf) - 1)]
 
+def weight(df: np.ndarray, n: int) -> np.ndarray:
+    """What a shingle of so many of n documents weighs each time it occurs."""
+    return 1 + np.log(max(n, 1) / np.clip(df, 1, max(n, 1))) / max(np.log(max(n, 1)), 1e-9)
 
-def idf_of(df: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.log(np.maximum(n, 1) / np.clip(df, 1, max(n, 1))) / max(np.log(max(n, 1)), 1e-9)).astype(np.float64)
+
+class Idf:
+    """Weights by two rows of counters over n documents; the smaller estimate of a frequency is the larger weight."""
+
+    def __init__(self, counts: np.ndarray, n: int):
+        others = (counts.sum(1, keepdims=True) - counts) / max(counts.shape[1] - 1, 1)
+        self.tables = weight(np.rint(counts - others), n).astype(np.float32)
+
+    def of(self, s: Shingles) -> np.ndarray:
+        a, b = places(s.h, self.tables.shape[1])
+        return s.tf * np.maximum(self.tables[0][a], self.tables[1][b]).astype(np.float64)
+
+
+def places(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of a hash in the two rows: bits of their own, for up to 2^22 buckets."""
+    return tuple((h >> U(shift)).astype(np.int64) & (buckets - 1) for shift in (17, 41))
 
 
 class Sampler:
@@ -146,42 +167,50 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield begin, texts[begin:]
 
 
-def frequencies(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, int]:
-    """Document frequencies by bucket, and the number of documents with a shingle. Each task adds up what it reads; blocks of the table are
-    then summed by reducers as they stream in. What reaches the driver has a fixed size."""
+def frequencies(texts: DataFrame, buckets: int = BUCKETS) -> Idf:
+    """Document frequencies. Each task adds up what it reads; blocks of the table are then summed by reducers as they stream in.
+    What reaches the driver has a fixed size."""
     blocks = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, df, n = Words(), np.zeros(buckets, np.int64), 0
+        table, df, n = Words(), np.zeros((2, buckets), np.int64), 0
         for b in batches:
             for _, part in _parts(b.column(0).to_pylist()):
                 s = Shingles(part, table)
-                df += np.bincount((s.h >> U(17)).astype(np.int64) & (buckets - 1), minlength=buckets)
+                for row, at in zip(df, places(s.h, buckets)):
+                    row += np.bincount(at, minlength=buckets)
                 n += len(s.starts)
         del table
         tidy()
         if n:
             for k, x in enumerate(df.reshape(blocks, -1)):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([x.astype(np.int32).tobytes()])], names=["block", "n", "part"])
+                at = np.flatnonzero(x)
+                at = at if len(at) < len(x) // 2 else np.zeros(0, np.int64)  # all of a block, or the places that are not 0
+                part = x[at] if len(at) else x
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([at.astype(np.int32).tobytes()]), pa.array([part.astype(np.int32).tobytes()])], names=["block", "n", "at", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         n: dict[int, int] = {}
         for b in batches:
-            for k, m, x in zip(*(c.to_pylist() for c in b.columns)):
-                part = np.frombuffer(x, np.int32)
-                total[k] = total.get(k, 0) + part.astype(np.int64)
+            for k, m, at, x in zip(*(c.to_pylist() for c in b.columns)):
+                at, part = np.frombuffer(at, np.int32), np.frombuffer(x, np.int32)
+                own = total.setdefault(k, np.zeros(2 * buckets // blocks, np.int64))
+                if len(at):
+                    own[at] += part
+                else:
+                    own += part
                 n[k] = n.get(k, 0) + m
         for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n[k]]), pa.array([x.tobytes()])], names=["block", "n", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n[k]]), pa.array([b""]), pa.array([x.tobytes()])], names=["block", "n", "at", "part"])
 
-    kind = "block long, n long, part binary"
+    kind = "block long, n long, at binary, part binary"
     found = texts.select("text").mapInArrow(count, kind).repartition(blocks, "block").mapInArrow(add, kind).collect()
-    df, n = np.zeros((blocks, buckets // blocks), np.int64), 0
+    df, n = np.zeros((blocks, 2 * buckets // blocks), np.int64), 0
     for x in found:
         df[x.block] = np.frombuffer(x.part, np.int64)
         n += x.n
-    return df.reshape(-1), n
+    return Idf(df.reshape(2, -1), n)
 
 
 def signatures(texts: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -191,13 +220,13 @@ def signatures(texts: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> D
     kind = T.StructType([texts.schema["doc_id"], T.StructField("fp", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sampler, weight = Words(), Sampler(bands * rows), idf.value
+        table, sampler, idf_ = Words(), Sampler(bands * rows), idf.value
         for b in batches:
             for begin, part in _parts(b.column("text").to_pylist()):
                 s = Shingles(part, table)
                 if not len(s.starts):
                     continue
-                x = sampler.samples(s, s.weights(weight)).reshape(-1, bands, rows)
+                x = sampler.samples(s, idf_.of(s)).reshape(-1, bands, rows)
                 key = x[:, :, 0]
                 for j in range(1, rows):
                     key = mixed(key * U(0x9E3779B97F4A7C15) + x[:, :, j])
@@ -223,7 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> D
     rows = rows.select("a", "part", (F.col("fp") != F.col("a")).alias("member"), "fp", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weight = Words(), idf.value
+        table, idf_ = Words(), idf.value
         now = h = w = None
         total = 0.0
         for batch in batches:
@@ -233,7 +262,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> D
             found: list[tuple[str, str]] = []
             for begin, part in _parts(batch.column("text").to_pylist()):
                 s = Shingles(part, table)
-                sw = s.weights(weight)
+                sw = idf_.of(s)
                 stop = np.r_[s.starts[1:], len(s.h)]
                 sums = np.add.reduceat(sw, s.starts) if len(s.starts) else np.zeros(0)
                 k = 0
@@ -263,7 +292,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> D
     return rows.mapInArrow(run, "a string, b string")
 
 
-def overlaps(s: Shingles, w: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def overlaps(s: Shingles, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(common weight of each pair, weight of each) of the texts of s. A shingle that a text has tf times counts as tf distinct ones, so the
     smaller of two weights is a sum over what both have; that sum is a matrix product over the shingles that two texts or more have."""
     n = len(s.starts)
@@ -287,9 +316,9 @@ def overlaps(s: Shingles, w: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, n
     return common_, np.add.reduceat(w, s.starts) if n else np.zeros(0)
 
 
-def links_across(s: Shingles, w: np.ndarray, idf: np.ndarray, group: list, least: float) -> list[tuple[int, int]]:
+def links_across(s: Shingles, w: np.ndarray, group: list, least: float) -> list[tuple[int, int]]:
     """Pairs of texts (places in s) of different groups with the similarity, as a forest over the groups: those that join two groups."""
-    common_, total = overlaps(s, w, idf)
+    common_, total = overlaps(s, w)
     names, of = np.unique(np.array(group), return_inverse=True)
     bound = least * (total[:, None] + total[None, :]) / (1 + least)
     i, j = np.nonzero(np.triu(common_ >= bound * (1 - 1e-4), 1))
@@ -317,45 +346,43 @@ def links_across(s: Shingles, w: np.ndarray, idf: np.ndarray, group: list, least
     return out
 
 
-def across(members: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> DataFrame:
-    """(a, b): links between different classes within buckets. members: (band, key, fp, component) of the buckets to compare.
+def divided(members: DataFrame) -> DataFrame:
+    """members (band, key, fp, component) of the buckets that hold several classes, with n, s (how many are outside of the largest class) and main
+    (whether the row is in it). Of buckets with the same members one is taken; a pair that is a bucket of its own has been compared already."""
+    by = members.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("h"))
+    bucket = by.groupBy("band", "key").agg(F.sum("c").alias("n"), F.sum("h").alias("set"), F.count("*").alias("classes"), F.max(F.struct("c", "component")).alias("top")).where("classes > 1 and n > 2")
+    one = bucket.groupBy("n", "set").agg(F.min(F.struct("band", "key", "top")).alias("b")).select("b.band", "b.key", "n", (F.col("n") - F.col("b.top.c")).alias("s"), F.col("b.top.component").alias("top"))
+    one = common.if_small(common.written(one, "divided"))
+    return members.join(one, ["band", "key"]).withColumn("main", F.col("component") == F.col("top")).drop("top")
+
+
+def across(rows: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> DataFrame:
+    """(a, b): links between different classes within buckets. rows: as `divided` makes them.
 
-    A bucket's texts are dealt in blocks; a task has two blocks of it, so it holds a bounded number of texts, and a bucket of any size spreads
-    over tasks. Buckets with the same members are compared once; a pair that is a bucket of its own has been compared already."""
-    h = F.xxhash64("fp").cast("decimal(38,0)")
-    sets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(h).alias("set")).where("n > 2")
-    sets = sets.groupBy("n", "set").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sets, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = common.written(dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "component"), "blocks")
+    Members outside of a bucket's largest class are dealt in blocks, all members in others; a task has one block of each, so it holds a bounded
+    number of texts, and a bucket of any size spreads over tasks."""
+    part = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
     task = ["band", "key", "i", "j"]
-    rows = texts.join(common.if_small(dealt), "fp").select(*task, "fp", "component", "text").repartition(*task).sortWithinPartitions(*task)
+    few = rows.where("not main").withColumn("i", part("s", 1)).withColumn("j", every("n"))
+    all_ = rows.withColumn("j", part("n", 2)).withColumn("i", every("s"))
+    dealt = common.written(few.select(*task, "fp", "component").union(all_.select(*task, "fp", "component")).distinct(), "blocks")
+    full = texts.join(common.if_small(dealt), "fp").select(*task, "fp", "component", "text").repartition(*task).sortWithinPartitions(*task)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weight, last, held = Words(), idf.value, None, ([], [], [])
-
-        def compared() -> Iterator[pa.RecordBatch]:
-            fps, groups, parts = held
+        table, idf_ = Words(), idf.value
+        for _, block in grouped(batches, task):
+            fps, groups = block.column("fp").to_pylist(), block.column("component").to_pylist()
             if len(set(groups)) < 2:
-                return
-            s = Shingles(parts, table)
-            found = links_across(s, s.weights(weight), weight, [groups[d] for d in s.doc], least)
+                continue
+            s = Shingles(block.column("text").to_pylist(), table)
+            found = links_across(s, idf_.of(s), [groups[d] for d in s.doc], least)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([fps[s.doc[k[side]]] for k in found]) for side in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*task, "fp", "component", "text")]
-            for *now, fp, group, text in zip(*columns):
-                if now != last:
-                    yield from compared()
-                    last, held = now, ([], [], [])
-                for x, v in zip(held, (fp, group, text)):
-                    x.append(v)
-        yield from compared()
         table.clear()
         tidy()
 
-    return rows.mapInArrow(run, "a string, b string")
+    return full.mapInArrow(run, "a string, b string")
 
 
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, buckets: int = BUCKETS) -> DataFrame:
@@ -363,8 +390,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     spark = docs.sparkSession
     common.small_batches(spark, size="8m")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    df, n = frequencies(texts, buckets)
-    idf = spark.sparkContext.broadcast(idf_of(df, n))
+    idf = spark.sparkContext.broadcast(frequencies(texts, buckets))
     signed = common.written(signatures(texts, idf, bands, rows), "signatures")
     one = common.written(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands")), "texts")
     bucket = one.select("fp", F.posexplode("bands").alias("band", "key"))
@@ -377,10 +403,24 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     pairs = members.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     edges = common.written(verified(pairs, held, idf, least), "links")
     comp = common.components(edges)
-    now = members.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    now = common.written(now.select("band", "key", "fp", "component"), "members")
-    apart = now.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-    more = common.written(across(now.join(apart, ["band", "key"]), held, idf, least), "links")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """The rows whose buckets still hold several classes; what a round has settled is not looked at again."""
+        now = rows.select("band", "key", "fp").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        return common.written(divided(common.written(now.select("band", "key", "fp", "component"), "members")), "apart")
+
+    rest = apart(members)
+    for k in range(ROUNDS):
+        wide = rest.where(F.col("s") > BLOCK)
+        head = wide.where("not main").groupBy("band", "key").agg(F.min_by(F.struct(F.col("fp").alias("a"), F.col("component").alias("of")), F.xxhash64("fp", F.lit(k))).alias("h"))
+        pairs = wide.join(head, ["band", "key"]).where("component <> h.of").select("h.a", F.col("fp").alias("b")).distinct()
+        pairs = common.written(pairs, "heads")
+        if pairs.isEmpty():
+            break
+        edges = common.written(edges.union(verified(pairs, held, idf, least)), "links")
+        comp = common.components(edges)
+        rest = apart(rest)
+    more = common.written(across(rest, held, idf, least), "links")
     if not more.isEmpty():
         comp = common.components(edges.union(more))
     named = one.select("fp", "first").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
