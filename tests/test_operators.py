@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,10 @@ from tidemark.operators import decide, detect, drift, evaluate, field, joins, ra
 T0 = 1_700_000_000.0
 
 
+def far(a, b):
+    return float(decide.km(np.array(a, float), np.array(b, float)))
+
+
 def uniform_field(u, v):
     lat, lon, t = np.array([4.0, 23.0]), np.array([79.0, 96.0]), np.array([T0 - 1e6, T0 + 1e6])
     return field.Grid(t, lat, lon, np.full((2, 2, 2), u), np.full((2, 2, 2), v))
@@ -138,8 +143,8 @@ def test_ring_and_area(spark):
 @given(st.floats(4, 23), st.floats(79, 96), st.floats(4, 23), st.floats(79, 96))
 @settings(max_examples=50, deadline=None)
 def test_distance_is_symmetric_and_bounded(a, b, c, d):
-    assert decide._km((a, b), (c, d)) == pytest.approx(decide._km((c, d), (a, b)), abs=1e-6)
-    assert decide._km((a, b), (a, b)) == 0 and decide._km((a, b), (c, d)) < 3500
+    assert far((a, b), (c, d)) == pytest.approx(far((c, d), (a, b)), abs=1e-6)
+    assert far((a, b), (a, b)) == 0 and far((a, b), (c, d)) < 3500
 
 
 def test_perfect_calibration_and_bins(spark):
@@ -161,17 +166,17 @@ def test_radius_pairs_are_brute_force(spark):
     pts = [(i, 8 + r.random() * 2, 84 + r.random() * 2) for i in range(150)]
     df = spark.createDataFrame(pts, "id long, lat double, lon double")
     got = {(x.id, x.r_id) for x in joins.within_radius(df, df, 15, F.col("id") < F.col("r_id")).collect()}
-    assert got == {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and decide._km(a[1:], b[1:]) <= 15}
+    assert got == {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and far(a[1:], b[1:]) <= 15}
 
 
 def test_greedy_dedup_follows_the_sequential_rule(spark):
     r = random.Random(5)
     rows = [(i, 10 + r.random(), 85 + r.random(), r.randrange(6)) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, lat double, lon double, observed long")
-    got = {x.id: x.seen for x in joins.greedy_dedup(joins.proximity_regions(df), "region", ["-observed", "id"]).collect()}
+    got = {x.id: x.seen for x in joins.greedy_dedup(df, ["-observed", "id"]).collect()}
     kept = []
     for x in sorted(rows, key=lambda x: (-x[3], x[0])):
-        near = next((k for k in kept if decide._km(x[1:3], k[0][1:3]) <= 15), None)
+        near = next((k for k in kept if far(x[1:3], k[0][1:3]) <= 15), None)
         (near[1].add(x[3]) if near else kept.append((x, {x[3]})))
     assert got == {k[0][0]: len(k[1]) for k in kept}
 
@@ -182,15 +187,115 @@ def test_persistence_without_history_is_zero(spark):
     assert joins.persistence(h, past, "run").first().persistence == 0
 
 
+def targets(*rows):
+    return pd.DataFrame(rows, columns=["id", "rank", "risk_score", "tier", "lat", "lon", "start", "track"])
+
+
+def still(lat, lon):
+    return [{"h": float(h), "lat": lat, "lon": lon} for h in range(49)]
+
+
 def test_route_meets_moving_targets():
-    track = [(float(h), 10.0 + 0.01 * h, 85.0) for h in range(49)]
-    t = [{"id": "a", "rank": 1, "risk": 80.0, "tier": "High", "lat": 10.0, "lon": 85.0, "start": 0.0, "track": track}]
-    out = decide.route(t, (10.0, 84.0), decide.Sea(drift.Land()), depart=0.0)
+    track = [{"h": float(h), "lat": 10.0 + 0.01 * h, "lon": 85.0} for h in range(49)]
+    out = decide.route(targets(("a", 1, 80.0, "High", 10.0, 85.0, 0.0, track)), (10.0, 84.0), decide.Sea(drift.Land()), depart=0.0)
     stop = out["stops"][0]
     assert abs(stop["lat"] - (10 + 0.01 * stop["arrive_h"])) < 2e-3 and out["candidates"] == 1 and out["total_h"] > stop["arrive_h"]
-    wall = drift.Land([[(9.0, 84.4), (11.0, 84.4), (11.0, 84.6), (9.0, 84.6)]])
-    assert len(decide.Sea(wall).path((10.0, 84.0), (10.0, 85.0))[1] if decide.Sea(wall).path((10.0, 84.0), (10.0, 85.0)) else [0]) == 1
-    assert decide.route([], (10.0, 84.0), decide.Sea(drift.Land()))["stops"] == []
+    assert stop["leg_km"] == pytest.approx(far((10.0, 84.0), (stop["lat"], stop["lon"])), abs=0.1) and stop["via"] == [] and out["return_km"] == stop["leg_km"]
+
+
+def test_route_takes_the_cheapest_of_its_targets_in_turn():
+    """Targets that stand still: each stop is the least leg times (1.6 - risk / 100) from the one before, worked out one by one."""
+    r = random.Random(6)
+    rows = [(f"t{i}", i + 1, float(r.randrange(20, 95)), "High", 10 + 2 * r.random(), 85 + 2 * r.random(), 0.0) for i in range(9)]
+    out = decide.route(targets(*((*x, still(x[4], x[5])) for x in rows)), (10.0, 84.5), decide.Sea(drift.Land()), depart=0.0, speed_kn=30.0)
+    at, left, clock, want = (10.0, 84.5), list(rows), 0.0, []
+    for _ in range(5):
+        x = min(left, key=lambda x: far(at, x[4:6]) * (1.6 - x[2] / 100))
+        clock += far(at, x[4:6]) / (30 * 1.852)
+        want.append((x[0], round(clock, 1)))
+        clock, at = clock + 2, x[4:6]
+        left.remove(x)
+    assert [(x["id"], x["arrive_h"]) for x in out["stops"]] == want
+    assert out["total_h"] == pytest.approx(clock + far(at, (10.0, 84.5)) / (30 * 1.852), abs=0.06)
+
+
+def test_legs_go_around_land_by_the_shortest_way_point():
+    wall = decide.Sea(drift.Land([[(9.9, 84.4), (10.1, 84.4), (10.1, 84.6), (9.9, 84.6)]]))
+    a, b = np.array([10.0, 84.0]), np.array([[10.0, 85.0], [10.5, 84.0], [10.02, 84.02]])
+    d, via = wall.legs(a, b)
+    assert wall.blocked(np.broadcast_to(a, b.shape), b).tolist() == [True, False, False] and np.isnan(via[1:]).all()
+    best = np.inf
+    for share in (0.25, 0.5, 0.75):
+        for off in (10, 20, 40, 70, 110):
+            for side in (1, -1):
+                w = np.array([10.0 - side * 0 + 0.0, 84.0 + share])
+                w = np.array([w[0] + side * off / 111.32, w[1]])
+                legs = [(a[None], w[None]), (w[None], b[:1])]
+                if not wall.land(w[:1], w[1:])[0] and not any(wall.blocked(*leg)[0] for leg in legs):
+                    best = min(best, far(a, w) + far(w, b[0]))
+    assert d[0] == pytest.approx(best, rel=1e-9) and d[0] > far(a, b[0])
+    shut = decide.Sea(drift.Land([[(-60.0, 84.4), (60.0, 84.4), (60.0, 84.6), (-60.0, 84.6)]]))
+    assert np.isinf(shut.legs(a, b[:1])[0][0])
+    none = decide.route(targets(("a", 1, 80.0, "High", 10.0, 85.0, 0.0, still(10.0, 85.0))), (10.0, 84.0), shut, depart=0.0)
+    assert none["stops"] == [] and none["total_km"] == 0
+
+
+def test_runge_kutta_is_fourth_order():
+    """dx/dt = x from 1: the error of one step shrinks by 2^5 when the step is halved."""
+    errors = [abs(1 + h * drift.runge_kutta(lambda t, moved: 1 + moved, 0.0, h) - np.exp(h)) for h in (0.2, 0.1)]
+    assert 28 < errors[0] / errors[1] < 36
+
+
+def test_kept_hours_are_those_of_all_snapshots(spark):
+    rows = seeds(spark, [("a", 10.0, 85.0, 5.0)])
+    land = drift.Land([[(9.0, 85.3), (11.0, 85.3), (11.0, 87.0), (9.0, 87.0)]])
+    whole = drift.simulate(rows, uniform_field(0.5, 0.1), STILL, land, n=20).where("central or h in (24, 48)")
+    few = drift.simulate(rows, uniform_field(0.5, 0.1), STILL, land, n=20, keep=(24, 48))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, few.collect())) and whole.count() == 49 + 40
+
+
+def test_radius_pairs_at_high_latitudes_and_across_the_date_line(spark):
+    r = random.Random(7)
+    pts = [(80.0, 10.0), (80.05, 10.6), (0.0, 179.99), (0.0, -179.99), (89.99, 0.0), (89.99, 180.0), (-90.0, 5.0), (-89.95, -120.0)]
+    pts += [(r.choice([-1, 1]) * (60 + 30 * r.random() ** 0.3), r.uniform(-180, 180)) for _ in range(300)] + [(r.uniform(-40, 40), r.choice([-1, 1]) * (180 - 0.1 * r.random())) for _ in range(200)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id long, lat double, lon double")
+    got = {(x.id, x.r_id) for x in joins.within_radius(df, df, 15, F.col("id") < F.col("r_id")).collect()}
+    want = {(i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)) if far(pts[i], pts[j]) <= 15}
+    assert got == want and {(0, 1), (2, 3), (4, 5), (6, 7)} <= want
+
+
+def test_trilinear_takes_repeated_points_and_missing_cells(spark):
+    cells = [("k", float(t), float(y), float(x), 1.0, 2.0 + t + 10 * y + 100 * x) for t in (0, 1) for y in (0, 1, 2) for x in (0, 1, 2)]
+    full = spark.createDataFrame(cells, "kind string, t double, lat double, lon double, u double, v double")
+    points = spark.createDataFrame([(1, 0.5, 0.25, 1.5), (1, 0.5, 0.25, 1.5), (2, 5.0, -3.0, 9.0)], "id int, t double, lat double, lon double")
+    got = sorted((x.id, round(x.u, 9), round(x.v, 9)) for x in field.trilinear(points, full, "k").collect())
+    assert got == [(1, 1.0, 155.0)] * 2 + [(2, 1.0, 203.0)]
+    holes = full.where("not (t = 0 and lat = 0 and lon = 1)").withColumn("u", F.when(~((F.col("t") == 1) & (F.col("lat") == 0)), F.col("u")))
+    filled = field.trilinear(points, holes, "k").collect()
+    assert len(filled) == 3 and all(x.u == 1 for x in filled)
+    grid = field.Grid.of(holes.withColumn("v", F.col("u")), "k")
+    assert grid.at(np.array([0.5]), np.array([0.25]), np.array([1.5]))[0][0] == 1.0
+
+
+def test_missing_cells_take_the_nearest(spark):
+    r = np.random.default_rng(9)
+    for k in range(20):
+        x = np.where(r.random((r.integers(1, 12), r.integers(1, 12))) < 0.3, r.random(), np.nan)
+        x = np.where(np.isnan(x), np.nan, r.random(x.shape))
+        got, good = field._filled(x), np.argwhere(~np.isnan(x))
+        for (i, j), v in np.ndenumerate(got):
+            d = ((good - (i, j)) ** 2).sum(1)
+            assert (v == 0 and not len(good)) or v in {x[tuple(g)] for g in good[d == d.min()]}
+    cells = [(s, i, j, float(v)) for s, x in ((0, r.random((9, 14))), (1, r.random((5, 5)))) for (i, j), v in np.ndenumerate(x)]
+    keep = {c[:3] for c in cells if r.random() < 0.15 and c[0] == 0} | {(1, 4, 0)}
+    df = spark.createDataFrame([(*c[:3], c[3] if c[:3] in keep else None) for c in cells] + [(2, 0, 0, None)], "scene int, br int, bc int, v double")
+    values = {c[:3]: c[3] for c in cells}
+    for reach in (None, 2):
+        got = {(x.scene, x.br, x.bc): x.v for x in raster.nearest_filled(df, ["v"], reach=reach).collect()}
+        assert got.pop((2, 0, 0)) is None and len(got) == len(cells)
+        for s, i, j in got:
+            d, a, b = min(((a - i) ** 2 + (b - j) ** 2, a, b) for t, a, b in keep if t == s)
+            assert got[s, i, j] == (values[s, a, b] if reach is None or d <= reach * reach else None)
 
 
 def test_times(spark):

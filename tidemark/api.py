@@ -16,6 +16,14 @@ def health() -> dict:
     return {"status": "ok"}
 
 
+def _documents(df: DataFrame, most: int = 10_000) -> list[str]:
+    """The rows as JSON; a table that no answer should hold is refused."""
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
 def list_runs(spark: SparkSession, path: str) -> DataFrame:
     """Runs, latest name first, with hotspots and how many are High."""
     spots = spark.read.parquet(path)
@@ -23,7 +31,7 @@ def list_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, path: str, run_id: str) -> list[str]:
-    return store.read_run(spark, path, run_id).orderBy("rank").toJSON().take(refdata.MAX_HOTSPOTS)
+    return _documents(store.read_run(spark, path, run_id).orderBy("rank"))
 
 
 def run_file(folder: str, name: str) -> str:
@@ -36,7 +44,7 @@ def run_file(folder: str, name: str) -> str:
 
 
 def metrics(spark: SparkSession, path: str) -> list[str]:
-    return store.read_json(spark, path).toJSON().take(1000)
+    return _documents(store.read_json(spark, path))
 
 
 def ports() -> list[dict]:

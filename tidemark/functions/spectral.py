@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..refdata import BAND_NM
 
 #: Place of the near infrared between red and short-wave infrared.
+# The indices' published slope and epsilons.
 SLOPE = (BAND_NM["B8"] - BAND_NM["B4"]) / (BAND_NM["B11"] - BAND_NM["B4"])
 BANDS = ("B1", "B2", "B3", "B4", "B5", "B6", "B7", "B8", "B8A", "B11", "B12")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,25 +40,43 @@ def summary(field: DataFrame) -> DataFrame:
     return base.join(lats.groupBy("kind").agg(F.median("gap").alias("spacing")), "kind")
 
 
+def completed(field: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """(ti, yi, xi, values) of every cell of one kind's grid; a missing one takes the nearest cell's of its time, 0 where its time has none."""
+    from .raster import nearest_filled
+    from .scratch import settle
+
+    f = settle(indexed(field).select("ti", "yi", "xi", *values), "field")
+    n = f.agg(*((F.max(i) + 1).alias(i) for i in ("ti", "yi", "xi")), F.count("*").alias("rows"), *(F.count(v).alias(v) for v in values)).first()
+    if not n.rows or all(n[v] == n.ti * n.yi * n.xi for v in values):
+        return f
+    every = field.sparkSession.range(n.ti * n.yi * n.xi).select(F.expr(f"cast(id div {n.yi * n.xi} as int)").alias("ti"), F.expr(f"cast(id div {n.xi} % {n.yi} as int)").alias("yi"), F.expr(f"cast(id % {n.xi} as int)").alias("xi"))
+    full = settle(every.join(f, ["ti", "yi", "xi"], "left").withColumnRenamed("ti", "scene"), "field")
+    filled = nearest_filled(full, list(values), "yi", "xi")
+    return filled.select(F.col("scene").alias("ti"), "yi", "xi", *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
+
+
 def trilinear(points: DataFrame, field: DataFrame, kind: str, values: tuple[str, ...] = ("u", "v")) -> DataFrame:
-    """points (id, t, lat, lon in the field's units) with the field's values, linear in time and space and clamped to its box.
+    """points (t, lat, lon in the field's units, any other columns) with the field's values, linear in time and space and clamped to its box. Equal points
+    are points of their own; missing cells are those of `completed`.
 
-    Index arithmetic finds the corners of a regular grid, and equi-joins fetch them: the field may be of any size. `Grid` is the broadcast form
-    for fields whose size is checked."""
-    f = indexed(field.where(F.col("kind") == kind))
-    box = f.agg(*(g(c).alias(f"_{n}{c}") for c in ("t", "lat", "lon") for n, g in (("lo", F.min), ("hi", F.max))), *((F.max(i) + 1).alias(f"_n{c}") for c, i in (("t", "ti"), ("lat", "yi"), ("lon", "xi"))))
+    Index arithmetic finds a point's cell of the regular grid. The field is packed to a row per cell with its eight corners, so one equi-join
+    fetches them: the field may be of any size. `Grid` is the broadcast form for fields whose size is checked."""
+    own = field.where(F.col("kind") == kind)
+    box = own.agg(*(g(c).alias(f"_{n}{c}") for c in ("t", "lat", "lon") for n, g in (("lo", F.min), ("hi", F.max))), *(F.count_distinct(c).alias(f"_n{c}") for c in ("t", "lat", "lon")))
     p = points.crossJoin(F.broadcast(box))  # box: one row
-    for c, i in (("t", "ti"), ("lat", "yi"), ("lon", "xi")):
+    axes = (("t", "ti"), ("lat", "yi"), ("lon", "xi"))
+    for c, i in axes:
         x = F.least(F.greatest(F.col(c).cast("double"), F.col(f"_lo{c}")), F.col(f"_hi{c}"))
         at = F.when(F.col(f"_n{c}") > 1, (x - F.col(f"_lo{c}")) / (F.col(f"_hi{c}") - F.col(f"_lo{c}")) * (F.col(f"_n{c}") - 1)).otherwise(0.0)
-        p = p.withColumn(f"_at{i}", at).withColumn(f"_0{i}", F.greatest(F.least(F.floor(f"_at{i}"), F.col(f"_n{c}") - 2), F.lit(0)).cast("int")).withColumn(f"_w{i}", F.col(f"_at{i}") - F.col(f"_0{i}")).withColumn(f"_n{i}", F.col(f"_n{c}"))
-    corners = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip("tyx", c))) for c in np.ndindex(2, 2, 2)))
-    p = p.withColumn("_c", F.explode(corners))
-    at = lambda i, n: F.least(F.col(f"_0{i}") + F.col(f"_c.{n}"), F.col(f"_n{i}") - 1).cast("int")
-    w = lambda i, n: F.when(F.col(f"_c.{n}") == 1, F.col(f"_w{i}")).otherwise(1 - F.col(f"_w{i}"))
-    p = p.withColumn("ti", at("ti", "t")).withColumn("yi", at("yi", "y")).withColumn("xi", at("xi", "x")).withColumn("_weight", w("ti", "t") * w("yi", "y") * w("xi", "x"))
-    hit = p.join(f.select("ti", "yi", "xi", *(F.col(v).alias(f"_f{v}") for v in values)), ["ti", "yi", "xi"])
-    return hit.groupBy(*points.columns).agg(*(F.sum(F.col("_weight") * F.col(f"_f{v}")).alias(v) for v in values))
+        p = p.withColumn(f"_at{i}", at).withColumn(f"_{i}", F.greatest(F.least(F.floor(f"_at{i}"), F.col(f"_n{c}") - 2), F.lit(0)).cast("int")).withColumn(f"_w{i}", F.col(f"_at{i}") - F.col(f"_{i}"))
+    corners = list(np.ndindex(2, 2, 2))
+    offsets = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(x).alias(i) for x, (_, i) in zip(c, axes))) for k, c in enumerate(corners))))
+    each = completed(own, values).withColumn("_c", offsets).select("_c.k", *((F.col(i) - F.col(f"_c.{i}")).alias(f"_{i}") for _, i in axes), *values).where("_ti >= 0 and _yi >= 0 and _xi >= 0")
+    packed = each.groupBy(*(f"_{i}" for _, i in axes)).agg(*(F.max(F.when(F.col("k") == k, F.col(v))).alias(f"_{v}{k}") for v in values for k in range(8)))
+    weight = lambda c: reduce(lambda a, b: a * b, (F.col(f"_w{i}") if d else 1 - F.col(f"_w{i}") for d, (_, i) in zip(c, axes)))
+    # beyond the last cell of an axis a corner's weight is 0
+    total = lambda v: sum((F.when(weight(c) != 0, weight(c) * F.col(f"_{v}{k}")).otherwise(0.0) for k, c in enumerate(corners)), F.lit(0.0))
+    return p.join(packed, [f"_{i}" for _, i in axes], "left").select(*points.columns, *(total(v).alias(v) for v in values))
 
 
 class Grid:
@@ -98,14 +118,21 @@ class Grid:
 
 
 def _filled(x: np.ndarray) -> np.ndarray:
-    """Missing cells of a slice from the nearest cell that is not; a slice without any is 0."""
+    """Missing cells of a slice from the nearest cell that is not; a slice without any is 0. Each column's nearest row first, then for each row
+    the column whose two steps together are least."""
     bad = ~np.isfinite(x)
     if bad.all():
         return np.zeros_like(x)
-    if bad.any():
-        x = x.copy()
-        good = np.argwhere(~bad)
-        for part in np.array_split(np.argwhere(bad), max(1, int(bad.sum()) // 1000)):
-            near = good[((part[:, None, :] - good[None, :, :]) ** 2).sum(2).argmin(1)]
-            x[tuple(part.T)] = x[tuple(near.T)]
-    return x
+    if not bad.any():
+        return x
+    row, col = np.arange(len(x))[:, None], np.arange(x.shape[1])
+    above = np.maximum.accumulate(np.where(bad, -(1 << 30), row))
+    below = np.minimum.accumulate(np.where(bad, 1 << 30, row)[::-1])[::-1]
+    near = np.where(row - above <= below - row, above, below)
+    away = (near - row).astype(float) ** 2
+    out = x.copy()
+    for i in np.flatnonzero(bad.any(1)):
+        holes = np.flatnonzero(bad[i])
+        best = ((holes[:, None] - col) ** 2 + away[i]).argmin(1)
+        out[i, holes] = x[near[i, best], best]
+    return out

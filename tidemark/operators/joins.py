@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import chord_km, haversine_km, unit_vector
-from ..refdata import KM_PER_DEGREE, MOUTH_KM, RECURRENCE_KM
+from ..refdata import EARTH_KM, KM_PER_DEGREE, MOUTH_KM, RECURRENCE_KM
 from .scratch import settle
 
 
@@ -37,22 +37,31 @@ def cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
     return F.floor(lat / size).cast("int"), F.floor(lon / size).cast("int")
 
 
-def around(df: DataFrame, lat: str, lon: str, size: float, reach: int = 1, reach_lon: int | None = None) -> DataFrame:
+def around(df: DataFrame, lat: str, lon: str, size: float, reach: int = 1) -> DataFrame:
     """df repeated for the cells around each row's own."""
     y, x = cells(F.col(lat), F.col(lon), size)
-    side, wide = reach, reach if reach_lon is None else reach_lon
-    return df.withColumn("_cy", F.explode(F.sequence(y - side, y + side))).withColumn("_cx", F.explode(F.sequence(x - wide, x + wide)))
+    return df.withColumn("_cy", F.explode(F.sequence(y - reach, y + reach))).withColumn("_cx", F.explode(F.sequence(x - reach, x + reach)))
 
 
-def within_radius(left: DataFrame, right: DataFrame, km: float, condition: Column | None = None, max_abs_lat: float = 23.0) -> DataFrame:
-    """Pairs of rows (columns of right with r_ in front) at most km apart, by an equi-join on cells and exact distances after.
+def within_radius(left: DataFrame, right: DataFrame, km: float, condition: Column | None = None) -> DataFrame:
+    """Pairs of rows (columns of right with r_ in front) at most km apart, anywhere on the sphere, by an equi-join on cells and exact distances after.
 
-    Right rows are repeated for the cells around their own, so each pair meets in one cell. max_abs_lat bounds how narrow a degree of longitude gets."""
-    size = km / KM_PER_DEGREE * 1.0001
-    wide = math.ceil(1 / math.cos(math.radians(min(max_abs_lat, 89.0))) - 1e-9)
-    y, x = cells(F.col("lat"), F.col("lon"), size)
-    near = around(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), "r_lat", "r_lon", size, 1, wide)
-    pairs = left.withColumn("_cy", y).withColumn("_cx", x).join(near, ["_cy", "_cx"])
+    Bands of latitude are as high as km; a band is cut into equal cells of longitude, wide enough that whatever is near lies in the cell or the ones
+    beside it, around the globe. A right row is repeated for nine cells, so each pair meets in one."""
+    size = math.degrees(km / EARTH_KM) * 1.0001
+    reach = math.sin(km / EARTH_KM) * 1.0002
+
+    def cell(band: Column, lon: Column, step: int = 0) -> Column:
+        farthest = (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size
+        wide = F.when(farthest < 89, F.degrees(F.asin(F.least(F.lit(reach) / F.cos(F.radians(farthest)), F.lit(1.0))))).otherwise(360.0)
+        n = F.greatest(F.floor(360.0 / wide), F.lit(1))
+        return F.pmod(F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * n), n - 1) + step, n)
+
+    band = lambda lat: F.floor(lat / size)
+    near = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_cy", F.explode(F.sequence(band(F.col("r_lat")) - 1, band(F.col("r_lat")) + 1)))
+    near = near.withColumn("_cx", F.explode(F.array_distinct(F.array(*(cell(F.col("_cy"), F.col("r_lon"), k) for k in (-1, 0, 1))))))
+    own = left.withColumn("_cy", band(F.col("lat")))
+    pairs = own.withColumn("_cx", cell(F.col("_cy"), F.col("lon"))).join(near, ["_cy", "_cx"])
     if condition is not None:
         pairs = pairs.where(condition)
     pairs = pairs.withColumn("distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
@@ -61,7 +70,7 @@ def within_radius(left: DataFrame, right: DataFrame, km: float, condition: Colum
 
 def persistence(hotspots: DataFrame, history: DataFrame, run: str, km: float = RECURRENCE_KM) -> DataFrame:
     """hotspots (id, lat, lon, ...) with persistence: the share of earlier runs that have a hotspot within km; 0 without earlier runs.
-    History is first reduced to a row per run and cell, which bounds what a hot cell brings to the join."""
+    Of history a row per run and distinct place is joined."""
     runs = history.select(run).distinct().agg(F.count("*").alias("_runs"))
     hits = within_radius(hotspots.select("id", "lat", "lon"), history.select(run, "lat", "lon").distinct(), km).select("id", f"r_{run}").distinct()
     counted = hits.groupBy("id").agg(F.count("*").alias("_hits"))
@@ -120,46 +129,37 @@ def time_shifted(track: DataFrame, key: str, time: str, shifts: tuple[int, ...],
     return out
 
 
-def greedy_dedup(rows: DataFrame, region: str, order: list[str], km: float = RECURRENCE_KM) -> DataFrame:
-    """Newest-first proximity dedup: in order within each region, a row within km of one already kept is absorbed by the first such, others
-    are kept. Returns the kept rows with seen (distinct observed values of what it stands for).
-
-    The rule is sequential, so a region's rows are taken in one group. Regions come from `proximity_regions`, which splits rows that no chain of
-    near rows connects."""
-    import numpy as np
-    import pandas as pd
-
-    kind = rows.schema
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([c.lstrip("-") for c in order], ascending=[not c.startswith("-") for c in order], kind="stable").reset_index(drop=True)
-        lat, lon = np.radians(part["lat"].to_numpy()), np.radians(part["lon"].to_numpy())
-        kept: list[int] = []
-        seen: list[set] = []
-        for i in range(len(part)):
-            if kept:
-                k = np.array(kept)
-                a = np.sin((lat[k] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[k]) * np.sin((lon[k] - lon[i]) / 2) ** 2
-                near = np.flatnonzero(2 * 6371.0 * np.arcsin(np.sqrt(a)) <= km)
-                if len(near):
-                    seen[near[0]].add(part.at[i, "observed"])
-                    continue
-            kept.append(i)
-            seen.append({part.at[i, "observed"]})
-        out = part.iloc[kept].copy()
-        out["seen"] = [len(s) for s in seen]
-        return out
-
-    return rows.groupBy(region).applyInPandas(one, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) + ", seen long")
-
-
-def proximity_regions(rows: DataFrame, km: float = RECURRENCE_KM) -> DataFrame:
-    """rows (id, lat, lon, ...) with region: the smallest id that steps of at most km between rows reach."""
-    from .raster import min_label
-
-    edges = within_radius(rows.select("id", "lat", "lon"), rows.select("id", "lat", "lon"), km).where("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
-    labels = min_label(edges).withColumnRenamed("node", "id")
-    return rows.join(labels, "id", "left").withColumn("region", F.coalesce("label", "id")).drop("label")
+def greedy_dedup(rows: DataFrame, order: list[str], km: float = RECURRENCE_KM) -> DataFrame:
+    """Proximity dedup of rows (id, lat, lon, observed, ...) in an order of columns (descending with a - in front; ids are unique): a row within km of one already
+    kept is absorbed by the first such, others are kept. Returns the kept rows with seen (distinct observed values of what each stands for).
+
+    The rule is sequential, yet a row is settled once all earlier rows near it are: it is absorbed if one of them is kept, and kept if none is
+    left. Each round settles all such rows by equi-joins over the near pairs, so a region of any size spreads over tasks; rounds grow with the longest
+    chain of rows that wait for each other."""
+    kinds = dict(rows.dtypes)
+
+    def key(c: str) -> Column:
+        name = c.lstrip("-")
+        x = F.unix_micros(F.col(name).cast("timestamp")) if kinds[name].startswith("timestamp") else F.col(name)
+        return (-x if c.startswith("-") else x).alias(name)
+
+    places = settle(rows.select("id", "lat", "lon", F.struct(*(key(c) for c in order)).alias("o")), "places")
+    pairs = settle(within_radius(places, places, km, F.col("r_o") < F.col("o")).select("id", "r_id", "r_o"), "pairs")
+    left, waiting = pairs.select("id", "r_id"), places.select("id")
+    done = None
+    while True:
+        new = settle(waiting.join(left.select("id").distinct(), "id", "left_anti"), "kept")
+        done = new if done is None else done.union(new)
+        gone = settle(left.join(new.withColumnRenamed("id", "r_id"), "r_id", "left_semi").select("id").distinct(), "absorbed")
+        waiting = settle(waiting.join(new.union(gone), "id", "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+        left = settle(left.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "r_id"), "r_id", "left_anti"), "left")
+    kept = settle(done, "kept")
+    owner = pairs.join(kept.withColumnRenamed("id", "r_id"), "r_id", "left_semi").groupBy("id").agg(F.min(F.struct("r_o", "r_id"))["r_id"].alias("owner"))
+    owner = owner.join(kept, "id", "left_anti").union(kept.select("id", F.col("id").alias("owner")))
+    seen = rows.select("id", "observed").join(owner, "id").groupBy(F.col("owner").alias("id")).agg(F.count_distinct("observed").alias("seen"))
+    return rows.join(seen, "id").select(*rows.columns, "seen")
 
 
 def by_priority(sources: DataFrame, key: list[str], priority: str) -> DataFrame:

@@ -29,39 +29,45 @@ def mad_z(pixels: DataFrame, value: str, background: str, valid: str = "valid",
 
 
 def nearest_filled(blocks: DataFrame, values: list[str], row: str = "br", col: str = "bc", reach: int | None = None) -> DataFrame:
-    """Cells without a value take that of the nearest cell with one (by squared steps, then row and column), no farther than reach if given.
+    """Cells without a value take that of the nearest cell with one (by squared steps, then row and column), no farther than reach if given; a scene without
+    any keeps none.
 
-    Holes grow their search by equi-joins on ring offsets, a step at a time, until none is left; each round joins only what is still open."""
+    Two passes, whatever the distance: windows carry each column's nearest values down and up, then each row that has holes looks for the column
+    whose two steps together are least. A task holds a row or a column of a scene, never a scene."""
     key = ["scene", row, col]
-    out = []
-    for v in values:
-        full = blocks.where(F.col(v).isNotNull()).select(*key, v)
-        # a ring at distance s holds all cells whose larger step is s; squared distance is then between s^2 and 2 s^2
-        holes = settle(blocks.where(F.col(v).isNull()).select(*key, F.lit(None).cast("struct<d:int,r:int,c:int,v:double>").alias("best")), "holes")
-        limit = reach if reach is not None else 1 << 14
-        step, done = 1, []
-        if reach is None:
-            has = full.select("scene").distinct()
-            done.append(holes.join(has, "scene", "left_anti").select(*key, F.lit(None).cast("double").alias(v)))
-            holes = holes.join(has, "scene", "left_semi")
-        while step <= limit and not holes.isEmpty():
-            ring = [(a, b) for a in range(-step, step + 1) for b in range(-step, step + 1) if max(abs(a), abs(b)) == step]
-            if reach is not None:
-                ring = [(a, b) for a, b in ring if a * a + b * b <= reach * reach]
-            offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ring))
-            probe = holes.withColumn("o", F.explode(offsets)).select(*key, (F.col(row) + F.col("o.a")).alias("_r"), (F.col(col) + F.col("o.b")).alias("_c"), (F.col("o.a") * F.col("o.a") + F.col("o.b") * F.col("o.b")).alias("_d"))
-            hit = probe.join(full.select("scene", F.col(row).alias("_r"), F.col(col).alias("_c"), F.col(v).alias("_v")), ["scene", "_r", "_c"])
-            hit = hit.groupBy(*key).agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_r").alias("r"), F.col("_c").alias("c"), F.col("_v").cast("double").alias("v"))).alias("new"))
-            holes = holes.join(hit, key, "left").withColumn("best", F.least("best", "new")).drop("new")
-            holes = settle(holes, "holes")
-            # later rings are at least step + 1 away
-            sure = F.col("best").isNotNull() & (F.col("best.d") <= (step + 1) * (step + 1) - 1)
-            done.append(holes.where(sure).select(*key, F.col("best.v").alias(v)))
-            holes = holes.where(~sure)
-            step += 1
-        done.append(holes.select(*key, F.col("best.v").alias(v)))
-        out.append(reduce(DataFrame.union, [full, *done]))
-    return reduce(lambda a, b: a.join(b, key), out)
+    return reduce(lambda a, b: a.join(b, key), [_filled_value(blocks, v, row, col, reach) for v in values])
+
+
+def _filled_value(blocks: DataFrame, value: str, row: str, col: str, reach: int | None) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    r, v = F.col(row), F.col(value)
+    down, up = (W.partitionBy("scene", col).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (r.asc(), r.desc()))
+    carried = F.when(v.isNotNull(), F.struct(r.alias("r"), v.alias("v")))
+    near = blocks.select("scene", row, col, value, F.last(carried, True).over(down).alias("a"), F.last(carried, True).over(up).alias("b"))
+    nearer = F.when(F.col("b").isNull() | (r - F.col("a.r") <= F.col("b.r") - r), F.col("a")).otherwise(F.col("b"))
+    near = near.withColumn("n", nearer).select("scene", row, col, value, F.col("n.r").alias("nr"), F.col("n.v").cast("double").alias("nv"))
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(col)
+        has = p[p["nr"].notna()]
+        holes = np.flatnonzero(p[value].isna().to_numpy())
+        out = p[value].to_numpy(float).copy()
+        at, r0 = p[col].to_numpy(np.int64), int(p[row].iloc[0])
+        c, nr, nv = has[col].to_numpy(np.int64), has["nr"].to_numpy(np.int64), has["nv"].to_numpy(float)
+        order = np.lexsort((c, nr))  # of equally near cells the first row, then the first column
+        c, nr, nv = c[order], nr[order], nv[order]
+        for i in range(0, len(holes) if len(c) else 0, 512):
+            h = holes[i : i + 512]
+            d = (at[h][:, None] - c) ** 2 + (nr - r0) ** 2
+            best = d.argmin(1)
+            ok = d[np.arange(len(h)), best] <= (np.inf if reach is None else reach * reach)
+            out[h[ok]] = nv[best[ok]]
+        return pd.DataFrame({"scene": p["scene"], row: p[row], col: p[col], value: pd.Series(out, p.index).astype(object).where(~np.isnan(out), None)})
+
+    kind = ", ".join(f"`{c}` {t}" for c, t in blocks.select("scene", row, col).dtypes) + f", `{value}` double"
+    return near.groupBy("scene", row).applyInPandas(one, kind)
 
 
 def upsampled(pixels: DataFrame, blocks: DataFrame, value: str, block: int, size: DataFrame) -> DataFrame:

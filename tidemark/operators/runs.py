@@ -51,8 +51,9 @@ def recent_granules(granules: DataFrame, begin, end, least: float = 0.15) -> Dat
     return rank_granules(granules.where((F.col("start") >= begin) & (F.col("start") <= end) & (F.col("coverage") >= least)), 0.0)
 
 
-def cut(granules: DataFrame, most: int) -> DataFrame:
-    return granules.limit(most)
+def cut(granules: DataFrame, most: int, name: str = "name") -> DataFrame:
+    """The first so many by name."""
+    return granules.orderBy(name).limit(most)
 
 
 def weather_source(day, today, late_days: int = 6):

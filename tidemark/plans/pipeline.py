@@ -27,9 +27,9 @@ def detected(pixels: DataFrame, pixel_km: float, block: int, per_scene: int = 10
 
 def merged(hotspots: DataFrame) -> DataFrame:
     """Sightings of several passes as one: the newest of each place stays, with how often it recurred."""
-    kept = joins.greedy_dedup(joins.proximity_regions(hotspots), "region", ["-observed", "id"])
+    kept = joins.greedy_dedup(hotspots, ["-observed", "id"])
     passes = hotspots.select("observed").distinct().agg((F.count("*") - 1).alias("_n"))
-    return kept.crossJoin(F.broadcast(passes)).withColumn("recurrence", F.round((F.col("seen") - 1) / F.greatest(F.lit(1), "_n"), 3)).drop("seen", "_n", "region")  # passes: one row
+    return kept.crossJoin(F.broadcast(passes)).withColumn("recurrence", F.round((F.col("seen") - 1) / F.greatest(F.lit(1), "_n"), 3)).drop("seen", "_n")  # passes: one row
 
 
 def assessed(spark: SparkSession, hotspots: DataFrame, forcing: Forcing, coast: DataFrame | None, history: DataFrame | None, run_id: str, **kw) -> DataFrame:

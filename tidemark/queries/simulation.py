@@ -119,7 +119,7 @@ def route_plan(s: Source) -> DataFrame:
 @query("greedy_dedup")
 def greedy_dedup(s: Source) -> DataFrame:
     o = s.view("obs").where("event_type = 'error'").select(F.col("event_id").alias("id"), "lat", "lon", F.col("ts").alias("observed"))
-    kept = joins.greedy_dedup(joins.proximity_regions(o), "region", ["-observed", "id"])
+    kept = joins.greedy_dedup(o, ["-observed", "id"])
     passes = o.select("observed").distinct().agg((F.count("*") - 1).alias("n"))
     return kept.crossJoin(F.broadcast(passes)).select("id", "lat", "lon", "observed", r((F.col("seen") - 1) / F.greatest(F.lit(1), "n"), 3).alias("recurrence"))  # passes: one row
 

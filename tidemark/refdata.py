@@ -19,6 +19,20 @@ RECURRENCE_KM, BACKTRACK_HOURS, MOUTH_KM = 15.0, 72, 60.0
 BAND_NM = {"B4": 664.8, "B8": 832.8, "B11": 1612.0}
 COMPASS = ("north", "north-east", "east", "south-east", "south", "south-west", "west", "north-west")
 
+# Texts of actions and of source attribution.
+ACTIONS = {
+    "ashore": "Seen %d h ago; the drift model says it has most likely already washed ashore near %.2fN %.2fE: send a beach cleanup / survey team.",
+    "beaching": "Likely to wash ashore near %.2fN %.2fE: half of the forecast particles are ashore by +%.0f h (%.0f%% by +48 h). Send a shoreline cleanup team and alert %s.",
+    "High": "Deploy a cleanup vessel within 24 h; intercept near %.2fN %.2fE before it reaches %s.",
+    "Medium": "Schedule a patrol and re-check the next satellite pass; watch the approach to %s.",
+    "Low": "Monitor: low confidence or far from sensitive coast.",
+}
+ORIGINS = {
+    "mouth": "%.0f%% of back-tracked particles reach the coast within %d h, mostly near the %s: likely a river-borne, land-based source.",
+    "coast": "%.0f%% of back-tracked particles reach the nearby coastline within %d h: likely a local coastal source.",
+    "sea": "Stayed at sea for the last %d h: about %.0f km %s of here %d days ago. Source further upstream than %d h.",
+}
+
 # Sensitive sites, in order (ties go to the first).
 SITES = (
     ("Sundarbans mangroves", "Mangrove / UNESCO site", 21.75, 89.20, 1.0),

@@ -51,8 +51,11 @@ def daily_fields(paths_by_product: dict[str, list[str]], spark: SparkSession, ki
 def synthetic_bands(cube: DataFrame, bands: DataFrame) -> DataFrame:
     """Bands (band, lo, hi) from a swath cube (row, col, wavelength, rhos): the mean over wavelengths inside, or the wavelength nearest to the middle.
     Which wavelengths make a band is settled on the short list of distinct wavelengths, which is then joined to the cube."""
+    n = bands.count()
+    if n > 1_000:
+        raise ValueError(f"{n} bands")
     waves = cube.select("wavelength").distinct()
-    both = waves.crossJoin(F.broadcast(bands.limit(100)))  # bands: a dozen rows
+    both = waves.crossJoin(F.broadcast(bands))  # counted: a dozen rows
     gap = F.abs(F.col("wavelength") - (F.col("lo") + F.col("hi")) / 2)
     within = (F.col("wavelength") >= F.col("lo")) & (F.col("wavelength") <= F.col("hi"))
     w = W.partitionBy("band")
