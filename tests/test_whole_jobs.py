@@ -1,4 +1,4 @@
-"""Queries over all rows, against the SQL of their smaller form without its filter, or brute force."""
+"""Queries over all rows, against brute force."""
 
 import os
 import random
@@ -8,42 +8,13 @@ from pyspark.sql import functions as F
 
 from tidemark import refdata
 from tidemark.operators import classify, decide, drift, evaluate, joins, raster
-from tidemark.queries import ORACLE_SQL, QUERIES
+from tidemark.queries import QUERIES
 
-from .test_queries import D, duck, ordered  # noqa: F401
+from .test_queries import D
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
 
 
-def same_without(spark, duck, name, *filters):  # noqa: F811
-    sql = ORACLE_SQL[name]
-    for f in filters:
-        assert sql.count(f) == 1
-        sql = sql.replace(f, "")
-    want = duck.sql(sql)
-    got = QUERIES[f"{name}_all"](spark, D).select(*want.columns)
-    rows = ordered(got.collect())
-    assert rows == ordered(want.fetchall()) != ordered(QUERIES[name](spark, D).select(*want.columns).collect())
-
-
-@pytest.mark.parametrize("name, part", [("bearings", " WHERE o.event_id % 10 = 0"), ("leg_crosses_land", " WHERE o.event_id % 50 = 0")])
-def test_legs_and_bearings_of_all_observations(spark, duck, name, part):  # noqa: F811
-    same_without(spark, duck, name, part)
-
-
-def test_night_bands_of_all_users(spark, tmp_path):
-    """The largest id of the smallest tables is below 200: ids are moved up."""
-    import duckdb
-
-    events = spark.read.parquet(f"{D}/events.parquet")
-    events.withColumn("user_id", events.user_id + 190).write.parquet(f"{tmp_path}/events.parquet")
-    con = duckdb.connect()
-    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
-    want = con.sql(ORACLE_SQL["night_bands"].replace(" WHERE user_id < 200", ""))
-    got = QUERIES["night_bands_all"](spark, str(tmp_path)).select(*want.columns).collect()
-    assert ordered(got) == ordered(want.fetchall()) and max(x.user_id for x in got) >= 200
-
-
 def test_nearest_in_time_is_brute_force_at_any_distance(spark):
     r = random.Random(4)
     slices = [(k, r.choice([0, 10, 40, 41]) * 86_400 + r.randrange(20_000)) for k in range(30)]
@@ -56,10 +27,6 @@ def test_nearest_in_time_is_brute_force_at_any_distance(spark):
     assert len(none) == len(times) and all(x.k is None for x in none)
 
 
-def test_asof_over_all_slices(spark, duck):  # noqa: F811
-    same_without(spark, duck, "asof_nearest_slice", " WHERE o_orderkey % 5 = 0", " WHERE abs(c.moment - c.t) < 86400")
-
-
 @pytest.mark.parametrize("name", ["forecast", "nowcast", "backtrack", "route_plan"])
 def test_ensembles_are_whole(spark, monkeypatch, name):
     simulate, sea, runs, seas = drift.simulate, decide.Sea, [], []
@@ -73,14 +40,6 @@ def test_ensembles_are_whole(spark, monkeypatch, name):
         assert rows == refdata.MAX_HOTSPOTS
 
 
-def test_source_priority_of_all_customers(spark, duck):  # noqa: F811
-    sql = ORACLE_SQL["source_priority"]
-    assert sql.count(" AND o_custkey % 3 = 0") == 1
-    want = duck.sql(sql.replace(" AND o_custkey % 3 = 0", ""))
-    got = ordered(QUERIES["source_priority_all"](spark, D).select(*want.columns).collect())
-    assert got == ordered(want.fetchall()) != ordered(QUERIES["source_priority"](spark, D).select(*want.columns).collect())
-
-
 def test_cap_keeps_every_class(spark):
     rows = spark.range(20_100).select("id", (F.col("id") % 10_050).alias("label"))
     assert evaluate.class_cap(rows, "label", F.col("id"), 1).count() == 10_050

@@ -31,14 +31,14 @@ def offset_degrees(lat: Column, dx_m: Column, dy_m: Column) -> tuple[Column, Col
     return dy_m / METRES_PER_DEGREE, dx_m / (METRES_PER_DEGREE * F.cos(F.radians(lat)))
 
 
-def _compass(angle: Column, names: tuple[str, ...] = COMPASS) -> Column:
+def compass(angle: Column, names: tuple[str, ...] = COMPASS) -> Column:
     return F.get(F.array(*map(F.lit, names)), F.pmod(F.floor((angle + 180.0 / len(names)) / (360.0 / len(names))), F.lit(len(names))).cast("int"))
 
 
 def bearing_text(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Eight-way direction on a plane scaled at the mean latitude."""
     dx = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
-    return _compass(F.pmod(F.degrees(F.atan2(dx, lat2 - lat1)) + 360, F.lit(360.0)))
+    return compass(F.pmod(F.degrees(F.atan2(dx, lat2 - lat1)) + 360, F.lit(360.0)))
 
 
 def spherical_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -47,6 +47,35 @@ def spherical_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) ->
     return F.pmod(F.degrees(F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))) + 360, F.lit(360.0))
 
 
+#: Of the WGS-84 ellipsoid: equatorial radius, third flattening; scale of UTM's central meridian.
+_A, _N, _K0 = 6378137.0, 1 / (2 * 298.257223563 - 1), 0.9996
+_RECTIFYING = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing in metres in a UTM zone (negative for the southern hemisphere), by the transverse Mercator series to the third order."""
+    phi, lam = F.radians(lat), F.radians(lon - (F.abs(zone) * 6 - 183))
+    e = 2 * _N**0.5 / (1 + _N)
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    x = eta + sum((a * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+    y = xi + sum((a * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+    return 500_000 + _K0 * _RECTIFYING * x, _K0 * _RECTIFYING * y + F.when(zone < 0, 10_000_000.0).otherwise(0.0)
+
+
+def from_utm(x: Column, y: Column, zone: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a place in a UTM zone."""
+    xi, eta = (y - F.when(zone < 0, 10_000_000.0).otherwise(0.0)) / (_K0 * _RECTIFYING), (x - 500_000) / (_K0 * _RECTIFYING)
+    a = xi - sum((b * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
+    c = eta - sum((b * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(a) / F.cosh(c))
+    lat = chi + sum((d * F.sin(2 * k * chi) for k, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
+    return F.degrees(lat), F.abs(zone) * 6 - 183 + F.degrees(F.atan2(F.sinh(c), F.cos(a)))
+
+
 def point_in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     """Even-odd test against a ring: array of structs (lat, lon), closed or not. Points on an edge are unspecified."""
     n = F.size(ring)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..refdata import ANNOTATOR_WEIGHTS, FLOATING_CLASSES
 
+DEBRIS_CLASS = FLOATING_CLASSES[0]
+
 
 def annotator_weight(conf: Column) -> Column:
     out = F.lit(0.4)
@@ -46,13 +48,15 @@ def vectors(df: DataFrame, features: list[str] | str, out: str = "features") ->
     return df.withColumn(out, array_to_vector(x.cast("array<double>")))
 
 
-def fit(df: DataFrame, label: str = "label", weight: str | None = None, trees: int = 40, rounds: int = 8, depth: int = 6, seed: int = 42):
+def fit(df: DataFrame, label: str = "label", weight: str | None = None, trees: int = 40, rounds: int = 8, depth: int = 6, seed: int = 42, booster: bool = True):
     """(forest, booster) on df (features, label 0..k-1). Extra trees and histogram boosting of many classes are not part of Spark: the forest
     is a random one and the booster gradient-boosted trees, one against the rest."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 
     kw = {"weightCol": weight} if weight else {}
     forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, **kw).fit(df)
+    if not booster:
+        return forest, None
     base = GBTClassifier(maxIter=rounds, maxDepth=min(depth, 4), seed=seed, checkpointInterval=-1)
     return forest, OneVsRest(classifier=base, labelCol=label, **kw).fit(df)
 
@@ -73,3 +77,75 @@ def probabilities(df: DataFrame, forest, booster=None) -> DataFrame:
 
 def importances(forest, names: list[str], top: int = 20) -> list[tuple[str, float]]:
     return sorted(zip(names, map(float, forest.featureImportances.toArray())), key=lambda x: -x[1])[:top]
+
+
+#: Models by name, as an experiment compares them: trees or rounds, depth.
+MODELS = {"forest": lambda **kw: fit(booster=False, **kw), "two experts": lambda **kw: fit(**kw)}
+
+
+class Bundle:
+    """A fitted pair with its classes; `save` and `load` keep it in a folder that Spark can write."""
+
+    def __init__(self, forest, booster, classes: list[int]):
+        self.forest, self.booster, self.classes = forest, booster, classes
+
+    def judged(self, df: DataFrame, weight: float = 0.5) -> DataFrame:
+        """df (features) with label, p_floating and p_debris."""
+        p = probabilities(df, self.forest, self.booster)
+        label = two_expert(F.col("p_forest"), F.col("p_booster") if self.booster else None, self.classes, weight)
+        return p.select(*df.columns, label.alias("label"), group_probability(F.col("p_forest"), self.classes, FLOATING_CLASSES).alias("p_floating"), group_probability(F.col("p_forest"), self.classes, (DEBRIS_CLASS,)).alias("p_debris"))
+
+    def save(self, spark, path: str) -> None:
+        self.forest.write().overwrite().save(f"{path}/forest")
+        if self.booster:
+            self.booster.write().overwrite().save(f"{path}/booster")
+        spark.createDataFrame([(self.classes, self.booster is not None)], "classes array<int>, booster boolean").write.mode("overwrite").json(f"{path}/classes")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Bundle | None:
+        """The bundle of a folder, or None where there is none: detection then goes without."""
+        from pyspark.errors import AnalysisException
+        from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
+
+        try:
+            known = spark.read.schema("classes array<int>, booster boolean").json(f"{path}/classes").first()
+        except AnalysisException:
+            return None
+        return cls(RandomForestClassificationModel.load(f"{path}/forest"), OneVsRestModel.load(f"{path}/booster") if known.booster else None, list(known.classes))
+
+
+def trained(df: DataFrame, label: str = "label", weight: str | None = None, model: str = "two experts", **kw) -> Bundle:
+    """A bundle on df (features, label: any class numbers)."""
+    classes = sorted(x[0] for x in df.select(F.col(label).cast("int")).distinct().collect())  # a class is a row
+    place = F.create_map(*(F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))))
+    forest, booster = MODELS[model](df=df.withColumn("_label", F.element_at(place, F.col(label).cast("int"))), label="_label", weight=weight, **kw)
+    return Bundle(forest, booster, classes)
+
+
+def report(scored: DataFrame, truth: str = "truth", predicted: str = "label") -> dict[str, DataFrame]:
+    """What a trained model is judged by: per class, debris, floating, the confusion table."""
+    from .evaluate import binary_scores, confusion, precision_recall
+
+    m = confusion(scored, truth, predicted)
+    group = lambda ids: binary_scores(scored, F.col(truth).isin(*ids), F.col(predicted).isin(*ids))
+    return {"classes": precision_recall(m), "debris": group((DEBRIS_CLASS,)), "floating": group(FLOATING_CLASSES), "confusion": m}
+
+
+def experiments(learn: DataFrame, held: DataFrame, sets: dict[str, list[str]], models: tuple[str, ...] = ("forest", "two experts"), weights: tuple[str | None, ...] = (None, "weight"), **kw) -> DataFrame:
+    """(features, model, weighted, accuracy, macro_f1): each feature set with each model, weighted or not, fitted on learn and scored on held (columns of the
+    sets, label, weight). A row per fit."""
+    from functools import reduce
+
+    from .evaluate import confusion, precision_recall
+
+    out = []
+    for name, columns in sets.items():
+        a, b = vectors(learn, columns), vectors(held, columns)
+        for model in models:
+            for weight in weights:
+                scored = trained(a, weight=weight, model=model, **kw).judged(b.withColumnRenamed("label", "truth"))
+                m = confusion(scored, "truth", "label")
+                right = m.agg((F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+                f1 = precision_recall(m).agg(F.avg("f1").alias("macro_f1"))
+                out.append(right.crossJoin(f1).select(F.lit(name).alias("features"), F.lit(model).alias("model"), F.lit(weight is not None).alias("weighted"), "accuracy", "macro_f1"))  # one row each
+    return reduce(DataFrame.union, out)

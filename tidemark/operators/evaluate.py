@@ -85,6 +85,11 @@ def class_cap(df: DataFrame, label: str, key: Column, most: int, seed: int = 42)
     return thin.withColumn("_k", F.row_number().over(W.partitionBy(label).orderBy("_draw", key))).where(F.col("_k") <= most).drop("_n", "_draw", "_k")
 
 
+def spectra(df: DataFrame, label: str, values: str) -> DataFrame:
+    """(label, band, mean, n): the mean of each component of an array column by class."""
+    return df.select(label, F.posexplode(values).alias("band", "_v")).groupBy(label, "band").agg(F.avg("_v").alias("mean"), F.count("*").alias("n"))
+
+
 def parameter_grid(cases: DataFrame, parameters: DataFrame) -> DataFrame:
     """Every case with every parameter row; the grid is a short list given by the caller, broadcast after a count."""
     n = parameters.count()

@@ -124,6 +124,28 @@ def sobel(pixels: DataFrame, value: str) -> DataFrame:
     return pixels.join(v.select("scene", "row", "col", F.hypot("gx", "gy").alias(f"{value}_grad")), ["scene", "row", "col"])
 
 
+def textures(pixels: DataFrame, widths: dict[str, tuple[int, ...]], grads: tuple[str, ...] = ()) -> DataFrame:
+    """pixels (dense: scene, row, col, rows, cols) with <value>_m<width> and <value>_s<width> of every value's widths and <value>_grad of some: what `focal`
+    and `sobel` give, for all at once. Rows go through one window by row of a scene and one by column, with all their columns; no join."""
+    values = sorted({*widths, *grads})
+    reach = max([1, *(w // 2 for ws in widths.values() for w in ws)])
+    own = [(v, w) for v, ws in widths.items() for w in ws]
+    across, down = W.partitionBy("scene", "row").orderBy("col"), W.partitionBy("scene", "col").orderBy("row")
+    mean = lambda c, part, w: F.avg(c).over(part.rowsBetween(-(w // 2), w // 2))
+    base = pixels.withColumns({f"_{v}": F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(None)), F.lit(0.0)) for v in values}).withColumns({f"_{v}2": F.col(f"_{v}") * F.col(f"_{v}") for v in values})
+    h = reflected(base, "col", "cols", reach)
+    made = {f"_{v}_{w}": mean(f"_{v}", across, w) for v, w in own} | {f"_{v}2_{w}": mean(f"_{v}2", across, w) for v, w in own}
+    made |= {f"_{v}_d": F.lead(f"_{v}").over(across) - F.lag(f"_{v}").over(across) for v in grads} | {f"_{v}_t": F.lag(f"_{v}").over(across) + 2 * F.col(f"_{v}") + F.lead(f"_{v}").over(across) for v in grads}
+    h = h.withColumns(made).where("col >= 0 and col < cols").drop(*(f"_{v}{k}" for v in values for k in ("", "2")))
+    v_ = reflected(h, "row", "rows", reach)
+    made = {f"{v}_m{w}": mean(f"_{v}_{w}", down, w) for v, w in own} | {f"_{v}_q{w}": mean(f"_{v}2_{w}", down, w) for v, w in own}
+    made |= {f"_{v}_x": F.lag(f"_{v}_d").over(down) + 2 * F.col(f"_{v}_d") + F.lead(f"_{v}_d").over(down) for v in grads} | {f"_{v}_y": F.lead(f"_{v}_t").over(down) - F.lag(f"_{v}_t").over(down) for v in grads}
+    out = v_.withColumns(made).where("row >= 0 and row < rows")
+    spread = {f"{v}_s{w}": F.sqrt(F.greatest(F.col(f"_{v}_q{w}") - F.col(f"{v}_m{w}") * F.col(f"{v}_m{w}"), F.lit(0.0))) for v, w in own}
+    out = out.withColumns(spread | {f"{v}_grad": F.hypot(f"_{v}_x", f"_{v}_y") for v in grads})
+    return out.select(*pixels.columns, *(f"{v}_{k}{w}" for v, w in own for k in "ms"), *(f"{v}_grad" for v in grads))
+
+
 def dilated(cells: DataFrame, n: int = 1) -> DataFrame:
     """(scene, row, col) within n steps (up, down, left, right) of any of the cells; not cut at the grid's edge."""
     offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-n, n + 1) for b in range(-n, n + 1) if abs(a) + abs(b) <= n))

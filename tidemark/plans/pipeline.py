@@ -20,9 +20,16 @@ class Forcing:
     land: drift.Land | None = None
 
 
-def detected(pixels: DataFrame, pixel_km: float, block: int, per_scene: int = 10) -> DataFrame:
-    found = detect.hotspots(settle(detect.candidates(pixels, block), "candidates"), pixel_km)
-    return decide.top_hotspots(found, per_scene)
+def detected(pixels: DataFrame, pixel_km: float, block: int, per_scene: int = 10, coast: DataFrame | None = None, rings=(), model=None) -> DataFrame:
+    """The best hotspots of scenes: candidates, less the shore strip and inland water where a coast is given, less what a model (`classify.Bundle`) rejects
+    where there is one. Pixels finer than 100 m are from the sensor that the model learnt on."""
+    fine = pixel_km < 0.1
+    found = settle(detect.candidates(pixels, block, every_band=model is not None), "candidates")
+    if coast is not None:
+        found = settle(detect.off_shore(found, coast, rings, refdata.SHORE_KM[fine]), "off shore")
+    if model is not None:
+        found = settle(detect.classified(found, model, same_sensor=fine), "accepted")
+    return decide.top_hotspots(detect.hotspots(found, pixel_km, same_sensor=fine), per_scene)
 
 
 def merged(hotspots: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the engine, by name, and their SQL."""
 
-from . import analysis, pixels, simulation, spatial  # noqa: F401
+from . import analysis, pixels, serving, simulation, spatial  # noqa: F401
 from .views import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -100,9 +100,13 @@ def class_weights(s: Source) -> DataFrame:
     return evaluate.class_weights(s.table("lineitem").select(F.col("l_linenumber").alias("label")), "label").select("label", "n", r("weight").alias("weight"))
 
 
-@query("class_cap", "SELECT label, least(count(*), 25) AS n FROM embeddings GROUP BY label")
+@query("class_cap", "WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, least(n, 25) AS n, least(n, 25) AS vectors, true AS own FROM n")
 def class_cap(s: Source) -> DataFrame:
-    return evaluate.class_cap(s.table("embeddings"), "label", F.col("vec_id"), 25).groupBy("label").agg(F.count("*").alias("n"))
+    """How many rows of each class the cap leaves, how many vectors these are, and whether all are rows of the class."""
+    e = s.table("embeddings").select("vec_id", "label")
+    few = evaluate.class_cap(e, "label", F.col("vec_id"), 25)
+    true = few.join(e.select("vec_id", F.col("label").alias("own")), "vec_id")
+    return true.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("vectors"), F.bool_and(F.col("label") == F.col("own")).alias("own"))
 
 
 @query("annotator_weight", "SELECT l_linenumber AS conf, CASE l_linenumber WHEN 1 THEN 1.0::double WHEN 2 THEN 0.7::double WHEN 3 THEN 0.4::double ELSE 0.4::double END AS weight, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -173,21 +177,12 @@ def earlier_runs(s: Source) -> DataFrame:
 
 
 @query("night_bands", """
-WITH g AS (SELECT user_id, min(date_trunc('hour', ts)) AS t0 FROM events WHERE user_id < 200 GROUP BY user_id), q AS (SELECT user_id, t0 + to_minutes(15 * k) AS t FROM g CROSS JOIN (SELECT unnest(range(193)) AS k) z),
+WITH g AS (SELECT user_id, min(date_trunc('hour', ts)) AS t0 FROM events GROUP BY user_id), q AS (SELECT user_id, t0 + to_minutes(15 * k) AS t FROM g CROSS JOIN (SELECT unnest(range(193)) AS k) z),
 n AS (SELECT *, extract(hour FROM t + INTERVAL 330 MINUTE) >= 18 OR extract(hour FROM t + INTERVAL 330 MINUTE) < 6 AS night FROM q),
 i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, night ORDER BY t) AS grp FROM n)
 SELECT user_id, min(t) AS starts, max(t) AS ends FROM i WHERE night GROUP BY user_id, grp""")
 def night_bands(s: Source) -> DataFrame:
-    """Users below 200, as in the SQL; night_bands_all has all."""
-    return _night_bands(s.table("events").where("user_id < 200"))
-
-
-@query("night_bands_all")
-def night_bands_all(s: Source) -> DataFrame:
-    return _night_bands(s.table("events"))
-
-
-def _night_bands(events: DataFrame) -> DataFrame:
+    events = s.table("events")
     starts = events.groupBy("user_id").agg(F.min(F.date_trunc("hour", "ts")).cast("timestamp_ntz").alias("t0"))
     return temporal.night_bands(starts, "user_id", "t0", 48)
 
@@ -249,10 +244,9 @@ def percentile_stretch(s: Source) -> DataFrame:
     return s.table("lineitem").groupBy(F.col("l_returnflag").alias("band")).agg(p.alias("p")).select("band", r(F.get("p", F.lit(0)), 4).alias("low"), r(F.get("p", F.lit(1)), 4).alias("high"))
 
 
-@query("class_spectra", "SELECT label, round(avg(embedding[1]), 6) AS b1, round(avg(embedding[2]), 6) AS b2, round(avg(embedding[64]), 6) AS b64, count(*) AS n FROM embeddings GROUP BY label")
+@query("class_spectra", "SELECT label, CAST(i - 1 AS int) AS band, round(avg(embedding[i]), 6) AS mean, count(*) AS n FROM embeddings CROSS JOIN (SELECT unnest(range(1, 65)) AS i) z GROUP BY label, i")
 def class_spectra(s: Source) -> DataFrame:
-    e = lambda i: r(F.avg(F.get("embedding", F.lit(i)))).alias(f"b{i + 1}")
-    return s.table("embeddings").groupBy("label").agg(e(0), e(1), e(63), F.count("*").alias("n"))
+    return evaluate.spectra(s.table("embeddings"), "label", "embedding").select("label", "band", r("mean").alias("mean"), "n")
 
 
 @query("format_labels", "SELECT s_suppkey AS id, printf('HS-%02d', s_suppkey) AS label, printf('%.2fN %.2fE', s_acctbal, s_acctbal / 7) AS place, printf('%.0f%%', s_suppkey % 100 * 1.0) AS pct FROM supplier")

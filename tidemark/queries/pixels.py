@@ -107,18 +107,31 @@ r(scene, k, root) AS (SELECT scene, k, k FROM g UNION SELECT b.scene, b.k, r.roo
 c AS (SELECT scene, k, min(root) AS component FROM r GROUP BY scene, k)"""
 
 
-@query("components", COMPONENTS + " SELECT g.scene, g.row, g.col, component FROM g JOIN c ON c.scene = g.scene AND c.k = g.k")
+#: Components of the cells and of the valid cells one step around them.
+RINGED = COMPONENTS.replace("WITH RECURSIVE g AS (SELECT scene, row, col, CAST(row AS bigint) * 1048576 + col AS k FROM spots)", """WITH RECURSIVE near AS (SELECT DISTINCT s.scene, s.row + y.a AS row, s.col + x.a AS col FROM spots s CROSS JOIN (SELECT unnest(range(-1, 2)) AS a) y CROSS JOIN (SELECT unnest(range(-1, 2)) AS a) x WHERE abs(y.a) + abs(x.a) <= 1),
+every AS (SELECT scene, row, col FROM spots UNION SELECT n.scene, n.row, n.col FROM near n JOIN pix p ON p.scene = n.scene AND p.row = n.row AND p.col = n.col WHERE p.valid),
+g AS (SELECT e.scene, e.row, e.col, CAST(e.row AS bigint) * 1048576 + e.col AS k, s.row IS NOT NULL AS candidate FROM every e LEFT JOIN spots s ON s.scene = e.scene AND s.row = e.row AND s.col = e.col)""")
+
+
+@query("components", RINGED + " SELECT g.scene, g.row, g.col, candidate, component FROM g JOIN c ON c.scene = g.scene AND c.k = g.k")
 def components(s: Source) -> DataFrame:
-    return raster.components(s.view("spots")).select("scene", "row", "col", "component")
+    return raster.components(s.view("spots"), s.view("pix").where("valid")).select("scene", "row", "col", "candidate", "component")
 
 
-@query("component_stats", COMPONENTS + """ SELECT g.scene, component, count(*) AS pixels, round(sum(p.B2 * p.lat) / sum(p.B2), 5) AS lat, round(sum(p.B2 * p.lon) / sum(p.B2), 5) AS lon, round(max(p.v), 6) AS max_v, round(avg(p.B3), 6) AS mean_b3
-FROM g JOIN c ON c.scene = g.scene AND c.k = g.k JOIN pix p ON p.scene = g.scene AND p.row = g.row AND p.col = g.col GROUP BY g.scene, component HAVING count(*) >= 2""")
+@query("component_stats", RINGED + """, h AS (SELECT g.scene, component, p.* EXCLUDE (scene) FROM g JOIN c ON c.scene = g.scene AND c.k = g.k JOIN pix p ON p.scene = g.scene AND p.row = g.row AND p.col = g.col WHERE candidate),
+a AS (SELECT scene, component, count(*) AS pixels, sum(B2 * lat) / sum(B2) AS lat, sum(B2 * lon) / sum(B2) AS lon, max(B2) AS max_z, avg(B2) AS mean_z, avg(B3) AS fdi, avg(B4) AS ndvi FROM h GROUP BY scene, component HAVING count(*) >= 2),
+o AS (SELECT unnest(range(-4, 5)) AS a), ring AS (SELECT DISTINCT h.scene, component, h.row + y.a AS row, h.col + x.a AS col FROM h CROSS JOIN o y CROSS JOIN o x WHERE abs(y.a) + abs(x.a) <= 4),
+e AS (SELECT ring.scene, component, avg(CASE WHEN valid THEN 0 ELSE 1 END) AS edge FROM ring JOIN pix p ON p.scene = ring.scene AND p.row = ring.row AND p.col = ring.col GROUP BY ring.scene, component),
+l AS (SELECT scene, component, label FROM (SELECT scene, component, label, row_number() OVER (PARTITION BY scene, component ORDER BY count(*) DESC, label) AS k FROM (SELECT scene, component, (row + col) % 3 + 1 AS label FROM h) q GROUP BY scene, component, label) z WHERE k = 1)
+SELECT a.scene, a.component, pixels, round(lat, 4) AS lat, round(lon, 4) AS lon, round(max_z, 2) AS max_z, round(fdi, 5) AS mean_fdi, round(pixels * 1.0, 3) AS area_km2, round(greatest(1.0, sqrt(pixels / 3.141592653589793)), 2) AS radius_km, round(edge, 3) AS cloud_edge_fraction, label AS ml_label,
+  round(least(greatest((0.65 * least(greatest(log10(greatest(mean_z, 3.5) / 3.5) / 1.5, 0), 1) + 0.15 * least(greatest(ln(1 + pixels) / ln(41), 0), 1) + 0.20 * 0.5) * (1 - 0.5 * edge), 0), 1), 3) AS confidence
+FROM a JOIN e ON e.scene = a.scene AND e.component = a.component JOIN l ON l.scene = a.scene AND l.component = a.component""")
 def component_stats(s: Source) -> DataFrame:
-    found = raster.components(s.view("spots")).join(s.view("pix"), ["scene", "row", "col"])
-    w = F.col("B2")
-    out = found.groupBy("scene", "component").agg(F.count("*").alias("pixels"), r(F.sum(w * F.col("lat")) / F.sum(w), 5).alias("lat"), r(F.sum(w * F.col("lon")) / F.sum(w), 5).alias("lon"), r(F.max("v")).alias("max_v"), r(F.avg("B3")).alias("mean_b3"))
-    return out.where("pixels >= 2")
+    """Hotspots of given candidates, with a band as z and made-up labels and probabilities."""
+    spots = s.view("spots").withColumn("candidate", F.lit(True))
+    p = s.view("pix").join(spots, ["scene", "row", "col"], "left").withColumn("candidate", F.coalesce("candidate", F.lit(False)))
+    p = p.withColumns({"z": F.col("B2"), "FDI": F.col("B3"), "NDVI": F.col("B4"), "label": (F.col("row") + F.col("col")) % 3 + 1, "p_floating": F.lit(0.5), "p_debris": F.lit(0.1)})
+    return detect.hotspots(p, 1.0).select("scene", "component", "pixels", "lat", "lon", "max_z", "mean_fdi", "area_km2", "radius_km", "cloud_edge_fraction", "ml_label", "confidence")
 
 
 @query("scene_stats", "SELECT scene, count(*) FILTER (valid) AS valid_pixels, count(*) FILTER (B2 > 0.055) AS candidate_pixels, count(*) AS pixels FROM pix GROUP BY scene")
@@ -163,9 +176,8 @@ def pixel_window(s: Source) -> DataFrame:
 
 @query("detect_hotspots")
 def detect_hotspots(s: Source) -> DataFrame:
-    """Detection end to end: background, anomaly, candidates, components, confidence."""
-    found = detect.candidates(s.view("pix"), 8, z_threshold=1.0).withColumn("candidate", F.coalesce(F.col("valid") & (F.col("z") >= 1.0), F.lit(False)))
-    return detect.hotspots(found, 1.0)
+    """Detection end to end: background, anomaly, candidates by all their rules, components, confidence. The tables' values spread little: z counts from 0.3."""
+    return detect.hotspots(detect.candidates(s.view("pix").withColumn("B2", F.col("B2") * 0.5).withColumn("B11", F.col("B11") * 0.5), 8, z_threshold=0.3), 1.0)
 
 
 @query("field_summary", """
@@ -196,9 +208,11 @@ _POINTS = "SELECT event_id AS id, (event_id % 77) / CAST(10 AS double) AS t, 3.5
 
 @query("trilinear_at", f"""
 WITH p AS ({_POINTS}), c AS (SELECT id, least(greatest(t, 0), 7) AS t, least(greatest(lat, 4), 9) AS y, least(greatest(lon, 80), 89) AS x FROM p),
+g AS (SELECT a.t, b.lat, d.lon FROM (SELECT DISTINCT t FROM field) a CROSS JOIN (SELECT DISTINCT lat FROM field) b CROSS JOIN (SELECT DISTINCT lon FROM field) d),
+whole AS (SELECT g.t, g.lat, g.lon, arg_min(n.u, pow(n.lat - g.lat, 2) * 1e6 + pow(n.lon - g.lon, 2) * 1e6 + n.lat * 100 + n.lon) AS u, arg_min(n.v, pow(n.lat - g.lat, 2) * 1e6 + pow(n.lon - g.lon, 2) * 1e6 + n.lat * 100 + n.lon) AS v FROM g JOIN field n ON n.t = g.t GROUP BY g.t, g.lat, g.lon),
 i AS (SELECT *, least(floor(t), 6) AS t0, least(floor(y), 8) AS y0, least(floor(x), 88) AS x0 FROM c), o AS (SELECT unnest([0, 1]) AS k)
 SELECT id, round(sum(f.u * w), 5) AS u, round(sum(f.v * w), 5) AS v FROM (SELECT i.*, a.k AS dt, b.k AS dy, d.k AS dx,
   (CASE WHEN a.k = 1 THEN t - t0 ELSE 1 - (t - t0) END) * (CASE WHEN b.k = 1 THEN y - y0 ELSE 1 - (y - y0) END) * (CASE WHEN d.k = 1 THEN x - x0 ELSE 1 - (x - x0) END) AS w FROM i CROSS JOIN o a CROSS JOIN o b CROSS JOIN o d) q
-JOIN field f ON f.t = t0 + dt AND f.lat = y0 + dy AND f.lon = x0 + dx GROUP BY id""")
+JOIN whole f ON f.t = t0 + dt AND f.lat = y0 + dy AND f.lon = x0 + dx GROUP BY id""")
 def trilinear_at(s: Source) -> DataFrame:
     return field.trilinear(s.sql(_POINTS), s.view("field"), "currents").select("id", r("u", 5).alias("u"), r("v", 5).alias("v"))

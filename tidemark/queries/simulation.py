@@ -46,33 +46,45 @@ def ensemble_moments(s: Source) -> DataFrame:
 
 
 @query("beaching_order_stats", """
-WITH b AS (SELECT id, particle, lat, beach_h FROM parts), o AS (SELECT id, beach_h, row_number() OVER (PARTITION BY id ORDER BY beach_h) AS k FROM b WHERE beach_h IS NOT NULL),
+WITH b AS (SELECT id, particle, lat, beach_h FROM parts WHERE id % 2 = 0 OR beach_h IS NOT NULL OR particle % 3 = 0), o AS (SELECT id, beach_h, row_number() OVER (PARTITION BY id ORDER BY beach_h) AS k FROM b WHERE beach_h IS NOT NULL),
 n AS (SELECT id, count(*) AS n, count(beach_h) AS m, min(beach_h) AS first FROM b GROUP BY id), p AS (SELECT id, round(lat, 4) AS lat FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY particle) AS k FROM b WHERE beach_h IS NOT NULL) z WHERE k = 1)
-SELECT n.id, round(m / CAST(n AS double), 6) AS beached_fraction, first AS first_beaching_h, o.beach_h AS fifth_beached_h, p.lat AS first_lat, least(m, 80) AS points FROM n LEFT JOIN o ON o.id = n.id AND o.k = (n.n * 10 - 10) // 50 + 1 LEFT JOIN p ON p.id = n.id""".replace("(n.n * 10 - 10) // 50 + 1", "5"))
+SELECT n.id, round(m / CAST(n AS double), 6) AS beached_fraction, first AS first_beaching_h, CASE WHEN m * 2 >= n.n THEN o.beach_h END AS half_beached_h, p.lat AS first_lat, least(m, 80) AS points FROM n LEFT JOIN o ON o.id = n.id AND o.k = (n.n - 1) // 2 + 1 LEFT JOIN p ON p.id = n.id""")
 def beaching_order_stats(s: Source) -> DataFrame:
-    p = s.view("parts").withColumn("central", F.lit(False)).withColumn("h", F.lit(1))
-    b = drift.beaching(p)
-    hours = p.where("beach_h is not null").groupBy("id").agg(F.get(F.array_sort(F.collect_list("beach_h")), F.lit(4)).alias("fifth_beached_h"))
-    return b.join(hours, "id", "left").select("id", r("beached_fraction").alias("beached_fraction"), "first_beaching_h", "fifth_beached_h", F.get("beach_points", F.lit(0))["lat"].alias("first_lat"), F.size("beach_points").cast("long").alias("points"))
+    """Beaching of ensembles; of the odd ones two thirds of what floats is left out, so that half of some are ashore."""
+    p = s.view("parts").where("id % 2 = 0 or beach_h is not null or particle % 3 = 0").withColumn("central", F.lit(False)).withColumn("h", F.lit(1))
+    return drift.beaching(p).select("id", r("beached_fraction").alias("beached_fraction"), "first_beaching_h", "half_beached_h", F.get("beach_points", F.lit(0))["lat"].alias("first_lat"), F.size("beach_points").cast("long").alias("points"))
 
 
-@query("drift_central", """
-WITH RECURSIVE d(id, k, lat, lon) AS (SELECT s_suppkey, 0, 10 + s_suppkey % 50 * 0.1::double, 85 + s_suppkey % 40 * 0.1::double FROM supplier
-UNION ALL SELECT id, k + 1, lat + (0.2 * cos(lon + 0.5 * dlon)) * 3600 / 111320, lon + (0.3 * sin(lat + 0.5 * dlat)) * 3600 / (111320 * cos(radians(lat))) FROM
-  (SELECT *, 0.2 * cos(lon) * 3600 / 111320 AS dlat, 0.3 * sin(lat) * 3600 / (111320 * cos(radians(lat))) AS dlon FROM d WHERE k < 48) z)
-SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM d WHERE k = 48""")
-def drift_central(s: Source) -> DataFrame:
-    """Midpoint steps in an analytic field, folded over an array: no shuffle and no Python."""
-    p = s.table("supplier").select(F.col("s_suppkey").alias("id"), F.struct((10 + F.col("s_suppkey") % 50 * F.lit(0.1)).alias("lat"), (85 + F.col("s_suppkey") % 40 * F.lit(0.1)).alias("lon")).alias("at"))
+#: A field linear in time and place, which interpolation gives back as it is: u and v in metres a second by hours, degrees north and east; a calm wind moves things on.
+LINEAR_U, LINEAR_V = "(0.3 + 0.01 * ({h}) - 0.02 * ({y} - 10) + 0.03 * ({x} - 85))", "(-0.1 + 0.005 * ({h}) + 0.04 * ({y} - 10) - 0.01 * ({x} - 85))"
+_M = "111320.0"
 
-    def step(x, _):
-        rate = lambda lat, lon, base: geo.offset_degrees(base, 0.3 * F.sin(lat) * 3600, 0.2 * F.cos(lon) * 3600)
-        dy, dx = rate(x["lat"], x["lon"], x["lat"])
-        ey, ex = rate(x["lat"] + 0.5 * dy, x["lon"] + 0.5 * dx, x["lat"])
-        return F.struct((x["lat"] + ey).alias("lat"), (x["lon"] + ex).alias("lon"))
 
-    end = p.select("id", F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.col("at"), step).alias("p"))
-    return end.select("id", r("p.lat").alias("lat"), r("p.lon").alias("lon"))
+def _stage(k: str, lead: str, share: str) -> str:
+    """SQL of one slope of the method: (u, v) at a step's time and place plus the former slope's share."""
+    y = f"lat + {share} * v{k} * 3600 / {_M}" if k else "lat"
+    x = f"lon + {share} * u{k} * 3600 / ({_M} * cos(radians(lat)))" if k else "lon"
+    n = str(int(k or 0) + 1)
+    at = {"h": f"k + {lead}", "y": f"({y})", "x": f"({x})"}
+    return f"{LINEAR_U.format(**at)} + 0.025 * 4.0 AS u{n}, {LINEAR_V.format(**at)} - 0.025 * 2.0 AS v{n}"
+
+
+@query("drift_central", f"""
+WITH RECURSIVE d(id, k, lat, lon) AS (SELECT s_suppkey, 0::double, 10 + s_suppkey % 50 * 0.1::double, 85 + s_suppkey % 40 * 0.1::double FROM supplier
+UNION ALL SELECT id, k + 1, lat + (v1 + 2 * v2 + 2 * v3 + v4) / 6 * 3600 / {_M}, lon + (u1 + 2 * u2 + 2 * u3 + u4) / 6 * 3600 / ({_M} * cos(radians(lat))) FROM (SELECT *, {_stage("3", "1", "1")} FROM
+  (SELECT *, {_stage("2", "0.5", "0.5")} FROM (SELECT *, {_stage("1", "0.5", "0.5")} FROM (SELECT *, {_stage("", "0", "0")} FROM d WHERE k < 48) p) q) r) z)
+SELECT CAST(id AS varchar) AS id, CAST(k AS int) AS h, round(lat, 6) AS lat, round(lon, 6) AS lon FROM d WHERE CAST(k AS int) % 6 = 0""")
+def drift_central(s: Source) -> DataFrame:
+    """The simulation's particle without noise, every six hours of two days, with windage, in a field that changes with time and place."""
+    start = DAY
+    h = "((t - {start}) / 3600)".format(start=start)
+    grid = s.sql(f"SELECT {start} + 86400.0 * (a.id - 1) AS t, -20.0 + 20 * b.id AS lat, 50.0 + 20 * c.id AS lon FROM range(5) a CROSS JOIN range(4) b CROSS JOIN range(5) c")
+    currents = grid.selectExpr("'k' AS kind", "*", f"{LINEAR_U.format(h=h, y='lat', x='lon')} AS u", f"{LINEAR_V.format(h=h, y='lat', x='lon')} AS v")
+    wind = grid.selectExpr("'k' AS kind", "*", "4.0D AS u", "-2.0D AS v")
+    key = F.col("s_suppkey")
+    seeds = s.table("supplier").select(key.cast("string").alias("id"), (10 + key % 50 * F.lit(0.1)).alias("lat"), (85 + key % 40 * F.lit(0.1)).alias("lon"), F.lit(0.0).alias("radius_km"), F.lit(start).alias("start"))
+    snaps = drift.simulate(seeds, Grid.of(currents, "k"), Grid.of(wind, "k"), n=1, every=6)
+    return snaps.where("central").select("id", "h", r("lat").alias("lat"), r("lon").alias("lon"))
 
 
 DAY = datetime.datetime(2024, 1, 3, tzinfo=datetime.UTC).timestamp()
@@ -124,13 +136,19 @@ def greedy_dedup(s: Source) -> DataFrame:
     return kept.crossJoin(F.broadcast(passes)).select("id", "lat", "lon", "observed", r((F.col("seen") - 1) / F.greatest(F.lit(1), "n"), 3).alias("recurrence"))  # passes: one row
 
 
-@query("action_text", """
-WITH a AS (SELECT event_id, event_type = 'error' AS ashore, event_id % 30 AS age, lat, lon, CASE WHEN value >= 60 THEN 'High' WHEN value >= 40 THEN 'Medium' ELSE 'Low' END AS tier, CASE WHEN event_id % 3 = 0 THEN event_id % 40 END AS h50 FROM obs)
-SELECT event_id, CASE WHEN ashore THEN 'Seen ' || age || ' h ago' WHEN tier <> 'Low' AND h50 <= 24 THEN 'Likely to wash ashore' WHEN tier = 'High' THEN 'Deploy a cleanup vessel' WHEN tier = 'Medium' THEN 'Schedule a patrol' ELSE 'Monitor: low confidence' END AS starts FROM a""")
+_LATLON = "printf('%.2fN %.2fE', lat, lon)"
+
+
+@query("action_text", f"""
+WITH a AS (SELECT event_id, event_type = 'error' AS ashore, event_id % 30 AS age, lat, lon, CASE WHEN value >= 60 THEN 'High' WHEN value >= 40 THEN 'Medium' ELSE 'Low' END AS tier, CASE WHEN event_id % 3 = 0 THEN event_id % 40 END AS h50, 'site ' || user_id % 7 AS site FROM obs)
+SELECT event_id, CASE WHEN ashore THEN 'Seen ' || age || ' h ago; the drift model says it has most likely already washed ashore near ' || {_LATLON} || ': send a beach cleanup / survey team.'
+  WHEN tier <> 'Low' AND h50 <= 24 THEN 'Likely to wash ashore near ' || {_LATLON} || ': half of the forecast particles are ashore by +' || h50 || ' h (' || printf('%.0f', event_id % 8 * 12.5 + 0.1) || '% by +48 h). Send a shoreline cleanup team and alert ' || site || '.'
+  WHEN tier = 'High' THEN 'Deploy a cleanup vessel within 24 h; intercept near ' || {_LATLON} || ' before it reaches ' || site || '.'
+  WHEN tier = 'Medium' THEN 'Schedule a patrol and re-check the next satellite pass; watch the approach to ' || site || '.' ELSE 'Monitor: low confidence or far from sensitive coast.' END AS action FROM a""")
 def action_text(s: Source) -> DataFrame:
-    o = s.view("obs").select("event_id", (F.col("event_type") == "error").alias("ashore"), (F.col("event_id") % 30).alias("age_h"), "lat", "lon", decide.tier(F.col("value")).alias("tier"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 40).alias("half_beached_h"))
-    o = o.withColumns({"beach_lat": F.col("lat"), "beach_lon": F.col("lon"), "beached_fraction": F.lit(0.6), "site": F.lit("a site"), "p24_lat": F.col("lat"), "p24_lon": F.col("lon")})
-    return o.select("event_id", F.regexp_extract(decide.action_text(), r"^(Seen \d+ h ago|Likely to wash ashore|Deploy a cleanup vessel|Schedule a patrol|Monitor: low confidence)", 1).alias("starts"))
+    o = s.view("obs").select("event_id", (F.col("event_type") == "error").alias("ashore"), (F.col("event_id") % 30).alias("age_h"), "lat", "lon", decide.tier(F.col("value")).alias("tier"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 40).alias("half_beached_h"), F.concat(F.lit("site "), F.col("user_id") % 7).alias("site"))
+    o = o.withColumns({"beach_lat": F.col("lat"), "beach_lon": F.col("lon"), "beached_fraction": (F.col("event_id") % 8 * 12.5 + 0.1) / 100, "p24_lat": F.col("lat"), "p24_lon": F.col("lon")})
+    return o.select("event_id", decide.action_text().alias("action"))
 
 
 @query("risk_score", f"""

@@ -100,21 +100,11 @@ def coast_distance(s: Source) -> DataFrame:
 @query("bearings", """
 WITH b AS (SELECT o.event_id, p.name AS port, (degrees(atan2((p.lon - o.lon) * cos(radians((o.lat + p.lat) / 2)), p.lat - o.lat)) + 360) % 360 AS plane,
   (degrees(atan2(sin(radians(p.lon - o.lon)) * cos(radians(p.lat)), cos(radians(o.lat)) * sin(radians(p.lat)) - sin(radians(o.lat)) * cos(radians(p.lat)) * cos(radians(p.lon - o.lon)))) + 360) % 360 AS sphere
-  FROM obs o CROSS JOIN ports8 p WHERE o.event_id % 10 = 0)
+  FROM obs o CROSS JOIN ports8 p)
 SELECT event_id, port, list_extract(['north', 'north-east', 'east', 'south-east', 'south', 'south-west', 'west', 'north-west'], CAST(floor((plane + 22.5) / 45) AS int) % 8 + 1) AS towards, round(sphere, 4) AS sphere FROM b""")
 def bearings(s: Source) -> DataFrame:
-    """Every tenth observation, as in the SQL; bearings_all has all."""
-    return _bearings(s, s.view("obs").where("event_id % 10 = 0"))
-
-
-@query("bearings_all")
-def bearings_all(s: Source) -> DataFrame:
-    return _bearings(s, s.view("obs"))
-
-
-def _bearings(s: Source, obs: DataFrame) -> DataFrame:
     ports = refdata.ports(s.spark).select(F.col("name").alias("port"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    g = evaluate.parameter_grid(obs.select("event_id", "lat", "lon"), ports)
+    g = evaluate.parameter_grid(s.view("obs").select("event_id", "lat", "lon"), ports)
     a = (F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     return g.select("event_id", "port", geo.bearing_text(*a).alias("towards"), F.round(geo.spherical_bearing(*a), 4).alias("sphere"))
 
@@ -150,23 +140,14 @@ def shoelace_area(s: Source) -> DataFrame:
 
 
 @query("leg_crosses_land", f"""
-WITH e AS ({_edges}), l AS (SELECT o.event_id, p.name AS port, o.lat AS a, o.lon AS b, p.lat AS c, p.lon AS d, {km("o.lat", "o.lon", "p.lat", "p.lon")} AS km FROM obs o CROSS JOIN ports8 p WHERE o.event_id % 50 = 0),
-f AS (SELECT *, 6.0 / km + (1 - 12.0 / km) * k / 24 AS f FROM l CROSS JOIN (SELECT unnest(range(25)) AS k) z WHERE km >= 12),
-i AS (SELECT event_id, port, k, sum(CASE WHEN (alat > a + f * (c - a)) <> (blat > a + f * (c - a)) AND b + f * (d - b) < alon + (a + f * (c - a) - alat) / nullif(blat - alat, 0.0) * (blon - alon) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM f CROSS JOIN e GROUP BY event_id, port, k)
-SELECT l.event_id, l.port, coalesce(max(CASE WHEN inside THEN 1 ELSE 0 END), 0) = 1 AS crosses FROM l LEFT JOIN i ON l.event_id = i.event_id AND l.port = i.port GROUP BY l.event_id, l.port""")
+WITH e AS ({_edges}), l AS (SELECT o.event_id, p.name AS port, o.lat AS a, o.lon AS b, p.lat AS c, p.lon AS d, {km("o.lat", "o.lon", "p.lat", "p.lon")} AS km FROM obs o CROSS JOIN ports8 p),
+f AS (SELECT event_id, port, km >= 12 AND list_bool_or([list_aggregate([{{inside}}], 'sum') % 2 = 1 FOR k IN range(25)]) AS crosses FROM l)
+SELECT event_id, port, crosses FROM f""".replace("{inside}", ", ".join(
+    "CASE WHEN ({a0} > {y}) <> ({b0} > {y}) AND {x} < {a1} + ({y} - {a0}) / ({b0} - {a0}) * ({b1} - {a1}) THEN 1 ELSE 0 END".format(a0=p[0], a1=p[1], b0=q[0], b1=q[1], y="(a + (6.0 / km + (1 - 12.0 / km) * k / 24) * (c - a))", x="(b + (6.0 / km + (1 - 12.0 / km) * k / 24) * (d - b))")
+    for p, q in zip(RING, RING[1:] + RING[:1]))))
 def leg_crosses_land(s: Source) -> DataFrame:
-    """Every fiftieth observation, as in the SQL; leg_crosses_land_all has all."""
-    return _legs(s, s.view("obs").where("event_id % 50 = 0"))
-
-
-@query("leg_crosses_land_all")
-def leg_crosses_land_all(s: Source) -> DataFrame:
-    return _legs(s, s.view("obs"))
-
-
-def _legs(s: Source, obs: DataFrame) -> DataFrame:
     ports = refdata.ports(s.spark).select(F.col("name").alias("port"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    g = evaluate.parameter_grid(obs.select("event_id", "lat", "lon"), ports)
+    g = evaluate.parameter_grid(s.view("obs").select("event_id", "lat", "lon"), ports)
     return g.select("event_id", "port", geo.crosses_land(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"), [RING]).alias("crosses"))
 
 
@@ -177,45 +158,27 @@ def time_shift_cases(s: Source) -> DataFrame:
     return t.select("user_id", "d", F.round("lat", 6).alias("lat"), F.round("lat_1", 6).alias("lat_1"), F.round("lat_2", 6).alias("lat_2"))
 
 
-SLICES = "SELECT o_orderkey AS k, CAST(1704067200 + (o_orderkey * 104729) % 30000000 AS bigint) AS t FROM orders WHERE o_orderkey % 5 = 0"
+SLICES = "SELECT o_orderkey AS k, CAST(1704067200 + (o_orderkey * 104729) % 30000000 AS bigint) AS t FROM orders"
 TIMES = "SELECT event_id AS id, CAST(1704067200 + (event_id * 7919) % 30000000 AS bigint) AS moment FROM events"
 
 
 @query("asof_nearest_slice", f"""
-WITH s AS ({SLICES}), e AS ({TIMES}), b AS (SELECT id, moment, (SELECT max(t) FROM s WHERE s.t <= e.moment) AS lo, (SELECT min(t) FROM s WHERE s.t >= e.moment) AS hi FROM e),
-c AS (SELECT id, CASE WHEN hi IS NULL OR moment - lo <= hi - moment THEN lo ELSE hi END AS t, moment FROM b)
-SELECT c.id, min(s.k) AS k, c.t, abs(c.moment - c.t) AS gap FROM c JOIN s ON s.t = c.t WHERE abs(c.moment - c.t) < 86400 GROUP BY c.id, c.t, c.moment""")
+WITH s AS (SELECT t, min(k) AS k FROM ({SLICES}) z GROUP BY t), e AS ({TIMES}),
+b AS (SELECT e.id, moment, s.t, s.k FROM e ASOF LEFT JOIN s ON s.t <= e.moment), a AS (SELECT b.*, n.t AS t2, n.k AS k2 FROM b ASOF LEFT JOIN s n ON n.t >= b.moment)
+SELECT id, CASE WHEN t2 IS NULL OR moment - t <= t2 - moment THEN k ELSE k2 END AS k, CASE WHEN t2 IS NULL OR moment - t <= t2 - moment THEN t ELSE t2 END AS t,
+  least(coalesce(moment - t, t2 - moment), coalesce(t2 - moment, moment - t)) AS gap FROM a""")
 def asof_nearest_slice(s: Source) -> DataFrame:
-    """Every fifth order and gaps below a day, as in the SQL; asof_nearest_slice_all has all."""
-    return _asof(s, s.sql(SLICES)).where("gap < 86400")
-
-
-@query("asof_nearest_slice_all")
-def asof_nearest_slice_all(s: Source) -> DataFrame:
-    return _asof(s, s.sql(SLICES.replace(" WHERE o_orderkey % 5 = 0", "")))
-
-
-def _asof(s: Source, slices: DataFrame) -> DataFrame:
+    slices = s.sql(SLICES)
     found = joins.nearest_in_time(s.sql(TIMES).withColumnRenamed("moment", "at"), slices)
     return found.join(slices, "k").select("id", "k", "t", "gap")
 
 
 @query("source_priority", """
-WITH u AS (SELECT 1 AS priority, o_custkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0 UNION ALL SELECT 2, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')
+WITH u AS (SELECT 1 AS priority, o_custkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')
 SELECT k, priority, count(*) AS n, round(sum(v), 2) AS total FROM u JOIN (SELECT k, min(priority) AS priority FROM u GROUP BY k) b USING (k, priority) GROUP BY k, priority""")
 def source_priority(s: Source) -> DataFrame:
-    """'F' orders of every third customer, as in the SQL; source_priority_all has all."""
-    return _by_priority(s, "o_orderstatus = 'F' and k % 3 = 0")
-
-
-@query("source_priority_all")
-def source_priority_all(s: Source) -> DataFrame:
-    return _by_priority(s, "o_orderstatus = 'F'")
-
-
-def _by_priority(s: Source, first: str) -> DataFrame:
     o = s.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderstatus")
-    u = o.where(first).withColumn("priority", F.lit(1)).unionByName(o.where("o_orderstatus = 'O'").withColumn("priority", F.lit(2)))
+    u = o.where("o_orderstatus = 'F'").withColumn("priority", F.lit(1)).unionByName(o.where("o_orderstatus = 'O'").withColumn("priority", F.lit(2)))
     return joins.by_priority(u, ["k"], "priority").groupBy("k", "priority").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
