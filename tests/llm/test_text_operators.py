@@ -88,8 +88,12 @@ def test_line_dedup_is_brute_force(spark):
 
 
 def test_line_dedup_awkward_rows(spark):
-    clash = awkward(spark).withColumn("pos", F.lit(7)).withColumn("lines", F.lit("x"))
-    out = line_dedup.dedup(clash).collect()
+    clash = awkward(spark)
+    for c in ("pos", "lines", "_id", "_fp", "_gone", "_key", "N_Lines"):
+        clash = clash.withColumn(c, F.lit("x"))
+    found = line_dedup.dedup(clash)
+    out = found.collect()
+    assert {x["_gone"] for x in out} == {"x"} and "N_Lines" not in found.columns and len({c.lower() for c in found.columns}) == len(found.columns)
     assert len(out) == 12 and [x.text for x in out if x.doc_id == 1] == [None]
     assert len({(x.text, x.n_removed) for x in out if x.doc_id == 8}) == 1
     assert line_dedup.dedup(empty(spark)).count() == 0
@@ -122,8 +126,10 @@ def test_quality_verdicts_and_spans(spark):
     got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [got[i].kept for i in range(1, 6)] == [True, False, False, False, True] and got[2].longest_repeat == 120
     assert quality.spans("a b c d x a b c d y") == [(0, 4), (5, 9)]
-    out = quality.judge(awkward(spark).withColumn("kept", F.lit("old"))).collect()
-    assert len(out) == 12 and {type(x.kept) for x in out} == {bool}
+    judged = quality.judge(awkward(spark).withColumn("Kept", F.lit("old")).withColumn("n_words", F.lit("old")))
+    out = judged.where("kept or not kept").collect()
+    assert len(out) == 12 and {type(x.kept) for x in out} == {bool} and "Kept" not in judged.columns
+    assert quality.judge(awkward(spark), returned=["doc_id", "lang"]).columns[:2] == ["doc_id", "lang"]
     assert quality.judge(empty(spark)).count() == 0
 
 
@@ -139,7 +145,7 @@ def test_sentencepiece_is_the_library(spark):
         assert codec.of(t) == (len(ids), sha(" ".join(map(str, ids))), sha(codec.sp.decode(ids)))
     rows = sentencepiece_codec.decode(sentencepiece_codec.encode(awkward(spark))).collect()
     assert all(x.decoded == (x.text or "").replace("▁", " ") for x in rows) and len(rows) == 12
-    got = {x.doc_id: x for x in sentencepiece_codec.digests(awkward(spark)).collect()}
+    got = {x.doc_id: x for x in sentencepiece_codec.digests(awkward(spark).withColumn("N_Tokens", F.lit("x"))).where("n_tokens > 0").collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[6].ids_sha256 == got[7].ids_sha256
     assert sentencepiece_codec.digests(empty(spark)).count() == 0
 
@@ -165,7 +171,7 @@ def test_language_spans_scripts_and_held_out(spark):
     model = language_id.Model(language_id.learn(docs))
     found = language_id.spans(model, f"{en} {fr} {el}")
     assert [s[2] for s in found] == ["en", "fr", "el"]
-    out = {x.doc_id: x for x in language_id.label(awkward(spark), model).collect()}
+    out = {x.doc_id: x for x in language_id.label(awkward(spark).withColumn("Score", F.lit("x")), model).where("score >= 0").collect()}
     assert out[1].lang_pred == out[2].lang_pred == out[3].lang_pred == "und" and out[1].score == 0 and 0 < out[6].score <= 1
     assert language_id.label(empty(spark), model).count() == 0
     assert language_id.label(awkward(spark), language_id.Model({})).where("lang_pred <> 'und'").count() == 0
@@ -196,11 +202,72 @@ def test_secrets_found_and_words_left(spark, forest):
     assert clean[1] == "use [secret] here" and clean[2] == "so password=[secret] it is" and "commit" in clean[3]
 
 
+#: Findings of another hand than the generator's: shapes of secrets and of what resembles them, as text around a value.
+FOREIGN = {
+    "cloud key": (1, lambda r: ("aws_access_key_id: ", "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)))),
+    "hex token": (1, lambda r: ('token = "', "".join(r.choices("0123456789abcdef", k=r.choice([20, 24, 32, 40]))))),
+    "base64 secret": (1, lambda r: ("client_secret=", "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=43)))),
+    "digest": (0, lambda r: ("sha256 checksum ", "".join(r.choices("0123456789abcdef", k=64)))),
+    "identifier": (0, lambda r: ("call ", "_".join(r.choices(["load", "user", "table", "from", "remote", "path", "value", "cache"], k=4)))),
+    "file": (0, lambda r: ("see ", "/".join(r.choices(["usr", "share", "project", "module", "assets", "templates"], k=4)) + "/readme.html")),
+    "rule": (0, lambda r: ("", r.choice("-=*") * r.randint(20, 60))),
+}
+
+
+def test_secrets_of_other_hands_are_told_apart_by_shape(spark, forest):
+    r = random.Random(21)
+    made = [(i, k, want, *make(r)) for i, (k, (want, make)) in enumerate(list(FOREIGN.items()) * 25)]
+    docs = spark.createDataFrame([(i, f'{prose(6, i)} {lead}{value}{chr(34) if chr(34) in lead else ""} {prose(5, i)}') for i, _, _, lead, value in made], "doc_id long, text string")
+    hit = {(x.doc_id, x.sha256) for x in secrets.scan(docs, forest).where("is_secret").collect()}
+    share = {k: np.mean([(i, hashlib.sha256(v.encode()).hexdigest()) in hit for i, kind, _, _, v in made if kind == k]) for k in FOREIGN}
+    assert all(share[k] >= 0.9 if want else share[k] <= 0.1 for k, (want, _) in FOREIGN.items()), share
+
+
+def test_candidates_are_brute_force():
+    """Every maximal run of token characters of 16 or more that no assignment covers, ends of dots and dashes off; and every assigned value."""
+    r = random.Random(31)
+    bits = ["a1" * 9, "password=hunter2hunter2", "x", " ", "\n", "token: '", "Z" * 17, "...", "--", "é" * 20, '"', "/usr/share/something/long", "secret = q", ","]
+    for _ in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 8)))
+        got = secrets.candidates(text)
+        assert got == sorted(got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        taken = [(m.start(1), m.end(1)) for m in secrets.ASSIGNED.finditer(text)]
+        want = {(a, b, True) for a, b in taken}
+        i = 0
+        while i < len(text):
+            j = i
+            while j < len(text) and (text[j].isascii() and (text[j].isalnum() or text[j] in "+/=_-.")):
+                j += 1
+            end = i + len(text[i:j].rstrip(".-"))
+            if end - i >= 16 and not any(a < end and i < b for a, b in taken):
+                want.add((i, end, False))
+            i = max(j, i + 1)
+        assert set(got) == want, text
+
+
+def test_forests_learn_from_given_findings_and_dictionaries(spark):
+    """Findings that call words of a made-up language harmless and digits secret; rows beyond the bound are sampled."""
+    docs = spark.createDataFrame([(i, "zorblax quimbert flarnoke 12345 ab") for i in range(30)] + [(40, None)], "doc_id long, text string")
+    words = secrets.corpus_dictionary(docs)
+    assert sorted(words) == ["flarnoke", "quimbert", "zorblax"]
+    rows = [(f"v {x} w", 2, 2 + len(x), False, None, y) for i in range(200) for y, x in ((0, "zorblaxquimbertflarnoke"), (1, f"{i:03d}" * 7))]
+    model = secrets.train(spark, spark.createDataFrame(rows, secrets.FINDING), trees=5, depth=3, dictionary=words, most=200)
+    text = spark.createDataFrame([(1, "so zorblaxflarnokequimbert and 918273645546372819 end")], "doc_id long, text string")
+    got = [x.is_secret for x in secrets.scan(text, model, dictionary=words).orderBy("start").collect()]
+    assert got == [False, True]
+
+
 def test_secrets_held_out_and_awkward(spark, forest):
     rows = secrets.labelled_findings(600, seed=99)
     from pyspark.ml.linalg import Vectors
 
     d = spark.createDataFrame([(float(y), Vectors.dense(secrets.described(t, a, b, s, p))) for t, a, b, s, p, y in rows], ["label", "features"])
     assert forest.transform(d).where("label = prediction").count() / 600 > 0.95
-    clash = awkward(spark).withColumn("path", F.lit("x")).withColumn("features", F.lit(1))
-    assert secrets.scan(clash, forest, path="source").count() >= 0 and secrets.scan(empty(spark), forest).count() == 0
+    clash = awkward(spark).withColumn("text", F.when(F.col("doc_id") == 8, F.lit("token = 'q8Zr1Lw0Xs7Tn3Vb6Yd2Kf'")).otherwise(F.col("text")))
+    for c in ("path", "features", "x", "start", "_id", "_spans", "is_secret"):
+        clash = clash.withColumn(c, F.lit("x"))
+    found = secrets.scan(clash, forest, path="lang")
+    assert [(x.doc_id, x.start, x.end) for x in found.where("is_secret").collect()] == [(8, 9, 31)] * 2
+    assert secrets.scan(clash.withColumn("lang", F.lit(None)), forest, path="lang").where("is_secret").count() == 2
+    clean = secrets.redacted(clash, found).where("doc_id = 8").collect()
+    assert [x.text for x in clean] == ["token = '[secret]'"] * 2 and clean[0]["_spans"] == "x" and secrets.scan(empty(spark), forest).count() == 0

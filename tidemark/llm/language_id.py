@@ -6,7 +6,8 @@ while another is. The path changes language at a cost of `penalty`. A text's lan
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without a language, or in the held-out fifth, teach nothing;
 a null doc_id is not held out; with no training row all is `und`; ties go to the language first in order; texts of any length are whole;
-rows that repeat are labelled alike; an empty table gives an empty result; extra columns pass through, ones named like a result are replaced."""
+rows that repeat are labelled alike; an empty table gives an empty result; extra columns pass through, ones named
+like a result (in any case) are replaced."""
 
 from __future__ import annotations
 
@@ -270,11 +271,12 @@ def _parts(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str
         yield part
 
 
-def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred, score (the share of words whose span has that language) and n_spans."""
+def label(df: DataFrame, model: Model, text: str = "text", returned: list[str] | None = None) -> DataFrame:
+    """df (or only its columns `returned`) with lang_pred, score (the share of words whose span has that language) and n_spans."""
     common.small_batches(df.sparkSession)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.IntegerType())]
-    own = [c for c in df.columns if c not in {f.name for f in fields}]
+    own = common.others(df if returned is None else df.select(*returned), [f.name for f in fields])
+    df = df.select(text, *(c for c in own if c != text))
     schema = T.StructType([df.schema[c] for c in own] + fields)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -297,4 +299,4 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     common.small_batches(spark)
     model = Model(learn(docs.where(~held_out()).select("lang", "text")))
-    return label(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    return label(docs.select("doc_id", held_out().alias("held_out"), "text"), model, returned=["doc_id", "held_out"])

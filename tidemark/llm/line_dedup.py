@@ -5,7 +5,7 @@ the positions that its later occurrences cover are merged and their lines remove
 
 Defined cases: a null text stays null with 0 lines; texts of fewer than three lines have no window and stay; windows without any word
 are not compared; documents are ordered by doc_id, null last, then by a digest of the text, so rows that repeat id and text are one
-document and are treated alike; an empty table gives an empty result; extra columns pass through."""
+document and are treated alike; an empty table gives an empty result; extra columns pass through, ones named n_lines or n_removed (in any case) are replaced."""
 
 from __future__ import annotations
 
@@ -49,19 +49,17 @@ def removals(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs with text rewritten, and n_lines and n_removed (long)."""
-    gone = removals(docs, size).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("gone").alias("_gone"))
-    lines = F.split("text", "\n")
+    own = common.others(docs, ("n_lines", "n_removed"))
+    i, fp, at, key = common.free_names(docs, "_id", "_fp", "_gone", "_key")
+    gone = removals(docs, size).select(F.col("doc_id").alias(i), F.col("fp").alias(fp), F.col("gone").alias(at))
+    lines, places = F.split("text", "\n"), F.col(at)
     # positions are sorted, so runs of kept lines are the slices between them
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda k: F.slice(lines, F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1)))
-    key = F.md5("text")
-    return (
-        docs.withColumn("_key", key).join(gone, common.same(F.col("doc_id"), F.col("_id")) & (F.col("_key") == F.col("_fp")), "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_id", "_fp", "_gone", "_key")
-    )
+    edges = F.concat(F.array(F.lit(-1)), places, F.array(F.size(lines)))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), lambda k: F.slice(lines, F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1)))
+    joined = docs.select(*own).withColumn(key, F.md5("text")).join(gone, common.same(F.col("doc_id"), F.col(i)) & (F.col(key) == F.col(fp)), "left")
+    text = F.when(places.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    n = lambda there, value: F.when(there, 0).otherwise(value).cast("long")
+    return joined.select(*(text if c.lower() == "text" else F.col(c) for c in own), n(F.col("text").isNull(), F.size(lines)).alias("n_lines"), n(places.isNull(), F.size(places)).alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

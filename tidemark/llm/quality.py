@@ -6,7 +6,8 @@ the maximal repeated runs. Their spans are united: a text is rejected if runs of
 its words, or if the longest repeat has more than `longest` words. Many texts share one array, with keys that keep texts apart.
 
 Defined cases: a null or empty text has no words, so the base rule rejects it; texts of any length are whole (a long one has an array of its
-own); rows that repeat are judged alike; an empty table gives an empty result; extra columns pass through, ones named like a result are replaced."""
+own); bounds are met by what equals them; rows that repeat are judged alike; an empty table gives an empty result; extra columns pass through, ones named like a
+result (in any case) are replaced."""
 
 from __future__ import annotations
 
@@ -142,10 +143,11 @@ def judged(texts: list[str | None], least: int) -> dict[str, np.ndarray]:
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
 
-def judge(df: DataFrame, min_run: int = MIN_RUN, most_covered: float = MOST_COVERED, longest: int = LONGEST, text: str = "text", together: int = TOGETHER) -> DataFrame:
-    """df with the counts, base_failed and kept."""
+def judge(df: DataFrame, min_run: int = MIN_RUN, most_covered: float = MOST_COVERED, longest: int = LONGEST, text: str = "text", together: int = TOGETHER, returned: list[str] | None = None) -> DataFrame:
+    """df (or only its columns `returned`: what is left out is not sent back from Python) with the counts, base_failed and kept."""
     common.small_batches(df.sparkSession, size="8m")
-    own = [c for c in df.columns if c not in {*FIELDS, "base_failed", "kept"}]
+    own = common.others(df if returned is None else df.select(*returned), (*FIELDS, "base_failed", "kept"))
+    df = df.select(text, *(c for c in own if c != text))
     schema = T.StructType([df.schema[c] for c in own] + [T.StructField(f, T.LongType()) for f in FIELDS] + [T.StructField(f, T.BooleanType()) for f in ("base_failed", "kept")])
 
     def parts(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -172,7 +174,7 @@ def judge(df: DataFrame, min_run: int = MIN_RUN, most_covered: float = MOST_COVE
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "longest_repeat")
+    return judge(common.table(spark, sf_dir, "documents"), returned=["doc_id"]).drop("longest_repeat")
 
 
 def _united(run: int) -> str:

@@ -5,7 +5,8 @@ trained from labelled findings (`train`); by default from `labelled_findings`, a
 resembles them: long words, names, paths, checksums, identifiers, placeholders.
 
 Defined cases: a null or empty text has no candidate; texts of any length are whole; a null path is an empty one; rows that repeat are
-scanned alike; an empty table gives an empty result; extra columns are left out of findings."""
+scanned alike; spans that begin alike are taken once, the assigned one first; an empty table gives an empty result; extra columns are left out of findings,
+whatever their names, and pass through `redacted`."""
 
 from __future__ import annotations
 
@@ -102,8 +103,8 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     return [found[k] for k in sorted(found)]
 
 
-def described(text: str, start: int, end: int, assigned: bool, path: str) -> list[float]:
-    return features(text[start:end], text[max(0, start - 40) : start], text[end : end + 30], path, assigned)
+def described(text: str, start: int, end: int, assigned: bool, path: str, dictionary: frozenset[str] = _WORDS) -> list[float]:
+    return features(text[start:end], text[max(0, start - 40) : start], text[end : end + 30], path, assigned, dictionary)
 
 
 def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int, bool, str, int]]:
@@ -145,23 +146,46 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int,
     return out
 
 
-def train(spark: SparkSession, findings=None, trees: int = TREES, depth: int = DEPTH):
-    """A random forest from labelled findings: rows (text, start, end, assigned, path, label), as many as the caller bounds them to."""
+FINDING = "text string, start int, end int, assigned boolean, path string, label int"
+#: Labelled findings that a forest is fitted on, at most about so many.
+MOST_FINDINGS = 200_000
+
+
+def corpus_dictionary(docs: DataFrame, least: int = 20, most: int = 20_000) -> list[str]:
+    """Words of four to twelve ASCII letters that at least so many documents hold, the most frequent ones (a bounded list, for features)."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])([a-z]{4,12})(?![a-z0-9])"), 1))).alias("w"))
+    return [x.w for x in words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(most).collect()]
+
+
+def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = TREES, depth: int = DEPTH, dictionary=DICTIONARY, most: int = MOST_FINDINGS):
+    """A random forest from labelled findings (FINDING; a null text or path is an empty one), a sample of about `most` where there are more. The scan must be given
+    the same dictionary."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.functions import array_to_vector
+
+    if findings is None:
+        findings = spark.createDataFrame(labelled_findings(), FINDING)
+    part = min(1.0, most / max(findings.count(), 1))
+    known = frozenset(w.lower() for w in dictionary if len(w) > 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(c.to_pylist() for c in b.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array([described(t or "", a, e, s, w or "", known) for t, a, e, s, w, _ in rows], pa.list_(pa.float64())), pa.array([float(x[5]) for x in rows], pa.float64())], names=["x", "label"])
 
-    rows = [(float(y), Vectors.dense(described(t, a, b, s, p))) for t, a, b, s, p, y in (findings or labelled_findings())]
-    data = spark.createDataFrame(rows, ["label", "features"])
+    few = findings.where(F.rand(5) < part) if part < 1 else findings
+    data = few.select("text", "start", "end", "assigned", "path", "label").where("end > start").mapInArrow(run, "x array<double>, label double").withColumn("features", array_to_vector("x"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.7, seed=5).fit(data)
 
 
-def scan(docs: DataFrame, model=None, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model=None, path: str | None = None, threshold: float = THRESHOLD, dictionary=DICTIONARY) -> DataFrame:
     """Findings: doc_id, start, end (code points), assigned, sha256 of the string, p_secret, is_secret. path: a column with the text's path."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     spark = docs.sparkSession
     common.small_batches(spark)
-    model = model or train(spark)
+    model = model or train(spark, dictionary=dictionary)
+    known = frozenset(w.lower() for w in dictionary if len(w) > 3)
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -171,7 +195,7 @@ def scan(docs: DataFrame, model=None, path: str | None = None, threshold: float
             for i, (text, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 for start, end, assigned in candidates(text or ""):
                     at.append(i)
-                    rows.append((start, end, assigned, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest(), described(text, start, end, assigned, p)))
+                    rows.append((start, end, assigned, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest(), described(text, start, end, assigned, p, known)))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "start", "end", "assigned", "sha256", "x"])
@@ -185,11 +209,13 @@ def scan(docs: DataFrame, model=None, path: str | None = None, threshold: float
 def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with the spans of confirmed secrets replaced. A document's spans meet in one row; documents without any pass unchanged."""
     spans = findings.where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, common.same(F.col("doc_id"), F.col("_id")), "left")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
+    i, at = common.free_names(docs, "_id", "_spans")
+    joined = docs.join(spans.withColumnsRenamed({"_id": i, "_spans": at}), common.same(F.col("doc_id"), F.col(i)), "left")
+    where = F.col(at)
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(where, lambda s: s["end"]))
+    starts = F.concat(F.transform(where, lambda s: s["start"]), F.array(F.length("text").cast("long")))
     parts = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, (b - a).cast("int")))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(parts, mark))).drop("_id", "_spans")
+    return joined.withColumn("text", F.when(where.isNull(), F.col("text")).otherwise(F.array_join(parts, mark))).select(*docs.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

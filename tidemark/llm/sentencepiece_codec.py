@@ -5,7 +5,8 @@ Each distinct chunk (markers and what follows up to the next marker) is segmente
 `crosses_markers` says whether a model allows this; for one that does not, whole texts are encoded.
 
 Defined cases: a null text is encoded as the empty one (the end id only); nothing else is special: texts of any length are whole, rows
-that repeat are encoded alike, an empty table gives an empty result, and extra columns pass through unless `encode` writes a column of that name."""
+that repeat are encoded alike, an empty table gives an empty result, and extra columns pass through unless a result has
+their name (in any case)."""
 
 from __future__ import annotations
 
@@ -129,7 +130,7 @@ class Digests(Codec):
                 self.note(set(keys))
                 parts = [*map(self.said.__getitem__, keys)]
             said = " ".join(parts + [*map(str, self.end)])
-            back = "".join([self.odd.get(k) or f" {k}" for k in keys])[1:] if self.odd else " ".join(keys)
+            back = "".join([self.odd.get(k, f" {k}") for k in keys])[1:] if self.odd else " ".join(keys)
         return said.count(" ") + (said != ""), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
 
@@ -147,10 +148,11 @@ def _parts(values: list) -> Iterator[list]:
 
 
 def _codec(kind: type[Codec], model: bytes, end_id: bool) -> Codec:
-    """A worker process keeps its codecs, and with them their tables, for the tasks to come."""
-    import sentencepiece
+    """A worker process keeps its codecs, and with them their tables, for the tasks to come: in a module of its own, as this one comes anew with each task."""
+    import sys
+    import types
 
-    kept = sentencepiece.__dict__.setdefault("_kept_codecs", {})
+    kept = sys.modules.setdefault("tidemark_worker", types.ModuleType("tidemark_worker")).__dict__.setdefault("codecs", {})
     key = (kind.__name__, hashlib.sha256(model).digest(), end_id)
     if key not in kept:
         kept[key] = kind(model, end_id)
@@ -162,11 +164,12 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def _with(df: DataFrame, fields: list[T.StructField], kind: type[Codec], each, model: str | None, end_id: bool, text: str) -> DataFrame:
+def _with(df: DataFrame, fields: list[T.StructField], kind: type[Codec], each, model: str | None, end_id: bool, text: str, returned: list[str] | None = None) -> DataFrame:
     """df with new columns that `each` makes of a codec and a text. The model's bytes go with the task: executors need no file."""
     common.small_batches(df.sparkSession)
     proto = _model(model or default_model())
-    own = [c for c in df.columns if c not in {f.name for f in fields}]
+    own = common.others(df if returned is None else df.select(*returned), [f.name for f in fields])
+    df = df.select(text, *(c for c in own if c != text))
     schema = T.StructType([df.schema[c] for c in own] + fields)
     types = {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32())}
 
@@ -199,11 +202,11 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "token_ids") -> D
     return _with(df, [T.StructField("decoded", T.StringType())], Codec, lambda codec, x: (None if x is None else codec.decode(x),), model, False, ids)
 
 
-def digests(df: DataFrame, model: str | None = None, end_id: bool = True, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256 of each text, without moving the ids themselves."""
+def digests(df: DataFrame, model: str | None = None, end_id: bool = True, text: str = "text", returned: list[str] | None = None) -> DataFrame:
+    """df (or only its columns `returned`) with n_tokens, ids_sha256 and decoded_sha256 of each text, without moving the ids themselves."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _with(df, fields, Digests, lambda codec, x: codec.of(x), model, end_id, text)
+    return _with(df, fields, Digests, lambda codec, x: codec.of(x), model, end_id, text, returned)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(common.table(spark, sf_dir, "documents"), returned=["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -1,17 +1,19 @@
 """URL filter: allow and block rules by host and path, and gradient-boosted trees on lexical features for the URLs that no rule fits.
 
 DataFrame expressions and Spark's own GBTClassifier only. Labelled URLs are those that a rule fits (or a given label column); trees are fitted
-on a sample of about `sample` of them, drawn by the URL's hash; the suffix statistics count all rows.
+on about `sample` rows, half of each label where there are as many, drawn row by row. The suffix statistics count all rows; a row's own fifth
+of the hosts is left out of its suffix's rate, so that no label is seen through it.
 
 Defined cases: a null URL or one without :// has an empty host and path, fits no rule, and is judged by the trees like any other; equal
 URLs get equal verdicts; URLs of any length are whole; without labels of both kinds there is nothing to learn, and the verdict is the only
-label's, or allow; an empty table gives an empty result; extra columns pass through, ones named like a result are replaced."""
+label's, or allow; an empty table gives an empty result; extra columns pass through, ones named like a
+result (in any case) are replaced; a probability of one half is block."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,6 +23,9 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 #: About so many labelled rows are fitted on.
 SAMPLE = 20_000
 TREES, DEPTH = 20, 4
+#: Parts of the hosts, of which a row's own is left out of its suffix's rate.
+FOLDS = 5
+RESULTS = ("host", "path", "rule", "verdict", "p_block")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,12 +60,11 @@ def features() -> dict[str, Column]:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     segment = lambda k: F.coalesce(F.get(F.split("path", "/"), F.lit(k)), F.lit(""))
     share = lambda pattern, of: F.when(F.length(of) > 0, F.regexp_count(of, F.lit(pattern)) / F.length(of)).otherwise(0.0)
-    code = lambda text, i: F.coalesce(F.ascii(F.substring(text, i, 1)), F.lit(0))
     own = {
         "length": n, "host_length": F.length("host"), "path_length": F.length("path"), "depth": F.regexp_count(F.col("path"), F.lit("/[^/]")), "labels": F.size(F.split("host", r"\.")),
         "digit_ratio": share("[0-9]", url), "path_digit_ratio": share("[0-9]", F.col("path")), "symbol_ratio": share("[^A-Za-z0-9]", url), "entropy": entropy,
         "parameters": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))), "query_length": F.length(query), "fragment": F.contains(url, F.lit("#")).cast("int"), "secure": F.startswith(url, F.lit("https:")).cast("int"),
-        "first_length": F.length(segment(1)), "first_letter": code(segment(1), 1), "second_letter": code(segment(1), 2), "next_length": F.length(segment(2)), "next_letter": code(segment(2), 1),
+        "first_length": F.length(segment(1)), "next_length": F.length(segment(2)), "letters": share("[A-Za-z]", F.col("path")),
         "suffix_rate": F.col("suffix_rate"), "suffix_share": F.col("suffix_share"),
     }
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in own.items()}
@@ -72,32 +76,37 @@ def judge(pages: DataFrame, rules=RULES, label: str | None = None, sample: int =
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block")]
-    base = pages.select(*names).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("_rule", matching(rules))
-    base = base.withColumn("_label", F.when((F.col(label) if label else F.col("_rule.verdict")) == "block", 1.0).when((F.col(label) if label else F.col("_rule.verdict")) == "allow", 0.0))
-    base = base.withColumn("_suffix", F.substring_index("host", ".", -1))
-    # a row per suffix, with counts over all pages
-    counted = common.written(base.groupBy("_suffix").agg(F.count("*").alias("n"), F.count("_label").alias("labelled"), F.sum("_label").alias("blocked")), "suffixes")
-    total = counted.agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
+    names = common.others(pages, RESULTS)
+    given = F.col(label) if label else F.lit(None).cast("string")
+    # the table's own columns go along as one, so no name of theirs meets one of ours
+    base = pages.select(F.struct(*names).alias("own"), F.col("url").alias("url"), given.alias("given")).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("match", matching(rules))
+    kind = F.col("given") if label else F.col("match.verdict")
+    base = base.withColumn("label", F.when(kind == "block", 1.0).when(kind == "allow", 0.0)).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    # a row per suffix and fold, with counts over all pages
+    counted = common.written(base.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")), "suffixes")
+    total = counted.agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))).first()
     n, labelled, blocked = total.n or 0, total.labelled or 0, total.blocked or 0.0
-    prior = (blocked + 1) / (labelled + 2)
-    stats = counted.select(
-        F.col("_suffix").alias("_of"), ((F.coalesce("blocked", F.lit(0.0)) + prior * 10) / (F.col("labelled") + 10)).alias("suffix_rate"), (F.col("n") / F.lit(max(n, 1))).alias("suffix_share")
-    )
+    prior, every = (blocked + 1) / (labelled + 2), Window.partitionBy("suffix")
+    elsewhere = lambda c: F.sum(c).over(every) - F.col(c)
+    rate = (elsewhere("blocked") + prior * 10) / (elsewhere("labelled") + 10)
+    stats = counted.select(F.col("suffix").alias("of"), F.col("fold").alias("of_fold"), rate.alias("suffix_rate"), (F.sum("n").over(every) / F.lit(max(n, 1))).alias("suffix_share"))
+    stats = common.if_small(common.written(stats, "rates"))
     lexical = features()
-    rows = base.join(common.if_small(stats), F.col("_suffix") == F.col("_of"), "left").withColumns({f"_f_{k}": v for k, v in lexical.items()})
-    out = [*(F.col(c) for c in names), F.col("host"), F.col("path"), F.col("_rule.rule").alias("rule")]
+    rows = base.join(stats, (F.col("suffix") == F.col("of")) & (F.col("fold") == F.col("of_fold")), "left").withColumns({f"f_{k}": v for k, v in lexical.items()})
+    out = [*(F.col("own")[c].alias(c) for c in names), F.col("host"), F.col("path"), F.col("match.rule").alias("rule")]
+    verdict = lambda trees: F.coalesce("match.verdict", trees)
     if blocked in (0.0, labelled):
         only = "block" if blocked and labelled else "allow"
-        return rows.select(*out, F.coalesce("_rule.verdict", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("p_block"))
-    to_vector = VectorAssembler(inputCols=[f"_f_{k}" for k in lexical], outputCol="_x")
-    part = min(1.0, sample / labelled)
-    learn = rows.where(F.col("_label").isNotNull() & (F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 30)) < int(part * (1 << 30))))
-    learn = common.written(learn.select("_label", *(f"_f_{k}" for k in lexical)), "labelled")
-    model = GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3, checkpointInterval=-1).fit(to_vector.transform(learn))
-    p = F.get(vector_to_array("_probability"), F.lit(1))
-    judged = model.setPredictionCol("_prediction").setRawPredictionCol("_raw").setProbabilityCol("_probability").transform(to_vector.transform(rows))
-    return judged.select(*out, F.coalesce("_rule.verdict", F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), p.alias("p_block"))
+        return rows.select(*out, verdict(F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("p_block"))
+    half = lambda m: min(1.0, max(sample / 2, sample - (labelled - m)) / max(m, 1))
+    part = F.when(F.col("label") == 1.0, half(blocked)).otherwise(half(labelled - blocked))
+    learn = rows.where(F.col("label").isNotNull()).select("label", part.alias("part"), *(f"f_{k}" for k in lexical)).where(F.rand(11) < F.col("part")).drop("part")
+    learn = common.written(learn, "labelled")
+    to_vector = VectorAssembler(inputCols=[f"f_{k}" for k in lexical], outputCol="x")
+    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3, checkpointInterval=-1).fit(to_vector.transform(learn))
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    judged = model.setPredictionCol("prediction").setRawPredictionCol("raw").setProbabilityCol("probability").transform(to_vector.transform(rows))
+    return judged.select(*out, verdict(F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), p.alias("p_block"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
