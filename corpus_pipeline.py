@@ -13,7 +13,8 @@ from tidemark.llm import common, line_dedup, mixing, near_dedup, quality, senten
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rules and the repetition rule."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    own = dict(zip(docs.columns, common.free_names(docs.select(), *(f"own_{c}" for c in docs.columns))))
+    return quality.judge(docs.withColumnsRenamed(own), text=own["text"]).where("kept").select(*(F.col(own[c]).alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
