@@ -413,6 +413,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     for k in range(ROUNDS):
         wide = rest.where(F.col("s") > BLOCK)
         head = wide.where("not main").groupBy("band", "key").agg(F.min_by(F.struct(F.col("fp").alias("a"), F.col("component").alias("of")), F.xxhash64("fp", F.lit(k))).alias("h"))
+        head = common.if_small(common.written(head, "head"))  # a row per bucket: the members of a hot one stay where they are
         pairs = wide.join(head, ["band", "key"]).where("component <> h.of").select("h.a", F.col("fp").alias("b")).distinct()
         pairs = common.written(pairs, "heads")
         if pairs.isEmpty():
