@@ -1,8 +1,10 @@
 """Queries over all rows, against brute force."""
 
+import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,41 @@ def test_nearest_in_time_is_brute_force_at_any_distance(spark):
     assert len(none) == len(times) and all(x.k is None for x in none)
 
 
+def unit(places):
+    x = np.radians(np.array(places, float))
+    return np.c_[np.cos(x[:, 0]) * np.cos(x[:, 1]), np.cos(x[:, 0]) * np.sin(x[:, 1]), np.sin(x[:, 0])]
+
+
+def brute_nearest(points, targets):
+    chord = np.sqrt(((unit(points)[:, None] - unit(targets)[None]) ** 2).sum(2)).min(1)
+    return 2 * refdata.EARTH_KM * np.arcsin(np.minimum(chord / 2, 1))
+
+
+def test_nearest_point_is_brute_force_anywhere(spark):
+    """Poles, both sides of the 180th meridian, a dense group, repeated places, far points."""
+    r = random.Random(3)
+    far = lambda n: [(math.degrees(math.asin(r.uniform(-1, 1))), r.uniform(-180, 180)) for _ in range(n)]
+    targets = far(200) + [(min(r.gauss(88.9, 0.5), 90.0), r.uniform(-180, 180)) for _ in range(60)] + [(90.0, 3.0), (10.3, 179.9), (10.0, -179.9), (70.55, 0.49), (70.25, 1.01)]
+    targets += [(10 + r.gauss(0, 0.01), -180 + abs(r.gauss(0, 0.01))) for _ in range(900)] + [(33.0, 44.0)] * 200
+    points = far(300) + [(89.9, 10.0), (-90.0, 0.0), (90.0, 5.0), (89.0, -170.0), (70.25, 0.49), (10.0, 179.9), (33.0, 44.0), (0.0, 180.0), (0.0, -180.0)] + [(10 + r.gauss(0, 0.02), 179.99) for _ in range(300)]
+    place = "lat double, lon double"
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(-1, None, 3.0), (5, *points[5])], f"id long, {place}")
+    got = joins.nearest_point(rows, spark.createDataFrame([*targets, (None, 1.0)], place)).collect()
+    want = brute_nearest(points, targets)
+    assert len(got) == len(points) + 2 and all(x.distance_km is None if x.id < 0 else abs(x.distance_km - want[x.id]) < 1e-6 for x in got)
+    few = {x.id: x.distance_km for x in joins.nearest_point(rows.where("id between 304 and 305"), spark.createDataFrame([(70.55, 0.49), (70.25, 1.01), (10.0, -179.9), (10.3, 179.9)], place)).collect()}
+    assert few[304] == pytest.approx(19.5387, abs=1e-3) and few[305] == pytest.approx(21.9, abs=0.05)
+    assert {x.distance_km for x in joins.nearest_point(rows.limit(3), spark.createDataFrame([], place)).collect()} == {None}
+
+
+def test_a_tree_cuts_only_cells_with_many_places(spark):
+    r = random.Random(5)
+    places = [(50 + r.gauss(0, 1e-4), 7 + r.gauss(0, 1e-4)) for _ in range(3000)] + [(r.uniform(-80, 80), r.uniform(-180, 180)) for _ in range(300)]
+    cells, ends, sizes = joins.cell_tree(spark.createDataFrame(places, "lat double, lon double"))
+    assert ends.count() == 3300 and ends.groupBy("level", "cell").count().agg(F.max("count")).first()[0] <= joins.LEAF
+    assert sum(sizes.values()) == cells.count() < 3300 and max(sizes) > joins.AT_ONCE
+
+
 @pytest.mark.parametrize("name", ["forecast", "nowcast", "backtrack", "route_plan"])
 def test_ensembles_are_whole(spark, monkeypatch, name):
     simulate, sea, runs, seas = drift.simulate, decide.Sea, [], []

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import chord_km, haversine_km, unit_vector
-from ..refdata import EARTH_KM, KM_PER_DEGREE, MOUTH_KM, RECURRENCE_KM
-from .scratch import settle
+from ..refdata import EARTH_KM, MOUTH_KM, RECURRENCE_KM
+from .scratch import BROADCAST_ROWS, if_small, settle
 
 
 def nearest_in_dimension(points: DataFrame, dimension: DataFrame, columns: dict[str, str], lat: str = "lat", lon: str = "lon", most: int = 1_000) -> DataFrame:
@@ -78,28 +78,83 @@ def persistence(hotspots: DataFrame, history: DataFrame, run: str, km: float = R
     return hotspots.join(counted, "id", "left").crossJoin(F.broadcast(runs)).withColumn("persistence", share).drop("_hits", "_runs")  # runs: one row
 
 
-def nearest_point(points: DataFrame, targets: DataFrame, size: float = 0.5, rounds: int = 6, max_abs_lat: float = 23.0) -> DataFrame:
-    """points (id, lat, lon) with the chord distance to the nearest of many targets (coastline points): distance_km.
-
-    Equi-joins on cells, whose size doubles for points not yet settled: the nearest in the cells around is certain once it is no farther
-    than a cell is wide. Ends with a cell that holds the whole region."""
-    done = None
-    rest = points.select("id", "lat", "lon")
-    for k in range(rounds):
-        step = size * 2**k if k < rounds - 1 else 720.0
-        y, x = cells(F.col("lat"), F.col("lon"), step)
-        near = around(targets.select(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), "t_lat", "t_lon", step)
-        a, b = unit_vector(F.col("lat"), F.col("lon")), unit_vector(F.col("t_lat"), F.col("t_lon"))
-        chord = F.sqrt(sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"), F.lit(0.0)))
-        found = rest.withColumn("_cy", y).withColumn("_cx", x).join(near, ["_cy", "_cx"], "left").groupBy("id", "lat", "lon").agg(F.min(chord_km(chord)).alias("distance_km"))
-        found = settle(found, "nearest")
-        certain = F.col("distance_km") <= step * KM_PER_DEGREE * math.cos(math.radians(max_abs_lat))
-        part = found.where(certain) if k < rounds - 1 else found
-        done = part if done is None else done.union(part)
-        rest = found.where(~F.coalesce(certain, F.lit(False))).select("id", "lat", "lon")
-        if k < rounds - 1 and rest.isEmpty():
+#: Cells of a level go by FAN along each axis of the cube around the unit sphere; a cell of at most LEAF places is not cut further; levels counted at once, deepest one.
+FAN, LEAF, AT_ONCE, DEEPEST = 4, 24, 8, 22
+CELL = "struct<x: long, y: long, z: long>"
+
+
+def _cell(level: Column, of: dict[str, Column]) -> Column:
+    per = F.pow(F.lit(float(FAN)), level)
+    return F.struct(*(F.least(F.floor((of[c] + 1) / 2 * per), per - 1).cast("long").alias(c) for c in "xyz"))
+
+
+def cell_tree(targets: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """A tree of cells over targets (lat, lon) anywhere on the sphere. The cells divide the cube around the unit sphere, so poles and the 180th meridian are
+    places like any other, and only cells with more than `leaf` distinct places are cut again.
+
+    Returns the cells (level, parent, cell, open, the box of the cell's places, one of them), the places by their last cell (level, cell, t_lat, t_lon), and how many
+    cells a level has. Some levels are counted at once, with sums before the shuffle; only places in cells still open go on to deeper ones."""
+    u = unit_vector(F.col("t_lat"), F.col("t_lon"))
+    places = targets.where("lat is not null and lon is not null").select(F.col("lat").cast("double").alias("t_lat"), F.col("lon").cast("double").alias("t_lon")).distinct()
+    rest = settle(places.select("*", *(u[c].alias(c) for c in "xyz")), "places")
+    xyz = {c: F.col(c) for c in "xyz"}
+    box = [f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    parent = F.struct(*(F.floor(F.col(f"cell.{c}") / FAN).cast("long").alias(c) for c in "xyz"))
+    cells = ends = None
+    for first in range(1, DEEPEST + 1, AT_ONCE):
+        last = min(first + AT_ONCE, DEEPEST + 1) - 1
+        celled = rest.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("cell", _cell(F.col("level"), xyz))
+        counted = celled.groupBy("level", "cell").agg(F.count("*").alias("n"), *box, F.min(F.struct("x", "y", "z")).alias("one")).withColumn("parent", parent)
+        counted = settle(counted.withColumn("open", (F.col("n") > leaf) & (F.col("level") < DEEPEST)), "cells")
+        opened = counted.where("open").select((F.col("level") + 1).alias("level"), F.col("cell").alias("parent"))
+        new = counted.where(F.col("level") == first).union(counted.where(F.col("level") > first).join(opened, ["level", "parent"], "left_semi").select(counted.columns))
+        new = settle(new, "tree")
+        cells = new if cells is None else cells.union(new)
+        done = celled.join(new.where("not open").select("level", "cell"), ["level", "cell"], "left_semi").select("level", "cell", "t_lat", "t_lon")
+        ends = done if ends is None else ends.union(done)
+        deeper = new.where(F.col("open") & (F.col("level") == last)).select("cell")
+        if deeper.isEmpty():
             break
-    return done.select("id", "distance_km")
+        rest = settle(celled.where(F.col("level") == last).join(if_small(settle(deeper, "open")), "cell", "left_semi").select("t_lat", "t_lon", "x", "y", "z"), "places")
+    return cells, settle(ends, "ends"), {r.level: r["n"] for r in cells.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row per level
+
+
+def nearest_point(points: DataFrame, targets: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """points (id, lat, lon) with the great-circle distance to the nearest of many targets (coastline points), anywhere on the sphere: distance_km.
+
+    Points go down the targets' tree of cells: of the cells in hand each point keeps those whose box may hold something as near as one
+    known place of any of them, opens these, and compares itself with the places of the last ones. Until then a cell counts by its box alone; nothing is
+    missed, and a cell with very many places, or points, is never compared whole with another. A level's cells are broadcast if their number allows, else
+    joined by cell, whose hot keys AQE splits.
+
+    A point without a place, and every point where there is no target, has no distance."""
+    cells, ends, sizes = cell_tree(targets, leaf)
+    p = unit_vector(F.col("lat"), F.col("lon"))
+    there = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    now = there.where("lat is not null and lon is not null").distinct().select("*", *(p[c].alias(c) for c in "xyz"))
+    root = F.struct(*(F.lit(0).cast("long").alias(c) for c in "xyz"))
+    now = now.select("*", root.alias("at"), F.lit(None).cast("int").alias("end_level"), F.lit(None).cast(CELL).alias("end"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("double").alias("most"))
+    square = lambda d: d * d
+    outside = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
+    each = Window.partitionBy("id", "lat", "lon")
+    for k in sorted(sizes):
+        table = cells.where(F.col("level") == k).select(F.col("parent").alias("at"), "cell", "open", "one", *(f"{n}_{c}" for n in ("lo", "hi") for c in "xyz"))
+        opened = now.join(F.broadcast(table) if sizes[k] <= BROADCAST_ROWS else table, "at", "left")
+        new = F.col("cell").isNotNull()
+        # what is settled waits under a key of its own, spread by its id
+        waits = F.struct(F.lit(-1).cast("long").alias("x"), F.xxhash64("id").alias("y"), F.lit(k).cast("long").alias("z"))
+        least = F.when(new, F.sqrt(sum((square(outside(c)) for c in "xyz"), F.lit(0.0)))).otherwise(F.col("least"))
+        most = F.when(new, F.sqrt(sum((square(F.col(c) - F.col(f"one.{c}")) for c in "xyz"), F.lit(0.0)))).otherwise(F.col("most"))
+        now = opened.select(
+            "id", "lat", "lon", "x", "y", "z", F.when(new & F.col("open"), F.col("cell")).otherwise(waits).alias("at"),
+            F.when(new & ~F.col("open"), F.lit(k)).otherwise(F.col("end_level")).alias("end_level"), F.when(new & ~F.col("open"), F.col("cell")).otherwise(F.col("end")).alias("end"),
+            least.alias("least"), most.alias("most"), F.min(most).over(each).alias("_bound"),
+        ).where(F.col("least") <= F.col("_bound") + 1e-12).drop("_bound")
+    a, b = unit_vector(F.col("lat"), F.col("lon")), unit_vector(F.col("t_lat"), F.col("t_lon"))
+    chord = F.sqrt(sum((square(a[c] - b[c]) for c in "xyz"), F.lit(0.0)))
+    places = if_small(ends.select(F.col("level").alias("end_level"), F.col("cell").alias("end"), "t_lat", "t_lon"))
+    found = now.join(places, ["end_level", "end"]).groupBy("id", "lat", "lon").agg(F.min(chord_km(chord)).alias("distance_km"))
+    return there.join(found, ["id", "lat", "lon"], "left").select("id", "distance_km")
 
 
 def nearest_in_time(times: DataFrame, slices: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table that a join may broadcast.
+BROADCAST_ROWS = 200_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -35,6 +39,11 @@ def settle(df: DataFrame, name: str = "round") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (a settled table, cheap to count) marked for broadcast if it has no more than so many rows; else the join shuffles, and AQE splits hot keys."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def discard() -> None:
     while _made:
         spark, path = _made.pop()

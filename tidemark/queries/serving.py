@@ -152,16 +152,6 @@ def threshold_override(s: Source) -> DataFrame:
     return s.table("lineitem").select("l_orderkey", "l_linenumber", classify.threshold_override(F.col("l_linenumber"), F.col("l_discount"), 0.05, 1).alias("label"))
 
 
-_RESULTS = [("ET500 v2 cap40k", None, None), ("ET500 v2 cap40k | debris>=0.25", None, 0.25), ("ET500 v2 cap40k | debris>=0.3", None, 0.3), ("Ensemble 0.6", None, None), ("Ensemble 0.6 | debris>=0.25", None, 0.25), ("Hybrid 0.5", 0.5, None), ("Hybrid 0.7", 0.7, None), ("other", None, None)]
-_SHOWN = [("ET500 v2 cap40k", "Extra Trees, features v2", False), ("ET500 v2 cap40k | debris>=0.25", "Extra Trees v2, debris if P(debris) ≥ 0.25", False), ("Ensemble 0.6", "Soft vote 0.6 ET + 0.4 GB", False),
-          ("Hybrid 0.5", "Two experts: ET decides floating, vote 0.5 ET + 0.5 GB ✓ chosen", True), ("Hybrid 0.7", "Two experts: ET decides floating, vote 0.7 ET + 0.3 GB", False), ("other", "other", False)]
-
-
-@query("experiment_rows", " UNION ALL ".join(f"SELECT '{a}' AS name, '{b}' AS shown_as, {c} AS chosen" for a, b, c in _SHOWN))
-def experiment_rows(s: Source) -> DataFrame:
-    return show.experiments(s.spark.createDataFrame(_RESULTS, "name string, ensemble_weight double, debris_threshold double")).select("name", "shown_as", "chosen")
-
-
 @query("utm_round_trip", "SELECT event_id AS id, CAST(floor((lon + 180) / 6) + 1 AS int) AS zone, true AS back, lon > floor((lon + 180) / 6) * 6 - 177 AS east FROM obs")
 def utm_round_trip(s: Source) -> DataFrame:
     """Places to their UTM zone and back within some millimetres, and whether they are east of its middle."""

@@ -97,6 +97,17 @@ def coast_distance(s: Source) -> DataFrame:
     return joins.nearest_point(points, s.sql(COAST)).select("id", F.round("distance_km", 3).alias("km"))
 
 
+#: Places all over the sphere, poles and the 180th meridian among them.
+ANYWHERE = "SELECT event_id AS k, degrees(asin(2 * (((event_id * 7919) % 10007) / CAST(10006 AS double)) - 1)) AS lat, 360 * (((event_id * 104729) % 10009) / CAST(10009 AS double)) - 180 AS lon FROM events"
+SHORES = "SELECT c_custkey AS k, degrees(asin(2 * (((c_custkey * 15485863) % 1009) / CAST(1008 AS double)) - 1)) AS lat, 180 - ((c_custkey * 32452843) % 1013) * CAST(0.0419732461 AS double) * CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 8 END AS lon FROM customer WHERE c_nationkey < 5"
+
+
+@query("coast_distance_anywhere", f"""
+WITH p AS ({ANYWHERE}), coast AS ({SHORES}) SELECT p.k AS id, round(min({km("p.lat", "p.lon", "c.lat", "c.lon")}), 3) AS km FROM p CROSS JOIN coast c GROUP BY p.k""")
+def coast_distance_anywhere(s: Source) -> DataFrame:
+    return joins.nearest_point(s.sql(ANYWHERE).withColumnRenamed("k", "id"), s.sql(SHORES)).select("id", F.round("distance_km", 3).alias("km"))
+
+
 @query("bearings", """
 WITH b AS (SELECT o.event_id, p.name AS port, (degrees(atan2((p.lon - o.lon) * cos(radians((o.lat + p.lat) / 2)), p.lat - o.lat)) + 360) % 360 AS plane,
   (degrees(atan2(sin(radians(p.lon - o.lon)) * cos(radians(p.lat)), cos(radians(o.lat)) * sin(radians(p.lat)) - sin(radians(o.lat)) * cos(radians(p.lat)) * cos(radians(p.lon - o.lon)))) + 360) % 360 AS sphere

@@ -34,7 +34,7 @@ VIEWS = {
     # tracks: the first observation of each user on each day
     "track": """SELECT user_id, d, lat, lon, event_type FROM (SELECT user_id, date_trunc('day', ts) AS d, lat, lon, event_type,
       row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS k FROM obs) z WHERE k = 1""",
-    "preds": """SELECT l.doc_id, l.quality AS y, (d.n_chars % 1000) / CAST(1000 AS double) AS p, CASE WHEN d.n_chars % 1000 >= 400 THEN 1 ELSE 0 END AS predicted, d.source, d.lang
+    "preds": """SELECT l.doc_id, l.quality AS y, (d.n_chars % 1000) * CAST(0.00099731246137 AS double) AS p, CASE WHEN d.n_chars % 1000 >= 400 THEN 1 ELSE 0 END AS predicted, d.source, d.lang
       FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     # snapshots of ensembles: orders as particles of their customers
     "parts": """SELECT o_custkey % 40 AS id, o_orderkey AS particle, 10 + (o_orderkey % 97) * CAST(0.0101246137 AS double) AS lat, 85 + (o_orderkey % 89) * CAST(0.0099731246 AS double) AS lon, o_orderpriority = '1-URGENT' AS beached,
@@ -46,7 +46,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Source:
-    """The tables and derived views of one directory. Temporary views are named apart by directory, so queries over several don't meet."""
+    """The tables and derived views of one directory. Views go by their plain names in the session: a query's plan is made before the next one's."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir

@@ -107,7 +107,7 @@ def values_sql(rows, columns: str) -> str:
     text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) if isinstance(v, int) else f"CAST({v} AS double)"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(text(v) for v in (i, *r)) + ')' for i, r in enumerate(rows))}) t(ord, {columns})"
 
-# Names of the classes, of what a run's source texts mention, and of compared models in a report.
+# Names of the classes, and of what a run's source texts mention.
 CLASS_NAMES = {
     1: "Marine Debris", 2: "Dense Sargassum", 3: "Sparse Sargassum", 4: "Natural Organic Material", 5: "Ship", 6: "Clouds", 7: "Marine Water", 8: "Sediment-Laden Water", 9: "Foam",
     10: "Turbid Water", 11: "Shallow Water", 12: "Waves", 13: "Cloud Shadows", 14: "Wakes", 15: "Mixed Water",
@@ -116,10 +116,6 @@ SOURCES = {
     "PACE": (("detection", "PACE"),), "Sentinel-2": (("detection", "Sentinel-2"),), "OSCAR": (("currents", "OSCAR"),), "MERRA-2": (("wind", "MERRA-2"),),
     "Forecast": (("currents", "Open-Meteo"), ("wind", "Open-Meteo")),
 }
-EXPERIMENT_NAMES = {
-    "ET500 v1 cap40k": "Extra Trees, features v1 (round-1 model)", "ET500 v2 cap40k": "Extra Trees, features v2", "ET500 v2 cap100k": "Extra Trees v2, 100,000 px per class",
-    "ET500 v2 capallk": "Extra Trees v2, all pixels", "HistGB v2 cap40k": "Gradient boosting (GB), features v2",
-}
 
 # Scene classes (water, and what is masked with a buffer of so many pixels), kilometres of shore that are left out (coarse and fine pixels).
 WATER_CLASS, MASKED_CLASSES, MASK_STEPS = 6, (3, 8, 9, 10), 5
