@@ -14,6 +14,7 @@ texts, repeated rows stand beside each other; an empty table gives files without
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,8 +54,21 @@ def apart(said: dict) -> bool:
     return local and dropped and plain and not said.get("post_processor")
 
 
+def letters_alone(said: dict) -> bool:
+    """Whether letters are lower-cased, and never in a piece with punctuation but for an apostrophe."""
+    cuts = json.dumps(said.get("pre_tokenizer"))
+    pattern = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].split("|") if '"pretokenizers"' in cuts else []
+    rest = [x for x in pattern if x not in (r"[\p{L}]+", r"[^\s\p{L}\p{N}]+")]
+    return len(pattern) == len(rest) + 2 and all(x.startswith("'") or x == r"[\p{N}]" for x in rest) and '"Lowercase"' in json.dumps(said.get("normalizer"))
+
+
+#: A chunk of Latin letters, with punctuation after it or none.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+)([.,;:!?]*)")
+
+
 class Encoder:
-    """Ids of whole texts (given and returned as bytes: UTF-8, and little-endian 32-bit ids)."""
+    """Ids of whole texts (given and returned as bytes: UTF-8, and little-endian 32-bit ids). Chunks that differ in capitals and in punctuation
+    after them share the ids of their letters."""
 
     def __init__(self, tokenizer: str, table: int = TABLE, longest: int = LONGEST):
         import os
@@ -63,43 +77,90 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.apart = apart(json.loads(tokenizer))
+        said = json.loads(tokenizer)
+        self.apart = apart(said)
+        self.plain = self.apart and letters_alone(said)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.table: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.size, self.longest = table, longest
         stop = self.tokenizer.encode(STOP, add_special_tokens=False).ids
         self.stop = stop[0] if len(stop) == 1 else None
+        mark, vocabulary = said["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool) if self.plain and mark else None
+        if self.last is not None:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.batch([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<i4").tobytes() for e in found]
 
-    def chunk_ids(self, chunks: list[bytes], together: int = 500) -> list[bytes]:
-        """Ids of many chunks, some hundred to a text: a chunk of the stop character alone stands after each, and no other chunk has that character's id."""
-        if self.stop is None or any(STOP.encode() in k for k in chunks):
-            return self.ids(chunks)
-        texts = [f" {STOP} ".join([k.decode("utf-8") for k in chunks[i : i + together]]) + f" {STOP}" for i in range(0, len(chunks), together)]
-        ids = np.concatenate([np.empty(0, "<i4"), *(np.array(e.ids, "<i4") for e in self.batch(texts, add_special_tokens=False))]).astype("<i4")
-        ends = np.flatnonzero(ids == self.stop)
-        if len(ends) != len(chunks):
-            return self.ids(chunks)
-        said, ends = ids.tobytes(), (4 * ends).tolist()
-        return [said[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends)]
+    def together(self, pieces: list[bytes], most: int = 500) -> list[bytes]:
+        """Ids of many pieces, some hundred to a text: the stop character alone stands after each, and no other piece has that character's id."""
+        if self.stop is None or any(STOP.encode() in k for k in pieces):
+            return self.ids(pieces)
+        found = self.parted(pieces, f" {STOP} ", most)
+        ends = np.flatnonzero(found == self.stop)
+        return self.cut(found, ends, ends + 1) if len(ends) == len(pieces) else self.ids(pieces)
+
+    def words(self, words: list[bytes], most: int = 1000) -> list[bytes]:
+        """Ids of many words of letters alone: a word's last token says that it is one."""
+        if self.last is None:
+            return self.together(words)
+        found = self.parted(words, " ", most)
+        ends = np.flatnonzero(self.last[found]) + 1
+        return self.cut(found, ends, ends) if len(ends) == len(words) else self.together(words)
+
+    def parted(self, pieces: list[bytes], between: str, most: int) -> np.ndarray:
+        texts = [between.join([k.decode("utf-8") for k in pieces[i : i + most]]) + between for i in range(0, len(pieces), most)]
+        return np.concatenate([np.empty(0, "<i4"), *(np.array(e.ids, "<i4") for e in self.batch(texts, add_special_tokens=False))]).astype("<i4")
+
+    @staticmethod
+    def cut(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Bytes of the runs that end at ends, each next one from starts."""
+        said = ids.tobytes()
+        return [said[i:j] for i, j in zip([0, *(4 * starts[:-1]).tolist()], (4 * ends).tolist())]
+
+    @staticmethod
+    def learn(table: dict[bytes, bytes], wanted: set[bytes], size: int, ids) -> list[bytes]:
+        """Put what is wanted in a table, which is emptied beyond its size; returns what is new in it."""
+        new = wanted - table.keys()
+        if len(table) + len(new) > size:
+            table.clear()
+            new = wanted
+        new = list(new)
+        table.update(zip(new, ids(new)))
+        return new
+
+    def split(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks by those of their pieces."""
+        if not self.plain:
+            return self.together(chunks)
+        found = [*map(PLAIN.fullmatch, chunks)]
+        words = [m[1].lower() if m else None for m in found]
+        new = self.learn(self.pieces, {w for w in words if w}, self.size, self.words)
+        odd = [m[2] if m else k for m, k in zip(found, chunks)]
+        rest = {k for k in odd if k}
+        ids = dict(zip(rest, self.together(list(rest))))
+        ids[b""] = b""
+        of = self.pieces.__getitem__
+        out = [of(w) + ids[k] if w else ids[k] for w, k in zip(words, odd)]
+        self.forget(self.pieces, new)
+        return out
+
+    def forget(self, table: dict[bytes, bytes], new: list[bytes]) -> None:
+        for k in new:
+            if len(k) > self.longest:
+                del table[k]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.apart:
             return self.ids(texts)
         chunks = [t.split() for t in texts]
-        new = set().union(*chunks) - self.table.keys()
-        if len(self.table) + len(new) > self.size:
-            self.table.clear()
-            new = set().union(*chunks)
-        known, fresh = self.table, list(new)
-        known.update(zip(fresh, self.chunk_ids(fresh)))
-        out = [b"".join(map(known.__getitem__, c)) for c in chunks]
-        for k in fresh:
-            if len(k) > self.longest:
-                del known[k]
+        new = self.learn(self.chunks, set().union(*chunks), self.size, self.split)
+        of = self.chunks.__getitem__
+        out = [b"".join(map(of, c)) for c in chunks]
+        self.forget(self.chunks, new)
         return out
 
 
