@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,21 +34,9 @@ def nearest_mouth(points: DataFrame, mouths: DataFrame, near_km: float = MOUTH_K
     return found.withColumn("mouth", F.when(F.col("distance_km") <= near_km, F.col("mouth")).otherwise("other coastline"))
 
 
-def cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
-    return F.floor(lat / size).cast("int"), F.floor(lon / size).cast("int")
-
-
-def around(df: DataFrame, lat: str, lon: str, size: float, reach: int = 1) -> DataFrame:
-    """df repeated for the cells around each row's own."""
-    y, x = cells(F.col(lat), F.col(lon), size)
-    return df.withColumn("_cy", F.explode(F.sequence(y - reach, y + reach))).withColumn("_cx", F.explode(F.sequence(x - reach, x + reach)))
-
-
-def within_radius(left: DataFrame, right: DataFrame, km: float, condition: Column | None = None) -> DataFrame:
-    """Pairs of rows (columns of right with r_ in front) at most km apart, anywhere on the sphere, by an equi-join on cells and exact distances after.
-
-    Bands of latitude are as high as km; a band is cut into equal cells of longitude, wide enough that whatever is near lies in the cell or the ones
-    beside it, around the globe. A right row is repeated for nine cells, so each pair meets in one."""
+def sphere_cells(km: float) -> tuple[Callable[[Column], Column], Callable[..., Column]]:
+    """(band of a latitude, cell of a band and longitude): bands are as high as km; a band is cut into equal cells of longitude, wide enough that whatever is
+    within km lies in the cell or the ones beside it (step -1, 1), in its band or the ones beside that, around the globe."""
     size = math.degrees(km / EARTH_KM) * 1.0001
     reach = math.sin(km / EARTH_KM) * 1.0002
 
@@ -57,9 +46,21 @@ def within_radius(left: DataFrame, right: DataFrame, km: float, condition: Colum
         n = F.greatest(F.floor(360.0 / wide), F.lit(1))
         return F.pmod(F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * n), n - 1) + step, n)
 
-    band = lambda lat: F.floor(lat / size)
-    near = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_cy", F.explode(F.sequence(band(F.col("r_lat")) - 1, band(F.col("r_lat")) + 1)))
-    near = near.withColumn("_cx", F.explode(F.array_distinct(F.array(*(cell(F.col("_cy"), F.col("r_lon"), k) for k in (-1, 0, 1))))))
+    return lambda lat: F.floor(lat / size), cell
+
+
+def to_neighbours(df: DataFrame, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df repeated for the nine cells (_cy, _cx) around each row's own."""
+    band, cell = sphere_cells(km)
+    out = df.withColumn("_cy", F.explode(F.sequence(band(F.col(lat)) - 1, band(F.col(lat)) + 1)))
+    return out.withColumn("_cx", F.explode(F.array_distinct(F.array(*(cell(F.col("_cy"), F.col(lon), k) for k in (-1, 0, 1))))))
+
+
+def within_radius(left: DataFrame, right: DataFrame, km: float, condition: Column | None = None) -> DataFrame:
+    """Pairs of rows (columns of right with r_ in front) at most km apart, anywhere on the sphere, by an equi-join on cells and exact distances after.
+    A right row is repeated for nine cells, so each pair meets in one."""
+    band, cell = sphere_cells(km)
+    near = to_neighbours(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), km, "r_lat", "r_lon")
     own = left.withColumn("_cy", band(F.col("lat")))
     pairs = own.withColumn("_cx", cell(F.col("_cy"), F.col("lon"))).join(near, ["_cy", "_cx"])
     if condition is not None:
@@ -184,13 +185,13 @@ def time_shifted(track: DataFrame, key: str, time: str, shifts: tuple[int, ...],
     return out
 
 
-def greedy_dedup(rows: DataFrame, order: list[str], km: float = RECURRENCE_KM) -> DataFrame:
+def greedy_dedup(rows: DataFrame, order: list[str], km: float = RECURRENCE_KM, near: DataFrame | None = None) -> DataFrame:
     """Proximity dedup of rows (id, lat, lon, observed, ...) in an order of columns (descending with a - in front; ids are unique): a row within km of one already
     kept is absorbed by the first such, others are kept. Returns the kept rows with seen (distinct observed values of what each stands for).
 
     The rule is sequential, yet a row is settled once all earlier rows near it are: it is absorbed if one of them is kept, and kept if none is
     left. Each round settles all such rows by equi-joins over the near pairs, so a region of any size spreads over tasks; rounds grow with the longest
-    chain of rows that wait for each other."""
+    chain of rows that wait for each other. near: the pairs (id, r_id, each once) of rows within km, where they are known already; rows are then not compared."""
     kinds = dict(rows.dtypes)
 
     def key(c: str) -> Column:
@@ -199,7 +200,13 @@ def greedy_dedup(rows: DataFrame, order: list[str], km: float = RECURRENCE_KM) -
         return (-x if c.startswith("-") else x).alias(name)
 
     places = settle(rows.select("id", "lat", "lon", F.struct(*(key(c) for c in order)).alias("o")), "places")
-    pairs = settle(within_radius(places, places, km, F.col("r_o") < F.col("o")).select("id", "r_id", "r_o"), "pairs")
+    if near is None:
+        found = within_radius(places, places, km, F.col("r_o") < F.col("o"))
+    else:
+        both = near.select("id", "r_id").union(near.select("r_id", "id"))
+        of = places.select("id", "o")
+        found = both.join(of, "id").join(of.select(F.col("id").alias("r_id"), F.col("o").alias("r_o")), "r_id").where("r_o < o")
+    pairs = settle(found.select("id", "r_id", "r_o"), "pairs")
     left, waiting = pairs.select("id", "r_id"), places.select("id")
     done = None
     while True:

@@ -32,9 +32,9 @@ def detected(pixels: DataFrame, pixel_km: float, block: int, per_scene: int = 10
     return decide.top_hotspots(detect.hotspots(found, pixel_km, same_sensor=fine), per_scene)
 
 
-def merged(hotspots: DataFrame) -> DataFrame:
-    """Sightings of several passes as one: the newest of each place stays, with how often it recurred."""
-    kept = joins.greedy_dedup(hotspots, ["-observed", "id"])
+def merged(hotspots: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Sightings of several passes as one: the newest of each place stays, with how often it recurred. near: their pairs within 15 km, where a stream has found them."""
+    kept = joins.greedy_dedup(hotspots, ["-observed", "id"], near=near)
     passes = hotspots.select("observed").distinct().agg((F.count("*") - 1).alias("_n"))
     return kept.crossJoin(F.broadcast(passes)).withColumn("recurrence", F.round((F.col("seen") - 1) / F.greatest(F.lit(1), "_n"), 3)).drop("seen", "_n")  # passes: one row
 
@@ -59,11 +59,11 @@ def assessed(spark: SparkSession, hotspots: DataFrame, forcing: Forcing, coast:
     return decide.ranked(decide.score(rest).withColumn("run", F.lit(run_id)))
 
 
-def live(spark: SparkSession, sightings: DataFrame, now: float, forcing: Forcing, coast: DataFrame | None = None, history: DataFrame | None = None, run_id: str = "live", lookback_days: int = 3, **kw) -> DataFrame:
+def live(spark: SparkSession, sightings: DataFrame, now: float, forcing: Forcing, coast: DataFrame | None = None, history: DataFrame | None = None, run_id: str = "live", lookback_days: int = 3, near: DataFrame | None = None, **kw) -> DataFrame:
     """A run as of `now` (epoch seconds): sightings (id, lat, lon, radius_km, confidence, observed in epoch seconds) of the look-back are merged,
-    moved to now, forecast and ranked. The same now and inputs give the same run."""
+    moved to now, forecast and ranked. The same now and inputs give the same run. near: the sightings' pairs within 15 km, where a stream has found them."""
     recent = sightings.where((F.col("observed") <= now) & (F.col("observed") > now - lookback_days * 86_400))
-    kept = settle(merged(recent).orderBy(F.desc("confidence"), "id").limit(refdata.MAX_HOTSPOTS), "merged")
+    kept = settle(merged(recent, near).orderBy(F.desc("confidence"), "id").limit(refdata.MAX_HOTSPOTS), "merged")
     moved = settle(drift.nowcast(kept, now, forcing.currents, forcing.wind, forcing.land, **kw).withColumn("start", F.lit(float(now))), "nowcast")
     return assessed(spark, moved, forcing, coast, history, run_id, **kw)
 
