@@ -1,11 +1,16 @@
-"""Pixel classifiers: a forest for floating material and a boosted one-vs-rest ensemble for the rest, joined by a two-expert rule."""
+"""Pixel classifiers: extra trees for floating material and a boosted ensemble of all classes for the rest, joined by a two-expert rule."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..refdata import ANNOTATOR_WEIGHTS, FLOATING_CLASSES
+from .trees import Binned, Trees, boosted, boosted_probabilities, extra_trees, forest_probabilities
 
 DEBRIS_CLASS = FLOATING_CLASSES[0]
 
@@ -41,42 +46,56 @@ def threshold_override(label: Column, p: Column, threshold: float, to: int) -> C
 
 
 def vectors(df: DataFrame, features: list[str] | str, out: str = "features") -> DataFrame:
-    """df with a vector of columns (missing as 0) or of one array column."""
-    from pyspark.ml.functions import array_to_vector
+    """df with an array of columns (missing as 0) or of one array column."""
+    x = F.transform(features, lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0))) if isinstance(features, str) else F.array(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features))
+    return df.withColumn(out, x)
+
+
+@dataclass
+class Forest:
+    """Extra trees over an array column of so many features."""
+
+    trees: Trees
+    width: int
+
+    @property
+    def numClasses(self) -> int:  # noqa: N802
+        return self.trees.value.shape[1]
 
-    x = F.col(features) if isinstance(features, str) else F.array(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features))
-    return df.withColumn(out, array_to_vector(x.cast("array<double>")))
+    def p(self, features: Column) -> Column:
+        return forest_probabilities(features, self.trees, self.width)
 
 
-def fit(df: DataFrame, label: str = "label", weight: str | None = None, trees: int = 40, rounds: int = 8, depth: int = 6, seed: int = 42, booster: bool = True):
-    """(forest, booster) on df (features, label 0..k-1). Extra trees and histogram boosting of many classes are not part of Spark: the forest
-    is a random one and the booster gradient-boosted trees, one against the rest."""
-    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+@dataclass
+class Booster:
+    """Rounds of a tree per class, and the scores before them."""
 
-    kw = {"weightCol": weight} if weight else {}
-    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, **kw).fit(df)
+    first: np.ndarray
+    rounds: list[Trees]
+    width: int
+
+    def p(self, features: Column) -> Column:
+        return boosted_probabilities(features, (self.first, self.rounds), self.width)
+
+
+def fit(df: DataFrame, label: str = "label", weight: str | None = None, trees: int = 40, rounds: int = 10, depth: int = 12, seed: int = 42, booster: bool = True, rate: float = 0.3):
+    """(forest, booster) on df (features, label 0..k-1): extra trees, and gradient boosting of all classes on histograms, with trees of a third of the forest's depth."""
+    data = Binned(df, "features", label, weight)
+    classes = (data.rows.agg(F.max("y")).first()[0] or 0) + 1
+    forest = Forest(extra_trees(data, classes, trees, depth, seed=seed), data.features)
     if not booster:
         return forest, None
-    base = GBTClassifier(maxIter=rounds, maxDepth=min(depth, 4), seed=seed, checkpointInterval=-1)
-    return forest, OneVsRest(classifier=base, labelCol=label, **kw).fit(df)
+    return forest, Booster(*boosted(data, classes, rounds, max(2, depth // 3), rate), data.features)
 
 
-def probabilities(df: DataFrame, forest, booster=None) -> DataFrame:
-    """df with p_forest and, given a booster, p_booster (its margins, squashed and normalised)."""
-    from pyspark.ml.functions import vector_to_array
-
-    out = forest.setPredictionCol("_f").setRawPredictionCol("_fr").setProbabilityCol("_fp").transform(df).withColumn("p_forest", vector_to_array("_fp")).drop("_f", "_fr", "_fp")
-    if booster is None:
-        return out
-    out = booster.setPredictionCol("_b").transform(out).withColumnRenamed(booster.getRawPredictionCol(), "_br")
-    s = F.transform(vector_to_array("_br"), lambda m: 1 / (1 + F.exp(-2 * m)))
-    out = out.withColumn("_s", s).drop("_b", "_br")
-    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("p_booster", F.transform("_s", lambda x: x / total)).drop("_s")
+def probabilities(df: DataFrame, forest, booster=None, features: str = "features") -> DataFrame:
+    """df with p_forest and, given a booster, p_booster: an array over the classes each."""
+    out = df.withColumn("p_forest", forest.p(F.col(features)))
+    return out if booster is None else out.withColumn("p_booster", booster.p(F.col(features)))
 
 
-def importances(forest, names: list[str], top: int = 20) -> list[tuple[str, float]]:
-    return sorted(zip(names, map(float, forest.featureImportances.toArray())), key=lambda x: -x[1])[:top]
+def importances(forest: Forest, names: list[str], top: int = 20) -> list[tuple[str, float]]:
+    return sorted(zip(names, map(float, forest.trees.importances(len(names)))), key=lambda x: -x[1])[:top]
 
 
 #: Models by name, as an experiment compares them: trees or rounds, depth.
@@ -96,22 +115,33 @@ class Bundle:
         return p.select(*df.columns, label.alias("label"), group_probability(F.col("p_forest"), self.classes, FLOATING_CLASSES).alias("p_floating"), group_probability(F.col("p_forest"), self.classes, (DEBRIS_CLASS,)).alias("p_debris"))
 
     def save(self, spark, path: str) -> None:
-        self.forest.write().overwrite().save(f"{path}/forest")
-        if self.booster:
-            self.booster.write().overwrite().save(f"{path}/booster")
-        spark.createDataFrame([(self.classes, self.booster is not None)], "classes array<int>, booster boolean").write.mode("overwrite").json(f"{path}/classes")
+        """A row per node, and one for what holds for all."""
+        rounds = self.booster.rounds if self.booster else []
+        nodes = [("forest", self.forest.trees), *(("booster", t) for t in rounds)]
+        rows = [(kind, k, i, int(t.feature[i]), float(t.threshold[i]), int(t.bin[i]), int(t.child[i]), float(t.gain[i]), t.value[i].tolist()) for k, (kind, t) in enumerate(nodes) for i in range(len(t.feature))]
+        spark.createDataFrame(rows, "kind string, part int, node long, feature int, threshold double, bin int, child long, gain double, value array<double>").write.mode("overwrite").parquet(f"{path}/nodes")
+        about = (self.classes, self.forest.width, [t.roots for _, t in nodes], self.booster.first.tolist() if self.booster else None)
+        spark.createDataFrame([about], "classes array<int>, width int, roots array<int>, first array<double>").write.mode("overwrite").json(f"{path}/about")
 
     @classmethod
     def load(cls, spark, path: str) -> Bundle | None:
-        """The bundle of a folder, or None where there is none: detection then goes without."""
+        """The bundle of a folder, or None where there is none: detection then goes without. Its nodes are bounded as they were grown (`trees.MOST_NODES`)."""
         from pyspark.errors import AnalysisException
-        from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
 
         try:
-            known = spark.read.schema("classes array<int>, booster boolean").json(f"{path}/classes").first()
+            about = spark.read.schema("classes array<int>, width int, roots array<int>, first array<double>").json(f"{path}/about").first()
         except AnalysisException:
             return None
-        return cls(RandomForestClassificationModel.load(f"{path}/forest"), OneVsRestModel.load(f"{path}/booster") if known.booster else None, list(known.classes))
+        t = spark.read.parquet(f"{path}/nodes").orderBy("part", "node").toPandas()
+        grown = []
+        for k, roots in enumerate(about.roots):
+            part = t[t["part"] == k]
+            one = Trees(roots, len(part["value"].iloc[0]))
+            one.feature, one.threshold, one.bin, one.child, one.gain = (part[c].to_numpy() for c in ("feature", "threshold", "bin", "child", "gain"))
+            one.value = np.stack(part["value"].to_list())
+            grown.append(one)
+        booster = Booster(np.array(about.first), grown[1:], about.width) if about.first is not None else None
+        return cls(Forest(grown[0], about.width), booster, list(about.classes))
 
 
 def trained(df: DataFrame, label: str = "label", weight: str | None = None, model: str = "two experts", **kw) -> Bundle:
