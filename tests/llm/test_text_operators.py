@@ -46,6 +46,21 @@ def test_mix_rounds_up_as_often_as_its_fraction_says(spark):
     assert 1 < rate < 2 and abs(np.mean(short) - rate) < 0.03 and abs(np.mean(long) - rate) < 0.06
 
 
+@pytest.mark.parametrize("per", [1, 2, 5])
+def test_small_sources_are_taken_as_often_as_their_fractions_say(spark, per):
+    """Sources of one, two and five documents, over seeds: the mean of the copies is the rate, and only its two neighbours are taken."""
+    n = 240
+    docs = spark.createDataFrame([(1000 * s + k, f"s{s:04d}", 10 + 7 * k) for s in range(n) for k in range(per)], "doc_id long, source string, size long").cache()
+    runs, copies, rates = 5, {}, {}
+    for seed in range(runs):
+        for x in mixing.mix(docs, seed=seed, size=F.col("size")).collect():
+            rates[x.source] = min(x.target / x.source_size, 3)
+            copies.setdefault(round(rates[x.source], 3), []).append(x.copies)
+    assert {0.375, 0.75, 1.875} == set(copies)
+    for rate, taken in copies.items():
+        assert set(taken) <= {int(rate), int(rate) + 1} and abs(np.mean(taken) - rate) < 4 * 0.5 / len(taken) ** 0.5
+
+
 def test_mix_shares_what_bounds_free(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, size long")
     got = {x.source: x.target for x in mixing.targets(sizes).collect()}

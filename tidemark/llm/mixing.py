@@ -4,8 +4,9 @@ Tokens are summed per source, targets are shared by weight, and each document is
 probability rate - floor(rate), by a draw that depends on the document's id and the seed only, so reruns agree.
 
 Documents differ so much in size that independent draws can end far from a target. Draws are therefore compared with the source's own
-threshold: of the draws' `BINS` bins, the one up to which the source's words come nearest to the fraction. It lies at the fraction on average,
-and a source ends within half a bin's words, or half the document at the threshold, of its target.
+threshold: of the draws' `BINS` bins, the one up to which the source's words come nearest to the fraction. It lies at the fraction on average. Where even that
+one is farther than `CLOSE` from the target, as in sources of few documents, one of the two bins around it is taken by a draw on seed and source, with the chance that
+makes the expected words the target: over seeds each document's extra copy then comes as often as the fraction says, however small its source.
 
 Defined cases: a null or empty text has size 0 and follows its source's rate like any other; a null source is a source of its
 own, last in order; rows of a source that share a doc_id share one draw (repeated rows are all kept or all left out); of bins that come
@@ -22,6 +23,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BINS = 4096
+#: Share of its target within which a source's words are as near as is asked for.
+CLOSE = 0.05
 RESULTS = ("size", "source_size", "target", "copies")
 
 
@@ -67,15 +70,22 @@ def rate_of(most: int) -> Column:
     return F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
 
 
-def thresholds(binned: DataFrame, shares: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
+def thresholds(binned: DataFrame, shares: DataFrame, most: int = MOST_REPEATS, seed: int = 17) -> DataFrame:
     """shares with upto: the draws below this bin take their one copy more. binned: (source, bin, size); sizes are summed by bin before they meet,
     so a source of any number of documents is BINS rows."""
     sums = binned.where("size > 0").groupBy("source", "bin").agg(F.sum("size").alias("size")).withColumnRenamed("source", "_of")
     upward = Window.partitionBy("source").orderBy("bin")
     wanted = (F.col("rate") - F.floor("rate")) * F.col("source_size")
-    at = shares.withColumn("rate", rate_of(most)).join(sums, common.same(F.col("source"), F.col("_of"))).withColumn("sum", F.sum("size").over(upward))
-    best = at.groupBy("source").agg(F.min(F.struct(F.abs(F.col("sum") - wanted).alias("gap"), (F.col("bin") + 1).alias("upto"))).alias("b"), F.any_value(wanted).alias("wanted"))
-    best = best.select(F.col("source").alias("_of"), F.when(F.col("wanted") <= F.col("b.gap"), 0).otherwise(F.col("b.upto")).cast("int").alias("upto"))
+    at = shares.withColumn("rate", rate_of(most)).join(sums, common.same(F.col("source"), F.col("_of"))).withColumn("sum", F.sum("size").over(upward)).withColumn("wanted", wanted)
+    side = F.struct("sum", (F.col("bin") + 1).alias("upto"))
+    both = at.groupBy("source").agg(F.any_value("wanted").alias("wanted"), F.any_value("target").alias("_target"), F.max(F.when(F.col("sum") <= F.col("wanted"), side)).alias("lo"), F.min(F.when(F.col("sum") > F.col("wanted"), side)).alias("hi"))
+    lo, low = F.coalesce("lo.sum", F.lit(0)), F.coalesce("lo.upto", F.lit(0))
+    under, over = F.col("wanted") - lo, F.col("hi.sum") - F.col("wanted")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:source:"), F.coalesce("source", F.lit("")))), 1, 12), 16, 10).cast("double") / 2.0**48
+    near = F.when(under <= over, low).otherwise(F.col("hi.upto"))
+    drawn = F.when(draw < under / (F.col("hi.sum") - lo), F.col("hi.upto")).otherwise(low)
+    chosen = F.when(F.col("hi").isNull(), low).when(F.least(under, over) <= CLOSE * F.col("_target"), near).otherwise(drawn)
+    best = both.select(F.col("source").alias("_of"), chosen.cast("int").alias("upto"))
     return shares.join(best, common.same(F.col("source"), F.col("_of")), "left").select("source", "source_size", "target", F.coalesce("upto", F.lit(0)).alias("upto"))
 
 
@@ -92,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     words = n_words(F.col("text")) if size is None else size
     narrow = common.written(docs.select("source", words.alias("size"), bin_of(F.col("doc_id"), seed).alias("bin")), "draws")
     shares = common.written(targets(narrow, weights, most), "shares")
-    shares = common.written(thresholds(narrow, shares, most), "thresholds")
+    shares = common.written(thresholds(narrow, shares, most, seed), "thresholds")
     of, upto = common.free_names(docs, "_share_of", "upto")
     shares = shares.select(F.col("source").alias(of), "source_size", "target", F.col("upto").alias(upto))
     copies = F.floor(rate_of(most)) + (bin_of(F.col("doc_id"), seed) < F.col(upto)).cast("int")
@@ -123,10 +133,12 @@ OP2_SQL = (
     + SHARES.format(table="g", n=3, pick="WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1", scale=10, most=3)
     + """), u AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t),
   s AS (SELECT source, bin, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS upward FROM d WHERE size > 0 GROUP BY source, bin),
-  e AS (SELECT u.source, 0 AS upto, (rate - floor(rate)) * source_size AS gap FROM u UNION ALL
-    SELECT u.source, bin + 1, abs(upward - (rate - floor(rate)) * source_size) FROM u JOIN s ON u.source IS NOT DISTINCT FROM s.source),
-  b AS (SELECT source, upto FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap, upto) AS k FROM e) z WHERE k = 1),
-  c AS (SELECT d.*, u.source_size, u.target, CAST(floor(rate) + CASE WHEN bin < upto THEN 1 ELSE 0 END AS bigint) AS copies
+  e AS (SELECT u.source, any_value((rate - floor(rate)) * source_size) AS wanted, any_value(target) AS target, max(CASE WHEN upward <= (rate - floor(rate)) * source_size THEN {'s': upward, 'u': bin + 1} END) AS lo,
+    min(CASE WHEN upward > (rate - floor(rate)) * source_size THEN {'s': upward, 'u': bin + 1} END) AS hi FROM u JOIN s ON u.source IS NOT DISTINCT FROM s.source GROUP BY u.source),
+  f AS (SELECT source, target, coalesce(lo.u, 0) AS low, hi.u AS high, wanted - coalesce(lo.s, 0) AS under, hi.s - wanted AS over_, hi.s - coalesce(lo.s, 0) AS wide,
+    CAST(CAST('0x' || substr(md5('17:source:' || coalesce(source, '')), 1, 12) AS bigint) AS double) / 281474976710656 AS draw FROM e),
+  b AS (SELECT source, CASE WHEN high IS NULL THEN low WHEN least(under, over_) <= 0.05::double * target THEN CASE WHEN under <= over_ THEN low ELSE high END WHEN draw < under / wide THEN high ELSE low END AS upto FROM f),
+  c AS (SELECT d.*, u.source_size, u.target, CAST(floor(rate) + CASE WHEN bin < coalesce(upto, 0) THEN 1 ELSE 0 END AS bigint) AS copies
     FROM d LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM c"""
 )
