@@ -5,10 +5,12 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import refdata
+from tidemark.functions import numeric
 from tidemark.operators import classify, decide, drift, evaluate, joins, raster
 from tidemark.queries import QUERIES
 
@@ -100,3 +102,17 @@ def test_classifier_learns_all_classes_with_the_default_fit(spark, tmp_path, mon
     with pytest.raises(Fitted) as e:
         QUERIES["two_expert_classifier"](spark, str(tmp_path))
     assert e.value.args == (1_600, {"weight": "weight"})
+
+
+def test_rounding_is_that_of_the_exact_binary_value(spark):
+    """A million doubles, decimal ties among them, against Python's round."""
+    r = np.random.default_rng(7)
+    n = 200_000
+    x = np.concatenate([r.uniform(-1000, 1000, n), r.integers(-10**6, 10**6, n) / 2**10, (r.integers(-10**7, 10**7, n) * 10 + 5) / 10**4, r.normal(size=n) * 10.0 ** r.integers(-8, 9, n), r.integers(-999, 999, n) / 16 + 0.0])
+    x = np.concatenate([x, [0.0, 0.5, 1.5, 2.5, 2.675, 1.005, 0.0005, 1e15, 1e300, -1e-300, 4503599627370497.5]])
+    frame = spark.createDataFrame(pd.DataFrame({"x": x}))
+    for places in (0, 2, 3):
+        got = frame.select("x", numeric.rounded(F.col("x"), places).alias("y")).toPandas()
+        assert (got["y"].to_numpy() == np.array([round(v, places) for v in got["x"].tolist()])).all()
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(numeric.rounded(F.col("x"), 3).alias("y")).collect()
+    assert odd[0].y is None and math.isnan(odd[1].y) and odd[2].y == math.inf

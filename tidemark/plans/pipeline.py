@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import refdata
+from ..functions.numeric import rounded
 from ..operators import decide, detect, drift, joins
 from ..operators.field import Grid
 from ..operators.scratch import settle
@@ -36,7 +37,7 @@ def merged(hotspots: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Sightings of several passes as one: the newest of each place stays, with how often it recurred. near: their pairs within 15 km, where a stream has found them."""
     kept = joins.greedy_dedup(hotspots, ["-observed", "id"], near=near)
     passes = hotspots.select("observed").distinct().agg((F.count("*") - 1).alias("_n"))
-    return kept.crossJoin(F.broadcast(passes)).withColumn("recurrence", F.round((F.col("seen") - 1) / F.greatest(F.lit(1), "_n"), 3)).drop("seen", "_n")  # passes: one row
+    return kept.crossJoin(F.broadcast(passes)).withColumn("recurrence", rounded((F.col("seen") - 1) / F.greatest(F.lit(1), "_n"), 3)).drop("seen", "_n")  # passes: one row
 
 
 def assessed(spark: SparkSession, hotspots: DataFrame, forcing: Forcing, coast: DataFrame | None, history: DataFrame | None, run_id: str, **kw) -> DataFrame:
