@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata
-from ..functions import geo
-from ..operators import classify, detect, show
+from ..functions import geo, numeric, spectral
+from ..operators import classify, detect, runs, show
+from ..sources import readers
 from .analysis import SPOTS, _spots
 from .spatial import RING, km
 from .views import Source, query
@@ -173,6 +174,51 @@ def scene_mask(s: Source) -> DataFrame:
     return detect.scene_valid(s.sql(_SCL), ["B2", "B8"], steps=2).select("scene", "row", "col", "valid")
 
 
+@query("block_average", f"""
+WITH s AS ({_SCL}) SELECT scene, CAST(row // 4 AS int) AS row, CAST(col // 4 AS int) AS col, round(avg(B2), 8) AS B2, round(avg(B8), 8) AS B8, min(CASE WHEN row % 4 = 2 AND col % 4 = 2 THEN scl END) AS scl, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon
+FROM s GROUP BY scene, row // 4, col // 4""")
+def block_average(s: Source) -> DataFrame:
+    """Pixels four times as coarse, each with the class of its middle."""
+    return readers.block_averaged(s.sql(_SCL), ["B2", "B8"], 4).select("scene", "row", "col", r("B2", 8).alias("B2"), r("B8", 8).alias("B8"), "scl", r("lat").alias("lat"), r("lon").alias("lon"))
+
+
+_BANDS = " UNION ALL ".join(f"SELECT scene, row, col, '{b}' AS band, {b} AS value FROM pix" for b in ("B2", "B8", "B11"))
+
+
+@query("swath_window", "SELECT row, col, B2, B8 FROM pix WHERE scene = 0 AND lat >= 10.05 AND lat <= 10.3001 AND lon >= 85.1 AND lon <= 85.3001")
+def swath_window(s: Source) -> DataFrame:
+    """Two bands of a swath's pixels in a box, from a long table of bands."""
+    one = s.view("pix").where("scene = 0")
+    bands = s.sql(_BANDS).where("scene = 0").select("row", "col", "band", "value")
+    return readers.swath(one.select("row", "col", "lat", "lon"), bands, ["B2", "B8"], (10.05, 10.3001, 85.1, 85.3001), least=50).select("row", "col", "B2", "B8")
+
+
+@query("reflectance_scaled", "SELECT l_orderkey, l_linenumber, CASE WHEN dn <> 0 THEN round(dn * 0.0001::double - 0.1::double, 6) END AS reflectance FROM (SELECT l_orderkey, l_linenumber, l_quantity * (l_linenumber % 4) AS dn FROM lineitem) z")
+def reflectance_scaled(s: Source) -> DataFrame:
+    return s.table("lineitem").select("l_orderkey", "l_linenumber", r(spectral.scaled(F.col("l_quantity") * (F.col("l_linenumber") % 4), 0.0001, -0.1)).alias("reflectance"))
+
+
+@query("recent_granules", """
+WITH g AS (SELECT o_orderkey AS id, o_orderdate AS start, (o_custkey % 100) / CAST(100 AS double) AS coverage, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 * 25 END AS cloud FROM orders)
+SELECT id, round(coverage * (1 - (CASE WHEN coalesce(cloud, 0) = 0 THEN 100 ELSE cloud END) / CAST(100 AS double)), 6) AS score FROM g WHERE start >= TIMESTAMP '1996-01-01' AND start <= TIMESTAMP '1996-12-31' AND coverage >= 0.15""")
+def recent_granules(s: Source) -> DataFrame:
+    o = F.col("o_orderkey")
+    g = s.table("orders").select(o.alias("id"), F.col("o_orderdate").alias("start"), ((F.col("o_custkey") % 100) / 100.0).alias("coverage"), F.when(o % 5 != 0, o % 4 * 25).alias("cloud"))
+    return runs.recent_granules(g, F.expr("TIMESTAMP_NTZ '1996-01-01'"), F.expr("TIMESTAMP_NTZ '1996-12-31'")).select("id", r("score").alias("score"))
+
+
+@query("weather_endpoint", "SELECT o_orderkey AS id, CASE WHEN CAST(o_orderdate AS date) >= DATE '1998-01-01' - 6 THEN 'forecast' ELSE 'archive' END AS endpoint FROM orders")
+def weather_endpoint(s: Source) -> DataFrame:
+    return s.table("orders").select(F.col("o_orderkey").alias("id"), runs.weather_source(F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date")).alias("endpoint"))
+
+
+@query("first_mode", "SELECT l_orderkey AS id, CAST(l_linenumber AS int) AS mode FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, l_linenumber) AS k FROM (SELECT l_orderkey, l_partkey % 3 AS l_linenumber FROM lineitem) y GROUP BY l_orderkey, l_linenumber) z WHERE k = 1")
+def first_mode(s: Source) -> DataFrame:
+    """Of each order the most frequent class of its lines, the smallest on ties."""
+    lines = s.table("lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_partkey") % 3).cast("int")).alias("v"))
+    return lines.select(F.col("l_orderkey").alias("id"), numeric.first_mode(F.col("v")).alias("mode"))
+
+
 #: A small island's ring; its corners stand for the coast.
 ISLAND = [(10.1, 85.1), (10.1, 85.22), (10.25, 85.2), (10.2, 85.1)]
 _edges = " UNION ALL ".join(f"SELECT {a[0]} AS alat, {a[1]} AS alon, {b[0]} AS blat, {b[1]} AS blon" for a, b in zip(ISLAND, ISLAND[1:] + ISLAND[:1]))
