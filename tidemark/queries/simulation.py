@@ -199,8 +199,8 @@ def stream_recurrence(s: Source) -> DataFrame:
 
 @query("stream_near_pairs", f"""
 SELECT a.event_id AS id, b.event_id AS r_id FROM obs a JOIN obs b ON a.event_id > b.event_id AND abs(a.lat - b.lat) < 0.2
-WHERE {km("a.lat", "a.lon", "b.lat", "b.lon")} <= 15 AND abs(epoch(a.ts) - epoch(b.ts)) < 259200""")
+WHERE {km("a.lat", "a.lon", "b.lat", "b.lon")} <= 15 AND abs(epoch(a.ts) - epoch(b.ts)) < 1788480""")
 def stream_near_pairs(s: Source) -> DataFrame:
-    """Pairs of sightings within 15 km and three days, found by the stateful stream as they come."""
+    """Pairs of sightings within 15 km and 20.7 days, found by the stateful stream as they come."""
     o = s.view("obs").select(F.col("event_id").alias("id"), "lat", "lon", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("observed"))
-    return recurrence.replayed(o, recurrence.near_pairs, by="observed").where("r_id is not null and gap < 259200").select("id", "r_id")
+    return recurrence.replayed(o, lambda x: recurrence.near_pairs(x, lookback_days=20.7), by="observed").where("r_id is not null and gap < 1788480").select("id", "r_id")
