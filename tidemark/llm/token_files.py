@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import tidy
 
-#: Chunks kept in a worker's table, and the bytes of the longest one kept; the table is emptied beyond, which changes no result.
+#: Chunks kept in a worker's table, and the bytes of the longest one kept; what does not fit is encoded anew each time.
 TABLE, LONGEST = 400_000, 64
 #: Stands between chunks that are encoded together.
 STOP = "\x01"
@@ -121,16 +121,17 @@ class Encoder:
         said = ids.tobytes()
         return [said[i:j] for i, j in zip([0, *(4 * starts[:-1]).tolist()], (4 * ends).tolist())]
 
-    @staticmethod
-    def learn(table: dict[bytes, bytes], wanted: set[bytes], size: int, ids) -> list[bytes]:
-        """Put what is wanted in a table, which is emptied beyond its size; returns what is new in it."""
+    def learn(self, table: dict[bytes, bytes], wanted: set[bytes], ids) -> list[bytes]:
+        """Put what is wanted in a table; returns what is to be forgotten after use: long keys, and all that is new once the table is full, as what came first is
+        what comes often. A table that knows less than half of what is wanted is of other texts and is emptied."""
         new = wanted - table.keys()
-        if len(table) + len(new) > size:
+        full = len(table) + len(new) > self.size
+        if full and 2 * len(new) > len(wanted):
             table.clear()
-            new = wanted
+            new, full = wanted, len(wanted) > self.size
         new = list(new)
         table.update(zip(new, ids(new)))
-        return new
+        return new if full else [k for k in new if len(k) > self.longest]
 
     def split(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of chunks by those of their pieces."""
@@ -138,29 +139,29 @@ class Encoder:
             return self.together(chunks)
         found = [*map(PLAIN.fullmatch, chunks)]
         words = [m[1].lower() if m else None for m in found]
-        new = self.learn(self.pieces, {w for w in words if w}, self.size, self.words)
+        odd_ones = self.learn(self.pieces, {w for w in words if w}, self.words)
         odd = [m[2] if m else k for m, k in zip(found, chunks)]
         rest = {k for k in odd if k}
         ids = dict(zip(rest, self.together(list(rest))))
         ids[b""] = b""
         of = self.pieces.__getitem__
         out = [of(w) + ids[k] if w else ids[k] for w, k in zip(words, odd)]
-        self.forget(self.pieces, new)
+        self.forget(self.pieces, odd_ones)
         return out
 
-    def forget(self, table: dict[bytes, bytes], new: list[bytes]) -> None:
-        for k in new:
-            if len(k) > self.longest:
-                del table[k]
+    @staticmethod
+    def forget(table: dict[bytes, bytes], keys: list[bytes]) -> None:
+        for k in keys:
+            del table[k]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.apart:
             return self.ids(texts)
         chunks = [t.split() for t in texts]
-        new = self.learn(self.chunks, set().union(*chunks), self.size, self.split)
+        odd_ones = self.learn(self.chunks, set().union(*chunks), self.split)
         of = self.chunks.__getitem__
         out = [b"".join(map(of, c)) for c in chunks]
-        self.forget(self.chunks, new)
+        self.forget(self.chunks, odd_ones)
         return out
 
 
