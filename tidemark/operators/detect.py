@@ -68,7 +68,7 @@ def off_shore(pixels: DataFrame, coast: DataFrame, rings: list[list[tuple[float,
     return pixels.join(drop, ["scene", "row", "col"], "left").withColumn("candidate", F.col("candidate") & F.col("_drop").isNull()).drop("_drop")
 
 
-#: Columns of the feature image, in order: bands and indices relative to the background, texture at 3 and 7 pixels, then wider context and edges.
+#: Columns of the feature image, in order: bands and indices relative to the background, texture at 3 and 7 pixels, then wider context and edges.
 BASE = (*(f"d{b}" for b in BANDS), "dFDI", "dFAI", "dNDVI", "dNDWI")
 TEXTURE = tuple(f"{x}_{k}" for x in ("dFDI", "dNDVI", "dB8", "dB2") for k in ("m3", "s3", "m7", "s7", "c7"))
 CONTEXT = ("dFDI_m15", "dFDI_s15", "dNDVI_m15", "dNDVI_s15", "dFDI_grad", "dB8_grad", "dB2_grad", "dB4_s7", "dB11_s7")
