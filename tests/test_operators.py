@@ -187,6 +187,29 @@ def test_persistence_without_history_is_zero(spark):
     assert joins.persistence(h, past, "run").first().persistence == 0
 
 
+def test_persistence_counts_runs_by_cells_and_places(spark):
+    """Against brute force at the poles, across the 180th meridian, in a dense place, and with nulls; ties at the same place included."""
+    r = random.Random(3)
+    bases = [(89.95, 10.0), (-89.9, 0.0), (10.0, 180.0), (0.0, 0.0), (60.0, -179.99)]
+
+    def place():
+        lat, lon = r.choice(bases)
+        if r.random() < 0.2:
+            return lat, lon
+        east = r.uniform(-180, 180) if abs(lat) > 85 else lon + r.uniform(-0.4, 0.4)
+        return max(-90.0, min(90.0, lat + r.uniform(-0.3, 0.3))), east - 360 if east > 180 else east
+
+    hot = [(i, *place()) for i in range(150)] + [(150 + i, 0.0 + i % 9 * 1e-3, 0.0) for i in range(40)] + [(900, None, 1.0)]
+    past = [(r.choice([*(f"r{k}" for k in range(12)), None]), *place()) for _ in range(90)] + [("dense", i * 1e-3, 0.1) for i in range(60)] + [("empty", None, None)]
+    runs = len({p[0] for p in past})
+    want = {i: len({run for run, *at in past if at[0] is not None and lat is not None and far((lat, lon), at) <= 15}) / runs for i, lat, lon in hot}
+    frames = spark.createDataFrame(hot, "id long, lat double, lon double"), spark.createDataFrame(past, "run string, lat double, lon double")
+    found = joins.persistence(*frames, "run")
+    assert found.columns == ["id", "lat", "lon", "persistence"]
+    assert {x.id: x.persistence for x in found.collect()} == want and sum(v > 0 for v in want.values()) > 100
+    assert joins.persistence(frames[0].limit(0), frames[1], "run").count() == 0
+
+
 def targets(*rows):
     return pd.DataFrame(rows, columns=["id", "rank", "risk_score", "tier", "lat", "lon", "start", "track"])
 

@@ -70,13 +70,69 @@ def within_radius(left: DataFrame, right: DataFrame, km: float, condition: Colum
 
 
 def persistence(hotspots: DataFrame, history: DataFrame, run: str, km: float = RECURRENCE_KM) -> DataFrame:
-    """hotspots (id, lat, lon, ...) with persistence: the share of earlier runs that have a hotspot within km; 0 without earlier runs.
-    Of history a row per run and distinct place is joined."""
+    """hotspots (id, lat, lon, ...) with persistence: the share of earlier runs that have a hotspot within km; 0 without earlier runs, and for a hotspot
+    without a place. A run without places counts among the runs.
+
+    Hotspots and each run's places are put into quarters of cells of km, kept as a ball each. A run whose ball in some cell lies within km of a whole
+    cell of hotspots is settled for all of them by that row alone, however many places and hotspots there are. Only where a run reaches a cell's edge and settles it
+    by no other cell are its distinct places there compared, with the cell's distinct places."""
+    band, width, cell, quarter = _quarter_cells(km)
+    place = [F.col(c).cast("double").alias(c) for c in ("lat", "lon")]
+    at, of = ["cy", "cx", "cq"], ["dy", "dx", "dq"]
+    celled = lambda df, y, x, q: df.withColumn(y, band(F.col("lat"))).withColumn(x, cell(F.col(y), F.col("lon"))).withColumn(q, quarter(F.col(y), F.col("lat"), F.col("lon")))
+    spots = celled(hotspots.where("lat is not null and lon is not null").select(*place).distinct(), *at)
+    past = celled(history.select(F.struct(run).alias("run"), *place), *of)
     runs = history.select(run).distinct().agg(F.count("*").alias("_runs"))
-    hits = within_radius(hotspots.select("id", "lat", "lon"), history.select(run, "lat", "lon").distinct(), km).select("id", f"r_{run}").distinct()
-    counted = hits.groupBy("id").agg(F.count("*").alias("_hits"))
+    own, there = _ball(spots, at, "c"), _ball(past.where("lat is not null and lon is not null"), [*of, "run"], "d")
+    # the cells that a ball around the hotspots' may meet: bands beside it, and in each what a cap of that radius spans
+    reach = (km * 1.0001 + F.col("c_km")) / EARTH_KM
+    polar = F.abs(F.radians("c_lat")) + reach >= math.pi / 2
+    span = F.when(polar, 360.0).otherwise(F.degrees(F.asin(F.least(F.sin(reach) / F.cos(F.radians("c_lat")), F.lit(1.0)))))
+    high = F.degrees(reach)
+    near = own.withColumn("_span", span).withColumn("dy", F.explode(F.sequence(band(F.col("c_lat") - high), band(F.col("c_lat") + high)))).withColumn("_n", width(F.col("dy")))
+    first, last = (F.floor((F.pmod("c_lon", F.lit(360.0)) + s * F.col("_span")) / 360.0 * F.col("_n")) for s in (-1, 1))
+    near = near.withColumn("dx", F.explode(F.sequence(first, F.least(last, first + F.col("_n") - 1)))).withColumn("dx", F.pmod("dx", "_n"))
+    d = haversine_km(F.col("c_lat"), F.col("c_lon"), F.col("d_lat"), F.col("d_lon"))
+    slack = 1e-6  # kilometres: what rounding may add to a bound is left to the exact comparison
+    met = near.join(there, ["dy", "dx"]).withColumn("_d", d).where(F.col("_d") - F.col("c_km") - F.col("d_km") <= km + slack)
+    whole = F.col("_d") + F.col("c_km") + F.col("d_km") <= km - slack
+    # a run has a few cells at most around one cell
+    met = settle(met.groupBy(*at, "run").agg(F.max(whole).alias("whole"), F.collect_list(F.struct(*of)).alias("cells")), "covers")
+    covered = met.where("whole").groupBy(*at).agg(F.count("*").alias("_whole"))
+    edges = met.where("not whole").select(*at, "run", F.explode("cells").alias("d")).select(*at, "run", "d.*")
+    places = past.select("run", *of, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).distinct()
+    pairs = edges.join(places, [*of, "run"]).join(spots, at).where(haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= km)
+    edge = pairs.groupBy("lat", "lon", "run").agg(F.lit(1).alias("one")).groupBy("lat", "lon").agg(F.count("*").alias("_edge"))
+    hits = spots.join(covered, at, "left").join(edge, ["lat", "lon"], "left")
+    hits = hits.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), (F.coalesce("_whole", F.lit(0)) + F.coalesce("_edge", F.lit(0))).alias("_hits")).where("_hits > 0")
     share = F.when(F.col("_runs") > 0, F.coalesce("_hits", F.lit(0)) / F.col("_runs")).otherwise(0.0)
-    return hotspots.join(counted, "id", "left").crossJoin(F.broadcast(runs)).withColumn("persistence", share).drop("_hits", "_runs")  # runs: one row
+    out = hotspots.join(hits, (F.col("lat").cast("double") == F.col("_lat")) & (F.col("lon").cast("double") == F.col("_lon")), "left")
+    return out.crossJoin(F.broadcast(runs)).withColumn("persistence", share).drop("_hits", "_runs", "_lat", "_lon")  # runs: one row
+
+
+def _quarter_cells(km: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column, Column], Column], Callable[[Column, Column, Column], Column]]:
+    """(band of a latitude, cells of a band, cell of a band and longitude, quarter of that cell): about km each way."""
+    size = math.degrees(km / EARTH_KM)
+
+    def width(band: Column) -> Column:
+        widest = F.least(F.abs(band), F.abs(band + 1)) * size
+        return F.greatest(F.floor(360.0 / size * F.cos(F.radians(F.least(widest, F.lit(90.0))))), F.lit(1))
+
+    def cell(band: Column, lon: Column, parts: int = 1) -> Column:
+        return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * width(band) * parts), width(band) * parts - 1)
+
+    quarter = lambda band, lat, lon: F.pmod(F.floor(lat / size * 2), F.lit(2)) * 2 + F.pmod(cell(band, lon, 2), F.lit(2))
+    return lambda lat: F.floor(lat / size), width, cell, quarter
+
+
+def _ball(places: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The places (lat, lon) of each group within one cell as a ball around the middle of their box: <name>_lat, <name>_lon, <name>_km. No place of a
+    box of latitude and longitude is farther from its middle than a corner."""
+    east = F.pmod("lon", F.lit(360.0))
+    box = places.groupBy(*by).agg(F.min("lat").alias("_s"), F.max("lat").alias("_n"), F.min(east).alias("_w"), F.max(east).alias("_e"))
+    lat, lon = (F.col("_s") + F.col("_n")) / 2, (F.col("_w") + F.col("_e")) / 2
+    corner = F.greatest(*(haversine_km(lat, lon, F.col(c), F.col("_e")) for c in ("_s", "_n")))
+    return box.select(*by, lat.alias(f"{name}_lat"), lon.alias(f"{name}_lon"), corner.alias(f"{name}_km"))
 
 
 #: Cells of a level go by FAN along each axis of the cube around the unit sphere; a cell of at most LEAF places is not cut further; levels counted at once, deepest one.
