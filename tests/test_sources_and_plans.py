@@ -164,3 +164,26 @@ def test_validation_finds_the_current_that_drove_the_buoys(spark):
     options = [validate.Setting((0.0, 0.0), 20.0, 0.05, scale, "1", i) for i, scale in enumerate((0.5, 1.0))]
     best = validate.chosen(validate.searched(found, c, uniform_field(0, 0), options, n=20), "error").first()
     assert best.cscale == 1.0
+
+
+def test_search_is_one_simulation_with_each_settings_own_result(spark):
+    """Settings side by side give what each gives alone: same draws, same summaries; names, order and an empty list."""
+    from tidemark.plans import validate
+
+    day = datetime.datetime(2023, 11, 14)
+    rows = [(k, day + datetime.timedelta(hours=24 * i), 10.0 + i * 0.1, 85 + j + 0.2 * i, None) for j, k in enumerate("ABC") for i in range(4)]
+    found = validate.cases(spark.createDataFrame(rows, "ID string, time timestamp_ntz, latitude double, longitude double, drogue_lost_date timestamp_ntz"))
+    options = [validate.Setting((0.0, 0.02), 20.0, 0.1, 1.0, "1", 0), validate.Setting((0.01, 0.03), 5.0, 0.05, 1.3, "1", 1), validate.Setting((0.0, 0.0), 0.0, 0.0, 0.5, "2", 0)]
+    grids = uniform_field(0.2, 0.1), uniform_field(3.0, -1.0)
+    key = lambda x: (x.stage, x.order, x.h)
+    together = {key(x): x for x in validate.searched(found, *grids, options, n=12).collect()}
+    assert len(together) == 6 and {x.n for x in together.values()} == {6}
+    for o in options:
+        for x in validate.searched(found, *grids, [o], n=12).collect():
+            y = together[key(x)]
+            assert (x.windage, x.K, x.cscale, x.sigma) == (y.windage, y.K, y.cscale, y.sigma) == (str(o.windage), o.diffusivity, o.scale, o.sigma)
+            assert [x[c] for c in ("median", "p90", "coverage", "cone_area_km2")] == pytest.approx([y[c] for c in ("median", "p90", "coverage", "cone_area_km2")], rel=1e-9, abs=1e-9)
+    assert len({round(x.median, 6) for x in together.values()}) == 6
+    with pytest.raises(ValueError, match="no settings"):
+        validate.searched(found, *grids, [])
+    assert validate.searched(found.limit(0), *grids, options, n=4).count() == 0

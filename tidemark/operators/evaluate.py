@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.numeric import digitize
 
 
+def error_measures(error: str) -> list[Column]:
+    return [F.median(error).alias("median"), F.avg(error).alias("mean"), F.percentile(error, 0.9).alias("p90"), F.count(error).alias("n")]
+
+
 def error_stats(df: DataFrame, by: list[str], error: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.median(error).alias("median"), F.avg(error).alias("mean"), F.percentile(error, 0.9).alias("p90"), F.count(error).alias("n"))
+    return df.groupBy(*by).agg(*error_measures(error))
 
 
 def coverage(df: DataFrame, by: list[str], inside: Column) -> DataFrame:

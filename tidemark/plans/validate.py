@@ -1,9 +1,9 @@
 """Validation against drifters: cases from tracks, errors of the model, of currents alone and of standing still, cone coverage, and the search
-over settings. All cases of a setting are one ensemble table; settings are looped on the driver because each has its own kernel."""
+over settings. A particle carries its setting, so all cases of all settings are one ensemble table, simulated and scored in one run."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -38,19 +38,29 @@ class Setting:
     extra: dict = field(default_factory=dict)
 
 
-def scored(found: DataFrame, currents: Grid, wind: Grid, setting: Setting, n: int = 150, **kw) -> DataFrame:
-    """(case, id, drogued, h, error_km, inside, area_km2) of one setting at 24 and 48 hours."""
-    key = F.concat_ws("@", F.col("id"), F.col("t0").cast("string"))
-    c = found.withColumn("case", key)
-    seeds = c.select(F.col("case").alias("id"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.lit(0.0).alias("radius_km"), F.unix_timestamp(F.col("t0").cast("timestamp")).cast("double").alias("start"))
-    fast = Grid(*currents.axes, currents.u * setting.scale, currents.v * setting.scale)
-    snaps = settle(drift.simulate(seeds, fast, wind, hours=48, every=24, n=n, windage=setting.windage, diffusivity=setting.diffusivity, sigma=setting.sigma, **kw), "validate")
-    mean = drift.moments(snaps.where("h > 0")).select("id", "h", "mean_lat", "mean_lon")
+#: Most settings of one search: they are an array of the plan.
+MOST_SETTINGS = 2_000
+
+
+def scored(found: DataFrame, currents: Grid, wind: Grid, settings: Sequence[Setting], n: int = 150, **kw) -> DataFrame:
+    """(setting, id, drogued, h, error_km, inside, area_km2) of each case under each setting at 24 and 48 hours; setting: its place in the list.
+
+    Windage, diffusivity, sigma and scale are columns of a seed, and a case has the same draws under every setting: one simulation, whatever the
+    number of settings, dealt by particle."""
+    if len(settings) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
+    number = lambda k, v: F.lit(float(v)).alias(k)
+    options = F.array(*(F.struct(F.lit(i).alias("setting"), number("least", s.windage[0]), number("most", s.windage[1]), number("K", s.diffusivity), number("sigma", s.sigma), number("scale", s.scale)) for i, s in enumerate(settings)))
+    c = found.withColumn("case", F.concat_ws("@", F.col("id"), F.col("t0").cast("string"))).withColumn("s", F.explode(options))
+    c = c.select(F.concat_ws("#", F.col("s.setting"), "case").alias("run"), "case", "s.*", "drogued", "t0", "lat0", "lon0", *(f"{x}{h}" for h in (24, 48) for x in ("lat", "lon")))
+    seeds = c.select(F.col("run").alias("id"), "case", "least", "most", "K", "sigma", "scale", F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.lit(0.0).alias("radius_km"), F.unix_timestamp(F.col("t0").cast("timestamp")).cast("double").alias("start"))
+    snaps = settle(drift.simulate(seeds, currents, wind, hours=48, every=24, n=n, windage=("least", "most"), diffusivity="K", sigma="sigma", scale="scale", draws="case", **kw).where("h > 0"), "validate")
+    mean = drift.moments(snaps).select("id", "h", "mean_lat", "mean_lon")
     cone = drift.hulls(snaps)
-    truth = c.select(F.col("case").alias("id"), "drogued", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"lat{h}").alias("lat"), F.col(f"lon{h}").alias("lon")) for h in (24, 48)))).alias("x")).select("id", "drogued", "x.*")
+    truth = c.select("setting", F.col("run").alias("id"), "drogued", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"lat{h}").alias("lat"), F.col(f"lon{h}").alias("lon")) for h in (24, 48)))).alias("x")).select("setting", "id", "drogued", "x.*")
     j = truth.join(mean, ["id", "h"]).join(cone, ["id", "h"])
     return j.select(
-        "id", "drogued", "h", haversine_km(F.col("mean_lat"), F.col("mean_lon"), F.col("lat"), F.col("lon")).alias("error_km"), point_in_ring(F.col("lat"), F.col("lon"), F.col("hull")).alias("inside"), ring_area_km2(F.col("hull")).alias("area_km2")
+        "setting", "id", "drogued", "h", haversine_km(F.col("mean_lat"), F.col("mean_lon"), F.col("lat"), F.col("lon")).alias("error_km"), point_in_ring(F.col("lat"), F.col("lon"), F.col("hull")).alias("inside"), ring_area_km2(F.col("hull")).alias("area_km2")
     )
 
 
@@ -59,31 +69,27 @@ def still(found: DataFrame) -> DataFrame:
     return found.select("drogued", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), haversine_km(F.col("lat0"), F.col("lon0"), F.col(f"lat{h}"), F.col(f"lon{h}")).alias("error_km")) for h in (24, 48)))).alias("x")).select("drogued", "x.*")
 
 
-def summary(scores: DataFrame) -> DataFrame:
-    """By hour: median, mean and p90 error, coverage of the 90 % cone and its median area."""
-    stats = evaluate.error_stats(scores, ["h"], "error_km")
-    return stats.join(evaluate.coverage(scores, ["h"], F.col("inside")).drop("n"), "h").join(scores.groupBy("h").agg(F.median("area_km2").alias("cone_area_km2")), "h")
+def summary(scores: DataFrame, by: tuple[str, ...] = ("setting", "h")) -> DataFrame:
+    """By setting and hour: median, mean and p90 error, coverage of the 90 % cone and its median area."""
+    return scores.groupBy(*by).agg(*evaluate.error_measures("error_km"), F.avg(F.col("inside").cast("int")).alias("coverage"), F.median("area_km2").alias("cone_area_km2"))
 
 
 def report(found: DataFrame, currents: Grid, wind: Grid, setting: Setting | None = None, **kw) -> DataFrame:
     """(method, h, median, mean, p90, n): the model, currents alone, and standing still, in one table."""
     s = setting or Setting()
     calm = Setting((0.0, 0.0), s.diffusivity, s.sigma, s.scale)
-    parts = [scored(found, currents, wind, x, **kw).select("h", "error_km").withColumn("method", F.lit(name)) for name, x in (("model", s), ("currents only", calm))]
-    every = parts[0].unionByName(parts[1]).unionByName(still(found).select("h", "error_km").withColumn("method", F.lit("persistence")))
+    method = F.when(F.col("setting") == 0, "model").otherwise("currents only")
+    every = scored(found, currents, wind, [s, calm], **kw).select("h", "error_km", method.alias("method")).unionByName(still(found).select("h", "error_km", F.lit("persistence").alias("method")))
     return evaluate.error_stats(every, ["method", "h"], "error_km")
 
 
 def searched(found: DataFrame, currents: Grid, wind: Grid, settings: Iterable[Setting], **kw) -> DataFrame:
-    """(stage, order, windage, K, cscale, sigma, h, median, coverage, ...): the summary of each setting."""
-    out = None
-    for s in settings:
-        x = summary(scored(found, currents, wind, s, **kw)).select(
-            F.lit(s.stage).alias("stage"), F.lit(s.order).alias("order"), F.lit(str(s.windage)).alias("windage"), F.lit(float(s.diffusivity)).alias("K"), F.lit(float(s.scale)).alias("cscale"), F.lit(float(s.sigma)).alias("sigma"), "h", "median", "p90", "coverage", "cone_area_km2", "n"
-        )
-        x = settle(x, "setting")
-        out = x if out is None else out.unionByName(x)
-    return out
+    """(stage, order, windage, K, cscale, sigma, h, median, p90, coverage, cone_area_km2, n): the summary of each setting, all from one simulation."""
+    settings = list(settings)
+    if not settings:
+        raise ValueError("no settings to search")
+    names = F.array(*(F.struct(F.lit(s.stage).alias("stage"), F.lit(s.order).alias("order"), F.lit(str(s.windage)).alias("windage"), F.lit(float(s.diffusivity)).alias("K"), F.lit(float(s.scale)).alias("cscale"), F.lit(float(s.sigma)).alias("sigma")) for s in settings))
+    return summary(scored(found, currents, wind, settings, **kw)).withColumn("s", F.get(names, F.col("setting"))).select("s.*", "h", "median", "p90", "coverage", "cone_area_km2", "n")
 
 
 def chosen(results: DataFrame, rule: str) -> DataFrame:
