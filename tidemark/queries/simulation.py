@@ -12,6 +12,8 @@ from ..functions import geo
 from ..functions.numeric import normal, normal_sql, track_at, uniform, uniform_sql
 from ..operators import classify, decide, drift, evaluate, joins
 from ..operators.field import Grid
+from ..operators.joins import time_shifted
+from ..plans import validate
 from ..streaming import recurrence
 from .spatial import RING, km
 from .views import Source, query
@@ -100,6 +102,26 @@ def _seeds(s: Source, n: int) -> DataFrame:
     return s.view("obs").orderBy(F.desc("value"), "event_id").limit(n).select(F.col("event_id").cast("string").alias("id"), "lat", "lon", F.lit(2.0).alias("radius_km"), F.lit(DAY).alias("start"))
 
 
+#: Settings of the search below: windage and a factor of the currents.
+_OPTIONS = [(0.0, 1.0), (0.02, 0.5), (0.03, 1.3), (0.05, 0.7)]
+
+
+@query("setting_search", f"""
+WITH a AS (SELECT a.user_id, a.d, a.lat AS lat0, a.lon AS lon0, b.lat AS lat24, b.lon AS lon24, c.lat AS lat48, c.lon AS lon48 FROM track a JOIN track b ON a.user_id = b.user_id AND b.d = a.d + INTERVAL 1 DAY JOIN track c ON a.user_id = c.user_id AND c.d = a.d + INTERVAL 2 DAY),
+s(ord, windage, scale) AS (VALUES {", ".join(f"({i}, {w}::double, {k}::double)" for i, (w, k) in enumerate(_OPTIONS))}),
+p AS (SELECT ord, h, lat0, lon0, (0.1 * scale - 2.0 * windage) * 3600 / {_M} AS dy, (0.3 * scale + 4.0 * windage) * 3600 / {_M} AS dx, CASE WHEN h = 24 THEN lat24 ELSE lat48 END AS lat, CASE WHEN h = 24 THEN lon24 ELSE lon48 END AS lon FROM a CROSS JOIN s CROSS JOIN (VALUES (24), (48)) z(h)),
+e AS (SELECT ord, h, {km("lat0 + h * dy", "lon0 + dx * list_sum(list_transform(range(0, h), lambda j: 1 / cos(radians(lat0 + j * dy))))", "lat", "lon")} AS km FROM p)
+SELECT CAST(ord AS int) AS ord, CAST(h AS int) AS h, round(median(km), 4) AS median, round(quantile_cont(km, 0.9), 4) AS p90, count(*) AS n FROM e GROUP BY ord, h""")
+def setting_search(s: Source) -> DataFrame:
+    """The search over settings on all days of all users with places one and two days later, in a steady current and wind and without noise."""
+    grid = s.sql("SELECT a.id * 4.0D * 86400 AS t, -90.0D + 180 * b.id AS lat, -180.0D + 360 * c.id AS lon FROM range(2) a CROSS JOIN range(2) b CROSS JOIN range(2) c").withColumn("kind", F.lit("k"))
+    currents, wind = (Grid.of(grid.withColumns({"u": F.lit(u), "v": F.lit(v)}), "k") for u, v in ((0.3, 0.1), (4.0, -2.0)))
+    cases = time_shifted(s.view("track").withColumn("d", F.col("d").cast("timestamp_ntz")), "user_id", "d", (1, 2))
+    cases = cases.select(F.col("user_id").alias("id"), F.col("d").alias("t0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), *(F.col(f"{c}_{k}").alias(f"{c}{24 * k}") for k in (1, 2) for c in ("lat", "lon")), F.lit(True).alias("drogued"))
+    found = validate.searched(cases, currents, wind, [validate.Setting((w, w), 0.0, 0.0, k, order=i) for i, (w, k) in enumerate(_OPTIONS)], n=2)
+    return found.select(F.col("order").alias("ord"), "h", r("median", 4).alias("median"), r("p90", 4).alias("p90"), "n")
+
+
 @query("forecast")
 def forecast(s: Source) -> DataFrame:
     return drift.forecast(_seeds(s, refdata.MAX_HOTSPOTS), *_fields(s), drift.Land([RING]))
