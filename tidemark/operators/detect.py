@@ -19,15 +19,11 @@ from .show import class_name
 
 def background(pixels: DataFrame, values: list[str], block: int) -> DataFrame:
     """pixels with bg_<value>: block medians, holes filled from the nearest block, read bilinearly."""
-    size = pixels.groupBy("scene").agg((F.ceil((F.max("row") + 1) / block) * block).cast("int").alias("rows"), (F.ceil((F.max("col") + 1) / block) * block).cast("int").alias("cols"))
+    size = settle(pixels.groupBy("scene").agg((F.ceil((F.max("row") + 1) / block) * block).cast("int").alias("rows"), (F.ceil((F.max("col") + 1) / block) * block).cast("int").alias("cols")), "sizes")
     grid = size.select("scene", F.explode(F.sequence(F.lit(0), (F.col("rows") / block).cast("int") - 1)).alias("br"), "cols").select("scene", "br", F.explode(F.sequence(F.lit(0), (F.col("cols") / block).cast("int") - 1)).alias("bc"))
     blocks = settle(grid.join(block_medians(pixels, values, block), ["scene", "br", "bc"], "left"), "blocks")
     blocks = settle(nearest_filled(blocks, values), "blocks")
-    out = pixels
-    for v in values:
-        b = blocks.withColumnRenamed(v, f"bg_{v}")
-        out = upsampled(out, b, f"bg_{v}", block, size)
-    return out
+    return upsampled(pixels, blocks, {v: f"bg_{v}" for v in values}, block, size)
 
 
 def bright(b2: Column, bg2: Column, b11: Column) -> Column:

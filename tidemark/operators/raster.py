@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,57 +32,62 @@ def nearest_filled(blocks: DataFrame, values: list[str], row: str = "br", col: s
 
     Two passes, whatever the distance: windows carry each column's nearest values down and up, then each row that has holes looks for the column
     whose two steps together are least. A task holds a row or a column of a scene, never a scene."""
-    key = ["scene", row, col]
-    return reduce(lambda a, b: a.join(b, key), [_filled_value(blocks, v, row, col, reach) for v in values])
-
-
-def _filled_value(blocks: DataFrame, value: str, row: str, col: str, reach: int | None) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    r, v = F.col(row), F.col(value)
+    r = F.col(row)
     down, up = (W.partitionBy("scene", col).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (r.asc(), r.desc()))
-    carried = F.when(v.isNotNull(), F.struct(r.alias("r"), v.alias("v")))
-    near = blocks.select("scene", row, col, value, F.last(carried, True).over(down).alias("a"), F.last(carried, True).over(up).alias("b"))
-    nearer = F.when(F.col("b").isNull() | (r - F.col("a.r") <= F.col("b.r") - r), F.col("a")).otherwise(F.col("b"))
-    near = near.withColumn("n", nearer).select("scene", row, col, value, F.col("n.r").alias("nr"), F.col("n.v").cast("double").alias("nv"))
+    carried = {v: F.when(F.col(v).isNotNull(), F.struct(r.alias("r"), F.col(v).cast("double").alias("v"))) for v in values}
+    near = blocks.select("scene", row, col, *values, *(F.last(c, True).over(w).alias(f"{n}_{v}") for n, w in (("a", down), ("b", up)) for v, c in carried.items()))
+    from_up = lambda v: F.col(f"b_{v}").isNull() | (r - F.col(f"a_{v}.r") <= F.col(f"b_{v}.r") - r)
+    near = near.select("scene", row, col, *values, *(F.when(from_up(v), F.col(f"a_{v}")).otherwise(F.col(f"b_{v}")).alias(f"n_{v}") for v in values))
+    near = near.select("scene", row, col, *values, *(F.col(f"n_{v}.{c}").alias(f"n{c}_{v}") for v in values for c in "rv"))
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(col)
-        has = p[p["nr"].notna()]
-        holes = np.flatnonzero(p[value].isna().to_numpy())
-        out = p[value].to_numpy(float).copy()
         at, r0 = p[col].to_numpy(np.int64), int(p[row].iloc[0])
-        c, nr, nv = has[col].to_numpy(np.int64), has["nr"].to_numpy(np.int64), has["nv"].to_numpy(float)
-        order = np.lexsort((c, nr))  # of equally near cells the first row, then the first column
-        c, nr, nv = c[order], nr[order], nv[order]
-        for i in range(0, len(holes) if len(c) else 0, 512):
-            h = holes[i : i + 512]
-            d = (at[h][:, None] - c) ** 2 + (nr - r0) ** 2
-            best = d.argmin(1)
-            ok = d[np.arange(len(h)), best] <= (np.inf if reach is None else reach * reach)
-            out[h[ok]] = nv[best[ok]]
-        return pd.DataFrame({"scene": p["scene"], row: p[row], col: p[col], value: pd.Series(out, p.index).astype(object).where(~np.isnan(out), None)})
-
-    kind = ", ".join(f"`{c}` {t}" for c, t in blocks.select("scene", row, col).dtypes) + f", `{value}` double"
+        done = {"scene": p["scene"], row: p[row], col: p[col]}
+        for value in values:
+            has = p[p[f"nr_{value}"].notna()]
+            holes = np.flatnonzero(p[value].isna().to_numpy())
+            out = p[value].to_numpy(float).copy()
+            c, nr, nv = has[col].to_numpy(np.int64), has[f"nr_{value}"].to_numpy(np.int64), has[f"nv_{value}"].to_numpy(float)
+            order = np.lexsort((c, nr))  # of equally near cells the first row, then the first column
+            c, nr, nv = c[order], nr[order], nv[order]
+            for i in range(0, len(holes) if len(c) else 0, 512):
+                h = holes[i : i + 512]
+                d = (at[h][:, None] - c) ** 2 + (nr - r0) ** 2
+                best = d.argmin(1)
+                ok = d[np.arange(len(h)), best] <= (np.inf if reach is None else reach * reach)
+                out[h[ok]] = nv[best[ok]]
+            done[value] = pd.Series(out, p.index).astype(object).where(~np.isnan(out), None)
+        return pd.DataFrame(done)
+
+    kind = ", ".join([*(f"`{c}` {t}" for c, t in blocks.select("scene", row, col).dtypes), *(f"`{v}` double" for v in values)])
     return near.groupBy("scene", row).applyInPandas(one, kind)
 
 
-def upsampled(pixels: DataFrame, blocks: DataFrame, value: str, block: int, size: DataFrame) -> DataFrame:
-    """pixels with value read from the block grid by corner-aligned bilinear interpolation; size: (scene, rows, cols) of the padded pixel grid."""
+def upsampled(pixels: DataFrame, blocks: DataFrame, values: dict[str, str], block: int, size: DataFrame) -> DataFrame:
+    """pixels with values (name in blocks: name here) read from the block grid by corner-aligned bilinear interpolation; size: (scene, rows, cols) of the padded
+    pixel grid. The four corners of a cell with all their values are packed to one row, so pixels are joined once, whatever the number of values."""
     shape = size.select("scene", (F.col("rows") / block).cast("int").alias("_nr"), (F.col("cols") / block).cast("int").alias("_nc"), F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
+    # a block is the near corner of its own cell and the far one of the cell before; on an axis of one block it is both of one cell
+    ends = lambda b, n: F.array(*(F.struct(F.lit(i).alias("i"), F.when(F.col(n) > 1, F.col(b) - i).otherwise(F.col(b)).alias("at")) for i in (0, 1)))
+    sides = blocks.select("scene", "br", "bc", F.struct(*values).alias("_v")).join(shape, "scene").withColumn("_a", F.explode(ends("br", "_nr"))).withColumn("_b", F.explode(ends("bc", "_nc")))
+    corner = {(i, j): F.first(F.when((F.col("_a.i") == i) & (F.col("_b.i") == j), F.col("_v")), True).alias(f"_v{i}{j}") for i in (0, 1) for j in (0, 1)}
+    packed = sides.groupBy("scene", F.col("_a.at").alias("_y0"), F.col("_b.at").alias("_x0")).agg(*corner.values())
     p = pixels.join(shape, "scene")
     at = lambda i, n, full: F.when(F.col(n) > 1, F.col(i) * (F.col(n) - 1) / (F.col(full) - 1)).otherwise(0.0)
     p = p.withColumn("_y", at("row", "_nr", "_rows")).withColumn("_x", at("col", "_nc", "_cols"))
     p = p.withColumn("_y0", F.least(F.floor("_y").cast("int"), F.greatest(F.col("_nr") - 2, F.lit(0)))).withColumn("_x0", F.least(F.floor("_x").cast("int"), F.greatest(F.col("_nc") - 2, F.lit(0))))
-    p = p.withColumn("_y1", F.least(F.col("_y0") + 1, F.col("_nr") - 1)).withColumn("_x1", F.least(F.col("_x0") + 1, F.col("_nc") - 1))
-    for i in (0, 1):
-        for j in (0, 1):
-            b = blocks.select("scene", F.col("br").alias(f"_y{i}"), F.col("bc").alias(f"_x{j}"), F.col(value).alias(f"_v{i}{j}"))
-            p = p.join(b, ["scene", f"_y{i}", f"_x{j}"], "left")
+    p = p.join(packed, ["scene", "_y0", "_x0"], "left")
     fy, fx = F.col("_y") - F.col("_y0"), F.col("_x") - F.col("_x0")
-    top, low = F.col("_v00") * (1 - fx) + F.col("_v01") * fx, F.col("_v10") * (1 - fx) + F.col("_v11") * fx
-    return p.withColumn(value, top * (1 - fy) + low * fy).select(*pixels.columns, value)
+
+    def read(v: str) -> Column:
+        top, low = (F.col(f"_v{i}0.{v}") * (1 - fx) + F.col(f"_v{i}1.{v}") * fx for i in (0, 1))
+        return top * (1 - fy) + low * fy
+
+    return p.select(*(c for c in pixels.columns if c not in values.values()), *(read(v).alias(here) for v, here in values.items()))
 
 
 def reflected(pixels: DataFrame, axis: str, n: str, reach: int) -> DataFrame:

@@ -164,7 +164,7 @@ def bilinear_up(s: Source) -> DataFrame:
     p = s.view("pix")
     blocks = raster.block_medians(p.withColumn("all", F.lit(True)), ["v"], 8, valid="all")
     size = p.select("scene").distinct().select("scene", F.lit(40).alias("rows"), F.lit(40).alias("cols"))
-    return raster.upsampled(p.select("scene", "row", "col"), blocks, "v", 8, size).select("scene", "row", "col", r("v", 5).alias("v"))
+    return raster.upsampled(p.select("scene", "row", "col"), blocks, {"v": "v"}, 8, size).select("scene", "row", "col", r("v", 5).alias("v"))
 
 
 @query("pixel_window", """
