@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,18 +104,59 @@ def ring_area_km2(ring: Column) -> Column:
     return F.abs(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), part), F.lit(0.0), lambda s, x: s + x)) / 2 * scale
 
 
+class Land:
+    """Rings of (lat, lon) with even-odd containment for many points at once."""
+
+    def __init__(self, rings: list[list[tuple[float, float]]] = ()):
+        self.rings = [np.asarray(r, float) for r in rings]
+
+    def __call__(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        inside = np.zeros(np.shape(lat), bool)
+        for r in self.rings:
+            if len(r) < 3:
+                continue
+            odd = np.zeros(np.shape(lat), bool)
+            for (a_lat, a_lon), (b_lat, b_lon) in zip(r, np.roll(r, -1, axis=0)):
+                if a_lat != b_lat:
+                    odd ^= ((a_lat > lat) != (b_lat > lat)) & (lon < a_lon + (lat - a_lat) / (b_lat - a_lat) * (b_lon - a_lon))
+            inside |= odd
+        return inside
+
+
 def on_land(lat: Column, lon: Column, rings: list[list[tuple[float, float]]]) -> Column:
-    """Whether a point lies in any of a bounded list of rings ((lat, lon), ...)."""
-    tests = [point_in_ring(lat, lon, F.array(*(F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in r))) for r in rings]
-    return reduce(lambda x, y: x | y, tests, F.lit(False))
+    """Whether a point lies in any of a bounded list of rings ((lat, lon), ...). A point without a place lies in none."""
+    land = Land(rings)
+
+    def inside(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        return pd.Series(land(lat.to_numpy(float), lon.to_numpy(float)))
+
+    return F.pandas_udf(inside, "boolean")(lat.cast("double"), lon.cast("double"))
+
+
+#: Legs whose sampled points are held at once.
+LEGS = 2_000
 
 
 def crosses_land(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rings, skip_km: float = 6.0, samples: int = 25) -> Column:
-    """Whether a straight leg passes over land, both ends' first kilometres left out; short legs never do."""
-    d = haversine_km(lat1, lon1, lat2, lon2)
-    first = F.lit(skip_km) / d
-    fractions = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: first + (1 - 2 * first) * k / (samples - 1))
-    return (d >= 2 * skip_km) & F.exists(fractions, lambda f: on_land(lat1 + f * (lat2 - lat1), lon1 + f * (lon2 - lon1), rings))
+    """Whether a straight leg passes over land, both ends' first kilometres left out; short legs never do, nor do those without both ends. Points of many legs are
+    tested at once, and only those of legs whose box meets a ring's."""
+    land, k = Land(rings), np.arange(samples)[:, None]
+    boxes = [(*r.min(0), *r.max(0)) for r in land.rings if len(r) > 2]
+
+    def crosses(d: pd.Series, lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+        d, a, b, c, e = (x.to_numpy(float) for x in (d, lat1, lon1, lat2, lon2))
+        met = np.zeros(len(d), bool)
+        for south, west, north, east in boxes:
+            met |= (np.maximum(a, c) >= south) & (np.minimum(a, c) <= north) & (np.maximum(b, e) >= west) & (np.minimum(b, e) <= east)
+        out, at = np.zeros(len(d), bool), np.flatnonzero(met & (d >= 2 * skip_km))
+        for i in (at[n : n + LEGS] for n in range(0, len(at), LEGS)):
+            first = skip_km / d[i]
+            f = first + (1 - 2 * first) * k / (samples - 1)
+            out[i] = land(a[i] + f * (c[i] - a[i]), b[i] + f * (e[i] - b[i])).any(0)
+        return pd.Series(out)
+
+    ends = [x.cast("double") for x in (lat1, lon1, lat2, lon2)]
+    return F.pandas_udf(crosses, "boolean")(haversine_km(*ends), *ends)
 
 
 def box_coverage(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> float:
