@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import geo
+from tidemark.functions import geo, numeric
 from tidemark.operators import joins
 
 
@@ -38,3 +38,21 @@ def test_legs_are_tested_in_batches_and_not_point_by_point_in_the_plan(spark):
     got = {r.i: r.x for r in found.collect()}
     assert got == {i: want(*e) for i, e in enumerate(ends)} and 300 < sum(got.values()) < 2900
     assert "lambdafunction" not in plan(found) and "ArrowEvalPython" in plan(found)
+
+
+def test_many_rows_are_rounded_as_round_does(spark):
+    """To the bit: ties of the decimal text and values beside them, negative, huge and missing ones, zeros without a sign."""
+    values = [k / 20000 + e for k in range(-400, 400) for e in (0.0, 1e-12, -1e-12, 1e-9)] + [1.00005, 2.675, 14.99995, 1e17, 123456.78905, float("nan"), float("inf"), -0.00001, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", numeric.round_many(F.col("x"), 4).alias("got"), F.round("x", 4).alias("want"))
+    assert [str(r.got) for r in df.collect()] == [str(r.want) for r in df.collect()]
+
+
+def test_near_pairs_of_one_file_are_dealt_to_all_tasks(spark):
+    """Pairs of one partition's rows against a double loop, at both poles and across the 180th meridian; the rows are dealt before they are repeated."""
+    places = [(round(10 + 0.05 * (k % 17), 3), round(85 + 0.07 * (k % 13), 3)) for k in range(90)] + [(89.95, 30.0 * k) for k in range(12)] + [(-89.99, 10.0), (-89.98, -170.0), (0.0, 179.97), (0.05, -179.99), (0.0, -179.9)]
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "id long, lat double, lon double").coalesce(1)
+    found = joins.within_radius(rows, rows, 15.0, F.col("id") < F.col("r_id"))
+    got = {(r.id, r.r_id): r.distance_km for r in found.collect()}
+    want = {(i, j): d for j, q in enumerate(places) for i, p in enumerate(places[:j]) if (d := haversine(*p, *q)) <= 15.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and found.columns == ["id", "lat", "lon", "r_id", "r_lat", "r_lon", "distance_km"]
+    assert "RoundRobinPartitioning" in plan(found) or "REPARTITION_BY_NUM" in plan(found)
