@@ -2,11 +2,12 @@
 
 import math
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo, numeric
 from tidemark.operators import joins
+from tidemark.streaming import recurrence
 
 
 def plan(df) -> str:
@@ -56,3 +57,21 @@ def test_near_pairs_of_one_file_are_dealt_to_all_tasks(spark):
     want = {(i, j): d for j, q in enumerate(places) for i, p in enumerate(places[:j]) if (d := haversine(*p, *q)) <= 15.0}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and found.columns == ["id", "lat", "lon", "r_id", "r_lat", "r_lon", "distance_km"]
     assert "RoundRobinPartitioning" in plan(found) or "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_close_places_are_found_without_comparing_all(monkeypatch):
+    """Against a double loop over places at a pole, across the 180th meridian and in heaps, in parts; far fewer are compared than there are pairs."""
+    rng = np.random.default_rng(5)
+    lat = np.concatenate([rng.uniform(9, 12, 500), np.full(60, 10.0), rng.uniform(89.7, 90, 60), rng.uniform(-0.2, 0.2, 60)])
+    lon = np.concatenate([rng.uniform(84, 88, 500), np.full(60, 85.0), rng.uniform(-180, 180, 60), (179.9 + rng.uniform(0, 0.2, 60) + 180) % 360 - 180])
+    mixed = rng.permutation(len(lat))
+    lat, lon = lat[mixed], lon[mixed]
+    monkeypatch.setattr(recurrence, "AT_ONCE", 700)
+    measured = []
+    real = recurrence.haversine
+    monkeypatch.setattr(recurrence, "haversine", lambda *a: measured.append(len(a[0])) or real(*a))
+    parts = list(recurrence.close(lat, lon, 200, 15.0))
+    got = [(int(i), int(j)) for a, b in parts for i, j in zip(a, b)]
+    want = {(i, j) for i in range(200, len(lat)) for j in range(i) if haversine(lat[i], lon[i], lat[j], lon[j]) <= 15.0}
+    assert set(got) == want and len(got) == len(want) and len(parts) > 3
+    assert sum(measured) <= len(want) + 5
