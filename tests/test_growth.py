@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo, numeric
 from tidemark.operators import joins
+from tidemark.operators.field import Grid
 from tidemark.streaming import recurrence
 
 
@@ -75,3 +76,35 @@ def test_close_places_are_found_without_comparing_all(monkeypatch):
     want = {(i, j) for i in range(200, len(lat)) for j in range(i) if haversine(lat[i], lon[i], lat[j], lon[j]) <= 15.0}
     assert set(got) == want and len(got) == len(want) and len(parts) > 3
     assert sum(measured) <= len(want) + 5
+
+
+def test_a_field_is_read_by_few_steps_whatever_its_axes():
+    """Places inside, outside and on the edges of fields with one, two and more steps to an axis, against a sum over corners; one search for each long axis and none for short ones."""
+    rng = np.random.default_rng(3)
+    for shape in ((2, 2, 2), (1, 1, 1), (1, 3, 4), (5, 1, 3), (4, 3, 1), (6, 5, 4)):
+        axes = [np.sort(rng.uniform(0, 10, m)) for m in shape]
+        grid = Grid(*axes, *rng.normal(size=(2, *shape)))
+        places = [np.concatenate([rng.uniform(-1, 11, 300), a[[0, -1]], a[:1]]) for a in axes]
+        got = grid.at(*places)
+        for field, values in zip((grid.u, grid.v), got):
+            for n, place in enumerate(zip(*places)):
+                low, part = [], []
+                for a, x in zip(axes, place):
+                    x = min(max(x, a[0]), a[-1])
+                    k = max(min(int(np.searchsorted(a, x, "right")) - 1, len(a) - 2), 0)
+                    low.append(k)
+                    part.append((x - a[k]) / (a[k + 1] - a[k]) if len(a) > 1 else 0.0)
+                want = sum(math.prod(f if d else 1 - f for f, d in zip(part, c)) * field[tuple(min(k + d, len(a) - 1) for k, d, a in zip(low, c, axes))] for c in np.ndindex(2, 2, 2))
+                assert abs(values[n] - want) < 1e-12
+
+
+def test_search_joins_no_spread_that_it_does_not_use(spark, monkeypatch):
+    from tidemark.operators import drift
+    from tidemark.plans import validate
+
+    monkeypatch.setattr(drift, "moments", lambda *a: (_ for _ in ()).throw(AssertionError("spread")))
+    calm = Grid(*(np.array([0.0, 1.0]),) * 3, *np.zeros((2, 2, 2, 2)))
+    case = "named_struct('id', 'a', 't0', timestamp_ntz'2024-01-01', 'lat0', 10D, 'lon0', 85D, 'lat24', 10D, 'lon24', 85.1D, 'lat48', 10D, 'lon48', 85.2D, 'drogued', true)"
+    found = spark.range(1).selectExpr(f"inline(array({case}))")
+    out = validate.searched(found, calm, calm, [validate.Setting((0.0, 0.0), 0.0, 0.0, 1.0)], n=4).collect()
+    assert {(r.h, round(r["median"], 2), r.n) for r in out} == {(24, 10.95, 1), (48, 21.9, 1)}

@@ -103,18 +103,23 @@ class Grid:
         return cls(*axes, u, v)
 
     def at(self, t, lat, lon) -> tuple[np.ndarray, np.ndarray]:
-        low, frac = [], []
+        n = [len(a) for a in self.axes]
+        index, weights = 0, []
         for axis, x in zip(self.axes, (t, lat, lon)):
-            x = np.clip(x, axis[0], axis[-1])
-            k = np.clip(np.searchsorted(axis, x, "right") - 1, 0, max(len(axis) - 2, 0))
-            low.append(k)
-            frac.append((x - axis[k]) / (axis[k + 1] - axis[k]) if len(axis) > 1 else np.zeros_like(np.asarray(x, float)))
-        u = v = 0.0
-        for c in np.ndindex(2, 2, 2):
-            at = tuple(np.minimum(k + d, len(a) - 1) for k, d, a in zip(low, c, self.axes))
-            w = np.prod([f if d else 1 - f for f, d in zip(frac, c)], axis=0)
-            u, v = u + w * self.u[at], v + w * self.v[at]
-        return u, v
+            x, k = np.minimum(np.maximum(x, axis[0]), axis[-1]), 0
+            if len(axis) > 2:
+                k = np.minimum(np.searchsorted(axis, x, "right") - 1, len(axis) - 2)
+            weights.append((x - axis[k]) / (axis[k + 1] - axis[k]) if len(axis) > 1 else None)
+            index = index * len(axis) + k
+        corners = [(i * n[1] + j) * n[2] + k for i, j, k in np.ndindex(*(min(2, m) for m in n))]
+        out = []
+        for field in (self.u.ravel(), self.v.ravel()):
+            x = [field[index + c] for c in corners]
+            for w in weights[::-1]:  # one axis after the other, the last first: neighbours along it are beside each other
+                if w is not None:
+                    x = [a + (b - a) * w for a, b in zip(x[::2], x[1::2])]
+            out.append(np.broadcast_to(x[0], np.shape(t)))
+        return tuple(out)
 
 
 def _filled(x: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ def scored(found: DataFrame, currents: Grid, wind: Grid, settings: Sequence[Sett
     c = c.select(F.concat_ws("#", F.col("s.setting"), "case").alias("run"), "case", "s.*", "drogued", "t0", "lat0", "lon0", *(f"{x}{h}" for h in (24, 48) for x in ("lat", "lon")))
     seeds = c.select(F.col("run").alias("id"), "case", "least", "most", "K", "sigma", "scale", F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.lit(0.0).alias("radius_km"), F.unix_timestamp(F.col("t0").cast("timestamp")).cast("double").alias("start"))
     snaps = settle(drift.simulate(seeds, currents, wind, hours=48, every=24, n=n, windage=("least", "most"), diffusivity="K", sigma="sigma", scale="scale", draws="case", **kw).where("h > 0"), "validate")
-    mean = drift.moments(snaps).select("id", "h", "mean_lat", "mean_lon")
+    mean = snaps.where("not central").groupBy("id", "h").agg(F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon"))
     cone = drift.hulls(snaps)
     truth = c.select("setting", F.col("run").alias("id"), "drogued", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"lat{h}").alias("lat"), F.col(f"lon{h}").alias("lon")) for h in (24, 48)))).alias("x")).select("setting", "id", "drogued", "x.*")
     j = truth.join(mean, ["id", "h"]).join(cone, ["id", "h"])
