@@ -79,7 +79,7 @@ def test_close_places_are_found_without_comparing_all(monkeypatch):
 
 
 def test_a_field_is_read_by_few_steps_whatever_its_axes():
-    """Places inside, outside and on the edges of fields with one, two and more steps to an axis, against a sum over corners; one search for each long axis and none for short ones."""
+    """Places inside, outside and on the edges of fields with one, two and more steps to an axis, against a sum over corners."""
     rng = np.random.default_rng(3)
     for shape in ((2, 2, 2), (1, 1, 1), (1, 3, 4), (5, 1, 3), (4, 3, 1), (6, 5, 4)):
         axes = [np.sort(rng.uniform(0, 10, m)) for m in shape]
