@@ -42,6 +42,23 @@ def test_encoder_equals_the_library():
     assert whole.encode([b"one two  three"])[0] == np.array(whole.tokenizer.encode("one two  three").ids, "<i4").tobytes()
 
 
+class Looked(dict):
+    """A table that is looked up and never walked."""
+
+    def keys(self):
+        raise AssertionError("walked")
+
+    __iter__ = keys
+
+
+def test_encoder_looks_chunks_up_and_does_not_walk_its_tables():
+    e = token_files.Encoder(open(token_files.default_tokenizer(), encoding="utf-8").read())
+    e.chunks, e.pieces = Looked(), Looked()
+    texts = [f"\n {prose(50, 3)}  ", "", "\t\x0b\x0c ", ODD, "x", prose(50, 3)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x in e.encode([t.encode() for t in texts])] == plain_ids(texts)
+
+
 def test_token_files_read_back(spark, tmp_path):
     docs = awkward(spark).withColumn("ids", F.lit("x")).withColumn("at", F.lit("y"))
     token_files.write(docs, f"{tmp_path}/t", partitions=3)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,18 @@ def letters_alone(said: dict) -> bool:
     return len(pattern) == len(rest) + 2 and all(x.startswith("'") or x == r"[\p{N}]" for x in rest) and '"Lowercase"' in json.dumps(said.get("normalizer"))
 
 
+#: A tokenizer's step that turns bytes into marks, those marks, and the one letter of PLAIN whose small form is more than a letter.
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+MARKS = dict(zip([b for b in range(33, 256) if b not in _own], map(chr, range(256 + 33, 512)))) | {b: chr(b) for b in _own}
+DOTTED = "İ".encode()
+
+
+def bare(tokenizer: str) -> str:
+    """The tokenizer's own merges over words that are small letters already, bytes written as marks."""
+    return json.dumps(json.loads(tokenizer) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []})
+
+
 #: A chunk of Latin letters, with punctuation after it or none.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+)([.,;:!?]*)")
 
@@ -90,6 +103,7 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool) if self.plain and mark else None
         if self.last is not None:
             self.last[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        self.bare = Tokenizer.from_str(bare(tokenizer)) if self.last is not None and said["pre_tokenizer"]["pretokenizers"][1:] == [BYTES] else None
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.batch([t.decode("utf-8") for t in texts], add_special_tokens=False)
@@ -107,13 +121,23 @@ class Encoder:
         """Ids of many words of letters alone: a word's last token says that it is one."""
         if self.last is None:
             return self.together(words)
-        found = self.parted(words, " ", most)
+        joined = b" ".join(words)
+        if self.bare and DOTTED not in joined:
+            small = joined.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(MARKS).split(" ")
+            found = self.numbers(self.bare, [" ".join(small[i : i + most]) for i in range(0, len(small), most)])
+        else:
+            found = self.parted(words, " ", most)
         ends = np.flatnonzero(self.last[found]) + 1
         return self.cut(found, ends, ends) if len(ends) == len(words) else self.together(words)
 
     def parted(self, pieces: list[bytes], between: str, most: int) -> np.ndarray:
         texts = [between.join([k.decode("utf-8") for k in pieces[i : i + most]]) + between for i in range(0, len(pieces), most)]
-        return np.concatenate([np.empty(0, "<i4"), *(np.array(e.ids, "<i4") for e in self.batch(texts, add_special_tokens=False))]).astype("<i4")
+        return self.numbers(self.tokenizer, texts)
+
+    @staticmethod
+    def numbers(tokenizer, texts: list[str]) -> np.ndarray:
+        batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        return np.concatenate([np.empty(0, "<i4"), *(np.array(e.ids, "<i4") for e in batch(texts, add_special_tokens=False))]).astype("<i4")
 
     @staticmethod
     def cut(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[bytes]:
@@ -121,48 +145,54 @@ class Encoder:
         said = ids.tobytes()
         return [said[i:j] for i, j in zip([0, *(4 * starts[:-1]).tolist()], (4 * ends).tolist())]
 
-    def learn(self, table: dict[bytes, bytes], wanted: set[bytes], ids) -> list[bytes]:
-        """Put what is wanted in a table; returns what is to be forgotten after use: long keys, and all that is new once the table is full, as what came first is
-        what comes often. A table that knows less than half of what is wanted is of other texts and is emptied."""
-        new = wanted - table.keys()
+    def learn(self, table: dict[bytes, bytes], wanted: list[bytes], ids) -> list[bytes]:
+        """Ids of what is wanted (each once), each looked up once; what a table does not hold is encoded, and kept while the table has room for it, as what came first
+        is what comes often, and but for long keys. A table that knows less than half of what is wanted is of other texts and is emptied."""
+        found = [*map(table.get, wanted)]
+        new = [k for k, x in zip(wanted, found) if x is None]
         full = len(table) + len(new) > self.size
         if full and 2 * len(new) > len(wanted):
             table.clear()
-            new, full = wanted, len(wanted) > self.size
-        new = list(new)
-        table.update(zip(new, ids(new)))
-        return new if full else [k for k in new if len(k) > self.longest]
+            full = len(new) > self.size
+        made = ids(new)
+        if not full:
+            table.update((k, x) for k, x in zip(new, made) if len(k) <= self.longest)
+        rest = iter(made)
+        return [next(rest) if x is None else x for x in found]
 
     def split(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of chunks by those of their pieces."""
+        """Ids of chunks by those of their pieces; white space at an end of a text leaves an empty chunk, of no ids."""
         if not self.plain:
-            return self.together(chunks)
+            return [x if k else b"" for k, x in zip(chunks, self.together(chunks))]
         found = [*map(PLAIN.fullmatch, chunks)]
-        words = [m[1].lower() if m else None for m in found]
-        odd_ones = self.learn(self.pieces, {w for w in words if w}, self.words)
+        words = [m[1].lower() if m else b"" for m in found]
         odd = [m[2] if m else k for m, k in zip(found, chunks)]
-        rest = {k for k in odd if k}
-        ids = dict(zip(rest, self.together(list(rest))))
-        ids[b""] = b""
-        of = self.pieces.__getitem__
-        out = [of(w) + ids[k] if w else ids[k] for w, k in zip(words, odd)]
-        self.forget(self.pieces, odd_ones)
-        return out
-
-    @staticmethod
-    def forget(table: dict[bytes, bytes], keys: list[bytes]) -> None:
-        for k in keys:
-            del table[k]
+        wanted, rest = list({w for w in words if w}), list({k for k in odd if k})
+        ids = {b"": b""} | dict(zip(wanted, self.learn(self.pieces, wanted, self.words)))
+        of = {b"": b""} | dict(zip(rest, self.together(rest)))
+        return [ids[w] + of[k] for w, k in zip(words, odd)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        n, values = self.encoded(pa.array(texts, pa.binary()))
+        ends = np.cumsum(n)
+        return self.cut(values, ends, ends)
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each text has, all ids one after another). Chunks are numbered as they are cut, so only distinct ones become objects and are looked up;
+        ids are then put together by number."""
         if not self.apart:
-            return self.ids(texts)
-        chunks = [t.split() for t in texts]
-        odd_ones = self.learn(self.chunks, set().union(*chunks), self.split)
-        of = self.chunks.__getitem__
-        out = [b"".join(map(of, c)) for c in chunks]
-        self.forget(self.chunks, odd_ones)
-        return out
+            ids = self.ids(texts.to_pylist())
+            return np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<i4")
+        chunks = pc.ascii_split_whitespace(texts.view(pa.string()))
+        numbered = chunks.values.dictionary_encode()
+        distinct = numbered.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = self.learn(self.chunks, distinct, self.split)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = numbered.indices.to_numpy()
+        n = sizes[number]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(upto[-1]) + np.repeat((np.cumsum(sizes) - sizes)[number] - upto[:-1], n)
+        return np.diff(upto[chunks.offsets.to_numpy()]), np.frombuffer(b"".join(found), "<i4")[at]
 
 
 def _encoder(tokenizer: str) -> Encoder:
@@ -177,17 +207,13 @@ def _encoder(tokenizer: str) -> Encoder:
     return kept[key]
 
 
-def _parts(values: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def _parts(values: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
     """Runs of about so many bytes."""
-    part, size = [], 0
-    for x in values:
-        part.append(x)
-        size += len(x)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    upto = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(upto // most)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)]):
+        if i < j:
+            yield values.slice(i, j - i)
 
 
 SCHEMA = "doc_id long, at long, n_tokens long, ids array<int>"
@@ -202,18 +228,17 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     common.small_batches(spark)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         said = f.read()
-    end = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(said), 0
         for b in batches:
-            texts = [t or b"" for t in b.column("text").to_pylist()]
-            ids = [x + end for part in _parts(texts) for x in encoder.encode(part)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            upto = np.concatenate([[0], np.cumsum(n)])
-            values = pa.Array.from_buffers(pa.int32(), int(upto[-1]), [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(upto[:-1] + before), pa.array(n), lists], names=["doc_id", "at", "n_tokens", "ids"])
+            found = [encoder.encoded(part) for part in _parts(pc.fill_null(b.column("text"), b""))]
+            n = np.concatenate([np.empty(0, np.int64), *(k for k, _ in found)])
+            ends = np.cumsum(n)
+            values = np.insert(np.concatenate([np.empty(0, "<i4"), *(v for _, v in found)]), ends, end_id).astype(np.int32, copy=False)
+            upto = np.concatenate([[0], ends + np.arange(1, len(n) + 1)])
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(upto[:-1] + before), pa.array(n + 1), lists], names=["doc_id", "at", "n_tokens", "ids"])
             before += int(upto[-1])
         tidy()
 
