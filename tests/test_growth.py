@@ -108,3 +108,17 @@ def test_search_joins_no_spread_that_it_does_not_use(spark, monkeypatch):
     found = spark.range(1).selectExpr(f"inline(array({case}))")
     out = validate.searched(found, calm, calm, [validate.Setting((0.0, 0.0), 0.0, 0.0, 1.0)], n=4).collect()
     assert {(r.h, round(r["median"], 2), r.n) for r in out} == {(24, 10.95, 1), (48, 21.9, 1)}
+
+
+def test_nearest_points_go_down_the_tree_as_groups(spark, monkeypatch):
+    """Groups of points, large ones dealt to several tasks and small ones cut further, against all distances; no row per point and cell is ordered on the way."""
+    monkeypatch.setattr(joins, "DEALT", 40)
+    monkeypatch.setattr(joins, "NEAR", 30)
+    places = [(8 + 0.001 * (k * 37 % 101), -179.95 + 0.001 * (k * 53 % 97)) for k in range(900)] + [(-80 + 1.7 * k, (k * 77.7) % 360 - 180) for k in range(95)]
+    points = [(math.degrees(math.asin(2 * (k * 7919 % 997) / 996 - 1)), (k * 104729 % 991) / 991 * 360 - 180) for k in range(400)] + [(8.05, 179.9)] * 200 + [(8 + 0.002 * k, -179.9) for k in range(60)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(-1, None, 2.0)], "id long, lat double, lon double")
+    found = joins.nearest_point(rows, spark.createDataFrame(places, "lat double, lon double"))
+    got = {r.id: r.distance_km for r in found.collect()}
+    assert got.pop(-1) is None and len(got) == len(points)
+    assert all(abs(got[i] - min(haversine(*p, *q) for q in places)) < 1e-6 for i, p in enumerate(points))
+    assert "Window" not in plan(found) and "MapInArrow" in plan(found)

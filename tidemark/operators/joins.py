@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import chord_km, haversine_km, unit_vector
 from ..refdata import EARTH_KM, MOUTH_KM, RECURRENCE_KM
@@ -181,42 +184,121 @@ def cell_tree(targets: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFram
     return cells, settle(ends, "ends"), {r.level: r["n"] for r in cells.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row per level
 
 
+#: Points are counted in cells of BASE levels at once; a group of points is compared with its cells' places once these are NEAR at most, or where it has FEW
+#: points and its cells can't be opened further; DEALT points of a group or so meet its places in one task.
+BASE, NEAR, FEW, DEALT = 4, 512, 16, 20_000
+
+
 def nearest_point(points: DataFrame, targets: DataFrame, leaf: int = LEAF) -> DataFrame:
     """points (id, lat, lon) with the great-circle distance to the nearest of many targets (coastline points), anywhere on the sphere: distance_km.
 
-    Points go down the targets' tree of cells: of the cells in hand each point keeps those whose box may hold something as near as one
-    known place of any of them, opens these, and compares itself with the places of the last ones. Until then a cell counts by its box alone; nothing is
-    missed, and a cell with very many places, or points, is never compared whole with another. A level's cells are broadcast if their number allows, else
-    joined by cell, whose hot keys AQE splits.
+    Groups of points go down the targets' tree of cells, not points: a group is a cell with the box of its points. Of the cells in hand it keeps those whose box may
+    hold something as near to any of its points as one known place is to all of them. Group and cells are cut further until few places are left; then the group's points
+    meet these in batches. Tables of groups and cells grow with the groups, and points are read a few times and shuffled once; nothing is missed, as a group that is
+    far from everything, or sees many places as equally near, is cut down to single places. Large groups are dealt to several tasks.
 
     A point without a place, and every point where there is no target, has no distance."""
     cells, ends, sizes = cell_tree(targets, leaf)
-    p = unit_vector(F.col("lat"), F.col("lon"))
     there = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    now = there.where("lat is not null and lon is not null").distinct().select("*", *(p[c].alias(c) for c in "xyz"))
-    root = F.struct(*(F.lit(0).cast("long").alias(c) for c in "xyz"))
-    now = now.select("*", root.alias("at"), F.lit(None).cast("int").alias("end_level"), F.lit(None).cast(CELL).alias("end"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("double").alias("most"))
+    none = F.lit(None).cast("double").alias("distance_km")
+    if not sizes:
+        return there.select("id", none)
+    u, v = unit_vector(F.col("lat"), F.col("lon")), unit_vector(F.col("t_lat"), F.col("t_lon"))
+    placed = settle(there.where("lat is not null and lon is not null").select("id", *(u[c].alias(c) for c in "xyz")), "points")
+    number = {c: F.nanvl(F.col(c), F.lit(0.0)) for c in "xyz"}  # what is no number has no place among others, and moves none
+    at = lambda k: _cell(F.lit(k), number)
+    above = lambda cell, by: F.struct(*(F.floor(F.col(f"{cell}.{c}") / by).cast("long").alias(c) for c in "xyz"))
+    sides = [(c, f"lo_{c}", f"hi_{c}") for c in "xyz"]
+    boxes = lambda of: [f(of(c, n)).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    base = settle(placed.groupBy(at(BASE).alias("cell")).agg(F.count("*").alias("points"), *boxes(lambda c, n: number[c])), "groups")
     square = lambda d: d * d
-    outside = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
-    each = Window.partitionBy("id", "lat", "lon")
-    for k in sorted(sizes):
-        table = cells.where(F.col("level") == k).select(F.col("parent").alias("at"), "cell", "open", "one", *(f"{n}_{c}" for n in ("lo", "hi") for c in "xyz"))
-        opened = now.join(F.broadcast(table) if sizes[k] <= BROADCAST_ROWS else table, "at", "left")
-        new = F.col("cell").isNotNull()
-        # what is settled waits under a key of its own, spread by its id
-        waits = F.struct(F.lit(-1).cast("long").alias("x"), F.xxhash64("id").alias("y"), F.lit(k).cast("long").alias("z"))
-        least = F.when(new, F.sqrt(sum((square(outside(c)) for c in "xyz"), F.lit(0.0)))).otherwise(F.col("least"))
-        most = F.when(new, F.sqrt(sum((square(F.col(c) - F.col(f"one.{c}")) for c in "xyz"), F.lit(0.0)))).otherwise(F.col("most"))
-        now = opened.select(
-            "id", "lat", "lon", "x", "y", "z", F.when(new & F.col("open"), F.col("cell")).otherwise(waits).alias("at"),
-            F.when(new & ~F.col("open"), F.lit(k)).otherwise(F.col("end_level")).alias("end_level"), F.when(new & ~F.col("open"), F.col("cell")).otherwise(F.col("end")).alias("end"),
-            least.alias("least"), most.alias("most"), F.min(most).over(each).alias("_bound"),
-        ).where(F.col("least") <= F.col("_bound") + 1e-12).drop("_bound")
-    a, b = unit_vector(F.col("lat"), F.col("lon")), unit_vector(F.col("t_lat"), F.col("t_lon"))
-    chord = F.sqrt(sum((square(a[c] - b[c]) for c in "xyz"), F.lit(0.0)))
-    places = if_small(ends.select(F.col("level").alias("end_level"), F.col("cell").alias("end"), "t_lat", "t_lon"))
-    found = now.join(places, ["end_level", "end"]).groupBy("id", "lat", "lon").agg(F.min(chord_km(chord)).alias("distance_km"))
-    return there.join(found, ["id", "lat", "lon"], "left").select("id", "distance_km")
+    box = ["level", "cell", "n", "open", "one", *(n for _, lo, hi in sides for n in (lo, hi))]
+    root = F.struct(*(F.lit(0).cast("long").alias(c) for c in "xyz"))
+    now, rest, ready = None, placed, []
+    for k in range(1, DEEPEST + 1):
+        if k <= BASE:
+            kids = base.groupBy(above("cell", FAN ** (BASE - k)).alias("kid")).agg(F.sum("points").alias("points"), *boxes(lambda c, n: F.col(f"{n}_{c}")))
+        else:
+            rest = settle(rest.join(if_small(more.select("group").distinct()), at(k - 1) == F.col("group"), "left_semi"), "points")  # noqa: F821
+            kids = rest.groupBy(at(k).alias("kid")).agg(F.count("*").alias("points"), *boxes(lambda c, n: number[c]))
+        kids = kids.select("kid", above("kid", FAN).alias("group"), "points", *(F.col(n).alias(f"p_{n}") for _, lo, hi in sides for n in (lo, hi)))
+        table = cells.where(F.col("level") == k).select(F.col("parent"), *box)
+        if now is None:
+            seen = table.select(root.alias("group"), F.lit(3.0).alias("bound"), *box)
+        else:
+            seen = more.where("not open").select("group", "bound", *box)  # noqa: F821
+            if k in sizes:
+                opened = more.where("open").select("group", "bound", F.col("cell").alias("parent"))  # noqa: F821
+                seen = seen.union(opened.join(F.broadcast(table) if sizes[k] <= BROADCAST_ROWS else table, "parent").select("group", "bound", *box))
+        apart = F.sqrt(sum((square(F.greatest(F.col(lo) - F.col(f"p_{hi}"), F.col(f"p_{lo}") - F.col(hi), F.lit(0.0))) for _, lo, hi in sides), F.lit(0.0)))
+        within = F.sqrt(sum((square(F.greatest(F.abs(F.col(f"p_{hi}") - F.col(f"one.{c}")), F.abs(F.col(f"p_{lo}") - F.col(f"one.{c}")))) for c, lo, hi in sides), F.lit(0.0)))
+        single = sum((F.col(f"p_{hi}") - F.col(f"p_{lo}") for _, lo, hi in sides), F.lit(0.0)) == 0
+        each = Window.partitionBy("kid")
+        met = seen.join(kids, "group").select("kid", "points", single.alias("single"), "bound", apart.alias("apart"), within.alias("within"), *box).where(F.col("apart") <= F.col("bound") + 1e-12)
+        met = met.withColumn("bound", F.least("bound", F.min("within").over(each))).where(F.col("apart") <= F.col("bound") + 1e-12)
+        met = met.withColumn("places", F.sum("n").over(each)).withColumn("any_open", F.max("open").over(each))
+        enough = (F.col("places") <= NEAR) | (~F.col("any_open") & ((F.col("points") <= FEW) | F.col("single"))) | F.lit(k == DEEPEST)
+        now = settle(met.select(F.col("kid").alias("group"), "points", "bound", enough.alias("enough"), *box), "met")
+        ready.append((k, now.where("enough"), rest))
+        more = now.where("not enough")
+        if more.isEmpty():
+            break
+    return _met(ready, base, above, at, ends.select(*(v[c].alias(c) for c in "xyz")), min(k, max(sizes))).union(there.where("lat is null or lon is null").select("id", none))
+
+
+def _met(ready: list, base: DataFrame, above: Callable, at: Callable, places: DataFrame, last: int) -> DataFrame:
+    """(id, distance_km) of all points, by the groups that each level has made ready: (level, rows of groups and their cells, the points that hold them)."""
+    pairs = None
+    for k, rows, _ in ready:
+        own = rows.select(F.lit(k).alias("k"), "group", "points", "level", "cell")
+        pairs = own if pairs is None else pairs.union(own)
+    groups = settle(pairs.groupBy("k", "group").agg(F.ceil(F.first("points") / DEALT).cast("int").alias("parts")).withColumn("g", F.monotonically_increasing_id()), "ready")
+    early = None
+    for k in range(1, BASE + 1):
+        own = base.select("cell", above("cell", FAN ** (BASE - k)).alias("group")).join(groups.where(F.col("k") == k).select("group", "g", "parts"), "group").select("cell", "g", "parts")
+        early = own if early is None else early.union(own)
+    points = None
+    for k, of, rest in [(BASE, early, ready[0][2]), *((k, groups.where(F.col("k") == k).select(F.col("group").alias("cell"), "g", "parts"), rest) for k, _, rest in ready if k > BASE)]:
+        own = rest.join(if_small(settle(of, "dealt")), at(k) == F.col("cell"))
+        own = own.select("g", F.pmod(F.xxhash64("id", "x", "y", "z"), "parts").cast("int").alias("part"), F.lit(1).alias("own"), "id", "x", "y", "z")
+        points = own if points is None else points.union(own)
+    celled = places.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(last)))).withColumn("cell", _cell(F.col("level"), {c: F.col(c) for c in "xyz"}))
+    wanted = pairs.join(groups, ["k", "group"]).select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "level", "cell")
+    sent = wanted.join(celled, ["level", "cell"]).select("g", "part", F.lit(0).alias("own"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), "x", "y", "z")
+    both = sent.union(points).repartition("g", "part").sortWithinPartitions("g", "part", "own")
+    found = both.mapInArrow(_least_squares, T.StructType([points.schema["id"], T.StructField("_square", T.DoubleType())]))
+    return found.select("id", chord_km(F.sqrt("_square")).alias("distance_km"))
+
+
+def _least_squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, squared chord to the nearest place) of rows with own 1; their group's places (own 0) come before them."""
+    key, held = None, []
+    for b in batches:
+        g, part, own, *xyz = (b.column(c).to_numpy() for c in ("g", "part", "own", "x", "y", "z"))
+        square = np.empty(len(g))
+        cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(part) != 0) | (np.diff(own) != 0)) + 1 if len(g) else []
+        for i, j in zip([0, *cuts], [*cuts, len(g)]):
+            if i == j:
+                continue
+            if key != (g[i], part[i]):
+                key, held = (g[i], part[i]), []
+            if not own[i]:
+                held.append([c[i:j] for c in xyz])
+                continue
+            if len(held) > 1:
+                held = [[np.concatenate(c) for c in zip(*held)]]
+            step = max((1 << 16) // len(held[0][0]), 1)
+            for a in range(i, j, step):
+                e = min(a + step, j)
+                d = 0.0
+                for c, t in zip(xyz, held[0]):
+                    gap = c[a:e, None] - t
+                    gap *= gap
+                    d = gap + d if isinstance(d, float) else np.add(d, gap, out=d)
+                square[a:e] = d.min(1)
+        mine = own == 1
+        if mine.any():
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(mine)), pa.array(square[mine])], names=["id", "_square"])
 
 
 def nearest_in_time(times: DataFrame, slices: DataFrame) -> DataFrame:
