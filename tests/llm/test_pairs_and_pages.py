@@ -92,6 +92,23 @@ def test_a_bucket_of_many_classes_is_brute_force(spark, monkeypatch):
     assert got == brute_classes(docs) and seen[0] > 0
 
 
+def test_rounds_that_spare_nothing_are_not_repeated(spark, monkeypatch):
+    """Unlike texts that share buckets: one of them at the head of a round joins no others, so pairs of blocks settle the rest; earlier links are not sent again."""
+    r = random.Random(13)
+    docs = []
+    for g in range(3):
+        base = prose(40, 70 + g).split()
+        docs += [(20 * g + k, " ".join([*base, *prose(30, r.randrange(10**6)).split()])) for k in range(20)]
+    docs += [(60 + k, f"{t} more") for k, (_, t) in enumerate(docs[::7])]
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rounds, edges = [], []
+    verified, components = near_dedup.verified, common.components
+    monkeypatch.setattr(near_dedup, "verified", lambda *a, **kw: (rounds.append(1), verified(*a, **kw))[1])
+    monkeypatch.setattr(common, "components", lambda e, *a, **kw: (edges.extend(tuple(x) for x in e.collect()), components(e, *a, **kw))[1])
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bands=40, rows=1).collect()}
+    assert got == brute_classes(docs) and 1 < len(rounds) < 4 and len(edges) == len(set(edges))
+
+
 def test_frequencies_of_crowded_counters():
     """100 000 shingles in 2^12 counters: frequent ones keep their frequency, rare ones are told from them."""
     r = np.random.default_rng(2)
@@ -167,6 +184,30 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in up)
 
 
+def test_components_carry_on_from_known_ones_and_follow_long_chains(spark, monkeypatch):
+    r = random.Random(2)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    pairs = [(i + 1, i) for i in range(300)] + [(1000 + i, 1000 + r.randrange(60)) for i in range(60)] + [(5000, 4000 + i) for i in range(40)]
+    r.shuffle(pairs)
+    up = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for p in pairs:
+        a, b = map(find, p)
+        up[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in up if find(x) != x}
+    for rows in (common.BROADCAST_ROWS, 5):  # by broadcasts, and by shuffles
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        assert sorted(map(tuple, common.components(frame(pairs)).collect())) == sorted(want.items())
+        known = common.components(frame(pairs[:150]))
+        known = common.components(frame(pairs[:0]), known)
+        assert sorted(map(tuple, common.components(frame(pairs[150:]), known).collect())) == sorted(want.items())
+
+
 def vectors():
     r = np.random.default_rng(3)
     rows = []

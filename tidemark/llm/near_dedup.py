@@ -8,7 +8,8 @@
    with t = floor(ln w / r + beta), and its t; r, c ~ Gamma(2, 1) and beta ~ U(0, 1) are drawn by the shingle's hash.
    Two sets agree on a sample with a probability equal to their weighted Jaccard similarity.
 3. Texts that share a band are candidates. In each bucket all are compared with one of them. Where more than a block of its members are then
-   outside of its largest class, they are compared with one of those, a few times over: each such round sends a bucket's texts once.
+   outside of its largest class, they are compared with one of those, a few times over: each such round sends a bucket's texts once, and another
+   follows only if the last one spared more texts than that.
    Of what is left, the members outside of the largest class (s of n) are compared with all of the bucket, in pairs of blocks, so that
    2 s n / BLOCK texts are sent: no candidate pair of different classes is left out, a bucket that is one class costs comparisons in proportion to its
    size, and tasks return a forest of links, never pairs. Only texts that share a band and are pairwise unlike make s as large as n.
@@ -401,29 +402,26 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     held = texts.withColumn("fp", F.md5("text")).join(common.if_small(used.withColumnRenamed("fp", "_fp")), (F.col("fp") == F.col("_fp")) & common.same(F.col("doc_id"), F.col("_first")))
     held = common.written(held.select("fp", "text"), "texts")
     pairs = members.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
-    edges = common.written(verified(pairs, held, idf, least), "links")
-    comp = common.components(edges)
+    comp = common.components(verified(pairs, held, idf, least))
 
     def apart(rows: DataFrame) -> DataFrame:
         """The rows whose buckets still hold several classes; what a round has settled is not looked at again."""
         now = rows.select("band", "key", "fp").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
         return common.written(divided(common.written(now.select("band", "key", "fp", "component"), "members")), "apart")
 
-    rest = apart(members)
+    rest, before = apart(members), None
     for k in range(ROUNDS):
         wide = rest.where(F.col("s") > BLOCK)
+        texts_, left = wide.agg(F.count("*"), F.sum("s") * 2 / BLOCK).first()  # what a round sends, and what pairs of blocks would
+        if not texts_ or (before is not None and before - left < texts_):
+            break
+        before = left
         head = wide.where("not main").groupBy("band", "key").agg(F.min_by(F.struct(F.col("fp").alias("a"), F.col("component").alias("of")), F.xxhash64("fp", F.lit(k))).alias("h"))
         head = common.if_small(common.written(head, "head"))  # a row per bucket: the members of a hot one stay where they are
         pairs = wide.join(head, ["band", "key"]).where("component <> h.of").select("h.a", F.col("fp").alias("b")).distinct()
-        pairs = common.written(pairs, "heads")
-        if pairs.isEmpty():
-            break
-        edges = common.written(edges.union(verified(pairs, held, idf, least)), "links")
-        comp = common.components(edges)
+        comp = common.components(verified(common.written(pairs, "heads"), held, idf, least), comp)
         rest = apart(rest)
-    more = common.written(across(rest, held, idf, least), "links")
-    if not more.isEmpty():
-        comp = common.components(edges.union(more))
+    comp = common.components(across(rest, held, idf, least), comp)
     named = one.select("fp", "first").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = common.written(named, "named")
     ids = named.groupBy("component").agg(F.min("first").alias("class_id"))
