@@ -1,5 +1,6 @@
 """Near-dedup, embeddings, WARC, URL filter and the pipeline."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -160,6 +161,53 @@ def test_near_dedup_awkward_rows(spark):
     assert near_dedup.classes(empty(spark)).count() == 0 and near_dedup.dedup(empty(spark)).count() == 0
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("hashes", [2_000_000, 2])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, hashes):
+    """More kept rows than a join may broadcast: only texts of classes with several rows move, or all of them where those are too many; the result is the same."""
+    texts = [prose(1000, 1000 + k) for k in range(300)]
+    rows = [*enumerate(texts), (400, texts[7]), (401, texts[8] + " one more"), (9, texts[9]), (402, texts[10]), (10, prose(60, 5)), (403, None), (404, " "), (404, " ")]
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    found = common.written(near_dedup.classes(docs), "classes")
+    monkeypatch.setattr(near_dedup, "classes", lambda docs: found)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common.if_small, "__defaults__", (10,))
+    monkeypatch.setattr(common, "BROADCAST_HASHES", hashes, raising=False)
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    try:
+        before = shuffled(spark)
+        got = sorted((x.doc_id, x.text or "") for x in near_dedup.dedup(docs).collect())
+        sent = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    texts[10] = min(texts[10], prose(60, 5), key=lambda t: hashlib.md5(t.encode()).digest())  # one id with two texts
+    assert got == sorted([*enumerate(texts), (403, ""), (404, " "), (404, " ")])
+    assert (sent < sum(map(len, texts)) / 10) == (hashes > 2)
+
+
+def test_counted_frequencies_are_small_on_their_way_and_exact(spark):
+    """Two million words, a very frequent one among them, in four tasks of 2^21 counters: less than a byte a counter is sent, and sums are those of one count."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(249_999)), lambda i: F.when(i < 1000, F.lit("same")).otherwise((i + F.col("id") * 250_000).cast("string")))
+    texts = spark.range(0, 8, 1, 4).select(F.concat_ws(" ", words).alias("text"))
+    before = shuffled(spark)
+    got = near_dedup.frequencies(texts)
+    sent = shuffled(spark) - before
+    df = np.zeros((2, near_dedup.BUCKETS), np.int64)
+    for x in texts.toLocalIterator():
+        for row, at in zip(df, near_dedup.places(near_dedup.Shingles([x.text], near_dedup.Words()).h, near_dedup.BUCKETS)):
+            row += np.bincount(at, minlength=near_dedup.BUCKETS)
+    assert np.array_equal(got.tables, near_dedup.Idf(df, 8).tables) and sent < 4 * 2 * near_dedup.BUCKETS // 4
+    counts = np.array([0, 1, 255, 256, 70_000, (1 << 32) - 1])
+    assert near_dedup.unpacked(near_dedup.packed(counts), 6).tolist() == counts.tolist()
+
+
 def test_near_dedup_query_on_an_empty_table_and_with_other_columns(spark, tmp_path):
     assert queries.QUERIES["op6_near_dedup"](spark, folder(empty(spark), tmp_path / "none")).count() == 0
     d = folder(awkward(spark).withColumn("class_id", F.lit("x")).withColumn("Kept", F.lit("x")), tmp_path / "some")

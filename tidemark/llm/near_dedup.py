@@ -168,10 +168,21 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield begin, texts[begin:]
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts below 2^32, compressed: their lowest bytes first, then the next ones, as most counts are small."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(part: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(part, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(n)
+
+
 def frequencies(texts: DataFrame, buckets: int = BUCKETS) -> Idf:
     """Document frequencies. Each task adds up what it reads; blocks of the table are then summed by reducers as they stream in.
     What reaches the driver has a fixed size."""
     blocks = 64
+    width = 2 * buckets // blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, df, n = Words(), np.zeros((2, buckets), np.int64), 0
@@ -185,29 +196,22 @@ def frequencies(texts: DataFrame, buckets: int = BUCKETS) -> Idf:
         tidy()
         if n:
             for k, x in enumerate(df.reshape(blocks, -1)):
-                at = np.flatnonzero(x)
-                at = at if len(at) < len(x) // 2 else np.zeros(0, np.int64)  # all of a block, or the places that are not 0
-                part = x[at] if len(at) else x
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([at.astype(np.int32).tobytes()]), pa.array([part.astype(np.int32).tobytes()])], names=["block", "n", "at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([packed(x)])], names=["block", "n", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         n: dict[int, int] = {}
         for b in batches:
-            for k, m, at, x in zip(*(c.to_pylist() for c in b.columns)):
-                at, part = np.frombuffer(at, np.int32), np.frombuffer(x, np.int32)
-                own = total.setdefault(k, np.zeros(2 * buckets // blocks, np.int64))
-                if len(at):
-                    own[at] += part
-                else:
-                    own += part
+            for k, m, x in zip(*(c.to_pylist() for c in b.columns)):
+                own = total.setdefault(k, np.zeros(width, np.int64))
+                own += unpacked(x, width)
                 n[k] = n.get(k, 0) + m
         for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n[k]]), pa.array([b""]), pa.array([x.tobytes()])], names=["block", "n", "at", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n[k]]), pa.array([x.tobytes()])], names=["block", "n", "part"])
 
-    kind = "block long, n long, at binary, part binary"
+    kind = "block long, n long, part binary"
     found = texts.select("text").mapInArrow(count, kind).repartition(blocks, "block").mapInArrow(add, kind).collect()
-    df, n = np.zeros((blocks, 2 * buckets // blocks), np.int64), 0
+    df, n = np.zeros((blocks, width), np.int64), 0
     for x in found:
         df[x.block] = np.frombuffer(x.part, np.int64)
         n += x.n
@@ -399,7 +403,8 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     members = common.written(bucket.join(shared, ["band", "key"]), "buckets")
     # a text of each fp, from the row with its smallest id: a row repeated with its id repeats comparisons and changes no result
     used = common.written(members.select("fp").distinct().join(one.select("fp", F.col("first").alias("_first")), "fp"), "used")
-    held = texts.withColumn("fp", F.md5("text")).join(common.if_small(used.withColumnRenamed("fp", "_fp")), (F.col("fp") == F.col("_fp")) & common.same(F.col("doc_id"), F.col("_first")))
+    likely, _ = common.parted(texts, F.md5("text"), used.select("fp"))
+    held = likely.withColumn("fp", F.md5("text")).join(common.if_small(used.withColumnRenamed("fp", "_fp")), (F.col("fp") == F.col("_fp")) & common.same(F.col("doc_id"), F.col("_first")))
     held = common.written(held.select("fp", "text"), "texts")
     pairs = members.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     comp = common.components(verified(pairs, held, idf, least))
@@ -430,16 +435,25 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
 
 
 def dedup(docs: DataFrame, **kw) -> DataFrame:
-    """docs without near copies: of each class the row with the smallest doc_id stays; texts without a word all stay."""
+    """docs without near copies: of each class the row with the smallest doc_id stays; texts without a word all stay.
+
+    A text of which each row stays is kept where it lies; only rows of the other texts are joined with what is known of their classes."""
     found = common.written(classes(docs, **kw), "kept")
     # a class whose ids are all null, or whose smallest id has several texts, keeps the one with the smallest digest
-    one = found.where(common.same(F.col("doc_id"), F.col("class_id"))).groupBy("class_id").agg(F.min("fp").alias("fp"), F.max("n").alias("n"))
+    least = found.where(common.same(F.col("doc_id"), F.col("class_id")))
+    one = least.groupBy("class_id").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.count("*").alias("texts"))
+    one = common.written(one.select(F.col("class_id").alias("_id"), F.col("fp").alias("_fp"), F.col("n").alias("_n"), "texts"), "one")
+    several = common.if_small(common.written(one.where("texts > 1 or _n > 1").select("_id"), "several"))
+    losing = found.where(~common.same(F.col("doc_id"), F.col("class_id"))).select("fp").union(least.join(several, common.same(F.col("class_id"), F.col("_id"))).select("fp"))
+    losing = common.written(losing.distinct(), "losing")
     nothing = F.col("text").isNull() | ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
-    kept = common.if_small(common.written(one.select(F.col("class_id").alias("_id"), F.col("fp").alias("_fp"), F.col("n").alias("_n")), "one"))
-    rest = docs.where(~nothing).withColumn("_key", F.md5("text")).join(kept, common.same(F.col("doc_id"), F.col("_id")) & (F.col("_key") == F.col("_fp")))
+    unsure, sure = common.parted(docs, F.when(~nothing, F.md5("text")), losing)
+    among, _ = common.parted(one.drop("texts"), F.col("_fp"), losing)
+    kept = common.if_small(common.written(among, "among"))
+    rest = unsure.withColumn("_key", F.md5("text")).join(kept, common.same(F.col("doc_id"), F.col("_id")) & (F.col("_key") == F.col("_fp")))
     single = rest.where("_n = 1").select(*docs.columns)
     again = rest.where("_n > 1").dropDuplicates(["_key", "_id"]).select(*docs.columns)
-    return single.union(again).union(docs.where(nothing))
+    return single.union(again).union(sure)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
