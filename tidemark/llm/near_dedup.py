@@ -3,7 +3,9 @@
 1. Document frequencies of five-word shingles are counted over all documents into two rows of `buckets` counters (fixed size, each hashed by
    bits of its own). A counter also holds other shingles: their mean is taken off, and the smaller of the two estimates counts. With m shingles
    in all documents that leaves an error of about sqrt(m / buckets) documents for a rare shingle, and next to none for a frequent one.
-   A shingle's weight is tf * (1 + ln(N / df) / ln(N)): rare shingles weigh up to twice as much as those that all documents share.
+   A shingle's weight is tf * 2 in up to c documents, where c is a tenth of all N (1000 at least), and tf * (1 + ln(N / df) / ln(N / c)) beyond:
+   what all documents share weighs half. Copies share what only they have, and edits are rare: were the weight to fall from the rarest on, members of a
+   large group would be the less alike the more of them there are, and the less the more documents there are.
 2. Each distinct text gets bands * rows samples. A sample of a weighted set is the shingle that minimises ln a = ln c - r (t - beta) - r
    with t = floor(ln w / r + beta), and its t; r, c ~ Gamma(2, 1) and beta ~ U(0, 1) are drawn by the shingle's hash.
    Two sets agree on a sample with a probability equal to their weighted Jaccard similarity.
@@ -35,6 +37,8 @@ from .common import grouped, tidy
 WORDS, LEAST, BANDS, ROWS, BUCKETS = 5, 0.8, 12, 3, 1 << 20
 #: Texts of a block, where a bucket is compared in pairs of blocks, and columns of the matrices that compare them.
 BLOCK, COLUMNS = 140, 8192
+#: Shingles in up to one of so many documents, or so many of them, weigh alike.
+COMMON, FEWEST = 10, 1000
 #: Rounds that compare members outside of a bucket's largest class with one of them.
 ROUNDS = 3
 #: Members of a comparison that one task takes; larger groups are dealt to several.
@@ -101,7 +105,9 @@ class Shingles:
 
 def weight(df: np.ndarray, n: int) -> np.ndarray:
     """What a shingle of so many of n documents weighs each time it occurs."""
-    return 1 + np.log(max(n, 1) / np.clip(df, 1, max(n, 1))) / max(np.log(max(n, 1)), 1e-9)
+    n = max(n, 1)
+    most = min(max(n / COMMON, FEWEST), n)
+    return 1 + np.log(n / np.clip(df, most, n)) / np.log(n / most) if most < n else np.full(np.shape(df), 2.0)
 
 
 class Idf:
@@ -426,7 +432,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
         pairs = wide.join(head, ["band", "key"]).where("component <> h.of").select("h.a", F.col("fp").alias("b")).distinct()
         comp = common.components(verified(common.written(pairs, "heads"), held, idf, least), comp)
         rest = apart(rest)
-    comp = common.components(across(rest, held, idf, least), comp)
+    comp = common.components(common.forest(across(rest, held, idf, least)), comp)
     named = one.select("fp", "first").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = common.written(named, "named")
     ids = named.groupBy("component").agg(F.min("first").alias("class_id"))
