@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo, numeric
-from tidemark.operators import joins
+from tidemark.operators import joins, scratch
 from tidemark.operators.field import Grid
 from tidemark.streaming import recurrence
 
@@ -122,3 +122,16 @@ def test_nearest_points_go_down_the_tree_as_groups(spark, monkeypatch):
     assert got.pop(-1) is None and len(got) == len(points)
     assert all(abs(got[i] - min(haversine(*p, *q) for q in places)) < 1e-6 for i, p in enumerate(points))
     assert "Window" not in plan(found) and "MapInArrow" in plan(found)
+
+
+def test_nearest_points_with_large_tables_fill_no_driver(spark, monkeypatch):
+    """Tables of more rows than a join may broadcast go by no broadcast, however few bytes their files have; the distances are those by broadcast."""
+    many = spark.range(300).selectExpr("id AS k")
+    assert "BroadcastHashJoin" not in plan(spark.range(300).selectExpr("id AS k").join(scratch.if_small(scratch.settle(many), 200), "k"))
+    points = spark.range(400).selectExpr("id", "4 + 19 * (id * 7919 % 1009) / 1009.0D AS lat", "79 + 17 * (id * 104729 % 1013) / 1013.0D AS lon")
+    places = spark.range(3000).selectExpr("4 + 19 * (id * 15485863 % 1009) / 1009.0D AS lat", "79 + 17 * (id * 32452843 % 1013) / 1013.0D AS lon")
+    want = {x.id: x.distance_km for x in joins.nearest_point(points, places).collect()}
+    monkeypatch.setattr(joins, "CELLS", 0)
+    monkeypatch.setattr(joins, "GROUPS", 0)
+    found = joins.nearest_point(points, places)
+    assert "BroadcastHashJoin" not in plan(found) and {x.id: x.distance_km for x in found.collect()} == want and len(want) == 400

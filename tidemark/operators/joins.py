@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.geo import chord_km, haversine_km, unit_vector
 from ..refdata import EARTH_KM, MOUTH_KM, RECURRENCE_KM
-from .scratch import BROADCAST_ROWS, if_small, settle, spread
+from .scratch import dealt, if_small, settle, spread
 
 
 def nearest_in_dimension(points: DataFrame, dimension: DataFrame, columns: dict[str, str], lat: str = "lat", lon: str = "lon", most: int = 1_000) -> DataFrame:
@@ -172,21 +172,23 @@ def cell_tree(targets: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFram
         counted = celled.groupBy("level", "cell").agg(F.count("*").alias("n"), *box, F.min(F.struct("x", "y", "z")).alias("one")).withColumn("parent", parent)
         counted = settle(counted.withColumn("open", (F.col("n") > leaf) & (F.col("level") < DEEPEST)), "cells")
         opened = counted.where("open").select((F.col("level") + 1).alias("level"), F.col("cell").alias("parent"))
-        new = counted.where(F.col("level") == first).union(counted.where(F.col("level") > first).join(opened, ["level", "parent"], "left_semi").select(counted.columns))
+        new = counted.where(F.col("level") == first).union(counted.where(F.col("level") > first).join(dealt(opened), ["level", "parent"], "left_semi").select(counted.columns))
         new = settle(new, "tree")
         cells = new if cells is None else cells.union(new)
-        done = celled.join(new.where("not open").select("level", "cell"), ["level", "cell"], "left_semi").select("level", "cell", "t_lat", "t_lon")
+        done = celled.join(dealt(new.where("not open").select("level", "cell")), ["level", "cell"], "left_semi").select("level", "cell", "t_lat", "t_lon")
         ends = done if ends is None else ends.union(done)
         deeper = new.where(F.col("open") & (F.col("level") == last)).select("cell")
         if deeper.isEmpty():
             break
-        rest = settle(celled.where(F.col("level") == last).join(if_small(settle(deeper, "open")), "cell", "left_semi").select("t_lat", "t_lon", "x", "y", "z"), "places")
+        rest = settle(celled.where(F.col("level") == last).join(if_small(settle(deeper, "open"), GROUPS), "cell", "left_semi").select("t_lat", "t_lon", "x", "y", "z"), "places")
     return cells, settle(ends, "ends"), {r.level: r["n"] for r in cells.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row per level
 
 
 #: Points are counted in cells of BASE levels at once; a group of points is compared with its cells' places once these are NEAR at most, or where it has FEW
 #: points and its cells can't be opened further; DEALT points of a group or so meet its places in one task.
 BASE, NEAR, FEW, DEALT = 4, 512, 16, 20_000
+#: Most rows of a level's cells with their boxes, and of groups, that a join may broadcast: several levels' tables are in the driver's memory at once.
+CELLS, GROUPS = 10_000, 40_000
 
 
 def nearest_point(points: DataFrame, targets: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -219,7 +221,7 @@ def nearest_point(points: DataFrame, targets: DataFrame, leaf: int = LEAF) -> Da
         if k <= BASE:
             kids = base.groupBy(above("cell", FAN ** (BASE - k)).alias("kid")).agg(F.sum("points").alias("points"), *boxes(lambda c, n: F.col(f"{n}_{c}")))
         else:
-            rest = settle(rest.join(if_small(more.select("group").distinct()), at(k - 1) == F.col("group"), "left_semi"), "points")  # noqa: F821
+            rest = settle(rest.join(if_small(settle(more.select("group").distinct(), "open"), GROUPS), at(k - 1) == F.col("group"), "left_semi"), "points")  # noqa: F821
             kids = rest.groupBy(at(k).alias("kid")).agg(F.count("*").alias("points"), *boxes(lambda c, n: number[c]))
         kids = kids.select("kid", above("kid", FAN).alias("group"), "points", *(F.col(n).alias(f"p_{n}") for _, lo, hi in sides for n in (lo, hi)))
         table = cells.where(F.col("level") == k).select(F.col("parent"), *box)
@@ -229,12 +231,12 @@ def nearest_point(points: DataFrame, targets: DataFrame, leaf: int = LEAF) -> Da
             seen = more.where("not open").select("group", "bound", *box)  # noqa: F821
             if k in sizes:
                 opened = more.where("open").select("group", "bound", F.col("cell").alias("parent"))  # noqa: F821
-                seen = seen.union(opened.join(F.broadcast(table) if sizes[k] <= BROADCAST_ROWS else table, "parent").select("group", "bound", *box))
+                seen = seen.union(opened.join(F.broadcast(table) if sizes[k] <= CELLS else dealt(table), "parent").select("group", "bound", *box))
         apart = F.sqrt(sum((square(F.greatest(F.col(lo) - F.col(f"p_{hi}"), F.col(f"p_{lo}") - F.col(hi), F.lit(0.0))) for _, lo, hi in sides), F.lit(0.0)))
         within = F.sqrt(sum((square(F.greatest(F.abs(F.col(f"p_{hi}") - F.col(f"one.{c}")), F.abs(F.col(f"p_{lo}") - F.col(f"one.{c}")))) for c, lo, hi in sides), F.lit(0.0)))
         single = sum((F.col(f"p_{hi}") - F.col(f"p_{lo}") for _, lo, hi in sides), F.lit(0.0)) == 0
         each = Window.partitionBy("kid")
-        met = seen.join(kids, "group").select("kid", "points", single.alias("single"), "bound", apart.alias("apart"), within.alias("within"), *box).where(F.col("apart") <= F.col("bound") + 1e-12)
+        met = seen.join(dealt(kids), "group").select("kid", "points", single.alias("single"), "bound", apart.alias("apart"), within.alias("within"), *box).where(F.col("apart") <= F.col("bound") + 1e-12)
         met = met.withColumn("bound", F.least("bound", F.min("within").over(each))).where(F.col("apart") <= F.col("bound") + 1e-12)
         met = met.withColumn("places", F.sum("n").over(each)).withColumn("any_open", F.max("open").over(each))
         enough = (F.col("places") <= NEAR) | (~F.col("any_open") & ((F.col("points") <= FEW) | F.col("single"))) | F.lit(k == DEEPEST)
@@ -255,16 +257,16 @@ def _met(ready: list, base: DataFrame, above: Callable, at: Callable, places: Da
     groups = settle(pairs.groupBy("k", "group").agg(F.ceil(F.first("points") / DEALT).cast("int").alias("parts")).withColumn("g", F.monotonically_increasing_id()), "ready")
     early = None
     for k in range(1, BASE + 1):
-        own = base.select("cell", above("cell", FAN ** (BASE - k)).alias("group")).join(groups.where(F.col("k") == k).select("group", "g", "parts"), "group").select("cell", "g", "parts")
+        own = base.select("cell", above("cell", FAN ** (BASE - k)).alias("group")).join(dealt(groups.where(F.col("k") == k).select("group", "g", "parts")), "group").select("cell", "g", "parts")
         early = own if early is None else early.union(own)
     points = None
     for k, of, rest in [(BASE, early, ready[0][2]), *((k, groups.where(F.col("k") == k).select(F.col("group").alias("cell"), "g", "parts"), rest) for k, _, rest in ready if k > BASE)]:
-        own = rest.join(if_small(settle(of, "dealt")), at(k) == F.col("cell"))
+        own = rest.join(if_small(settle(of, "dealt"), GROUPS), at(k) == F.col("cell"))
         own = own.select("g", F.pmod(F.xxhash64("id", "x", "y", "z"), "parts").cast("int").alias("part"), F.lit(1).alias("own"), "id", "x", "y", "z")
         points = own if points is None else points.union(own)
     celled = places.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(last)))).withColumn("cell", _cell(F.col("level"), {c: F.col(c) for c in "xyz"}))
-    wanted = pairs.join(groups, ["k", "group"]).select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "level", "cell")
-    sent = wanted.join(celled, ["level", "cell"]).select("g", "part", F.lit(0).alias("own"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), "x", "y", "z")
+    wanted = pairs.join(dealt(groups), ["k", "group"]).select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "level", "cell")
+    sent = wanted.join(dealt(celled), ["level", "cell"]).select("g", "part", F.lit(0).alias("own"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), "x", "y", "z")
     both = sent.union(points).repartition("g", "part").sortWithinPartitions("g", "part", "own")
     found = both.mapInArrow(_least_squares, T.StructType([points.schema["id"], T.StructField("_square", T.DoubleType())]))
     return found.select("id", chord_km(F.sqrt("_square")).alias("distance_km"))

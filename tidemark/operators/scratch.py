@@ -41,7 +41,12 @@ def settle(df: DataFrame, name: str = "round") -> DataFrame:
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (a settled table, cheap to count) marked for broadcast if it has no more than so many rows; else the join shuffles, and AQE splits hot keys."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else dealt(df)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df marked for a join that shuffles. Spark goes by the bytes of files, which are compressed: what it takes for small may fill the driver."""
+    return df.hint("merge")
 
 
 def spread(df: DataFrame) -> DataFrame:
