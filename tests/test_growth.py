@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo, numeric
-from tidemark.operators import joins, scratch
+from tidemark.operators import evaluate, joins, scratch
 from tidemark.operators.field import Grid
 from tidemark.streaming import recurrence
 
@@ -135,3 +135,31 @@ def test_nearest_points_with_large_tables_fill_no_driver(spark, monkeypatch):
     monkeypatch.setattr(joins, "GROUPS", 0)
     found = joins.nearest_point(points, places)
     assert "BroadcastHashJoin" not in plan(found) and {x.id: x.distance_km for x in found.collect()} == want and len(want) == 400
+
+
+def test_exact_quantiles_do_not_gather_a_group(spark, monkeypatch):
+    """Quantiles of large groups by what lies around them against all values: spread ones, ties, a group of one value, one with nulls; the first guess may miss."""
+    rows = spark.range(20_000).selectExpr("cast(id % 2 as int) AS g", "CASE WHEN id % 2 = 1 THEN floor(id % 7) ELSE ln(1 + id * 7919 % 10007) END AS x", "CASE WHEN id % 5 > 0 THEN id * 104729 % 10009 / 7.0D END AS y")
+    rows = rows.union(spark.sql("SELECT 2, 3.25D, cast(null as double) UNION ALL SELECT 3, 1D, 1D UNION ALL SELECT 3, 2D, 4D"))
+    wanted = {"median": ("x", 0.5), "p90": ("x", 0.9), "low": ("y", 0.001), "high": ("y", 1.0)}
+    by = lambda df: {r.g: (r["median"], r["p90"], r["low"], r["high"]) for r in df.collect()}
+    want = by(rows.groupBy("g").agg(*(F.percentile(c, p).alias(k) for k, (c, p) in wanted.items())))
+    found = evaluate.quantiles(rows, ["g"], wanted)
+    assert by(found) == want and "percentile(" in plan(found)
+    monkeypatch.setattr(evaluate, "FEW", 1000)
+    for aside in (0.004, 1e-6):
+        monkeypatch.setattr(evaluate, "ASIDE", aside)
+        found = evaluate.quantiles(rows, ["g"], wanted)
+        assert by(found) == want and "percentile(" not in plan(found)
+
+
+def test_search_without_cones_cuts_no_hulls(spark, monkeypatch):
+    from tidemark.operators import drift
+    from tidemark.plans import validate
+
+    monkeypatch.setattr(drift, "hulls", lambda *a: (_ for _ in ()).throw(AssertionError("hulls")))
+    field = Grid(*(np.array([0.0, 1.0]),) * 3, *np.zeros((2, 2, 2, 2)))
+    case = "named_struct('id', 'a', 't0', timestamp_ntz'2024-01-01', 'lat0', 10D, 'lon0', 85D, 'lat24', 10D, 'lon24', 85.1D, 'lat48', 10D, 'lon48', 85.2D, 'drogued', true)"
+    found = spark.range(1).selectExpr(f"inline(array({case}))")
+    out = validate.searched(found, field, field, [validate.Setting((0.0, 0.0), 0.0, 0.0, 1.0)], n=4, cones=False)
+    assert {(r.h, round(r["median"], 2), r.n) for r in out.collect()} == {(24, 10.95, 1), (48, 21.9, 1)} and "coverage" not in out.columns

@@ -2,17 +2,58 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import digitize
+from .scratch import if_small, settle
 
 
 def error_measures(error: str) -> list[Column]:
     return [F.median(error).alias("median"), F.avg(error).alias("mean"), F.percentile(error, 0.9).alias("p90"), F.count(error).alias("n")]
 
 
+#: Values of a group that one task may hold for its quantiles, and how far to both sides of a quantile (as a share of the values) the exact search begins.
+FEW, ASIDE = 500_000, 0.004
+
+
+def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """by, and for each name the exact quantile (column, p) between order statistics, as `percentile` gives it; by is never null.
+
+    `percentile` gathers all values of a group in one task. Beyond FEW of them, sketches give two values that should have the quantile between them: those below are
+    counted where they are, and only those between are sorted. Where the quantile turns out to lie elsewhere, it is sought between values farther apart. df is read
+    several times: a settled table."""
+    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most <= FEW:
+        return df.groupBy(*by).agg(*(F.percentile(c, p).alias(name) for name, (c, p) in wanted.items()))
+    out = df.select(*by).distinct()
+    for name, (c, p) in wanted.items():
+        values, aside = df.where(F.col(c).isNotNull()).select(*by, F.col(c).cast("double").alias("_v")), ASIDE
+        while True:
+            least = F.percentile_approx("_v", p - aside) if p > aside else F.lit(-math.inf)
+            largest = F.percentile_approx("_v", p + aside) if p + aside < 1 else F.lit(math.nan)  # beyond all numbers, in Spark's order
+            ends = values.groupBy(*by).agg(F.count("*").alias("_n"), least.alias("_least"), largest.alias("_most"))
+            ends = settle(ends.withColumn("_at", (F.col("_n") - 1) * F.lit(float(p))), "ends")
+            near = values.join(if_small(ends), by)
+            below = near.where("_v < _least").groupBy(*by).agg(F.count("*").alias("_below"))
+            between = near.where("_v >= _least AND _v <= _most").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+            upto = between.withColumn("_upto", F.sum("_c").over(W.partitionBy(*by).orderBy("_v")))
+            upto = ends.join(below, by, "left").join(upto, by, "left").withColumn("_upto", F.coalesce("_below", F.lit(0)) + F.col("_upto"))
+            nth = lambda k: F.min(F.when(F.coalesce("_below", F.lit(0)) <= k, F.when(F.col("_upto") > k, F.col("_v"))))
+            found = upto.groupBy(*by, "_at").agg(nth(F.floor("_at")).alias("_a"), nth(F.ceil("_at")).alias("_b"))
+            found = settle(found, "quantile")
+            if found.where("_a IS NULL OR _b IS NULL").isEmpty():
+                break
+            aside *= 8
+        share = F.col("_at") - F.floor("_at")
+        value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_a") + share * F.col("_b"))
+        out = out.join(found.select(*by, value.alias(name)), by, "left")
+    return out
+
+
 def error_stats(df: DataFrame, by: list[str], error: str) -> DataFrame:
     return df.groupBy(*by).agg(*error_measures(error))
 

@@ -42,8 +42,9 @@ class Setting:
 MOST_SETTINGS = 2_000
 
 
-def scored(found: DataFrame, currents: Grid, wind: Grid, settings: Sequence[Setting], n: int = 150, **kw) -> DataFrame:
-    """(setting, id, drogued, h, error_km, inside, area_km2) of each case under each setting at 24 and 48 hours; setting: its place in the list.
+def scored(found: DataFrame, currents: Grid, wind: Grid, settings: Sequence[Setting], n: int = 150, cones: bool = True, **kw) -> DataFrame:
+    """(setting, id, drogued, h, error_km, inside, area_km2) of each case under each setting at 24 and 48 hours; setting: its place in the list. Without cones there are
+    no inside and area_km2, and no hull is cut.
 
     Windage, diffusivity, sigma and scale are columns of a seed, and a case has the same draws under every setting: one simulation, whatever the
     number of settings, dealt by particle."""
@@ -54,14 +55,15 @@ def scored(found: DataFrame, currents: Grid, wind: Grid, settings: Sequence[Sett
     c = found.withColumn("case", F.concat_ws("@", F.col("id"), F.col("t0").cast("string"))).withColumn("s", F.explode(options))
     c = c.select(F.concat_ws("#", F.col("s.setting"), "case").alias("run"), "case", "s.*", "drogued", "t0", "lat0", "lon0", *(f"{x}{h}" for h in (24, 48) for x in ("lat", "lon")))
     seeds = c.select(F.col("run").alias("id"), "case", "least", "most", "K", "sigma", "scale", F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.lit(0.0).alias("radius_km"), F.unix_timestamp(F.col("t0").cast("timestamp")).cast("double").alias("start"))
-    snaps = settle(drift.simulate(seeds, currents, wind, hours=48, every=24, n=n, windage=("least", "most"), diffusivity="K", sigma="sigma", scale="scale", draws="case", **kw).where("h > 0"), "validate")
-    mean = snaps.where("not central").groupBy("id", "h").agg(F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon"))
-    cone = drift.hulls(snaps)
+    snaps = drift.simulate(seeds, currents, wind, hours=48, every=24, n=n, windage=("least", "most"), diffusivity="K", sigma="sigma", scale="scale", draws="case", central=False, together=True, **kw).where("h > 0")
+    snaps = settle(snaps, "validate") if cones else snaps
+    mean = snaps.groupBy("id", "h").agg(F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon"))
     truth = c.select("setting", F.col("run").alias("id"), "drogued", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"lat{h}").alias("lat"), F.col(f"lon{h}").alias("lon")) for h in (24, 48)))).alias("x")).select("setting", "id", "drogued", "x.*")
-    j = truth.join(mean, ["id", "h"]).join(cone, ["id", "h"])
-    return j.select(
-        "setting", "id", "drogued", "h", haversine_km(F.col("mean_lat"), F.col("mean_lon"), F.col("lat"), F.col("lon")).alias("error_km"), point_in_ring(F.col("lat"), F.col("lon"), F.col("hull")).alias("inside"), ring_area_km2(F.col("hull")).alias("area_km2")
-    )
+    j = truth.join(mean, ["id", "h"])
+    of = ["setting", "id", "drogued", "h", haversine_km(F.col("mean_lat"), F.col("mean_lon"), F.col("lat"), F.col("lon")).alias("error_km")]
+    if not cones:
+        return j.select(*of)
+    return j.join(drift.hulls(snaps), ["id", "h"]).select(*of, point_in_ring(F.col("lat"), F.col("lon"), F.col("hull")).alias("inside"), ring_area_km2(F.col("hull")).alias("area_km2"))
 
 
 def still(found: DataFrame) -> DataFrame:
@@ -70,8 +72,12 @@ def still(found: DataFrame) -> DataFrame:
 
 
 def summary(scores: DataFrame, by: tuple[str, ...] = ("setting", "h")) -> DataFrame:
-    """By setting and hour: median, mean and p90 error, coverage of the 90 % cone and its median area."""
-    return scores.groupBy(*by).agg(*evaluate.error_measures("error_km"), F.avg(F.col("inside").cast("int")).alias("coverage"), F.median("area_km2").alias("cone_area_km2"))
+    """By setting and hour: median, mean and p90 error, and where scores have cones, coverage of the 90 % cone and its median area."""
+    cones = ["inside", "area_km2"] if "inside" in scores.columns else []
+    scores = settle(scores.select(*by, "error_km", *cones), "scores")
+    plain = [F.avg("error_km").alias("mean"), F.count("error_km").alias("n"), *(F.avg(F.col(c).cast("int")).alias("coverage") for c in cones[:1])]
+    exact = {"median": ("error_km", 0.5), "p90": ("error_km", 0.9)} | {"cone_area_km2": (c, 0.5) for c in cones[1:]}
+    return scores.groupBy(*by).agg(*plain).join(evaluate.quantiles(scores, list(by), exact), list(by))
 
 
 def report(found: DataFrame, currents: Grid, wind: Grid, setting: Setting | None = None, **kw) -> DataFrame:
@@ -83,13 +89,15 @@ def report(found: DataFrame, currents: Grid, wind: Grid, setting: Setting | None
     return evaluate.error_stats(every, ["method", "h"], "error_km")
 
 
-def searched(found: DataFrame, currents: Grid, wind: Grid, settings: Iterable[Setting], **kw) -> DataFrame:
-    """(stage, order, windage, K, cscale, sigma, h, median, p90, coverage, cone_area_km2, n): the summary of each setting, all from one simulation."""
+def searched(found: DataFrame, currents: Grid, wind: Grid, settings: Iterable[Setting], cones: bool = True, **kw) -> DataFrame:
+    """(stage, order, windage, K, cscale, sigma, h, median, p90, coverage, cone_area_km2, n): the summary of each setting, all from one simulation; without cones
+    no coverage and no area."""
     settings = list(settings)
     if not settings:
         raise ValueError("no settings to search")
     names = F.array(*(F.struct(F.lit(s.stage).alias("stage"), F.lit(s.order).alias("order"), F.lit(str(s.windage)).alias("windage"), F.lit(float(s.diffusivity)).alias("K"), F.lit(float(s.scale)).alias("cscale"), F.lit(float(s.sigma)).alias("sigma")) for s in settings))
-    return summary(scored(found, currents, wind, settings, **kw)).withColumn("s", F.get(names, F.col("setting"))).select("s.*", "h", "median", "p90", "coverage", "cone_area_km2", "n")
+    found = summary(scored(found, currents, wind, settings, cones=cones, **kw)).withColumn("s", F.get(names, F.col("setting")))
+    return found.select("s.*", "h", "median", "p90", *(["coverage", "cone_area_km2"] if cones else []), "n")
 
 
 def chosen(results: DataFrame, rule: str) -> DataFrame:
