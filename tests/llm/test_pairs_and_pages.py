@@ -93,6 +93,23 @@ def test_a_bucket_of_many_classes_is_brute_force(spark, monkeypatch):
     assert got == brute_classes(docs) and seen[0] > 0
 
 
+def test_wide_buckets_of_one_band_go_first(spark, monkeypatch):
+    """Groups that all bands have: once one band's wide buckets are compared, other bands send fewer texts than they would have; the classes are brute force."""
+    r = random.Random(17)
+    base, docs = prose(80, 55).split(), []
+    for _ in range(4):
+        own = [*base[:50], *prose(30, r.randrange(10**6)).split()]
+        for _ in range(14):
+            own = list(own)
+            own[r.randrange(30)] = f"edit{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own)))
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    sent, across = [], near_dedup.across
+    monkeypatch.setattr(near_dedup, "across", lambda rows, *a, **kw: (sent.append({x.band: x.sent for x in rows.groupBy("band").agg(F.sum("s").alias("sent")).collect()}), across(rows, *a, **kw))[1])
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bands=12, rows=1).collect()}
+    assert got == brute_classes(docs) and len(sent) > 1 and len(sent[0]) == 1 and max(sent[-1].values(), default=0) < max(sent[0].values())
+
+
 def test_rounds_that_spare_nothing_are_not_repeated(spark, monkeypatch):
     """Unlike texts that share buckets: one of them at the head of a round joins no others, so pairs of blocks settle the rest; earlier links are not sent again."""
     r = random.Random(13)

@@ -13,7 +13,7 @@
    outside of its largest class, they are compared with one of those, a few times over: each such round sends a bucket's texts once, and another
    follows only if the last one spared more texts than that.
    Of what is left, the members outside of the largest class (s of n) are compared with all of the bucket, in pairs of blocks, so that
-   2 s n / BLOCK texts are sent: no candidate pair of different classes is left out, a bucket that is one class costs comparisons in proportion to its
+   2 s n / BLOCK texts are sent, one band's wide buckets first, and those of other bands by what is then known: no candidate pair of different classes is left out, a bucket that is one class costs comparisons in proportion to its
    size, and tasks return a forest of links, never pairs. Only texts that share a band and are pairwise unlike make s as large as n.
 4. A link is a weighted Jaccard similarity of `least` or more over the whole texts. Classes are the connected components.
 
@@ -39,7 +39,7 @@ WORDS, LEAST, BANDS, ROWS, BUCKETS = 5, 0.8, 12, 3, 1 << 20
 BLOCK, COLUMNS = 140, 8192
 #: Shingles in up to one of so many documents, or so many of them, weigh alike.
 COMMON, FEWEST = 10, 1000
-#: Rounds that compare members outside of a bucket's largest class with one of them.
+#: Rounds that compare members outside of a bucket's largest class with one of them, and rounds that compare one band's wide buckets as a whole.
 ROUNDS = 3
 #: Members of a comparison that one task takes; larger groups are dealt to several.
 DEALT = 500
@@ -432,6 +432,17 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
         pairs = wide.join(head, ["band", "key"]).where("component <> h.of").select("h.a", F.col("fp").alias("b")).distinct()
         comp = common.components(verified(common.written(pairs, "heads"), held, idf, least), comp)
         rest = apart(rest)
+    for k in range(ROUNDS):
+        # bands have much the same groups: once one band's wide buckets are compared as a whole, little is left of the others'
+        by = sorted(rest.where(F.col("s") > BLOCK).groupBy("band").agg((F.sum("s") * 2 / BLOCK).alias("sent")).collect(), key=lambda x: (-x.sent, x.band))  # a row per band
+        if len(by) < 2:
+            break
+        own = (F.col("band") == by[0].band) & (F.col("s") > BLOCK)
+        comp = common.components(common.forest(across(rest.where(own), held, idf, least)), comp)
+        rest = apart(rest.where(~own))
+        left = rest.where(F.col("s") > BLOCK).agg(F.sum("s") * 2 / BLOCK).first()[0] or 0
+        if sum(x.sent for x in by[1:]) - left < by[0].sent:
+            break
     comp = common.components(common.forest(across(rest, held, idf, least)), comp)
     named = one.select("fp", "first").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = common.written(named, "named")
